@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import is_future_dated
+from tidemark.functions.names import is_future_dated, is_valid
 from tidemark.operators.keyed import attach, placed
 
 KEY = ["db_id", "name"]
@@ -135,7 +135,8 @@ def check_rollup(
     Future-dated and missing scripts are warnings.
     """
     readable = read.select("db_id").withColumn("_read", F.lit(True))
-    good, bad = scanned.where(F.col("reason").isNull()), scanned.where(F.col("reason").isNotNull())
+    well = is_valid(F.col("name"))
+    good, bad = scanned.where(well), scanned.where(~well)
     files = good.select(
         *KEY,
         F.col("checksum").alias("file_checksum"),
@@ -150,6 +151,7 @@ def check_rollup(
         "_future",
         F.col("file_checksum").isNull().alias("_missing"),
         (F.col("file_checksum") != F.col("applied_checksum")).alias("_drift"),
+        (F.col("file_checksum").isNotNull() & F.col("applied_checksum").isNotNull()).alias("_tracked"),
         F.lit(False).alias("_ill"),
     )
     none = F.lit(None).cast("boolean")
@@ -160,14 +162,15 @@ def check_rollup(
         none.alias("_future"),
         F.lit(False).alias("_missing"),
         none.alias("_drift"),
+        F.lit(False).alias("_tracked"),
         F.lit(True).alias("_ill"),
     )
     counts = facts.unionByName(ill).groupBy("db_id").agg(
         F.count_if("_ill").alias("invalid_names"),
         F.count_if("_pending").alias("pending"),
         F.count_if(F.col("_pending") & ~F.col("_ok")).alias("pending_bad"),
-        F.count_if(~F.col("_pending") & ~F.col("_ok")).alias("_applied_bad"),
-        F.count_if(~F.col("_pending") & ~F.col("_missing")).alias("_tracked"),
+        F.count_if(F.col("_tracked") & ~F.col("_ok")).alias("_tracked_bad"),
+        F.count_if("_tracked").alias("_tracked"),
         F.count_if("_drift").alias("mismatched"),
         F.count_if("_missing").alias("missing"),
         F.count_if("_future").alias("future_dated"),
@@ -178,7 +181,7 @@ def check_rollup(
         return F.coalesce(name, F.lit(0))
 
     pending_n = count("pending") + F.when(seen, 0).otherwise(count("_tracked"))
-    bad_n = count("pending_bad") + F.when(seen, 0).otherwise(count("_applied_bad"))
+    bad_n = count("pending_bad") + F.when(seen, 0).otherwise(count("_tracked_bad"))
     drift_n = F.when(seen, count("mismatched")).otherwise(0)
     return (
         databases.select("db_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import checksum
-from tidemark.functions.names import invalid_reason
+from tidemark.functions.names import invalid_reason, is_valid
 from tidemark.functions.statements import split_content, verdict
 from tidemark.operators.keyed import attach
 
@@ -40,16 +40,15 @@ def scan(files: DataFrame, verdicts: bool = False) -> DataFrame:
     the content itself is never shuffled.
     """
     name = F.col("name")
-    kept = files.where(F.endswith(name, F.lit(".sql")) & (name != ".sql"))
-    reason = invalid_reason(name)
+    kept = files.where(name.rlike(r"[\s\S]\.sql\z"))  # a bare ".sql" has no extension
+    content = F.when(is_valid(name), F.col("content"))
     out = [
         F.col("db_id"),
         name,
-        reason.alias("reason"),
-        F.when(reason.isNull(), checksum(F.col("content"))).alias("checksum"),
+        invalid_reason(name).alias("reason"),
+        checksum(content).alias("checksum"),
     ]
     if verdicts:
-        content = F.when(reason.isNull(), F.col("content"))
         out.append(split_content(content).alias("_parts"))
     rows = kept.select(*out)
     if verdicts:
@@ -59,12 +58,12 @@ def scan(files: DataFrame, verdicts: bool = False) -> DataFrame:
 
 def valid(scanned: DataFrame) -> DataFrame:
     """Well-named scripts."""
-    return scanned.where(F.col("reason").isNull()).drop("reason")
+    return scanned.where(is_valid(F.col("name"))).drop("reason")
 
 
 def invalid(scanned: DataFrame) -> DataFrame:
     """Ill-named scripts: db_id, file, reason."""
-    return scanned.where(F.col("reason").isNotNull()).select(
+    return scanned.where(~is_valid(F.col("name"))).select(
         "db_id", F.col("name").alias("file"), "reason"
     )
 

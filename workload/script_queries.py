@@ -291,7 +291,7 @@ def _split_ctes(corpus: str) -> dict[str, str]:
             WHEN regexp_matches(t, '^[eE]''') AND NOT regexp_full_match(t, '[eE]''(?:[^''\\]|\\(?s:.)|'''')*''')
               THEN 'unterminated string literal'
             WHEN starts_with(t, '"') AND (length(t) < 2 OR t[-1] <> '"') THEN 'unterminated quoted identifier'
-            WHEN starts_with(t, '$$') AND NOT regexp_full_match(t, '\$\$(?s:.*)\$\$') THEN 'unterminated dollar-quoted block ($$$$)'
+            WHEN starts_with(t, '$$') AND NOT regexp_full_match(t, '\$\$(?s:.*)\$\$') THEN 'unterminated dollar-quoted block ($$)'
             END AS error
           FROM (SELECT id, ts[-1] AS t FROM tok) l""",
         "begun": f"""
@@ -484,14 +484,13 @@ def transaction_outcome(s):
     _tries("""
     SELECT event_id, failed_index,
       CASE WHEN failed_index >= event_id % 2 AND failed_index + 1 < 60 + event_id % 2 THEN failed_index - event_id % 2 END AS statement_index
-    FROM errors WHERE worker AND structured"""),
+    FROM (SELECT event_id, CASE WHEN worker AND structured THEN failed_index END AS failed_index FROM errors) e"""),
 )
 def failed_statement(s):
     """Scripts of 59 statements; the even half runs on SQLite, without a preamble."""
     offset = F.col("event_id") % 2
     index = F.col("error.failed_index")
-    found = _failures(s).where(index.isNotNull())
-    return found.select(
+    return _failures(s).select(
         "event_id",
         index.alias("failed_index"),
         er.statement_index(index, offset, offset + 60).alias("statement_index"),
