@@ -1,12 +1,14 @@
 """Error bodies of database calls, brought to one shape.
 
-``ERROR`` = struct(kind, code, message, inner_code, driver, failed_index), with kind
-``unavailable`` for transport failures and ``worker`` for errors the database reported.
+``normalise`` and ``rollbacks`` add the same six columns: error_kind (``unavailable``
+for transport failures, ``worker`` for errors the database reported), error_code,
+error_message, inner_code, driver and failed_index.  The JSON text is parsed once, into
+a column of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Messages and codes callers match on.
@@ -52,25 +54,10 @@ def _index(body: Column, path: str) -> Column:
     return F.when(number >= 0, number)
 
 
-def _shape(kind, code, message, inner_code=None, driver=None, failed_index=None) -> Column:
-    def text(c):
-        return (F.lit(None) if c is None else c if isinstance(c, Column) else F.lit(c)).cast("string")
-
-    index = F.lit(None) if failed_index is None else failed_index
-    return F.struct(
-        text(kind).alias("kind"),
-        text(code).alias("code"),
-        text(message).alias("message"),
-        text(inner_code).alias("inner_code"),
-        text(driver).alias("driver"),
-        index.cast("bigint").alias("failed_index"),
-    )
-
-
-def _from_body(body: Column, fallback: Column, outer_index: Column | None = None) -> Column:
-    inner, driver = _string(body, "$.inner_code"), _string(body, "$.driver")
-    base = F.coalesce(_string(body, "$.message"), fallback)
-    message = (
+def _body_message(fallback: Column) -> Column:
+    """The body's message with the driver's own code, which is what people search for."""
+    base, inner, driver = F.coalesce("_message", fallback), F.col("inner_code"), F.col("driver")
+    return (
         F.when(inner.isNull(), base)
         .when(
             F.coalesce(driver, F.lit("postgres")) == "postgres",
@@ -78,55 +65,79 @@ def _from_body(body: Column, fallback: Column, outer_index: Column | None = None
         )
         .otherwise(F.concat(base, F.lit(" ("), driver, F.lit(" error code "), inner, F.lit(")")))
     )
-    index = _index(body, "$.failed_index")
-    if outer_index is not None:
-        index = F.coalesce(index, outer_index)
-    return _shape("worker", _string(body, "$.code"), message, inner, driver, index)
 
 
-def normalise(kind: Column, code: Column, message: Column) -> Column:
-    """``ERROR`` of a failed call: ``kind`` is timeout, not_connected, remote or other."""
-    body = _json(F.substr(message, F.instr(message, "{")))
-    structured = (F.instr(message, "{") > 0) & _field(body, "$.code").isNotNull()
-    return (
-        F.when(kind == "timeout", _shape("unavailable", None, TIMED_OUT))
-        .when(kind == "not_connected", _shape("unavailable", None, NOT_CONNECTED))
-        .when(kind != "remote", _shape("unavailable", None, message))
-        .when(
-            code == "function_not_found",
-            _shape("unavailable", None, F.format_string(NOT_REGISTERED, message)),
-        )
-        .when(F.coalesce(structured, F.lit(False)), _from_body(body, message))
-        .otherwise(_shape("worker", code, message))
+def _with_body_fields(df: DataFrame) -> DataFrame:
+    body = F.col("_body")
+    return df.withColumns(
+        {
+            "_code": _string(body, "$.code"),
+            "_message": _string(body, "$.message"),
+            "inner_code": _string(body, "$.inner_code"),
+            "driver": _string(body, "$.driver"),
+            "failed_index": _index(body, "$.failed_index"),
+        }
     )
 
 
-def rollback_error(response: Column) -> Column:
-    """``ERROR`` hidden in a successful transaction response, null when it committed."""
-    body = _json(response)
-    committed = _field(body, "$.committed")
-    refused = (F.schema_of_variant(committed) == "BOOLEAN") & ~committed.cast("boolean")
-    outer = _index(body, "$.failed_index")
-    inner = _field(body, "$.error")
-    return F.when(
-        F.coalesce(refused, F.lit(False)),
-        F.when(inner.isNull(), _shape("worker", None, ROLLED_BACK, failed_index=outer)).otherwise(
-            _from_body(inner, F.lit(ROLLED_BACK), outer)
-        ),
+def normalise(df: DataFrame) -> DataFrame:
+    """Errors of failed calls (kind, code, message), kind being timeout, not_connected,
+    remote or other.  The body starts at the message's first brace; a remote message
+    without a body that names a code stands for itself."""
+    kind, code, message = F.col("kind"), F.col("code"), F.col("message")
+    worker = F.coalesce((kind == "remote") & (code != "function_not_found"), F.lit(False))
+    start = F.instr(message, "{")
+    parsed = df.withColumn(
+        "_body", F.when(worker & (start > 0), _json(F.substr(message, start)))
+    ).withColumn("_coded", _field(F.col("_body"), "$.code").isNotNull())
+    named = _with_body_fields(parsed.withColumn("_body", F.when(F.col("_coded"), F.col("_body"))))
+    text = (
+        F.when(kind == "timeout", TIMED_OUT)
+        .when(kind == "not_connected", NOT_CONNECTED)
+        .when((kind == "remote") & ~worker, F.format_string(NOT_REGISTERED, message))
+        .when(F.col("_coded"), _body_message(message))
+        .otherwise(message)
     )
-
-
-def caller_code(error: Column) -> Column:
-    """The stable code shown to callers outside a run."""
-    rejected = (error["kind"] == "worker") & error["code"].isin(*CONFIG_CODES)
-    return F.when(F.coalesce(rejected, F.lit(False)), CONFIG_ERROR).otherwise(WORKER_UNAVAILABLE)
-
-
-def caller_message(error: Column) -> Column:
-    return (
-        F.when(error["kind"] == "unavailable", error["message"])
-        .when(caller_code(error) == CONFIG_ERROR, F.concat(F.lit(REJECTED), error["message"]))
-        .otherwise(F.concat(F.lit(CALL_FAILED), error["message"]))
+    return named.withColumns(
+        {
+            "error_kind": F.when(kind.isNotNull(), F.when(worker, "worker").otherwise("unavailable")),
+            "error_code": F.when(worker, F.when(F.col("_coded"), F.col("_code")).otherwise(code)),
+            "error_message": text,
+        }
+    ).drop("_body", "_coded", "_code", "_message")
+
+
+def rollbacks(df: DataFrame, response: str = "response") -> DataFrame:
+    """Errors hidden in successful transaction responses; all null where it committed."""
+    parsed = df.withColumn("_response", _json(F.col(response)))
+    committed = _field(F.col("_response"), "$.committed")
+    refused = (F.schema_of_variant(committed) == "BOOLEAN") & ~committed.cast("boolean")
+    judged = parsed.withColumn("_refused", F.coalesce(refused, F.lit(False)))
+    outer = _index(F.col("_response"), "$.failed_index")
+    inner = F.when(F.col("_refused"), _field(F.col("_response"), "$.error"))
+    named = _with_body_fields(judged.withColumn("_body", inner))
+    failed = F.col("_refused")
+    return named.withColumns(
+        {
+            "error_kind": F.when(failed, "worker"),
+            "error_code": F.col("_code"),
+            "error_message": F.when(failed, _body_message(F.lit(ROLLED_BACK))),
+            "failed_index": F.when(failed, F.coalesce("failed_index", outer)),
+        }
+    ).drop("_response", "_refused", "_body", "_code", "_message")
+
+
+def for_callers(df: DataFrame) -> DataFrame:
+    """Add caller_code and caller_message: how an error shows outside a run."""
+    rejected = (F.col("error_kind") == "worker") & F.col("error_code").isin(*CONFIG_CODES)
+    message = F.col("error_message")
+    return df.withColumns(
+        {
+            "caller_code": F.when(rejected, CONFIG_ERROR).otherwise(WORKER_UNAVAILABLE),
+            "caller_message": F.when(F.col("error_kind") == "unavailable", message)
+            .when(rejected, F.concat(F.lit(REJECTED), message))
+            .otherwise(F.concat(F.lit(CALL_FAILED), message)),
+        }
     )
 
 

@@ -1,9 +1,11 @@
 """Scripts to statements.
 
 A script is cut at every ``;`` that lies outside quotes, comments and dollar-quoted
-bodies.  One regular expression finds the pieces that hide a ``;`` and everything else
-stays JVM-side; only scripts with *nested* block comments, which are no regular
-language, go through the small Arrow helper at the end.
+bodies.  Two regular expressions do that JVM-side: one tells whether every piece that
+can hide a ``;`` is closed, the other extracts the runs between the cuts.  A script that
+is not closed is looked at piece by piece for the reason.  Only scripts with *nested*
+block comments, which are no regular language, go through the small Arrow helper at the
+end.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,20 +31,30 @@ CANNOT_SPLIT = "cannot split migration into statements: "
 NO_STATEMENTS = "migration file contains no SQL statements"
 
 # Possessive quantifiers keep the matcher iterative, whatever the length of the text.
-# Each hiding piece is tried closed first, then open to the end of the text.
 _ESCAPED = r"(?<![A-Za-z0-9_])[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'"
 _TAG = r"(?:[A-Za-z_][A-Za-z0-9_]*+)?+"
+_DOLLAR = rf"\$({_TAG})\$[\s\S]*?\$\1\$"
+_PLAIN = r"""(?:[^;'"$/\-eE]++|[eE](?!')|-(?!-)|/(?!\*))++"""
+_FLAT_COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
+
+# What a closed script consists of, apart from the cuts.
+_CLOSED = (
+    rf"{_PLAIN}|--[^\n]*+|'[^']*+'|" + r'"[^"]*+"' + rf"|{_FLAT_COMMENT}|{_ESCAPED}|{_DOLLAR}"
+    rf"|\$(?!{_TAG}\$)|(?<=[A-Za-z0-9_])[eE](?=')"
+)
+_WHOLE = rf"^(?:{_CLOSED}|;)*+\z"
+_RUN = rf"(?:{_CLOSED})++"
+
+# Any script, piece by piece: each hiding piece closed first, then open to the end.
 _QUOTES = (
     _ESCAPED
     + r"|(?<![A-Za-z0-9_])[eE]'[\s\S]*+"
     + r"|'[^']*+'|'[\s\S]*+"
     + r'|"[^"]*+"|"[\s\S]*+'
-    + rf"|\$({_TAG})\$[\s\S]*?\$\1\$|\${_TAG}\$[\s\S]*+"
+    + rf"|{_DOLLAR}|\${_TAG}\$[\s\S]*+"
 )
-_PLAIN = r"""(?:[^;'"$/\-eE]++|[eE](?!')|-(?!-)|/(?!\*))++"""
-_PIECES = rf"--[^\n]*+|/\*[\s\S]*?\*/|/\*[\s\S]*+|{_QUOTES}|;|{_PLAIN}|[\s\S]"
+_PIECES = rf"{_PLAIN}|--[^\n]*+|/\*[\s\S]*?\*/|/\*[\s\S]*+|{_QUOTES}|[\s\S]"
 _LEADING = r"^(?:[ \t\n\f\r]++|--[^\n]*+|/\*[\s\S]*?\*/)*+"
-_CUT = "\x00"
 
 SPLIT_TYPE = T.StructType(
     [
@@ -68,61 +80,69 @@ def _open_piece(last: Column) -> Column:
         .when(last.rlike("^[eE]'") & ~last.rlike(rf"^{_ESCAPED}\z"), OPEN_STRING)
         .when(unclosed('"'), OPEN_IDENTIFIER)
         .when(
-            last.rlike(rf"^\${_TAG}\$") & ~last.rlike(rf"^\$({_TAG})\$[\s\S]*?\$\1\$\z"),
+            last.rlike(rf"^\${_TAG}\$") & ~last.rlike(rf"^{_DOLLAR}\z"),
             F.format_string(OPEN_DOLLAR, F.regexp_extract(last, rf"^\$({_TAG})\$", 1)),
         )
     )
 
 
-def split(text: Column) -> Column:
-    """struct(statements, error) of a script: its statements in order, or why it has none."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+def split(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``statements`` (array, null on error) and ``split_error`` for each script.
+
+    ``content`` holds bytes or text; null stays null.  The steps are columns of their
+    own, so that each is computed once per script.
+    """
+    text, closed, pieces = F.col("_text"), F.col("_closed"), F.col("_pieces")
+    raw = F.col(content).cast("string")
     nested = F.exists(
         pieces,
         lambda p: F.startswith(p, F.lit("/*")) & F.contains(F.substr(p, F.lit(3)), F.lit("/*")),
     )
-    unusual = nested | F.contains(text, F.lit(_CUT))
-    error = _open_piece(F.try_element_at(pieces, F.lit(-1)))
-    cut = F.array_join(F.transform(pieces, lambda p: F.when(p == ";", _CUT).otherwise(p)), "")
-    chunks = F.transform(
-        F.split(cut, _CUT),
+    runs = F.transform(
+        F.when(closed, F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))),
         lambda s: F.btrim(F.regexp_replace(s, _LEADING, ""), F.lit(WHITE_SPACE)),
     )
-    found = F.struct(
-        F.when(error.isNull(), F.filter(chunks, lambda s: s != "")).alias("statements"),
-        error.alias("error"),
+    found = F.when(closed, F.filter(runs, lambda s: s != ""))
+    error = _open_piece(F.try_element_at(pieces, F.lit(-1)))
+    return (
+        df.withColumn("_text", F.when(F.is_valid_utf8(raw), raw))
+        .withColumn("_closed", text.rlike(_WHOLE))
+        .withColumn("_pieces", F.when(~closed, F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))))
+        .withColumn("_nested", F.coalesce(nested, F.lit(False)))
+        .withColumn("_by_hand", _split_nested(F.when(F.col("_nested"), text)))
+        .withColumn("statements", F.when(F.col("_nested"), F.col("_by_hand.statements")).otherwise(found))
+        .withColumn(
+            "split_error",
+            F.when(text.isNull() & F.col(content).isNotNull(), NOT_TEXT)
+            .when(F.col("_nested"), F.col("_by_hand.error"))
+            .when(~closed, error),
+        )
+        .drop("_text", "_closed", "_pieces", "_nested", "_by_hand")
     )
-    return F.when(unusual, _split_nested(F.when(unusual, text))).otherwise(found)
 
 
-def split_content(content: Column) -> Column:
-    """``split`` of raw bytes; bytes that are no text are an error."""
-    text = content.cast("string")
-    no_text = F.struct(
-        F.lit(None).cast("array<string>").alias("statements"), F.lit(NOT_TEXT).alias("error")
-    )
-    valid = F.is_valid_utf8(text)
-    return F.when(~valid, no_text).otherwise(split(F.when(valid, text)))
+def verdict(df: DataFrame) -> DataFrame:
+    """Replace ``statements`` and ``split_error`` by ok, statements (count), error.
 
-
-def verdict(parts: Column) -> Column:
-    """struct(ok, statements, error) of a split script; an empty script is an error."""
-    count = F.coalesce(F.size(parts["statements"]), F.lit(0))
-    failed = parts["error"].isNotNull()
-    error = F.when(failed, F.concat(F.lit(CANNOT_SPLIT), parts["error"])).when(
-        count <= 0, NO_STATEMENTS
-    )
-    return F.struct(
-        error.isNull().alias("ok"),
-        F.when(failed, 0).otherwise(count).cast("bigint").alias("statements"),
-        error.alias("error"),
+    An empty script is an error too.
+    """
+    count = F.coalesce(F.size("statements"), F.lit(0)).cast("bigint")
+    error = F.when(
+        F.col("split_error").isNotNull(), F.concat(F.lit(CANNOT_SPLIT), "split_error")
+    ).when(F.col("_count") <= 0, NO_STATEMENTS)
+    return (
+        df.withColumn("_count", count)
+        .withColumn("error", error)
+        .withColumn("statements", F.greatest("_count", F.lit(0)))
+        .withColumn("ok", F.col("error").isNull())
+        .drop("_count", "split_error")
     )
 
 
 # Executors need not have this package installed: the helper travels with its code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_TOKEN = re.compile(rf"--[^\n]*+|/\*|{_QUOTES}|;|{_PLAIN}|[\s\S]")
+_TOKEN = re.compile(rf"{_PLAIN}|--[^\n]*+|/\*|{_QUOTES}|[\s\S]")
 _COMMENT_EDGE = re.compile(r"\*/|/\*")
 
 

@@ -13,7 +13,7 @@ KEY = ["db_id", "name"]
 def run_replay(plan: DataFrame) -> DataFrame:
     """State of each pending script after a run that stops at its first failure.
 
-    ``plan`` has db_id, name, ok.  The place of the first failure is a plain minimum
+    ``plan`` has db_id, name, ok; other columns ride along.  The place of the first failure is a plain minimum
     per database, so no window over a whole history is needed.
     """
     first = plan.where(~F.col("ok")).groupBy("db_id").agg(F.min("name").alias("failed_name"))
@@ -23,9 +23,7 @@ def run_replay(plan: DataFrame) -> DataFrame:
         .when(F.col("name") == stop, "failed")
         .otherwise("not_attempted")
     )
-    return attach(plan.select(*KEY), first, ["db_id"], ["name"]).select(
-        *KEY, state.alias("state"), "failed_name"
-    )
+    return attach(plan, first, ["db_id"], ["name"]).withColumn("state", state)
 
 
 def first_successes(attempts: DataFrame) -> DataFrame:

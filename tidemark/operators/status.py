@@ -140,7 +140,7 @@ def check_rollup(
     files = good.select(
         *KEY,
         F.col("checksum").alias("file_checksum"),
-        F.col("verdict.ok").alias("_ok"),
+        F.col("ok").alias("_ok"),
         is_future_dated(F.col("name"), now).alias("_future"),
     )
     rows = ledger.select(*KEY, F.col("checksum").alias("applied_checksum"))

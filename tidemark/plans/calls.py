@@ -34,9 +34,8 @@ def up(files: DataFrame, ledger: DataFrame) -> dict[str, DataFrame]:
     found, errors = sc.scan_strict(sc.scan(files, verdicts=True))
     blocked = st.blocked(st.checksum_gate(found, ledger))
     waiting = keyed.attach(st.pending(found, ledger), blocked, ["db_id"], ["name"], how="left_anti")
-    judged = waiting.select("db_id", "name", "checksum", "verdict.*")
     return {
-        "plan": judged.join(runs.run_replay(judged), ["db_id", "name"]),
+        "plan": runs.run_replay(waiting),
         "blocked": blocked,
         "errors": errors,
     }

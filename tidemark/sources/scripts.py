@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import checksum
 from tidemark.functions.names import invalid_reason, is_valid
-from tidemark.functions.statements import split_content, verdict
+from tidemark.functions.statements import split, verdict
 from tidemark.operators.keyed import attach
 
 
@@ -33,7 +33,8 @@ def read_scripts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan(files: DataFrame, verdicts: bool = False) -> DataFrame:
-    """One narrow row per ``.sql`` file: db_id, name, reason, checksum.
+    """One narrow row per ``.sql`` file: db_id, name, reason, checksum; with
+    ``verdicts`` also ok, statements and error of the split.
 
     ``reason`` says why a name is refused; such files are not read, so their checksum
     is null.  Hashing (and, with ``verdicts``, splitting) happens in the scan stage, so
@@ -41,19 +42,14 @@ def scan(files: DataFrame, verdicts: bool = False) -> DataFrame:
     """
     name = F.col("name")
     kept = files.where(name.rlike(r"[\s\S]\.sql\z"))  # a bare ".sql" has no extension
-    content = F.when(is_valid(name), F.col("content"))
-    out = [
-        F.col("db_id"),
-        name,
+    named = kept.select(
+        "db_id",
+        "name",
         invalid_reason(name).alias("reason"),
-        checksum(content).alias("checksum"),
-    ]
-    if verdicts:
-        out.append(split_content(content).alias("_parts"))
-    rows = kept.select(*out)
-    if verdicts:
-        rows = rows.withColumn("verdict", verdict(F.col("_parts"))).drop("_parts")
-    return rows
+        F.when(is_valid(name), F.col("content")).alias("content"),
+    )
+    hashed = named.withColumn("checksum", checksum(F.col("content")))
+    return (verdict(split(hashed)) if verdicts else hashed).drop("content")
 
 
 def valid(scanned: DataFrame) -> DataFrame:
@@ -83,11 +79,13 @@ def scan_strict(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def statements(files: DataFrame) -> DataFrame:
     """Statements of each script in order: db_id, name, pos, statement."""
-    parts = files.select("db_id", "name", split_content(F.col("content")).alias("_p"))
-    return parts.select("db_id", "name", F.posexplode("_p.statements").alias("pos", "statement"))
+    parts = split(files.select("db_id", "name", "content"))
+    # The outer form keeps Catalyst from computing the split once more as a filter.
+    return parts.select(
+        "db_id", "name", F.posexplode_outer("statements").alias("pos", "statement")
+    ).where(F.col("pos").isNotNull())
 
 
 def verdicts(files: DataFrame) -> DataFrame:
     """Per script: db_id, name, ok, statements, error.  Empty scripts are kept."""
-    parts = files.select("db_id", "name", split_content(F.col("content")).alias("_p"))
-    return parts.withColumn("_v", verdict(F.col("_p"))).select("db_id", "name", "_v.*")
+    return verdict(split(files.select("db_id", "name", "content"))).drop("content")

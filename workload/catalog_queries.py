@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import ddl, types
@@ -65,12 +67,32 @@ class Pg:
     """The flat Postgres shapes of the derived fleet."""
 
     def __init__(self, s):
-        self.columns = cat.pg_columns(s.pg_columns(), s.pg_tables())
-        self.keys = cat.pg_keys(s.pg_table_constraints(), s.pg_key_column_usage())
-        self.foreign = cat.pg_foreign(s.pg_constraint(), s.pg_class(), s.pg_namespace(), s.pg_attribute())
-        self.enums = cat.pg_enum_labels(s.pg_type(), s.pg_enum(), s.pg_namespace())
-        self.indexes = cat.pg_index_rows(s.pg_indexes())
-        self.triggers = cat.pg_trigger_rows(s.pg_triggers())
+        self.s = s
+
+    @cached_property
+    def columns(self):
+        return cat.pg_columns(self.s.pg_columns(), self.s.pg_tables())
+
+    @cached_property
+    def keys(self):
+        return cat.pg_keys(self.s.pg_table_constraints(), self.s.pg_key_column_usage())
+
+    @cached_property
+    def foreign(self):
+        s = self.s
+        return cat.pg_foreign(s.pg_constraint(), s.pg_class(), s.pg_namespace(), s.pg_attribute())
+
+    @cached_property
+    def enums(self):
+        return cat.pg_enum_labels(self.s.pg_type(), self.s.pg_enum(), self.s.pg_namespace())
+
+    @cached_property
+    def indexes(self):
+        return cat.pg_index_rows(self.s.pg_indexes())
+
+    @cached_property
+    def triggers(self):
+        return cat.pg_trigger_rows(self.s.pg_triggers())
 
 
 def _joined(name: str, alias: str | None = None):
@@ -161,13 +183,30 @@ class Lite:
     """The flat SQLite shapes of the derived fleet."""
 
     def __init__(self, s):
-        tables = cat.sqlite_tables(s.sqlite_master())
-        self.tables = tables
-        self.columns = cat.sqlite_columns(tables, s.sqlite_columns())
-        self.keys = cat.sqlite_keys(tables, s.sqlite_columns())
-        self.foreign = cat.sqlite_foreign(tables, s.sqlite_foreign_keys())
-        self.indexes = cat.sqlite_index_rows(tables, s.sqlite_index_list(), s.sqlite_index_info(), s.sqlite_master())
-        self.triggers = cat.sqlite_trigger_rows(tables, s.sqlite_master())
+        self.s, self.tables = s, cat.sqlite_tables(s.sqlite_master())
+
+    @cached_property
+    def columns(self):
+        return cat.sqlite_columns(self.tables, self.s.sqlite_columns())
+
+    @cached_property
+    def keys(self):
+        return cat.sqlite_keys(self.tables, self.s.sqlite_columns())
+
+    @cached_property
+    def foreign(self):
+        return cat.sqlite_foreign(self.tables, self.s.sqlite_foreign_keys())
+
+    @cached_property
+    def indexes(self):
+        s = self.s
+        return cat.sqlite_index_rows(
+            self.tables, s.sqlite_index_list(), s.sqlite_index_info(), s.sqlite_master()
+        )
+
+    @cached_property
+    def triggers(self):
+        return cat.sqlite_trigger_rows(self.tables, self.s.sqlite_master())
 
 
 @query("trigger_header", _lite("SELECT * FROM trg"))

@@ -8,6 +8,7 @@ sound rows; they do not thin the tables out.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 NOW = "2024-01-01 00:05:00"
@@ -43,10 +44,14 @@ class SparkDialect:
         return f"array({', '.join(xs)})"
 
     def spread(self, source: str, columns: Sequence[str], rows: Sequence[Sequence]) -> str:
-        structs = ", ".join(
-            f"struct({', '.join(_literal(v, self) for v in row)})" for row in rows
+        """The rows as one JSON literal: far quicker to analyse than nested literals."""
+        fields = ", ".join(f"{c} {_spark_type([r[i] for r in rows])}" for i, c in enumerate(columns))
+        text = json.dumps([dict(zip(columns, row)) for row in rows])
+        text = text.replace("\\", "\\\\").replace("'", "\\'")
+        return (
+            f"{source} LATERAL VIEW inline(from_json('{text}', 'array<struct<{fields}>>')) v "
+            f"AS {', '.join(columns)}"
         )
-        return f"{source} LATERAL VIEW inline(array({structs})) v AS {', '.join(columns)}"
 
 
 class DuckDialect:
@@ -82,6 +87,12 @@ class DuckDialect:
 DUCK = DuckDialect()
 
 
+def _spark_type(values: Sequence) -> str:
+    if any(isinstance(v, (list, tuple)) for v in values):
+        return "array<int>"
+    return "bigint" if all(isinstance(v, int) for v in values) else "string"
+
+
 def _literal(v, d) -> str:
     if v is None:
         return "CAST(NULL AS STRING)"

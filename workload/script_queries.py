@@ -260,7 +260,7 @@ def run_replay(s):
         "db_id", "name", (~F.contains(F.col("content").cast("string"), F.lit('"'))).alias("ok")
     )
     plan = st.pending(_good(s), s.ledger()).join(refused, ["db_id", "name"])
-    return runs.run_replay(plan.select("db_id", "name", "ok"))
+    return runs.run_replay(plan).select("db_id", "name", "state", "failed_name")
 
 
 # Splitting ------------------------------------------------------------------------------
@@ -404,14 +404,12 @@ def _tries(tail: str, **more: str) -> str:
 
 
 def _failures(s):
-    error = er.normalise(F.col("kind"), F.col("code"), F.col("message"))
-    return s.attempts().where(~F.col("ok")).withColumn("error", error)
+    return er.normalise(s.attempts().where(~F.col("ok")))
 
 
 def _attempts(s):
-    """Attempts with the kind of failure the error text stands for."""
-    error = er.normalise(F.col("kind"), F.col("code"), F.col("message"))
-    return s.attempts().withColumn("kind", F.when(~F.col("ok"), error["kind"]))
+    """Attempts with the kind of failure their error text stands for."""
+    return er.normalise(s.attempts()).withColumn("kind", F.col("error_kind"))
 
 
 @query(
@@ -428,17 +426,9 @@ def _attempts(s):
     FROM errors"""),
 )
 def error_normalise(s):
-    e = F.col("error")
-    return _failures(s).select(
-        "event_id",
-        e["kind"].alias("error_kind"),
-        e["code"].alias("error_code"),
-        e["message"].alias("error_message"),
-        e["inner_code"].alias("inner_code"),
-        e["driver"].alias("driver"),
-        e["failed_index"].alias("failed_index"),
-        er.caller_code(e).alias("caller_code"),
-        er.caller_message(e).alias("caller_message"),
+    return er.for_callers(_failures(s)).select(
+        "event_id", "error_kind", "error_code", "error_message", "inner_code", "driver",
+        "failed_index", "caller_code", "caller_message",
     )
 
 
@@ -468,14 +458,14 @@ _RESPONSES = """
     ),
 )
 def transaction_outcome(s):
-    error = er.rollback_error(F.col("response"))
     tries = attempts_sql(s.dialect)
-    return s.spark.sql(_RESPONSES.replace("FROM attempts", f"FROM ({tries}) a")).withColumn("e", error).select(
+    responses = s.spark.sql(_RESPONSES.replace("FROM attempts", f"FROM ({tries}) a"))
+    return er.rollbacks(responses).select(
         "event_id",
-        F.col("e").isNull().alias("committed"),
-        F.col("e.code").alias("error_code"),
-        F.col("e.message").alias("error_message"),
-        F.col("e.failed_index").alias("failed_index"),
+        F.col("error_kind").isNull().alias("committed"),
+        "error_code",
+        "error_message",
+        "failed_index",
     )
 
 
@@ -489,10 +479,10 @@ def transaction_outcome(s):
 def failed_statement(s):
     """Scripts of 59 statements; the even half runs on SQLite, without a preamble."""
     offset = F.col("event_id") % 2
-    index = F.col("error.failed_index")
+    index = F.col("failed_index")
     return _failures(s).select(
         "event_id",
-        index.alias("failed_index"),
+        index,
         er.statement_index(index, offset, offset + 60).alias("statement_index"),
     )
 
