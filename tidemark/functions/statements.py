@@ -31,21 +31,24 @@ CANNOT_SPLIT = "cannot split migration into statements: "
 NO_STATEMENTS = "migration file contains no SQL statements"
 
 # Possessive quantifiers keep the matcher iterative, whatever the length of the text.
-_ESCAPED = r"(?<![A-Za-z0-9_])[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'"
 _TAG = r"(?:[A-Za-z_][A-Za-z0-9_]*+)?+"
 _DOLLAR = rf"\$({_TAG})\$[\s\S]*?\$\1\$"
-_PLAIN = r"""(?:[^;'"$/\-eE]++|[eE](?!')|-(?!-)|/(?!\*))++"""
 _FLAT_COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
 
-# What a closed script consists of, apart from the cuts.
+# What a closed script consists of, apart from the cuts.  A quote knows by looking back
+# whether it opens an escape string, so that plain text is matched in long runs.
+_AFTER_E = r"(?<![A-Za-z0-9_])[eE]"
 _CLOSED = (
-    rf"{_PLAIN}|--[^\n]*+|'[^']*+'|" + r'"[^"]*+"' + rf"|{_FLAT_COMMENT}|{_ESCAPED}|{_DOLLAR}"
-    rf"|\$(?!{_TAG}\$)|(?<=[A-Za-z0-9_])[eE](?=')"
+    r"""(?:[^;'"$/\-]++|-(?!-)|/(?!\*))++|--[^\n]*+|"[^"]*+\""""
+    rf"|(?<!{_AFTER_E})'[^']*+'|(?<={_AFTER_E})'(?:[^'\\]++|\\[\s\S]|'')*+'"
+    rf"|{_FLAT_COMMENT}|{_DOLLAR}|\$(?!{_TAG}\$)"
 )
 _WHOLE = rf"^(?:{_CLOSED}|;)*+\z"
 _RUN = rf"(?:{_CLOSED})++"
 
 # Any script, piece by piece: each hiding piece closed first, then open to the end.
+_ESCAPED = r"(?<![A-Za-z0-9_])[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'"
+_PLAIN = r"""(?:[^;'"$/\-eE]++|[eE](?!')|-(?!-)|/(?!\*))++"""
 _QUOTES = (
     _ESCAPED
     + r"|(?<![A-Za-z0-9_])[eE]'[\s\S]*+"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import pin
 
-SALTS = 16
+SALTS = 8
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -25,8 +25,8 @@ def attach(
 ) -> DataFrame:
     """Join ``rows`` to ``lookup``, which holds at most one row per key.
 
-    A lookup that turns out small is broadcast by AQE, which knows its size by then.
-    Beyond that size both sides shuffle on the key and a salt hashed from
+    No side is hinted: Spark broadcasts the lookup where its size stays under the
+    broadcast threshold.  Beyond it both sides shuffle on the key and a salt hashed from
     ``spread_by``, so that a hot key is shared by ``salts`` tasks.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))

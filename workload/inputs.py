@@ -9,18 +9,15 @@ sound rows; they do not thin the tables out.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 NOW = "2024-01-01 00:05:00"
 BASE = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
 class SparkDialect:
-    def __init__(self, sf_dir: str, views: dict[str, str] | None = None):
-        self.sf_dir, self.views = sf_dir.rstrip("/"), views or {}
-
-    def table(self, name: str) -> str:
-        return self.views.get(name, f"parquet.`{self.sf_dir}/{name}.parquet`")
+    def __init__(self, table: Callable[[str], str]):
+        self.table = table
 
     def sha(self, x: str) -> str:
         return f"sha2({x}, 256)"

@@ -18,10 +18,22 @@ class Source:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
-        self.dialect = ip.SparkDialect(sf_dir)
+        self.dialect = ip.SparkDialect(self.view)
+        self._tables: dict[str, DataFrame] = {}
+        self._views: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
+
+    def view(self, name: str) -> str:
+        """The table under a name SQL can use; its schema is read once per query."""
+        view = f"given_{name}"
+        if name not in self._views:
+            self.table(name).createOrReplaceTempView(view)
+            self._views.add(name)
+        return view
 
     def __getattr__(self, name: str):
         recipe = getattr(ip, name)

@@ -24,7 +24,7 @@ def _stream(s, table: str, recipe: str) -> DataFrame:
     )
     view = f"arriving_{table}"
     rows.createOrReplaceTempView(view)
-    return s.spark.sql(getattr(ip, recipe)(ip.SparkDialect(s.sf_dir, {table: view})))
+    return s.spark.sql(getattr(ip, recipe)(ip.SparkDialect(lambda _: view)))
 
 
 def _run(s, stream: DataFrame, sink) -> DataFrame:
