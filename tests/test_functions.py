@@ -56,7 +56,7 @@ def test_instant_and_future(spark):
         lambda c: names.instant(c).cast("string"),
     )
     assert at == ["2026-07-19 14:30:00", None, None, None, None]
-    now = F.lit("2026-07-23 08:00:00")
+    now = "2026-07-23 08:00:00"
     ahead = evaluate(
         spark,
         ["20260723080400_a.sql", "20260723080500_b.sql", "20260723080501_c.sql", "20260101000000_d.sql", "x.sql"],

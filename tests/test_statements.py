@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.functions import statements as st
 from tidemark.sources import scripts as sc
@@ -120,4 +119,3 @@ def test_split_is_computed_once(spark):
     df = spark.createDataFrame([("a", "1", "x;y")], "db_id string, name string, content string")
     plan = sc.statements(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 2  # the runs, and the pieces of open scripts
-    assert F is not None

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+Moment = Column | datetime | str  # an instant in UTC
+
 # The reasons a name is refused, in the order they are tested.
 NO_EXTENSION = "missing .sql extension"
 TOO_SHORT = "name too short"
@@ -59,9 +63,9 @@ def instant(name: Column) -> Column:
     return F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
-def is_future_dated(name: Column, now: Column) -> Column:
+def is_future_dated(name: Column, now: Moment) -> Column:
     """Ahead of ``now`` by more than the clock-skew allowance; unparsable is false."""
-    limit = now.cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(CLOCK_SKEW_MINUTES))
+    limit = F.lit(now).cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(CLOCK_SKEW_MINUTES))
     return F.coalesce(instant(name) > limit, F.lit(False))
 
 

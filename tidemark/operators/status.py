@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import is_future_dated, is_valid
+from tidemark.functions.names import Moment, is_future_dated, is_valid
 from tidemark.operators.keyed import attach, placed
 
 KEY = ["db_id", "name"]
@@ -33,7 +33,7 @@ def ledger_status(scripts: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def future_dated(scripts: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
+def future_dated(scripts: DataFrame, ledger: DataFrame, now: Moment) -> DataFrame:
     """Scripts dated ahead of ``now``, whether they were applied, and what to do."""
     ahead = scripts.where(is_future_dated(F.col("name"), now)).select(*KEY)
     known = ledger.select(*KEY, F.lit(True).alias("_known"))
@@ -126,7 +126,7 @@ def baseline_outcome(inserts: DataFrame, ledger_after: DataFrame) -> DataFrame:
 
 
 def check_rollup(
-    databases: DataFrame, scanned: DataFrame, ledger: DataFrame, read: DataFrame, now: Column
+    databases: DataFrame, scanned: DataFrame, ledger: DataFrame, read: DataFrame, now: Moment
 ) -> DataFrame:
     """One row per database: would a run succeed?
 

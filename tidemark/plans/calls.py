@@ -6,17 +6,18 @@ db_id, name, checksum, applied_at.  Results are lazy; each dict holds named part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import checksum, raw_checksum
+from tidemark.functions.names import Moment
 from tidemark.operators import catalog, contracts, history, keyed, runs, status as st
 from tidemark.sources import journal, ledger as ledgers, scripts as sc
 
 LEDGER_TABLE = "schema_ledger"
 
 
-def status(files: DataFrame, ledger: DataFrame, now: Column) -> dict[str, DataFrame]:
+def status(files: DataFrame, ledger: DataFrame, now: Moment) -> dict[str, DataFrame]:
     """State of every script and ledger row.  Databases with an ill-named script are in
     ``errors`` only."""
     found, errors = sc.scan_strict(sc.scan(files))
@@ -42,7 +43,7 @@ def up(files: DataFrame, ledger: DataFrame) -> dict[str, DataFrame]:
 
 
 def check(
-    files: DataFrame, ledger: DataFrame, databases: DataFrame, readable: DataFrame, now: Column
+    files: DataFrame, ledger: DataFrame, databases: DataFrame, readable: DataFrame, now: Moment
 ) -> DataFrame:
     """One row per database: would a run succeed, and what speaks against it."""
     return st.check_rollup(databases, sc.scan(files, verdicts=True), ledger, readable, now)
@@ -86,7 +87,7 @@ def schema(
 
 
 def baseline(
-    files: DataFrame, ledger: DataFrame, now: Column, names: DataFrame | None = None
+    files: DataFrame, ledger: DataFrame, now: Moment, names: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Record scripts as applied without running them: all, or the requested ones.
 
@@ -104,7 +105,7 @@ def baseline(
     plan = st.baseline_plan(found, ledger)
     out["plan"] = plan
     out["inserts"] = plan.where(F.col("action") == "insert").select(
-        "db_id", "name", "checksum", now.cast("timestamp_ntz").alias("applied_at")
+        "db_id", "name", "checksum", F.lit(now).cast("timestamp_ntz").alias("applied_at")
     )
     return out
 
@@ -116,7 +117,7 @@ def adopt(
     files: DataFrame,
     ledger: DataFrame,
     dialects: DataFrame,
-    now: Column,
+    now: Moment,
     mode: str = "auto",
 ) -> dict[str, DataFrame]:
     """Take over another tool's history.
@@ -150,6 +151,6 @@ def adopt(
         "states": states,
         "plan": plan,
         "inserts": plan.where(F.col("action") == "insert").select(
-            "db_id", "name", "checksum", now.cast("timestamp_ntz").alias("applied_at")
+            "db_id", "name", "checksum", F.lit(now).cast("timestamp_ntz").alias("applied_at")
         ),
     }

@@ -21,17 +21,20 @@ def dialect_of(alias: Column) -> Column:
 
 
 def read_journals(spark: SparkSession, root: str) -> DataFrame:
-    """``root/db_id=<id>/meta/_journal.json``: db_id, dialect, entries.
+    """``root/db_id=<id>/journal.json``: db_id, dialect, entries.
 
-    Spark's listing hides names beginning with ``_``, so the file is named in the glob.
+    Collect the files under this name: Spark's listing hides names that begin with
+    ``_``, as the tool's own file name does.
     """
     found = (
         spark.read.schema(JOURNAL)
         .option("multiLine", "true")
-        .json(f"{root.rstrip('/')}/db_id=*/meta/_journal.json")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "journal.json")
+        .json(root)
     )
     return found.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/db_id=([^/]+)/meta/", 1).alias("db_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"/db_id=([^/]+)/journal\.json$", 1).alias("db_id"),
         "dialect",
         "entries",
     )

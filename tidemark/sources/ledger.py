@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import Moment
 from tidemark.sources.schemas import LEDGER
 
 
@@ -30,12 +31,12 @@ def broken(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("missing_field", field).where(field.isNotNull())
 
 
-def new_rows(ledger: DataFrame, scripts: DataFrame, now: Column) -> DataFrame:
+def new_rows(ledger: DataFrame, scripts: DataFrame, now: Moment) -> DataFrame:
     """Ledger rows for the scripts not recorded yet."""
     return (
         scripts.select("db_id", "name", "checksum")
         .join(ledger.select("db_id", "name"), ["db_id", "name"], "left_anti")
-        .withColumn("applied_at", now.cast("timestamp_ntz"))
+        .withColumn("applied_at", F.lit(now).cast("timestamp_ntz"))
     )
 
 

@@ -16,10 +16,6 @@ from workload.inputs import attempts as attempts_sql
 from workload.registry import duck, query, with_
 
 
-def _now():
-    return F.lit(NOW)
-
-
 # Oracle texts ---------------------------------------------------------------------------
 
 REASON = """CASE
@@ -87,7 +83,7 @@ def name_timestamp(s):
     LEFT JOIN ledger l ON g.db_id = l.db_id AND g.name = l.name"""),
 )
 def future_dated(s):
-    return st.future_dated(_good(s), s.ledger(), _now())
+    return st.future_dated(_good(s), s.ledger(), NOW)
 
 
 @query(
@@ -193,7 +189,7 @@ def ledger_check(s):
     FROM status WHERE state = 'pending'"""),
 )
 def ledger_append(s):
-    rows = ledgers.new_rows(ledgers.sound(s.ledger()), _good(s), _now())
+    rows = ledgers.new_rows(ledgers.sound(s.ledger()), _good(s), NOW)
     return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -377,7 +373,7 @@ def script_verdict(s):
     ),
 )
 def check_rollup(s):
-    return calls.check(s.scripts(), s.ledger(), s.databases(), s.readable(), _now())
+    return calls.check(s.scripts(), s.ledger(), s.databases(), s.readable(), NOW)
 
 
 # Attempts -------------------------------------------------------------------------------
