@@ -54,12 +54,35 @@ def test_attach_keeps_rows_whole_with_and_without_broadcast(spark):
     for limit in ("10MB", "-1"):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         try:
-            got = keyed.attach(rows, lookup, ["k"], ["n"]).agg(F.count("*"), F.sum("v")).first()
+            got = keyed.attach(rows, lookup, ["k"]).agg(F.count("*"), F.sum("v")).first()
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert tuple(got) == tuple(expected)
 
 
+def test_a_hot_key_is_split(spark):
+    """Beyond the broadcast size AQE spreads a hot key, though the lookup is grouped."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 300000, 1, 8).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("n"))
+        lookup = spark.range(0, 300000, 2).repartition(5).groupBy(F.col("id").alias("k")).agg(F.count("*").alias("v"))
+        joined, plain = keyed.attach(rows, lookup, ["k"]), rows.join(lookup, "k", "left")
+        assert len(joined.collect()) == len(plain.collect()) == 300000
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (joined, plain)]
+        assert ["skew=true" in p for p in plans] == [True, False]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
 def test_names_rise_within_the_same_second(spark):
     rows = [("a", 0, 0, 1719842300123, "0000_loud_wolverine"), ("a", 1, 0, 1719842300999, "0001_add_orders"), ("a", 2, 0, 1719842290000, "0002_"), ("b", 0, 0, -5, "x")]
     df = spark.createDataFrame(rows, "db_id string, idx bigint, pos int, when bigint, tag string")

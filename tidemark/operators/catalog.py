@@ -38,10 +38,10 @@ def _number(name: str) -> Column:
     return F.col(f"`{name}`").try_cast("bigint")
 
 
-def _in_schema(rows: DataFrame, oid: str, namespace: DataFrame, schema: str, spread: str) -> DataFrame:
+def _in_schema(rows: DataFrame, oid: str, namespace: DataFrame, schema: str) -> DataFrame:
     """Rows whose namespace is ``schema``: one lookup row per database."""
     spaces = namespace.where(F.col("nspname") == schema).select("db_id", F.col("oid").alias(oid))
-    return attach(rows, spaces, ["db_id", oid], [spread], how="left_semi")
+    return attach(rows, spaces, ["db_id", oid], how="left_semi")
 
 
 # -- Postgres ---------------------------------------------------------------------------
@@ -95,7 +95,7 @@ def pg_foreign(
         "confupdtype",
         F.posexplode(F.arrays_zip("conkey", "confkey")).alias("_n", "_pair"),
     )
-    local = _in_schema(classes, "relnamespace", namespace, schema, "oid").select(
+    local = _in_schema(classes, "relnamespace", namespace, schema).select(
         "db_id", F.col("oid").alias("conrelid"), F.col("relname").alias("table_name")
     )
     remote = classes.select(
@@ -139,7 +139,7 @@ def pg_enum_labels(
     types: DataFrame, enums: DataFrame, namespace: DataFrame, schema: str = "public"
 ) -> DataFrame:
     """Enum labels with their declared order: db_id, enum_name, label, label_order."""
-    named = _in_schema(types, "typnamespace", namespace, schema, "oid").select(
+    named = _in_schema(types, "typnamespace", namespace, schema).select(
         "db_id", F.col("oid").alias("enumtypid"), F.col("typname").alias("enum_name")
     )
     return named.join(enums, ["db_id", "enumtypid"]).select(
@@ -432,8 +432,8 @@ def fingerprints(columns: DataFrame) -> DataFrame:
 def fleet_schema_drift(columns: DataFrame) -> DataFrame:
     """Tables that differ from the form most databases have; ties go to the higher hash.
 
-    Votes are counted before they meet, and the winners are attached with a salt: a
-    table name is shared by most of the fleet.
+    Votes are counted before they meet; the winners are attached, as a table name may be
+    shared by most of the fleet.
     """
     prints = fingerprints(columns)
     votes = prints.groupBy("table_name", "fingerprint").agg(F.count("*").alias("n"))
@@ -441,6 +441,6 @@ def fleet_schema_drift(columns: DataFrame) -> DataFrame:
     winners = votes.groupBy("table_name").agg(best.alias("_b"), F.count("*").alias("forms")).select(
         "table_name", F.col("_b.fingerprint").alias("usual"), F.col("_b.n").alias("votes"), "forms"
     )
-    return attach(prints, winners, ["table_name"], ["db_id"], how="inner").where(
+    return attach(prints, winners, ["table_name"], how="inner").where(
         F.col("fingerprint") != F.col("usual")
     )

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.keyed import attach
+
 
 def _all_set(columns: Sequence[str]) -> Column:
     out = F.lit(True)
@@ -43,7 +45,7 @@ def foreign_key_violations(
 ) -> DataFrame:
     """Child keys without a parent row; keys with an unset part are exempt."""
     used = child.where(_all_set(columns)).groupBy(*columns).agg(F.count("*").alias("n_rows"))
-    known = parent.select(*[F.col(r).alias(c) for c, r in zip(columns, references)])
+    known = parent.select(*[F.col(r).alias(c) for c, r in zip(columns, references)]).distinct()
     return used.join(known, list(columns), "left_anti")
 
 
@@ -65,15 +67,14 @@ def after_delete(
 ) -> DataFrame:
     """Child rows after their parents are deleted: CASCADE drops, SET NULL unsets.
 
-    One level per call.  ``deleted`` is not reduced first, so both sides meet as plain
-    shuffles, which AQE splits where one parent has very many children.
+    One level per call.  One parent may have very many children.
     """
-    gone = deleted.select(*[F.col(r).alias(c) for c, r in zip(columns, references)])
+    gone = deleted.select(*[F.col(r).alias(c) for c, r in zip(columns, references)]).distinct()
     if action == "CASCADE":
-        return child.join(gone, list(columns), "left_anti")
+        return attach(child, gone, list(columns), how="left_anti")
     if action != "SET NULL":
         raise ValueError(f"no rewrite for ON DELETE {action}")
-    marked = child.join(gone.withColumn("_gone", F.lit(True)), list(columns), "left")
+    marked = attach(child, gone.withColumn("_gone", F.lit(True)), list(columns))
     kept = {c: F.when(F.col("_gone").isNull(), F.col(c)) for c in columns}
     return marked.withColumns(kept).drop("_gone").select(*child.columns)
 

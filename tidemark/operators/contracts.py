@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import types
 from tidemark.functions.text import pascal_case, property_name, quoted
 from tidemark.operators.catalog import fold_enums
+from tidemark.operators.keyed import attach
 
 # The forms of a generated declaration.
 JSON_ALIAS = (
@@ -25,7 +26,7 @@ def pg_contract_columns(columns: DataFrame, enum_labels: DataFrame) -> DataFrame
     element = types.pg_element(F.col("data_type"), F.col("udt_name"))
     return (
         columns.withColumn("_element", element)
-        .join(typed, ["db_id", "_element"], "left")
+        .transform(attach, typed, ["db_id", "_element"])
         .withColumn("wire_type", types.pg_wire(F.col("data_type"), F.col("_element"), F.col("_enum_type")))
         .drop("_element", "_enum_type")
     )

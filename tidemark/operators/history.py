@@ -44,9 +44,7 @@ def allocate_names(requests: DataFrame, scripts: DataFrame) -> tuple[DataFrame,
     refused = cleaned.where(F.col("_slug").isNull()).select(
         "db_id", "seq", "slug", F.lit(names.BAD_REQUEST).alias("reason")
     )
-    seeded = attach(
-        cleaned.where(F.col("_slug").isNotNull()), latest_instants(scripts), ["db_id"], ["seq"]
-    )
+    seeded = attach(cleaned.where(F.col("_slug").isNotNull()), latest_instants(scripts), ["db_id"])
     timed = seeded.select(
         "db_id",
         "seq",
@@ -77,7 +75,7 @@ def adopt_match(items: DataFrame, foreign: DataFrame, mode: str = "auto") -> Dat
     matched = F.col("recorded_hash").isNotNull()
     drifted = F.coalesce(F.col("recorded_hash") != F.col("raw_hash"), F.lit(False))
     return (
-        attach(items, first, ["db_id", "when"], ["target_name"])
+        attach(items, first, ["db_id", "when"])
         .withColumn("state", F.when(matched, "applied").otherwise("pending"))
         .withColumn("drifted", drifted)
     )

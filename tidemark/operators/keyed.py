@@ -11,29 +11,25 @@ from pyspark.sql import functions as F
 
 from tidemark.session import pin
 
-SALTS = 8
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def attach(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` to ``lookup``, which holds at most one row per key.
 
-    No side is hinted: Spark broadcasts the lookup where its size stays under the
-    broadcast threshold.  Beyond it both sides shuffle on the key and a salt hashed from
-    ``spread_by``, so that a hot key is shared by ``salts`` tasks.
+    No side is hinted: Spark broadcasts the lookup where its size, known to AQE at run
+    time, stays under the broadcast threshold.  Beyond it one key may still own much of
+    ``rows`` (nulls included), and AQE splits its partition over many tasks -- but only
+    where both sides come straight from a shuffle.  A lookup made by ``groupBy`` is
+    already partitioned by the key and would not be shuffled again; the key's hash as
+    a second join column sees to it.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)]))
+    tag = F.xxhash64(*on)
+    return (
+        rows.withColumn("_hash", tag)
+        .join(lookup.withColumn("_hash", tag), [*on, "_hash"], how)
+        .drop("_hash")
     )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def _sorted_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

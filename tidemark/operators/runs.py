@@ -23,7 +23,7 @@ def run_replay(plan: DataFrame) -> DataFrame:
         .when(F.col("name") == stop, "failed")
         .otherwise("not_attempted")
     )
-    return attach(plan, first, ["db_id"], ["name"]).withColumn("state", state)
+    return attach(plan, first, ["db_id"]).withColumn("state", state)
 
 
 def first_successes(attempts: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def attempt_outcome(attempts: DataFrame) -> DataFrame:
         .when(there, "mismatch")
         .otherwise("failed")
     )
-    judged = attach(attempts, first_successes(attempts), KEY, ["replica", "attempted_at"])
+    judged = attach(attempts, first_successes(attempts), KEY)
     return judged.withColumn("outcome", outcome)
 
 
@@ -68,7 +68,7 @@ def run_summary(outcomes: DataFrame, ledger: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "skipped").alias("_joined"),
         F.floor(micros / 1000).alias("duration_ms"),
     )
-    return attach(runs, tracked, ["db_id"], ["replica"]).select(
+    return attach(runs, tracked, ["db_id"]).select(
         "db_id",
         "replica",
         "applied",

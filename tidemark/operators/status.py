@@ -100,7 +100,7 @@ def baseline_plan(targets: DataFrame, ledger: DataFrame) -> DataFrame:
         F.min("name").alias("stopped_by")
     )
     voided = F.col("stopped_by").isNotNull() & (F.col("action") == "insert")
-    return attach(judged, stopped, ["db_id"], ["name"]).withColumn(
+    return attach(judged, stopped, ["db_id"]).withColumn(
         "action", F.when(voided, "void").otherwise(F.col("action"))
     )
 

@@ -1,7 +1,8 @@
 """The user-level calls, each over a whole fleet of databases at once.
 
 ``files`` has db_id, name, content (``sources.scripts.read_scripts``); ``ledger`` has
-db_id, name, checksum, applied_at.  Results are lazy; each dict holds named parts.
+db_id, name, checksum, applied_at.  Each dict holds named parts; they are lazy, apart
+from the narrow facts that ``up`` and ``adopt`` pin because several parts need them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import checksum, raw_checksum
 from tidemark.functions.names import Moment
 from tidemark.operators import catalog, contracts, history, keyed, runs, status as st
+from tidemark.session import pin
 from tidemark.sources import journal, ledger as ledgers, scripts as sc
 
 LEDGER_TABLE = "schema_ledger"
@@ -21,7 +23,7 @@ def status(files: DataFrame, ledger: DataFrame, now: Moment) -> dict[str, DataFr
     """State of every script and ledger row.  Databases with an ill-named script are in
     ``errors`` only."""
     found, errors = sc.scan_strict(sc.scan(files))
-    rows = keyed.attach(ledgers.sound(ledger), errors, ["db_id"], ["name"], how="left_anti")
+    rows = keyed.attach(ledgers.sound(ledger), errors, ["db_id"], how="left_anti")
     return {
         "states": st.ledger_status(found, rows),
         "future_dated": st.future_dated(found, rows, now),
@@ -32,9 +34,10 @@ def status(files: DataFrame, ledger: DataFrame, now: Moment) -> dict[str, DataFr
 def up(files: DataFrame, ledger: DataFrame) -> dict[str, DataFrame]:
     """What a run would do: ``plan`` has every pending script of the unblocked databases
     with its state after the run; ``blocked`` names the drift that stops a database."""
-    found, errors = sc.scan_strict(sc.scan(files, verdicts=True))
+    # Several parts need the facts: pinned, each content is read, hashed and split once.
+    found, errors = sc.scan_strict(pin(sc.scan(files, verdicts=True)))
     blocked = st.blocked(st.checksum_gate(found, ledger))
-    waiting = keyed.attach(st.pending(found, ledger), blocked, ["db_id"], ["name"], how="left_anti")
+    waiting = keyed.attach(st.pending(found, ledger), blocked, ["db_id"], how="left_anti")
     return {
         "plan": runs.run_replay(waiting),
         "blocked": blocked,
@@ -100,7 +103,7 @@ def baseline(
         found, unknown = st.baseline_targets(found, names)
         out["unknown"] = unknown
         found = keyed.attach(
-            found, unknown.select("db_id").dropDuplicates(), ["db_id"], ["name"], how="left_anti"
+            found, unknown.select("db_id").dropDuplicates(), ["db_id"], how="left_anti"
         )
     plan = st.baseline_plan(found, ledger)
     out["plan"] = plan
@@ -130,7 +133,7 @@ def adopt(
     refused = history.adopt_source_check(journals, entries, dialects, source_files).where(
         F.col("reason").isNotNull()
     )
-    sound = keyed.attach(entries, refused, ["db_id"], ["idx", "pos"], how="left_anti")
+    sound = keyed.attach(entries, refused, ["db_id"], how="left_anti")
     hashed = source_files.select(
         "db_id",
         "tag",
@@ -138,7 +141,7 @@ def adopt(
         checksum(F.col("content")).alias("checksum"),
     )
     named = history.monotonic_names(sound)
-    items = named.where(F.col("reason").isNull()).join(hashed, ["db_id", "tag"])
+    items = pin(named.where(F.col("reason").isNull()).join(hashed, ["db_id", "tag"]))
     states = history.adopt_match(items, journal.foreign_rows(foreign), mode)
     targets = states.where(F.col("state") == "applied").select(
         "db_id", F.col("target_name").alias("name"), "checksum"

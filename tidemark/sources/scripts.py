@@ -73,7 +73,7 @@ def first_invalid(scanned: DataFrame) -> DataFrame:
 def scan_strict(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scripts, errors): one ill-named script takes its whole database out."""
     errors = first_invalid(scanned)
-    scripts = attach(valid(scanned), errors, ["db_id"], ["name"], how="left_anti")
+    scripts = attach(valid(scanned), errors, ["db_id"], how="left_anti")
     return scripts, errors
 
 
