@@ -44,3 +44,18 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted(tuple(repr(row[i]) for i in at) for row in result.fetchall())
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_plan(spark, name):
+    """No query pairs every row with every row, and scans read only what is used."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    if name in ("check_pk", "check_fk", "double_applied", "evolve_recreate"):
+        assert "l_shipdate" not in plan and "props" not in plan and "o_orderpriority" not in plan
+
+
+def test_filters_reach_the_scan(spark):
+    plan = QUERIES["check_fk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_orderkey)]" in plan
+    assert "Not(EqualTo(o_orderstatus,P))" in plan

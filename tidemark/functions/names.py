@@ -36,7 +36,8 @@ def invalid_reason(name: Column) -> Column:
     head = F.substring(stem.cast("binary"), 1, 14)  # bytes: a name is measured in bytes
     rest = F.substr(name, F.lit(16), F.greatest(F.char_length(name) - 19, F.lit(0)))
     return (
-        F.when(~F.endswith(name, F.lit(".sql")), NO_EXTENSION)
+        F.when(is_valid(name), F.lit(None))
+        .when(~F.endswith(name, F.lit(".sql")), NO_EXTENSION)
         .when((F.octet_length(stem) < 14) | ~F.is_valid_utf8(head.cast("string")), TOO_SHORT)
         .when(~stem.rlike("^[0-9]{14}"), BAD_PREFIX)
         .when(F.substring(stem, 15, 1) != "_", NO_UNDERSCORE)

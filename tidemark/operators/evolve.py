@@ -82,27 +82,40 @@ def swap_location(spark: SparkSession, table: str, path: str) -> None:
     spark.catalog.refreshTable(table)
 
 
-def _digest(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
-    # The hash skips nulls, so each column also says whether it is one.
-    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-    return df.agg(
-        F.count("*").alias(f"rows_{side}"),
-        F.sum(F.xxhash64(*parts).cast("decimal(38,0)")).alias(f"_sum_{side}"),
-        F.bit_xor(F.xxhash64(F.lit(1), *parts)).alias(f"_xor_{side}"),
-    )
-
-
 def copy_verify(source: DataFrame, copy: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: row counts of both sides and whether they hold the same rows.
 
     The digest does not depend on order or partitioning and is combined map-side; only
     one row per task is exchanged.
     """
-    left = _digest(source, columns, "source").withColumn("_one", F.lit(1))
-    right = _digest(copy, columns, "copy").withColumn("_one", F.lit(1))
-    same = (
-        (F.col("rows_source") == F.col("rows_copy"))
-        & F.col("_sum_source").eqNullSafe(F.col("_sum_copy"))
-        & F.col("_xor_source").eqNullSafe(F.col("_xor_copy"))
+    # The hash skips nulls, so each column also says whether it is one.
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    sides = [
+        df.select(
+            F.lit(sign).alias("_sign"),
+            F.xxhash64(*parts).alias("_one"),
+            F.xxhash64(F.lit(1), *parts).alias("_two"),
+        )
+        for df, sign in ((source, 1), (copy, -1))
+    ]
+    mine = F.col("_sign") == 1
+    balance = F.sum(F.col("_one").cast("decimal(38,0)") * F.col("_sign"))
+    return (
+        sides[0]
+        .unionByName(sides[1])
+        .agg(
+            F.count_if(mine).alias("rows_source"),
+            F.count_if(~mine).alias("rows_copy"),
+            F.coalesce(balance, F.lit(0)).alias("_balance"),
+            F.coalesce(F.bit_xor("_two"), F.lit(0)).alias("_xor"),
+        )
+        .select(
+            "rows_source",
+            "rows_copy",
+            (
+                (F.col("rows_source") == F.col("rows_copy"))
+                & (F.col("_balance") == 0)
+                & (F.col("_xor") == 0)
+            ).alias("matches"),
+        )
     )
-    return left.join(right, "_one").select("rows_source", "rows_copy", same.alias("matches"))

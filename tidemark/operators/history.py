@@ -23,9 +23,11 @@ def monotonic_names(entries: DataFrame) -> DataFrame:
     """
     seconds = entries.withColumn("_sec", seconds_of_millis(F.col("when")))
     named = rising(seconds, ["db_id"], ["idx", "pos"], "_sec", F.lit(0), "second").drop("_sec")
-    prefix = F.when(F.col("second") <= names.LAST_SECOND, names.prefix_of(F.col("second")))
+    prefix = names.prefix_of(F.col("second"))
     target = F.concat(prefix, F.lit("_"), names.tag_slug(F.col("tag")), F.lit(".sql"))
-    reason = F.when(prefix.isNull(), names.BAD_PREFIX).otherwise(names.invalid_reason(target))
+    reason = F.when(F.col("target_name").isNull(), names.BAD_PREFIX).otherwise(
+        names.invalid_reason(F.col("target_name"))
+    )
     return named.withColumn("target_name", target).withColumn("reason", reason)
 
 

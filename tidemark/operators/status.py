@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import Moment, is_future_dated, is_valid
 from tidemark.operators.keyed import attach, placed
+from tidemark.session import pin
 
 KEY = ["db_id", "name"]
 # What to do about a future-dated script, by whether it was applied.
@@ -47,11 +48,9 @@ def future_dated(scripts: DataFrame, ledger: DataFrame, now: Moment) -> DataFram
 
 def checksum_gate(scripts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Applied scripts whose content changed; any of them blocks its database."""
-    return (
-        ledger_status(scripts, ledger)
-        .where(F.col("state") == "mismatched")
-        .select(*KEY, "applied_checksum", "file_checksum")
-    )
+    files = scripts.select(*KEY, F.col("checksum").alias("file_checksum"))
+    rows = ledger.select(*KEY, F.col("checksum").alias("applied_checksum"))
+    return files.join(rows, KEY).where(F.col("file_checksum") != F.col("applied_checksum"))
 
 
 def blocked(gate: DataFrame) -> DataFrame:
@@ -72,7 +71,14 @@ def pending_plan(scripts: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def ledger_check(scripts: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger rows that no longer hold: missing or mismatched."""
-    return ledger_status(scripts, ledger).where(F.col("state").isin("missing", "mismatched"))
+    files = scripts.select(*KEY, F.col("checksum").alias("file_checksum"))
+    rows = ledger.select(*KEY, F.col("checksum").alias("applied_checksum"), "applied_at")
+    gone = F.col("file_checksum").isNull()
+    return (
+        rows.join(files, KEY, "left")
+        .where(gone | (F.col("file_checksum") != F.col("applied_checksum")))
+        .withColumn("state", F.when(gone, "missing").otherwise("mismatched"))
+    )
 
 
 def baseline_targets(scripts: DataFrame, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,7 +101,8 @@ def baseline_plan(targets: DataFrame, ledger: DataFrame) -> DataFrame:
         .when(F.col("applied_checksum") == F.col("checksum"), "skip")
         .otherwise("mismatch")
     )
-    judged = targets.select(*KEY, "checksum").join(rows, KEY, "left").withColumn("action", action)
+    joined = targets.select(*KEY, "checksum").join(rows, KEY, "left")
+    judged = pin(joined.withColumn("action", action))  # used twice, and hashed from contents
     stopped = judged.where(F.col("action") == "mismatch").groupBy("db_id").agg(
         F.min("name").alias("stopped_by")
     )

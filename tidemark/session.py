@@ -32,6 +32,12 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that every later branch reads the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back, so that every later branch reads
+    the same rows, only the columns it needs, and survives the loss of executors.
+
+    The folders stay until the cluster's own clean-up of ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def read_journals(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def entries(journals: DataFrame) -> DataFrame:
-    """One row per entry in journal order: db_id, place, idx, pos, when, tag.
+def entries(journals: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per entry in journal order: db_id, place, idx, pos, when, tag, and the
+    journal's columns named in ``carry``.
 
     Entries sort by ``idx``, equal ones by their position in the file.  The sort stays
     inside the file's own array, so nothing is shuffled.
@@ -50,9 +53,10 @@ def entries(journals: DataFrame) -> DataFrame:
         "entries",
         lambda e, i: F.struct(e["idx"].alias("idx"), i.alias("pos"), e["when"].alias("when"), e["tag"].alias("tag")),
     )
-    return journals.select(
-        "db_id", F.posexplode(F.array_sort(numbered)).alias("place", "_e")
-    ).select("db_id", "place", "_e.*")
+    # The outer form keeps Catalyst from sorting the array once more as a filter.
+    placed = F.posexplode_outer(F.sort_array(numbered)).alias("place", "_e")
+    rows = journals.select("db_id", *carry, placed)
+    return rows.where(F.col("place").isNotNull()).select("db_id", *carry, "place", "_e.*")
 
 
 def foreign_rows(rows: DataFrame) -> DataFrame:

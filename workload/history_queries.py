@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import history
+from tidemark.plans import calls
 from tidemark.sources import journal as jn, scripts as sc
+from workload.inputs import NOW
 from workload.registry import duck, query, with_
 from workload.script_queries import _files
 
@@ -89,9 +91,7 @@ def _lines(s):
     ),
 )
 def journal_entries(s):
-    journals = _lines(s)
-    dialect = journals.select("db_id", jn.dialect_of(F.col("dialect")).alias("dialect"))
-    return jn.entries(journals).join(dialect, "db_id")
+    return jn.entries(_lines(s), carry=["dialect"]).withColumn("dialect", jn.dialect_of(F.col("dialect")))
 
 
 @query(
@@ -139,6 +139,37 @@ def adopt_match(s):
     return history.adopt_match(items, foreign).select("idx", "db_id", "state", "recorded_hash", "drifted")
 
 
+@query(
+    "adopt_plan",
+    with_(
+        f"""
+    SELECT e.db_id, e.tag, strftime(make_timestamp(e.second * 1000000), '%Y%m%d%H%M%S') || '_w' || length(line) || '.sql' AS target_name,
+      CASE WHEN f.hash IS NULL THEN 'pending' ELSE 'applied' END AS state, coalesce(f.hash <> sha256(line), false) AS drifted
+    FROM (SELECT *, place + greatest(1, max(`when` // 1000 - place) OVER (PARTITION BY doc_id ORDER BY place)) AS second FROM entries
+      WHERE lang <> 'es' AND ({_TARGETS}) IS NOT DISTINCT FROM CASE WHEN lang = 'fr' THEN 'sqlite' ELSE 'postgres' END
+        AND doc_id NOT IN (SELECT doc_id FROM lines WHERE length(line) % 61 = 60)) e
+    LEFT JOIN (SELECT doc_id, `when`, CASE WHEN length(line) % 5 = 0 THEN 'old' ELSE sha256(line) END AS hash
+      FROM entries WHERE pos % 3 = 0) f ON e.doc_id = f.doc_id AND e.`when` = f.`when`""",
+        lines=_LINES,
+        entries=_ENTRIES,
+    ),
+)
+def adopt_plan(s):
+    """Every document taken over as a journal whose scripts are its lines."""
+    journals = _lines(s)
+    docs = s.table("documents").select(F.col("doc_id").cast("string").alias("db_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    length = F.char_length("line")
+    tag = F.concat(F.col("pos").cast("string"), F.lit("_w"), length.cast("string"))
+    source = docs.where(length % 61 != 60).select("db_id", tag.alias("tag"), F.encode("line", "UTF-8").alias("content"))
+    when = (F.col("db_id").cast("bigint") * 1000 + F.col("pos")) * 1000
+    recorded = F.when(length % 5 == 0, "old").otherwise(F.sha2("line", 256))
+    foreign = docs.where(F.col("pos") % 3 == 0).select("db_id", recorded.alias("hash"), when.cast("string").alias("created_at"))
+    empty = s.ledger().where(F.lit(False))
+    targets = journals.select("db_id", F.col("target").alias("dialect"))
+    got = calls.adopt(journals, source, foreign, s.scripts(), empty, targets, NOW)
+    return got["states"].select("db_id", "tag", "target_name", "state", "drifted")
+
+
 @query(
     "import_decision",
     _files("""

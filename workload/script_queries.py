@@ -10,6 +10,7 @@ from tidemark.functions.hashing import checksum, raw_checksum
 from tidemark.functions.text import pascal_case
 from tidemark.operators import runs, status as st
 from tidemark.plans import calls
+from tidemark.session import pin
 from tidemark.sources import ledger as ledgers, scripts as sc
 from workload.inputs import NOW
 from workload.inputs import attempts as attempts_sql
@@ -158,7 +159,7 @@ def ledger_status(s):
     FROM status WHERE state = 'mismatched'"""),
 )
 def checksum_gate(s):
-    gate = st.checksum_gate(_good(s), s.ledger())
+    gate = pin(st.checksum_gate(_good(s), s.ledger()))
     first = st.blocked(gate).select("db_id", "name", F.lit(True).alias("blocks"))
     return gate.join(first, ["db_id", "name"], "left").withColumn(
         "blocks", F.coalesce("blocks", F.lit(False))
@@ -376,6 +377,30 @@ def check_rollup(s):
     return calls.check(s.scripts(), s.ledger(), s.databases(), s.readable(), NOW)
 
 
+@query(
+    "apply_plan",
+    _files(
+        """
+    SELECT db_id, name, checksum, statements, error, failed_name,
+      CASE WHEN failed_name IS NULL OR name < failed_name THEN 'applied'
+        WHEN name = failed_name THEN 'failed' ELSE 'not_attempted' END AS state
+    FROM (SELECT p.db_id, p.name, g.checksum, v.statements, v.error,
+        min(CASE WHEN v.error IS NOT NULL THEN p.name END) OVER (PARTITION BY p.db_id) AS failed_name
+      FROM status p JOIN good g ON p.db_id = g.db_id AND p.name = g.name JOIN verdict v ON g.doc_id = v.id
+      WHERE p.state = 'pending'
+        AND p.db_id NOT IN (SELECT db_id FROM scan WHERE reason IS NOT NULL)
+        AND p.db_id NOT IN (SELECT db_id FROM status WHERE state = 'mismatched')) r""",
+        **_split_ctes("SELECT doc_id AS id, content AS text FROM good"),
+        verdict=VERDICT,
+    ),
+)
+def apply_plan(s):
+    """The whole of a run: strict scan, gate, pending scripts, split, first failure."""
+    return calls.up(s.scripts(), s.ledger())["plan"].select(
+        "db_id", "name", "checksum", "statements", "error", "failed_name", "state"
+    )
+
+
 # Attempts -------------------------------------------------------------------------------
 
 _SUFFIX = """CASE WHEN inner_code IS NULL THEN '' WHEN coalesce(driver, 'postgres') = 'postgres'
