@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import constraints as con, evolve as ev
 from tidemark.session import fresh_dir
 from tidemark.sources import schemas
+from tidemark.sources.ledger import read_ledger
 from tidemark.streaming import attempts as sa, drift, sinks
 
 
@@ -89,12 +90,14 @@ def test_audit(spark):
 
 def test_drift_stream_goes_on_where_it_stopped(spark, tmp_path):
     src, base = str(tmp_path / "in"), fresh_dir(spark, "tests")
-    ledger = spark.createDataFrame([("a", "1", "x", None), ("a", "2", "y", None)], schemas.LEDGER)
+    ledger = str(tmp_path / "ledger")
+    spark.createDataFrame([("a", "1", "x", None), ("a", "2", "y", None)], schemas.LEDGER).write.parquet(ledger)
     cols = "db_id string, name string, checksum string"
 
     def run():
         stream = spark.readStream.schema(cols).parquet(src)
-        sinks.write_batches(drift.drift(stream, ledger), f"{base}/out", f"{base}/progress").awaitTermination()
+        watch = drift.monitor(stream, lambda session: read_ledger(session, ledger), f"{base}/out", f"{base}/progress")
+        watch.awaitTermination()
         return {(r.name, r.state) for r in spark.read.parquet(f"{base}/out").collect()}
 
     spark.createDataFrame([("a", "1", "x"), ("a", "2", "z")], cols).write.mode("append").parquet(src)
@@ -102,6 +105,10 @@ def test_drift_stream_goes_on_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([("a", "3", "x")], cols).write.mode("append").parquet(src)
     assert run() == {("1", "applied"), ("2", "mismatched"), ("3", "pending")}
     assert run() == {("1", "applied"), ("2", "mismatched"), ("3", "pending")}
+    # What was recorded meanwhile counts for the next versions.
+    spark.createDataFrame([("a", "4", "x", None)], schemas.LEDGER).write.mode("append").parquet(ledger)
+    spark.createDataFrame([("a", "4", "x")], cols).write.mode("append").parquet(src)
+    assert run() >= {("4", "applied")}
 
 
 def test_applied_once_across_batches(spark, tmp_path):

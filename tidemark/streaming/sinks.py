@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 
-def write_batches(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there and stop.  A repeated batch overwrites its own folder, so
-    the result holds every row once even when a batch is run again."""
+def write_batches(
+    stream: DataFrame, out: str, checkpoint: str, each: Callable[[DataFrame], DataFrame]
+) -> StreamingQuery:
+    """Process what is there through ``each`` and stop.  A repeated batch overwrites its
+    own folder, so the result holds every row once even when a batch is run again."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        each(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(stream.writeStream.foreachBatch(save), checkpoint)
 

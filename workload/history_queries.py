@@ -91,7 +91,16 @@ def _lines(s):
     ),
 )
 def journal_entries(s):
-    return jn.entries(_lines(s), carry=["dialect"]).withColumn("dialect", jn.dialect_of(F.col("dialect")))
+    rows = jn.entries(_lines(s), carry=["dialect"])
+    return rows.select(
+        "db_id",
+        F.col("place").cast("bigint").alias("place"),
+        "idx",
+        F.col("pos").cast("bigint").alias("pos"),
+        "tag",
+        "when",
+        jn.dialect_of(F.col("dialect")).alias("dialect"),
+    )
 
 
 @query(

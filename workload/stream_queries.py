@@ -9,7 +9,7 @@ from tidemark.session import fresh_dir
 from tidemark.sources import scripts as sc
 from tidemark.streaming import attempts as sa, drift, sinks
 from workload import inputs as ip
-from workload.registry import duck, query, with_
+from workload.registry import Source, duck, query, with_
 from workload.script_queries import _files, _tries
 
 DELAY = "60 days"
@@ -31,7 +31,7 @@ def _run(s, stream: DataFrame, sink) -> DataFrame:
     base = fresh_dir(s.spark, "streams")
     out = f"{base}/out"
     sink(stream, out, f"{base}/progress").awaitTermination()
-    return s.spark.read.schema(stream.schema).parquet(out)
+    return s.spark.read.parquet(out)
 
 
 @query(
@@ -43,8 +43,11 @@ def _run(s, stream: DataFrame, sink) -> DataFrame:
 )
 def stream_drift(s):
     arriving = sc.valid(sc.scan(_stream(s, "documents", "scripts")))
-    found = drift.drift(arriving, s.ledger())
-    return _run(s, found, sinks.write_batches).drop("batch")
+
+    def watch(stream, out, progress):
+        return drift.monitor(stream, lambda session: Source(session, s.sf_dir).ledger(), out, progress)
+
+    return _run(s, arriving, watch).drop("batch")
 
 
 @query("stream_applied_once", _tries("SELECT DISTINCT db_id, name FROM attempts WHERE ok"))
