@@ -74,7 +74,17 @@ def test_check(spark):
     dbs = spark.createDataFrame([("a",), ("b",), ("c",), ("empty",)], "db_id string")
     readable = spark.createDataFrame([("a",), ("b",)], "db_id string")
     got = calls.check(files(spark, FILES), ledger(spark, LEDGER), dbs, readable, NOW)
-    assert pairs(got, "db_id", "ok", "db_checked", "invalid_names", "pending", "pending_bad", "mismatched", "missing", "future_dated") == {
+    assert pairs(got["pending"], "db_id", "name", "ok", "statements") == {
+        ("a", "20260103000000_three.sql", True, 1),
+        ("a", "20260104000000_four.sql", False, 0),
+        ("b", "20260101000000_one.sql", True, 1),
+        ("c", "20260101000000_ok.sql", False, 0),  # no ledger known: every script
+        ("c", "20270101000000_later.sql", True, 1),
+    }
+    assert pairs(got["invalid"], "db_id", "file") == {("b", "notes.sql")}
+    assert pairs(got["drift"], "name", "state") == {("20250101000000_gone.sql", "missing")}
+    assert pairs(got["future_dated"], "name", "applied") == {("20270101000000_later.sql", False)}
+    assert pairs(got["summary"], "db_id", "ok", "db_checked", "invalid_names", "pending", "pending_bad", "mismatched", "missing", "future_dated") == {
         ("a", False, True, 0, 2, 1, 0, 1, 0),
         ("b", False, True, 1, 1, 0, 0, 0, 0),
         ("c", False, False, 0, 2, 1, 0, 0, 1),

@@ -2,7 +2,7 @@
 
 ``files`` has db_id, name, content (``sources.scripts.read_scripts``); ``ledger`` has
 db_id, name, checksum, applied_at.  Each dict holds named parts; they are lazy, apart
-from the narrow facts that ``up`` and ``adopt`` pin because several parts need them.
+from the narrow facts that ``up``, ``check`` and ``adopt`` pin because several parts need them.
 """
 
 from __future__ import annotations
@@ -47,9 +47,24 @@ def up(files: DataFrame, ledger: DataFrame) -> dict[str, DataFrame]:
 
 def check(
     files: DataFrame, ledger: DataFrame, databases: DataFrame, readable: DataFrame, now: Moment
-) -> DataFrame:
-    """One row per database: would a run succeed, and what speaks against it."""
-    return st.check_rollup(databases, sc.scan(files, verdicts=True), ledger, readable, now)
+) -> dict[str, DataFrame]:
+    """Would a run succeed, and what speaks against it.
+
+    ``readable`` lists the databases whose ledger could be read; the others get the
+    static checks only.  ``summary`` has one row per database, the other parts name the
+    scripts: ``pending`` with their split, ``invalid``, ``future_dated`` and ``drift``
+    (mismatched and missing).
+    """
+    facts = pin(sc.scan(files, verdicts=True))
+    scripts = sc.valid(facts)
+    known = keyed.attach(ledgers.sound(ledger), readable.select("db_id"), ["db_id"], how="left_semi")
+    return {
+        "summary": st.check_rollup(databases, facts, known, readable, now),
+        "pending": st.pending(scripts, known).select("db_id", "name", "ok", "statements", "error"),
+        "invalid": sc.invalid(facts),
+        "future_dated": st.future_dated(scripts, known, now),
+        "drift": st.ledger_check(scripts, known),
+    }
 
 
 def create(requests: DataFrame, files: DataFrame) -> dict[str, DataFrame]:

@@ -14,15 +14,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of its own; on a cluster a
     machine-local folder would be lost with its executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        named = sc.getCheckpointDir()
     return named
 
 

@@ -374,7 +374,24 @@ def script_verdict(s):
     ),
 )
 def check_rollup(s):
-    return calls.check(s.scripts(), s.ledger(), s.databases(), s.readable(), NOW)
+    facts = sc.scan(s.scripts(), verdicts=True)
+    return st.check_rollup(s.databases(), facts, s.ledger(), s.readable(), NOW)
+
+
+@query(
+    "check_pending",
+    _files(
+        """
+    SELECT g.db_id, g.name, v.error IS NULL AS ok, v.statements, v.error FROM good g JOIN verdict v ON g.doc_id = v.id
+    WHERE NOT EXISTS (SELECT 1 FROM ledger l JOIN readable r ON l.db_id = r.db_id WHERE l.db_id = g.db_id AND l.name = g.name)""",
+        readable=duck("readable"),
+        **_split_ctes("SELECT doc_id AS id, content AS text FROM good"),
+        verdict=VERDICT,
+    ),
+)
+def check_pending(s):
+    """The scripts a run would meet; where the ledger is unknown, every script."""
+    return calls.check(s.scripts(), s.ledger(), s.databases(), s.readable(), NOW)["pending"]
 
 
 @query(
