@@ -16,7 +16,6 @@ from workload.inputs import NOW
 from workload.inputs import attempts as attempts_sql
 from workload.registry import duck, query, with_
 
-
 # Oracle texts ---------------------------------------------------------------------------
 
 REASON = """CASE
