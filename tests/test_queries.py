@@ -14,8 +14,11 @@ TABLES = (
 
 def registered():
     import __spark_entry__ as entry
+    from workload.registry import QUERIES as own
 
-    return entry.queries(), entry.oracle_sql()
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert set(own) <= set(queries)
+    return {n: queries[n] for n in own}, {n: oracles[n] for n in own if n in oracles}
 
 
 QUERIES, ORACLES = registered()
