@@ -49,10 +49,9 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def split_words(text: str) -> list[bytes]:
-    """Words between white space, as UTF-8 (bytes.split knows ASCII white space only)."""
-    return text.encode("utf-8", "surrogatepass").split()
+def raw(column) -> list[bytes]:
+    """A string column of an Arrow batch as UTF-8 bytes; null becomes the empty text."""
+    import pyarrow as pa
 
-
-def alnum_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(ALNUM_TABLE).split()
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
