@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html, licenses, neardup, packing, quality, secrets
+from tidemark.llm import decontaminate, html, licenses, neardup, packing, quality, secrets, substrings
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(table(spark, sf_dir, "documents")).drop("intervals")
