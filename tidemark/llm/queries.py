@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html, licenses, lm, neardup, packing, quality, secrets, substrings, toxicity
+from tidemark.llm import decontaminate, html, licenses, lm, neardup, oracles, packing, quality, secrets, substrings, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ALL)
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
