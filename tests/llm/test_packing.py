@@ -25,7 +25,7 @@ def ids_of(plain, text):
 
 TEXTS = [
     "", " ", "a", "a b", "a  b", " a", "a ", "a\n b", "a \nb", "don't  stop\t\tnow   x", "x  y z",
-    "<|endoftext|> and <|endoftext|>", "word " * 9000, "élève n'est \U0001f600 \U0001f600", "   lead", "1 2 33 444", "\n\n\n", "a \x1c b",
+    "<|endoftext|> and <|endoftext|>", "word " * 9000, "élève n'est \U0001f600 \U0001f600", "   lead", "1 2 33 444", "\n\n\n", "a \x1c b", "é.b, c.) d,. 3.14 x_. _.a é, 'tis.it's, ²,x a\0b. c", "A.\nB,\nC",
 ]
 
 

@@ -121,6 +121,8 @@ class Reader(HTMLParser):
             self.parts.append(data)
 
     def close(self):
+        if re.match(r"<[!/?a-zA-Z]", self.rawdata):
+            self.rawdata = ""
         super().close()
         self.flush()
 
