@@ -18,7 +18,9 @@ or a hot source cannot fill one of them.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +33,10 @@ from tidemark.llm.common import texts
 from tidemark.session import pin
 
 WINDOW, END = 2048, 1
-#: Chunks of text whose ids a task remembers.
-REMEMBERED = 200_000
+#: Chunks of text whose ids one generation of a task's memory holds.
+REMEMBERED = 400_000
+#: White space besides spaces and line feeds, and the sign used for cutting.
+_OTHER = re.compile(r"[^\S\n ]|\0")
 
 
 def vocabulary() -> str:
@@ -44,8 +48,10 @@ def vocabulary() -> str:
 class Encoder:
     """Ids of texts by ``tokenizers``, as little-endian unsigned 32-bit numbers.
 
-    A space between two other than white-space characters always starts a new unit of this
-    byte-level vocabulary, so a text is cut there and the ids of each chunk are remembered.
+    This byte-level vocabulary always starts a new unit at a space between two other than
+    white-space characters, around a line feed between such, and before a full stop or comma
+    that ends a chunk after a letter or digit. A text is cut there, and the ids of each chunk
+    are remembered in two generations of bounded size, so frequent chunks stay known.
     """
 
     def __init__(self, path: str):
@@ -54,9 +60,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
 
     def chunks(self, text: str) -> list[str]:
+        if not _OTHER.search(text) and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         parts = text.split(" ")
         out = parts[:1]
         for part in parts[1:]:
@@ -67,18 +77,35 @@ class Encoder:
                 out[-1] = f"{last} {part}"
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        known, older, plain, marked = self.known, self.older, [], []
+        for chunk in new:
+            ids = older.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+            elif chunk[-1] in ".," and chunk[-2:-1].isalnum():
+                marked.append(chunk)
+                if chunk[:-1] not in known and chunk[:-1] not in older:
+                    plain.append(chunk[:-1])
+            else:
+                plain.append(chunk)
+        for chunk, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            known[chunk] = array("I", found.ids).tobytes()
+        for chunk in marked:
+            core = chunk[:-1]
+            known[chunk] = (known[core] if core in known else older[core]) + self.marks[chunk[-1]]
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        chunks, known = self.chunks(text), self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        chunks = self.chunks(text)
+        new = set(chunks).difference(self.known)
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {"": b""}
+                new = set(chunks) - {""}
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 @lru_cache(1)

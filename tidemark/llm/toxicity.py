@@ -42,6 +42,7 @@ class FitLimits:
     steps: int = 400
     decay: float = 3e-4
     held_out: int = 5
+    least_cut: float = 0.5
 
 
 @dataclass(frozen=True)
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: FitLimits = FitLimits()) ->
     model = Model({f: float(x) for f, x in zip(order, w) if abs(x) > 1e-6}, tuple(map(float, thresholds)), 0.5)
     judged = np.flatnonzero(held) if toxic[held].any() else np.arange(len(rows))
     severity = np.array([model.severity(float(w[indexes[i]].sum())) for i in judged])
-    return Model(model.weights, model.thresholds, best_cut(severity, toxic[judged]))
+    return Model(model.weights, model.thresholds, max(limits.least_cut, best_cut(severity, toxic[judged])))
 
 
 def best_cut(severity: np.ndarray, toxic: np.ndarray) -> float:
