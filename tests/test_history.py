@@ -84,15 +84,13 @@ def test_a_hot_key_is_split(spark):
 
 
 def test_names_rise_within_the_same_second(spark):
-    rows = [("a", 0, 0, 1719842300123, "0000_loud_wolverine"), ("a", 1, 0, 1719842300999, "0001_add_orders"), ("a", 2, 0, 1719842290000, "0002_"), ("b", 0, 0, -5, "x")]
+    """Half seconds round down; what is not later than its forerunner takes the next second."""
+    noon = 1_600_000_200_000  # 2020-09-13 12:30:00 UTC
+    rows = [("p", 5, 0, noon + 500, "0005_wide road"), ("p", 6, 0, noon + 900, "0006_hill"), ("p", 7, 0, noon - 60_000, "0007_"), ("q", 1, 0, -1, "y")]
     df = spark.createDataFrame(rows, "db_id string, idx bigint, pos int, when bigint, tag string")
-    got = {(r.db_id, r.idx): r.target_name for r in history.monotonic_names(df).collect()}
-    assert got == {
-        ("a", 0): "20240701135820_loud_wolverine.sql",
-        ("a", 1): "20240701135821_add_orders.sql",
-        ("a", 2): "20240701135822_migration.sql",
-        ("b", 0): "19700101000001_x.sql",
-    }
+    got = {r.idx: r.target_name for r in history.monotonic_names(df).collect()}
+    assert got[6] == "20200913123001_hill.sql" and got[1] == "19700101000001_y.sql"
+    assert got[5].startswith("20200913123000_") and got[7].startswith("20200913123002_")
 
 
 def test_names_out_of_range_have_a_reason(spark):
@@ -122,11 +120,10 @@ def test_allocation(spark):
 
 JOURNAL = {
     "version": "7",
-    "dialect": "postgresql",
+    "dialect": "pg",
     "entries": [
-        {"idx": 2, "version": "7", "when": 1753430400456, "tag": "0002_third", "breakpoints": True},
-        {"idx": 0, "version": "7", "when": 1753257600000, "tag": "0000_first", "breakpoints": True},
-        {"idx": 1, "version": "7", "when": 1753344000123, "tag": "0001_second", "breakpoints": True},
+        {"idx": i, "version": "7", "when": 1_650_000_000_000 + 3_600_000 * i + 7 * i, "tag": f"{i:04d}_{word}", "breakpoints": False}
+        for i, word in ((1, "roof"), (2, "door"), (0, "wall"))
     ],
 }
 
@@ -136,9 +133,9 @@ def test_journal_files(spark, tmp_path):
     folder.mkdir()
     (folder / "journal.json").write_text(json.dumps(JOURNAL, indent=2))
     journals = jn.read_journals(spark, str(tmp_path))
-    assert [(r.db_id, r.dialect) for r in journals.collect()] == [("a", "postgresql")]
+    assert [(r.db_id, r.dialect) for r in journals.collect()] == [("a", "pg")]
     rows = jn.entries(journals).orderBy("place").collect()
-    assert [r.tag for r in rows] == ["0000_first", "0001_second", "0002_third"]
+    assert [r.tag for r in rows] == ["0000_wall", "0001_roof", "0002_door"]
 
 
 def test_ties_in_a_journal_keep_file_order(spark):
@@ -188,34 +185,48 @@ def test_matches(spark):
 
 
 def test_adopt_end_to_end(spark):
+    """Database x is taken over; y has other content under a name, z an entry without a name,
+    v a broken ledger row: none of the three gets states or inserts."""
+
     def sha(b):
         return hashlib.sha256(b).hexdigest()
 
-    contents = {"0000_first": b"CREATE TABLE a (\r\n id int\r\n);", "0001_second": b"SELECT 1;", "0002_third": b"SELECT 2;"}
+    texts = {"0000_wall": b"CREATE TABLE wall (h int);\r\n", "0001_roof": b"CREATE TABLE roof (w int);", "0002_door": b"DROP TABLE roof;"}
+    when = {e["tag"]: e["when"] for e in JOURNAL["entries"]}
     entries = [(e["idx"], e["when"], e["tag"]) for e in JOURNAL["entries"]]
-    journals = spark.createDataFrame([("a", "pg", entries)], "db_id string, dialect string, entries array<struct<idx: bigint, when: bigint, tag: string>>")
-    source = spark.createDataFrame([("a", t, bytearray(c)) for t, c in contents.items()], "db_id string, tag string, content binary")
-    foreign = spark.createDataFrame([("a", sha(contents["0000_first"]), "1753257600000"), ("a", "old", "1753344000123")], schemas.FOREIGN_LEDGER)
-    dialects = spark.createDataFrame([("a", "postgres")], "db_id string, dialect string")
+    late = [(0, 10**18, "0000_wall"), *[e for e in entries if e[0]]]
+    shape = "db_id string, dialect string, entries array<struct<idx: bigint, when: bigint, tag: string>>"
+    journals = spark.createDataFrame([(d, "pg", late if d == "z" else entries) for d in "vxyz"], shape)
+    source = spark.createDataFrame([(d, t, bytearray(c)) for d in "vxyz" for t, c in texts.items()], "db_id string, tag string, content binary")
+    foreign = spark.createDataFrame(
+        [(d, h, str(when[t])) for d in "vxyz" for t, h in (("0000_wall", sha(texts["0000_wall"])), ("0001_roof", "older"))], schemas.FOREIGN_LEDGER
+    )
+    dialects = spark.createDataFrame([(d, "postgres") for d in "vxyz"], "db_id string, dialect string")
+    first, second, third = "20220415052000_wall.sql", "20220415062000_roof.sql", "20220415072000_door.sql"
     here = spark.createDataFrame(
-        [("a", "20250723080000_first.sql", bytearray(b"CREATE TABLE a (\n id int\n);")), ("a", "20250725080000_third.sql", bytearray(b"other"))],
-        "db_id string, name string, content binary",
+        [("x", first, bytearray(b"CREATE TABLE wall (h int);\n")), ("y", third, bytearray(b"SELECT 1;"))], "db_id string, name string, content binary"
     )
-    none = spark.createDataFrame([], schemas.LEDGER)
+    ledger = spark.createDataFrame([("v", "20200101000000_v.sql", None, None)], schemas.LEDGER)
     now = "2026-01-01 00:00:00"
-    got = calls.adopt(journals, source, foreign, here, none, dialects, now)
-    assert got["refused"].count() == 0 and got["unnamed"].count() == 0
-    assert {(r.target_name, r.decision) for r in got["imports"].collect()} == {
-        ("20250723080000_first.sql", "skip"), ("20250724080000_second.sql", "write"), ("20250725080000_third.sql", "conflict"),
-    }
-    assert {(r.tag, r.state, r.drifted) for r in got["states"].collect()} == {
-        ("0000_first", "applied", False), ("0001_second", "applied", True), ("0002_third", "pending", False),
+    got = calls.adopt(journals, source, foreign, here, ledger, dialects, now)
+    assert {r.db_id for r in got["refused"].collect()} == {"v", "y", "z"}
+    assert {(r.db_id, r.tag) for r in got["unnamed"].collect()} >= {("z", "0000_wall")}
+    assert {(r.target_name, r.decision) for r in got["imports"].where("db_id = 'x'").collect()} == {(first, "skip"), (second, "write"), (third, "write")}
+    assert {(r.db_id, r.tag, r.state, r.drifted) for r in got["states"].collect()} == {
+        ("x", "0000_wall", "applied", False), ("x", "0001_roof", "applied", True), ("x", "0002_door", "pending", False),
     }
     inserts = got["inserts"].collect()
-    assert {(r.name, r.checksum) for r in inserts} == {
-        ("20250723080000_first.sql", sha(b"CREATE TABLE a (\n id int\n);")), ("20250724080000_second.sql", sha(b"SELECT 1;")),
+    assert {(r.db_id, r.name, r.checksum) for r in inserts} == {
+        ("x", first, sha(b"CREATE TABLE wall (h int);\n")), ("x", second, sha(texts["0001_roof"])),
     }
     # A second call finds everything recorded.
-    ledger = spark.createDataFrame(inserts, schemas.LEDGER)
-    again = calls.adopt(journals, source, foreign, here, ledger, dialects, now)
-    assert again["inserts"].count() == 0
+    again = calls.adopt(journals, source, foreign, here, spark.createDataFrame(inserts, schemas.LEDGER), dialects, now)
+    assert again["inserts"].where("db_id = 'x'").count() == 0
+
+
+def test_names_past_the_last_second_are_refused(spark):
+    scripts = spark.createDataFrame([("a", "99991231235959_x.sql")], "db_id string, name string")
+    requests = spark.sql("SELECT 'a' AS db_id, 1 AS seq, TIMESTAMP_NTZ '2026-07-01 00:00:00' AS requested_at, 'more' AS slug")
+    given, refused = history.allocate_names(requests, scripts)
+    assert given.count() == 0
+    assert [(r.seq, r.slug, r.reason) for r in refused.collect()] == [(1, "more", names.BAD_PREFIX)]

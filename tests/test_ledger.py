@@ -1,6 +1,7 @@
 """Scripts against ledgers, runs, attempts, sources and the user-level calls."""
 
 import hashlib
+import os
 from datetime import datetime, timedelta
 
 from tidemark.operators import runs, status as st
@@ -61,7 +62,7 @@ def test_status(spark):
 
 
 def test_up(spark):
-    got = calls.up(files(spark, FILES), ledger(spark, LEDGER))
+    got = calls.up(files(spark, FILES), ledger(spark, LEDGER), NOW)
     assert pairs(got["plan"], "db_id", "name", "state", "statements") == {
         ("a", "20260103000000_three.sql", "applied", 1),
         ("a", "20260104000000_four.sql", "failed", 0),
@@ -92,6 +93,52 @@ def test_check(spark):
     }
 
 
+BROKEN = [*LEDGER, ("a", "20260103000000_three.sql", None), ("d", None, "x")]
+
+
+def test_broken_ledger_rows_are_errors(spark):
+    """No call guesses what a row without name or checksum stands for."""
+    more = [*FILES, ("d", "20260101000000_d.sql", "SELECT 1;")]
+    errors = {("a", "ledger row without checksum"), ("d", "ledger row without name")}
+    got = calls.status(files(spark, more), ledger(spark, BROKEN), NOW)
+    assert pairs(got["errors"], "db_id", "reason") >= errors
+    assert {r.db_id for r in got["states"].collect()} == {"c"}
+    got = calls.up(files(spark, more), ledger(spark, BROKEN), NOW)
+    assert pairs(got["errors"], "db_id", "reason") >= errors and got["plan"].count() == 0
+    got = calls.baseline(files(spark, more), ledger(spark, BROKEN), NOW)
+    assert pairs(got["errors"], "db_id", "reason") >= errors
+    assert "a" not in {r.db_id for r in got["plan"].collect()}
+    dbs = spark.createDataFrame([("a",), ("d",), ("e",)], "db_id string")
+    got = calls.check(files(spark, more), ledger(spark, BROKEN), dbs, dbs, NOW)
+    assert pairs(got["summary"], "db_id", "ok", "db_checked", "reason") == {
+        ("a", False, False, "ledger row without checksum"),
+        ("d", False, False, "ledger row without name"),
+        ("e", True, True, None),
+    }
+
+
+def test_up_warns_of_future_dates_and_splits_pending_scripts_only(spark):
+    sound = [r for r in LEDGER if r[0] == "a"]
+    got = calls.up(files(spark, FILES), ledger(spark, sound), NOW)
+    assert pairs(got["future_dated"], "name", "applied") == {("20270101000000_later.sql", False)}
+    waiting = spark.createDataFrame([("a", "20260103000000_three.sql")], "db_id string, name string")
+    judged = sc.verdicts_of(files(spark, FILES), waiting)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("LeftSemi")
+    assert pairs(judged, "name", "ok") == {("20260103000000_three.sql", True)}
+
+
+def test_pins_go_with_their_scope(spark):
+    from tidemark.session import pin, pins, shared_dir
+
+    with pins(spark):
+        kept = pin(spark.range(3))
+        assert kept.count() == 3 and kept.inputFiles()
+        folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(folder) and shared_dir(spark)
+    assert not os.path.exists(folder)
+
+
 def test_pending_plan_places(spark):
     got = st.pending_plan(sc.valid(sc.scan(files(spark, FILES))), ledger(spark, LEDGER))
     assert pairs(got, "db_id", "name", "pos") == {

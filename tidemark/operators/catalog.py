@@ -213,7 +213,7 @@ def sqlite_foreign(tables: DataFrame, foreign: DataFrame) -> DataFrame:
     """Foreign keys are unnamed; ``fk_key`` is the number that groups their columns."""
     return tables.join(foreign, TABLE).select(
         *TABLE,
-        F.lpad("id", 10, "0").alias("fk_key"),
+        _number("id").alias("fk_key"),
         F.lit(None).cast("string").alias("name"),
         _number("seq").alias("position"),
         F.col("from").alias("column_name"),
@@ -382,7 +382,7 @@ def schema_objects(
         return df.select(
             *TABLE,
             F.lit(kind).alias("kind"),
-            F.col(name).alias("object_name"),
+            F.col(name).cast("string").alias("object_name"),
             F.concat_ws(" ", *texts).alias("definition"),
         )
 

@@ -40,7 +40,8 @@ def allocate_names(requests: DataFrame, scripts: DataFrame) -> tuple[DataFrame,
     """(names, refused) for requests (db_id, seq, requested_at, slug).
 
     A name takes the request's second or the next one after the latest script and the
-    previous request, whichever is later.
+    previous request, whichever is later.  Past the last second that fourteen digits can
+    write, a request is refused.
     """
     cleaned = requests.withColumn("_slug", names.requested_slug(F.col("slug")))
     refused = cleaned.where(F.col("_slug").isNull()).select(
@@ -50,6 +51,7 @@ def allocate_names(requests: DataFrame, scripts: DataFrame) -> tuple[DataFrame,
     timed = seeded.select(
         "db_id",
         "seq",
+        "slug",
         "_slug",
         names.epoch_seconds(F.col("requested_at")).alias("_sec"),
         names.epoch_seconds(F.col("latest")).alias("_latest"),
@@ -57,7 +59,11 @@ def allocate_names(requests: DataFrame, scripts: DataFrame) -> tuple[DataFrame,
     floor = F.coalesce(F.col("_latest"), F.lit(names.FIRST_SECOND))
     given = rising(timed, ["db_id"], ["seq"], "_sec", floor, "second")
     name = F.concat(names.prefix_of(F.col("second")), F.lit("_"), F.col("_slug"), F.lit(".sql"))
-    return given.select("db_id", "seq", name.alias("name")), refused
+    named = given.select("db_id", "seq", "slug", name.alias("name"))
+    late = named.where(F.col("name").isNull()).select(
+        "db_id", "seq", "slug", F.lit(names.BAD_PREFIX).alias("reason")
+    )
+    return named.where(F.col("name").isNotNull()).drop("slug"), refused.unionByName(late)
 
 
 def adopt_match(items: DataFrame, foreign: DataFrame, mode: str = "auto") -> DataFrame:

@@ -11,8 +11,8 @@ from tidemark.session import pin
 
 KEY = ["db_id", "name"]
 # What to do about a future-dated script, by whether it was applied.
-HINT_APPLIED = "applied: harmless, clears once the clock catches up"
-HINT_PENDING = "pending: allocate a new name or rename it before it is applied"
+HINT_APPLIED = "already recorded; nothing to do until its date has passed"
+HINT_PENDING = "not recorded yet; give it a name dated today or earlier"
 
 
 def ledger_status(scripts: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -112,11 +112,15 @@ def baseline_plan(targets: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def baseline_outcome(inserts: DataFrame, ledger_after: DataFrame) -> DataFrame:
-    """After a failed baseline, per database: skipped, mismatch or failed.
+def baseline_outcome(
+    inserts: DataFrame, ledger_after: DataFrame, failures: DataFrame | None = None
+) -> DataFrame:
+    """After a failed baseline, per database: skipped, mismatch, failed or unavailable.
 
     The ledger read after the failure decides: all rows there with the same checksum
     means another writer recorded them; else the first row that differs speaks.
+    ``failures`` has db_id and kind; a transport failure (``unavailable``) says nothing
+    about the rows and is never read that way.
     """
     rows = ledger_after.select(*KEY, F.col("checksum").alias("_now"))
     finding = F.when(F.col("_now").isNull(), "failed").when(
@@ -124,12 +128,22 @@ def baseline_outcome(inserts: DataFrame, ledger_after: DataFrame) -> DataFrame:
     )
     judged = inserts.select(*KEY, "checksum").join(rows, KEY, "left").withColumn("_f", finding)
     first = F.min(F.when(F.col("_f").isNotNull(), F.struct("name", "_f")))
-    return judged.groupBy("db_id").agg(F.count("*").alias("n_rows"), first.alias("_x")).select(
+    found = judged.groupBy("db_id").agg(F.count("*").alias("n_rows"), first.alias("_x")).select(
         "db_id",
         "n_rows",
         F.coalesce("_x._f", F.lit("skipped")).alias("outcome"),
         F.col("_x.name").alias("first_name"),
     )
+    if failures is None:
+        return found
+    down = failures.where(F.col("kind") == "unavailable").select("db_id").distinct()
+    lost = F.coalesce("_down", F.lit(False))
+    return found.join(down.withColumn("_down", F.lit(True)), "db_id", "left").select(
+        "db_id",
+        "n_rows",
+        F.when(lost, "unavailable").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(~lost, F.col("first_name")).alias("first_name"),
+    )
 
 
 def check_rollup(

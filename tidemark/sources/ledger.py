@@ -31,6 +31,13 @@ def broken(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("missing_field", field).where(field.isNotNull())
 
 
+def first_broken(ledger: DataFrame) -> DataFrame:
+    """Per database with a row that cannot be used, the first of them: db_id, file, reason."""
+    reason = F.concat(F.lit("ledger row without "), F.col("missing_field"))
+    worst = F.min(F.struct(F.col("name").alias("file"), reason.alias("reason"))).alias("_w")
+    return broken(ledger).groupBy("db_id").agg(worst).select("db_id", "_w.*")
+
+
 def new_rows(ledger: DataFrame, scripts: DataFrame, now: Moment) -> DataFrame:
     """Ledger rows for the scripts not recorded yet."""
     return (

@@ -89,3 +89,20 @@ def statements(files: DataFrame) -> DataFrame:
 def verdicts(files: DataFrame) -> DataFrame:
     """Per script: db_id, name, ok, statements, error.  Empty scripts are kept."""
     return verdict(split(files.select("db_id", "name", "content"))).drop("content")
+
+
+#: Keys up to which a list of scripts is sent to every task instead of shuffling contents.
+FEW_SCRIPTS = 200_000
+
+
+def verdicts_of(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """Verdicts of the files whose (db_id, name) is in ``keys``, a small or written table.
+
+    Only these are split.  Up to ``FEW_SCRIPTS`` keys the join stays in the scan stage;
+    beyond that contents are shuffled.
+    """
+    wanted = keys.select("db_id", "name")
+    if wanted.count() <= FEW_SCRIPTS:
+        wanted = F.broadcast(wanted)
+    picked = files.select("db_id", "name", "content").join(wanted, ["db_id", "name"], "left_semi")
+    return verdict(split(picked)).drop("content")

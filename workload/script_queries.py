@@ -412,7 +412,7 @@ def check_pending(s):
 )
 def apply_plan(s):
     """The whole of a run: strict scan, gate, pending scripts, split, first failure."""
-    return calls.up(s.scripts(), s.ledger())["plan"].select(
+    return calls.up(s.scripts(), s.ledger(), NOW)["plan"].select(
         "db_id", "name", "checksum", "statements", "error", "failed_name", "state"
     )
 
