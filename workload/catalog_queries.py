@@ -19,30 +19,39 @@ _PG = [
 ]
 _LITE = ["sqlite_master", "sqlite_columns", "sqlite_foreign_keys", "sqlite_index_list", "sqlite_index_info"]
 
+# Each text below says what a listing means: first what is visible, then lookups per key.
 COLUMNS = """
-  SELECT c.db_id, c.table_name, c.column_name, c.data_type, c.udt_name, c.is_nullable = 'YES' AS nullable,
-    c.column_default AS dflt, coalesce(try_cast(c.ordinal_position AS BIGINT), 0) AS position
-  FROM pg_columns c JOIN pg_tables t ON t.db_id = c.db_id AND t.table_schema = c.table_schema AND t.table_name = c.table_name
-  WHERE c.table_schema = 'public' AND t.table_type = 'BASE TABLE'"""
+  SELECT db_id, table_name, column_name, data_type, udt_name, is_nullable = 'YES' AS nullable,
+    column_default AS dflt, coalesce(try_cast(ordinal_position AS BIGINT), 0) AS position
+  FROM pg_columns SEMI JOIN (
+    SELECT db_id, table_schema, table_name FROM pg_tables WHERE table_type = 'BASE TABLE' AND table_schema = 'public') base
+  USING (db_id, table_schema, table_name)"""
 KEYS = """
-  SELECT tc.db_id, tc.table_name, k.column_name, try_cast(k.ordinal_position AS BIGINT) AS key_pos
-  FROM pg_table_constraints tc JOIN pg_key_column_usage k ON k.db_id = tc.db_id
-    AND k.constraint_name = tc.constraint_name AND k.constraint_schema = tc.constraint_schema
-  WHERE tc.table_schema = 'public' AND tc.constraint_type = 'PRIMARY KEY'"""
-_ACTION = "CASE {} WHEN 'a' THEN 'NO ACTION' WHEN 'r' THEN 'RESTRICT' WHEN 'c' THEN 'CASCADE' WHEN 'n' THEN 'SET NULL' WHEN 'd' THEN 'SET DEFAULT' END"
+  WITH owner AS (
+    SELECT db_id, constraint_schema, constraint_name, max(table_name) AS table_name FROM pg_table_constraints
+    WHERE constraint_type = 'PRIMARY KEY' AND table_schema = 'public' GROUP BY ALL)
+  SELECT db_id, table_name, column_name, try_cast(ordinal_position AS BIGINT) AS key_pos
+  FROM pg_key_column_usage JOIN owner USING (db_id, constraint_schema, constraint_name)"""
+_ACTIONS = "MAP {'a': 'NO ACTION', 'r': 'RESTRICT', 'c': 'CASCADE', 'n': 'SET NULL', 'd': 'SET DEFAULT'}"
 FOREIGN = f"""
-  SELECT p.db_id, r.relname AS table_name, p.conname AS name, a.attname AS column_name, f.relname AS references_table,
-    fa.attname AS references_column, p.n AS position, {_ACTION.format('p.confdeltype')} AS on_delete, {_ACTION.format('p.confupdtype')} AS on_update
-  FROM (SELECT *, unnest(conkey) AS here, unnest(confkey) AS there, generate_subscripts(conkey, 1) AS n FROM pg_constraint WHERE contype = 'f') p
-  JOIN pg_class r ON r.db_id = p.db_id AND r.oid = p.conrelid
-  JOIN pg_namespace s ON s.db_id = p.db_id AND s.oid = r.relnamespace AND s.nspname = 'public'
-  JOIN pg_class f ON f.db_id = p.db_id AND f.oid = p.confrelid
-  JOIN pg_attribute a ON a.db_id = p.db_id AND a.attrelid = p.conrelid AND a.attnum = p.here
-  JOIN pg_attribute fa ON fa.db_id = p.db_id AND fa.attrelid = p.confrelid AND fa.attnum = p.there"""
+  WITH named AS (
+    SELECT db_id, attrelid AS oid, map_from_entries(list((attnum, attname))) AS names FROM pg_attribute GROUP BY ALL),
+  known AS (
+    SELECT db_id, oid, relname, names, relnamespace IN (
+      SELECT oid FROM pg_namespace WHERE nspname = 'public' AND pg_namespace.db_id = pg_class.db_id) AS visible
+    FROM pg_class JOIN named USING (db_id, oid)),
+  pairs AS (
+    SELECT *, unnest(list_zip(conkey, confkey, range(1, len(conkey) + 1))) AS pair FROM pg_constraint WHERE contype = 'f')
+  SELECT db_id, child.relname AS table_name, conname AS name, child.names[pair[1]] AS column_name,
+    parent.relname AS references_table, parent.names[pair[2]] AS references_column, pair[3] AS position,
+    {_ACTIONS}[confdeltype] AS on_delete, {_ACTIONS}[confupdtype] AS on_update
+  FROM pairs JOIN (SELECT db_id, oid AS conrelid, relname, names FROM known WHERE visible) child USING (db_id, conrelid)
+  JOIN (SELECT db_id, oid AS confrelid, relname, names FROM known) parent USING (db_id, confrelid)"""
 ENUMS = """
-  SELECT t.db_id, t.typname AS enum_name, e.enumlabel AS label, e.enumsortorder AS label_order
-  FROM pg_type t JOIN pg_enum e ON e.db_id = t.db_id AND e.enumtypid = t.oid
-  JOIN pg_namespace n ON n.db_id = t.db_id AND n.oid = t.typnamespace WHERE n.nspname = 'public'"""
+  WITH spaces AS (SELECT db_id, oid AS typnamespace FROM pg_namespace WHERE nspname = 'public'),
+  shown AS (SELECT db_id, oid AS enumtypid, typname FROM pg_type SEMI JOIN spaces USING (db_id, typnamespace))
+  SELECT db_id, typname AS enum_name, enumlabel AS label, enumsortorder AS label_order
+  FROM pg_enum JOIN shown USING (db_id, enumtypid)"""
 INDEX_COLUMNS = r"""CASE WHEN list_bool_and(list_transform(parts, lambda p: regexp_full_match(p, '\S+(\s+(ASC|DESC|NULLS|FIRST|LAST))*')))
   THEN array_to_string(list_transform(parts, lambda p: trim(regexp_extract(p, '^\S+'), '"')), ',') ELSE '' END"""
 INDEXES = rf"""

@@ -317,51 +317,58 @@ PG_TRIGGER_ROWS = [
     ("public", "invoice", "invoice_guard", "BEFORE", "DELETE", "EXECUTE FUNCTION guard()"),
     ("audit", "log", "log_guard", "BEFORE", "DELETE", "EXECUTE FUNCTION guard()"),
 ]
+# A harbour office: who berths where, what is on board, and the engine's own tables.
 SQLITE_MASTER_ROWS = [
-    ("table", "orders", "orders", "CREATE TABLE orders (...)"),
-    ("table", "users", "users", "CREATE TABLE users (...)"),
+    ("table", "berth", "berth", "CREATE TABLE berth (...)"),
+    ("table", "manifest", "manifest", "CREATE TABLE manifest (...)"),
+    ("table", "tide", "tide", "CREATE TABLE tide (...)"),
     ("table", "schema_ledger", "schema_ledger", "CREATE TABLE schema_ledger (...)"),
-    ("table", "sqlite_sequence", "sqlite_sequence", None),
-    ("table", "SQLitexlog", "SQLitexlog", None),
-    ("index", "sqlite_autoindex_orders_1", "orders", None),
-    ("index", "idx_orders_qty", "orders", "CREATE INDEX idx_orders_qty ON orders (qty, lower(tenant))"),
-    ("trigger", "orders_audit", "orders", "CREATE TRIGGER orders_audit AFTER INSERT ON orders BEGIN UPDATE log SET n = 1; END"),
-    ("trigger", "last_update", "users", "create trigger last_update instead of delete on users begin select 1; end"),
-    ("trigger", "plain", "users", "CREATE TRIGGER plain BEFORE UPDATE OR DELETE ON users BEGIN SELECT 1; END"),
-    ("trigger", "lost", "v_users", "CREATE TRIGGER lost BEFORE UPDATE ON v_users BEGIN SELECT 1; END"),
+    ("table", "sqlite_stat4", "sqlite_stat4", None),
+    ("table", "SqLiTe9pins", "SqLiTe9pins", None),
+    ("index", "sqlite_autoindex_manifest_1", "manifest", None),
+    ("index", "manifest_by_mass", "manifest", "CREATE UNIQUE INDEX manifest_by_mass ON manifest (kilos DESC, abs(volume))"),
+    ("index", "tide_at", "tide", "CREATE INDEX tide_at ON tide (at_minute)"),
+    ("trigger", "loaded", "manifest", "CREATE TRIGGER loaded BEFORE DELETE ON manifest BEGIN INSERT INTO notes VALUES ('off'); END"),
+    ("trigger", "insert_log", "tide", "create trigger insert_log after update of height on tide begin select 2; end"),
+    ("trigger", "both_ways", "berth", "CREATE TRIGGER both_ways AFTER INSERT OR UPDATE ON berth BEGIN SELECT 3; END"),
+    ("trigger", "on_view", "v_quay", "CREATE TRIGGER on_view INSTEAD OF INSERT ON v_quay BEGIN SELECT 4; END"),
 ]
 SQLITE_COLUMN_ROWS = [
-    ("orders", "0", "tenant", "TEXT", "1", None, "2"),
-    ("orders", "1", "id", "INTEGER", "0", None, "1"),
-    ("orders", "2", "qty", "int", "1", "1", "0"),
-    ("orders", "3", "user_ref", "BIGINT", "0", None, "0"),
-    ("users", "0", "id", "INTEGER", "0", None, "1"),
-    ("users", "1", "name", "VARCHAR(80)", "1", "'anon'", "0"),
-    ("users", "2", "score", "REAL", "0", None, "0"),
-    ("users", "3", "avatar", "BLOB", "0", None, "0"),
-    ("users", "4", "admin", "BOOLEAN", "1", None, "0"),
-    ("users", "5", "created", "DATETIME", "1", None, "0"),
-    ("users", "6", "where_at", "POINT", "0", None, "0"),
-    ("users", "7", "odd", "SOMETHING ELSE", "0", None, "0"),
-    ("users", "x", "free", "", "0", None, "0"),
-    ("users", "9", "price", "NUMERIC(10,2)", "0", None, "0"),
+    ("berth", "0", "quay", "CHARACTER(4)", "1", None, "1"),
+    ("berth", "1", "metres", "DOUBLE PRECISION", "0", "0.0", "0"),
+    ("berth", "2", "lit", "bool", "1", "1", "0"),
+    ("manifest", "0", "voyage", "MEDIUMINT", "0", None, "3"),
+    ("manifest", "1", "hold", "TINYINT", "0", None, "1"),
+    ("manifest", "2", "line_no", "INT8", "0", None, "2"),
+    ("manifest", "3", "kilos", "DECIMAL(12,3)", "1", "0", "0"),
+    ("manifest", "4", "volume", "FLOAT", "0", None, "0"),
+    ("manifest", "5", "goods", "NVARCHAR(100)", "0", "'sundry'", "0"),
+    ("manifest", "6", "photo", "BLOB", "0", None, "0"),
+    ("manifest", "7", "quay", "clob", "0", None, "0"),
+    ("tide", "0", "at_minute", "TIMESTAMP", "1", None, "1"),
+    ("tide", "1", "height", "NUMERIC", "1", None, "0"),
+    ("tide", "2", "moon", "PHASE OF MOON", "0", None, "0"),
+    ("tide", "?", "remark", "", "0", None, "0"),
     ("schema_ledger", "0", "name", "TEXT", "1", None, "1"),
-    ("sqlite_sequence", "0", "name", "TEXT", "0", None, "0"),
+    ("sqlite_stat4", "0", "tbl", "TEXT", "0", None, "0"),
 ]
 SQLITE_FK_ROWS = [
-    ("orders", "0", "0", "users", "user_ref", None, "NO ACTION"),
-    ("orders", "1", "1", "stock", "qty", "amount", "NO ACTION"),
-    ("orders", "1", "0", "stock", "tenant", "owner", "NO ACTION"),
+    ("manifest", "12345678901", "0", "berth", "quay", None, "SET NULL"),
+    ("manifest", "12345678902", "1", "cargo_plan", "hold", "hold_no", "CASCADE"),
+    ("manifest", "12345678902", "0", "cargo_plan", "voyage", "voyage_no", "CASCADE"),
 ]
 SQLITE_INDEX_LIST_ROWS = [
-    ("orders", "sqlite_autoindex_orders_1", "1", "pk"),
-    ("orders", "idx_orders_qty", "0", "c"),
+    ("manifest", "sqlite_autoindex_manifest_1", "1", "pk"),
+    ("manifest", "manifest_by_mass", "1", "c"),
+    ("tide", "tide_at", "0", "c"),
 ]
 SQLITE_INDEX_INFO_ROWS = [
-    ("sqlite_autoindex_orders_1", "1", "tenant"),
-    ("sqlite_autoindex_orders_1", "0", "id"),
-    ("idx_orders_qty", "0", "qty"),
-    ("idx_orders_qty", "1", None),
+    ("sqlite_autoindex_manifest_1", "2", "voyage"),
+    ("sqlite_autoindex_manifest_1", "0", "hold"),
+    ("sqlite_autoindex_manifest_1", "1", "line_no"),
+    ("manifest_by_mass", "0", "kilos"),
+    ("manifest_by_mass", "1", None),
+    ("tide_at", "0", "at_minute"),
 ]
 
 

@@ -43,7 +43,7 @@ STATUS = """
     CASE WHEN l.name IS NULL THEN 'pending' WHEN g.name IS NULL THEN 'missing'
       WHEN g.checksum = l.checksum THEN 'applied' ELSE 'mismatched' END AS state,
     g.checksum AS file_checksum, l.checksum AS applied_checksum,
-    strftime(l.applied_at, '%Y-%m-%d %H:%M:%S') AS applied_at
+    strftime(l.applied_at, '%Y-%m-%d %H:%M:%S.%f') AS applied_at
   FROM good g FULL JOIN ledger l ON g.db_id = l.db_id AND g.name = l.name"""
 
 
@@ -147,7 +147,7 @@ def scan_strict(s):
 @query("ledger_status", _files("SELECT * FROM status"))
 def ledger_status(s):
     rows = st.ledger_status(_good(s), s.ledger())
-    return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss"))
+    return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query(
@@ -179,18 +179,18 @@ def pending_plan(s):
 @query("ledger_check", _files("SELECT * FROM status WHERE state IN ('missing', 'mismatched')"))
 def ledger_check(s):
     rows = st.ledger_check(_good(s), s.ledger())
-    return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss"))
+    return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query(
     "ledger_append",
     _files(f"""
-    SELECT db_id, name, file_checksum AS checksum, '{NOW}' AS applied_at
+    SELECT db_id, name, file_checksum AS checksum, '{NOW}.000000' AS applied_at
     FROM status WHERE state = 'pending'"""),
 )
 def ledger_append(s):
     rows = ledgers.new_rows(ledgers.sound(s.ledger()), _good(s), NOW)
-    return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss"))
+    return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 BASELINE = """
@@ -417,6 +417,115 @@ def apply_plan(s):
     )
 
 
+# Whole calls ----------------------------------------------------------------------------
+
+_LOST = "substr(name, 14, 1) IN ('3', '8') AND db_id IN ('src3', 'src14')"
+#: The ledger with rows that lost their checksum in two databases.
+HURT = f"SELECT db_id, name, CASE WHEN NOT ({_LOST}) THEN checksum END AS checksum, applied_at FROM ledger"
+_BAD = """
+  SELECT db_id, min(name) AS file, 'ledger row without checksum' AS reason FROM hurt WHERE checksum IS NULL GROUP BY db_id"""
+_ILL = """
+  SELECT db_id, min(name) AS file, arg_min(reason, name) AS reason FROM scan WHERE reason IS NOT NULL GROUP BY db_id"""
+_WRONG = "SELECT * FROM ill UNION ALL SELECT * FROM bad WHERE db_id NOT IN (SELECT db_id FROM ill)"
+
+
+def _hurt(tail: str, **more: str) -> str:
+    return _files(tail, hurt=HURT, bad=_BAD, ill=_ILL, wrong=_WRONG, **more)
+
+
+def _hurt_ledger(s):
+    lost = F.substring("name", 14, 1).isin("3", "8") & F.col("db_id").isin("src3", "src14")
+    return s.ledger().withColumn("checksum", F.when(~lost, F.col("checksum")))
+
+
+@query(
+    "status_call",
+    _hurt("""
+    SELECT 'state' AS part, db_id, name, state AS said FROM status WHERE db_id NOT IN (SELECT db_id FROM wrong)
+    UNION ALL SELECT 'error', db_id, file, reason FROM wrong"""),
+)
+def status_call(s):
+    got = calls.status(s.scripts(), _hurt_ledger(s), NOW)
+    states = got["states"].select(F.lit("state").alias("part"), "db_id", "name", F.col("state").alias("said"))
+    return states.unionByName(
+        got["errors"].select(F.lit("error").alias("part"), "db_id", F.col("file").alias("name"), F.col("reason").alias("said"))
+    )
+
+
+@query(
+    "up_blocked",
+    _hurt(f"""
+    SELECT 'blocked' AS part, db_id, min(name) AS name, arg_min(file_checksum, name) AS said FROM status
+    WHERE state = 'mismatched' AND db_id NOT IN (SELECT db_id FROM wrong) GROUP BY db_id
+    UNION ALL SELECT 'error', db_id, file, reason FROM wrong
+    UNION ALL SELECT 'future', s.db_id, s.name, NULL FROM status s
+    WHERE s.state = 'pending' AND {FUTURE} AND db_id NOT IN (SELECT db_id FROM wrong)
+      AND db_id NOT IN (SELECT db_id FROM status WHERE state = 'mismatched')"""),
+)
+def up_blocked(s):
+    got = calls.up(s.scripts(), _hurt_ledger(s), NOW)
+
+    def part(label, rows, name, said):
+        return rows.select(F.lit(label).alias("part"), "db_id", F.col(name).alias("name"), said.alias("said"))
+
+    return (
+        part("blocked", got["blocked"], "name", F.col("file_checksum"))
+        .unionByName(part("error", got["errors"], "file", F.col("reason")))
+        .unionByName(part("future", got["future_dated"], "name", F.lit(None).cast("string")))
+    )
+
+
+@query(
+    "check_summary",
+    _hurt(
+        """
+    SELECT d.db_id, h.reason, r.db_id IS NOT NULL AND h.reason IS NULL AS db_checked,
+      (SELECT count(*) FROM scan x WHERE x.db_id = d.db_id AND x.reason IS NOT NULL) AS invalid_names,
+      (SELECT count(*) FROM good g WHERE g.db_id = d.db_id AND (r.db_id IS NULL OR h.reason IS NOT NULL
+        OR g.name NOT IN (SELECT name FROM ledger l WHERE l.db_id = d.db_id))) AS pending
+    FROM databases d LEFT JOIN readable r ON d.db_id = r.db_id
+    LEFT JOIN (SELECT * FROM bad WHERE db_id IN (SELECT db_id FROM readable)) h ON d.db_id = h.db_id""",
+        databases=duck("databases"),
+        readable=duck("readable"),
+    ),
+)
+def check_summary(s):
+    got = calls.check(s.scripts(), _hurt_ledger(s), s.databases(), s.readable(), NOW)["summary"]
+    return got.select("db_id", "reason", "db_checked", "invalid_names", "pending")
+
+
+@query(
+    "baseline_call",
+    _hurt("""
+    SELECT 'insert' AS part, db_id, name, file_checksum AS said FROM status
+    WHERE state = 'pending' AND db_id NOT IN (SELECT db_id FROM wrong)
+      AND db_id NOT IN (SELECT db_id FROM status WHERE state = 'mismatched')
+    UNION ALL SELECT 'error', db_id, file, reason FROM wrong"""),
+)
+def baseline_call(s):
+    got = calls.baseline(s.scripts(), _hurt_ledger(s), NOW)
+    rows = got["inserts"].select(F.lit("insert").alias("part"), "db_id", "name", F.col("checksum").alias("said"))
+    return rows.unionByName(
+        got["errors"].select(F.lit("error").alias("part"), "db_id", F.col("file").alias("name"), F.col("reason").alias("said"))
+    )
+
+
+@query(
+    "baseline_failures",
+    _files("""
+    SELECT db_id, count(*) AS n_rows, CASE WHEN down THEN 'unavailable'
+        ELSE coalesce(arg_min(finding, name) FILTER (finding IS NOT NULL), 'skipped') END AS outcome,
+      CASE WHEN NOT down THEN min(name) FILTER (finding IS NOT NULL) END AS first_name
+    FROM (SELECT g.*, right(g.db_id, 1) = '5' AS down,
+        CASE WHEN l.name IS NULL THEN 'failed' WHEN l.checksum <> g.checksum THEN 'mismatch' END AS finding
+      FROM good g LEFT JOIN ledger l ON g.db_id = l.db_id AND g.name = l.name) j GROUP BY db_id, down"""),
+)
+def baseline_failures(s):
+    """The databases whose number ends in 5 could not be reached."""
+    kind = F.when(F.right("db_id", F.lit(1)) == "5", "unavailable").otherwise("worker")
+    return st.baseline_outcome(_good(s), s.ledger(), s.databases().withColumn("kind", kind))
+
+
 # Attempts -------------------------------------------------------------------------------
 
 _SUFFIX = """CASE WHEN inner_code IS NULL THEN '' WHEN coalesce(driver, 'postgres') = 'postgres'

@@ -8,8 +8,8 @@ from tidemark.functions.wire import wire_row
 from tidemark.operators import constraints as con, evolve as ev
 from workload.registry import query
 
-_TIME = "yyyy-MM-dd HH:mm:ss"
-_DUCK_TIME = "'%Y-%m-%d %H:%M:%S'"
+_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_DUCK_TIME = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
 def _text_times(df):
@@ -148,12 +148,12 @@ def check_fk_pair(s):
 
 @query(
     "check_unique",
-    """SELECT o_custkey, o_orderdate, count(*) AS n_rows FROM (
-      SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders) o
-    WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""",
+    f"""SELECT o_custkey, strftime(o_orderdate, {_DUCK_TIME}) AS o_orderdate, count(*) AS n_rows FROM orders
+    WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY o_custkey, orders.o_orderdate HAVING count(*) > 1""",
 )
 def check_unique(s):
-    return con.unique_violations(_text_times(s.table("orders")), ["o_custkey", "o_orderdate"])
+    """The key is tested as it is; only what is found is formatted."""
+    return _text_times(con.unique_violations(s.table("orders"), ["o_custkey", "o_orderdate"]))
 
 
 @query(
@@ -181,51 +181,54 @@ def check_enum(s):
     return con.enum_violations(events, "event_type", labels)
 
 
-_CHILD = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
-
-
-def _children(s):
-    return s.table("lineitem").select(*_CHILD.split(", "))
+_GONE = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IS NOT NULL"
+_SHIPPED = f"strftime(l_shipdate, {_DUCK_TIME}) AS l_shipdate"
 
 
 @query(
     "cascade_delete",
-    f"""SELECT {_CHILD} FROM lineitem WHERE l_orderkey IS NULL
-      OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IS NOT NULL)""",
+    f"SELECT * REPLACE ({_SHIPPED}) FROM lineitem WHERE l_orderkey IS NULL OR l_orderkey NOT IN ({_GONE})",
 )
 def cascade_delete(s):
     gone = s.table("orders").where(F.col("o_orderstatus") == "F")
-    return con.after_delete(_children(s), ["l_orderkey"], gone, ["o_orderkey"], "CASCADE")
+    return _text_times(con.after_delete(s.table("lineitem"), ["l_orderkey"], gone, ["o_orderkey"], "CASCADE"))
 
 
 @query(
     "set_null_delete",
-    f"""SELECT * REPLACE (CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IS NOT NULL)
-      THEN l_orderkey END AS l_orderkey) FROM (SELECT {_CHILD} FROM lineitem) l""",
+    f"SELECT * REPLACE (CASE WHEN l_orderkey NOT IN ({_GONE}) THEN l_orderkey END AS l_orderkey, {_SHIPPED}) FROM lineitem",
 )
 def set_null_delete(s):
     gone = s.table("orders").where(F.col("o_orderstatus") == "F")
-    return con.after_delete(_children(s), ["l_orderkey"], gone, ["o_orderkey"], "SET NULL")
+    return _text_times(con.after_delete(s.table("lineitem"), ["l_orderkey"], gone, ["o_orderkey"], "SET NULL"))
 
 
+_ORDER = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+# A later snapshot: rows gone, repriced, moved in priority, and new ones.
 _AFTER = """
-  SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 23 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+  SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 23 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+    o_orderdate, CASE WHEN o_orderkey % 29 = 0 THEN 'later' ELSE o_orderpriority END AS o_orderpriority
   FROM {orders} WHERE o_orderkey % 19 <> 0
-  UNION ALL SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM {orders} WHERE o_orderpriority = '1-URGENT'"""
+  UNION ALL SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM {orders} WHERE o_orderpriority = '1-URGENT'"""
 
 
 @query(
     "audit_changes",
     f"""SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey,
       CASE WHEN b.o_orderkey IS NULL THEN 'INSERT' WHEN a.o_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op,
-      b.o_totalprice AS old_total, a.o_totalprice AS new_total
-    FROM orders b FULL JOIN ({_AFTER.format(orders='orders')}) a ON a.o_orderkey = b.o_orderkey
-    WHERE (a.o_custkey, a.o_orderstatus, a.o_totalprice) IS DISTINCT FROM (b.o_custkey, b.o_orderstatus, b.o_totalprice)""",
+      b.o_totalprice AS old_total, a.o_totalprice AS new_total, b.o_orderpriority AS old_priority, a.o_orderpriority AS new_priority
+    FROM (SELECT {_ORDER} FROM orders) b FULL JOIN ({_AFTER.format(orders='orders')}) a ON a.o_orderkey = b.o_orderkey
+    WHERE a IS DISTINCT FROM b""",
 )
 def audit_changes(s):
-    """Orders against a later snapshot with removed, repriced and new rows."""
-    before = s.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    """Orders, with all their columns, against a later snapshot."""
     after = s.spark.sql(_AFTER.format(orders=s.dialect.table("orders")))
-    return con.audit_changes(before, after, ["o_orderkey"]).select(
-        "o_orderkey", "op", F.col("old_row.o_totalprice").alias("old_total"), F.col("new_row.o_totalprice").alias("new_total")
+    return con.audit_changes(s.table("orders"), after, ["o_orderkey"]).select(
+        "o_orderkey",
+        "op",
+        *(
+            F.col(f"{row}.{column}").alias(f"{label}_{name}")
+            for column, name in (("o_totalprice", "total"), ("o_orderpriority", "priority"))
+            for row, label in (("old_row", "old"), ("new_row", "new"))
+        ),
     )
