@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import names
 from tidemark.operators import history
 from tidemark.plans import calls
 from tidemark.sources import journal as jn, scripts as sc
@@ -29,22 +30,22 @@ def sparse_names(s):
     return history.monotonic_names(s.journal(False)).select("db_id", "idx", "second", "target_name")
 
 
-@query(
-    "allocate_names",
-    _files(
-        """
-    SELECT db_id, seq, strftime(make_timestamp(second * 1000000), '%Y%m%d%H%M%S') || '_' || slug || '.sql' AS name, NULL AS refused
-    FROM (SELECT db_id, seq, slug, i + greatest(latest + 1, max(sec - i) OVER (PARTITION BY db_id ORDER BY seq)) AS second
-      FROM (SELECT r.*, l.latest, row_number() OVER (PARTITION BY r.db_id ORDER BY seq) - 1 AS i
-        FROM clean r JOIN latest l ON r.db_id = l.db_id WHERE slug IS NOT NULL) a) b
-    UNION ALL SELECT db_id, seq, NULL, raw FROM clean WHERE slug IS NULL""",
-        requests=duck("name_requests"),
-        clean="""SELECT db_id, seq, slug AS raw, epoch_us(requested_at) // 1000000 AS sec,
-          CASE WHEN regexp_full_match(trim(slug), '[A-Za-z0-9_-]+') THEN trim(slug) END AS slug FROM requests""",
-        latest="""SELECT db_id, max(epoch_us(try_strptime(substr(name, 1, 14), '%Y%m%d%H%M%S')) // 1000000) AS latest
-          FROM good GROUP BY db_id""",
-    ),
-)
+_ALLOCATED = """
+  SELECT db_id, seq, strftime(make_timestamp(second * 1000000), '%Y%m%d%H%M%S') || '_' || slug || '.sql' AS name, NULL AS refused
+  FROM (SELECT db_id, seq, slug, i + greatest(latest + 1, max(sec - i) OVER (PARTITION BY db_id ORDER BY seq)) AS second
+    FROM (SELECT r.*, l.latest, row_number() OVER (PARTITION BY r.db_id ORDER BY seq) - 1 AS i
+      FROM clean r JOIN latest l ON r.db_id = l.db_id WHERE slug IS NOT NULL) a) b
+  UNION ALL SELECT db_id, seq, NULL, raw FROM clean WHERE slug IS NULL"""
+_REQUESTS = {
+    "requests": duck("name_requests"),
+    "clean": """SELECT db_id, seq, slug AS raw, epoch_us(requested_at) // 1000000 AS sec,
+      CASE WHEN regexp_full_match(trim(slug), '[A-Za-z0-9_-]+') THEN trim(slug) END AS slug FROM requests""",
+    "latest": """SELECT db_id, max(epoch_us(try_strptime(substr(name, 1, 14), '%Y%m%d%H%M%S')) // 1000000) AS latest
+      FROM good GROUP BY db_id""",
+}
+
+
+@query("allocate_names", _files(_ALLOCATED, **_REQUESTS))
 def allocate_names(s):
     given, refused = history.allocate_names(s.name_requests(), sc.valid(sc.scan(s.scripts())))
     none = F.lit(None).cast("string")
@@ -53,6 +54,24 @@ def allocate_names(s):
     )
 
 
+_BAD_REQUEST = names.BAD_REQUEST.replace("'", "''").replace("`", "' || chr(96) || '")
+
+
+@query(
+    "create_call",
+    _files(
+        f"SELECT db_id, seq, name, CASE WHEN name IS NULL THEN '{_BAD_REQUEST}' END AS reason FROM ({_ALLOCATED}) x",
+        **_REQUESTS,
+    ),
+)
+def create_call(s):
+    got = calls.create(s.name_requests(), s.scripts())
+    none = F.lit(None).cast("string")
+    return got["names"].withColumn("reason", none).unionByName(
+        got["refused"].select("db_id", "seq", none.alias("name"), "reason")
+    )
+
+
 # Every document is read as a journal: its lines are the entries.
 _LINES = """
   SELECT doc_id, CAST(doc_id AS STRING) AS db_id, unnest(string_split(text, chr(10))) AS line,
@@ -148,35 +167,81 @@ def adopt_match(s):
     return history.adopt_match(items, foreign).select("idx", "db_id", "state", "recorded_hash", "drifted")
 
 
-@query(
-    "adopt_plan",
-    with_(
-        f"""
-    SELECT e.db_id, e.tag, strftime(make_timestamp(e.second * 1000000), '%Y%m%d%H%M%S') || '_w' || length(line) || '.sql' AS target_name,
-      CASE WHEN f.hash IS NULL THEN 'pending' ELSE 'applied' END AS state, coalesce(f.hash <> sha256(line), false) AS drifted
-    FROM (SELECT *, place + greatest(1, max(`when` // 1000 - place) OVER (PARTITION BY doc_id ORDER BY place)) AS second FROM entries
-      WHERE lang <> 'es' AND ({_TARGETS}) IS NOT DISTINCT FROM CASE WHEN lang = 'fr' THEN 'sqlite' ELSE 'postgres' END
-        AND doc_id NOT IN (SELECT doc_id FROM lines WHERE length(line) % 61 = 60)) e
-    LEFT JOIN (SELECT doc_id, `when`, CASE WHEN length(line) % 5 = 0 THEN 'old' ELSE sha256(line) END AS hash
-      FROM entries WHERE pos % 3 = 0) f ON e.doc_id = f.doc_id AND e.`when` = f.`when`""",
-        lines=_LINES,
-        entries=_ENTRIES,
-    ),
-)
-def adopt_plan(s):
-    """Every document taken over as a journal whose scripts are its lines."""
+# Journals that can be taken over, with the names their entries get.
+_NAMED = f"""
+  SELECT *, strftime(make_timestamp(second * 1000000), '%Y%m%d%H%M%S') || '_w' || length(line) || '.sql' AS target_name
+  FROM (SELECT *, place + greatest(1, max(`when` // 1000 - place) OVER (PARTITION BY doc_id ORDER BY place)) AS second FROM entries
+    WHERE lang <> 'es' AND ({_TARGETS}) IS NOT DISTINCT FROM CASE WHEN lang = 'fr' THEN 'sqlite' ELSE 'postgres' END
+      AND doc_id NOT IN (SELECT doc_id FROM lines WHERE length(line) % 61 = 60)) e"""
+_STATES = """
+  SELECT e.*, f.hash IS NOT NULL AS applied, coalesce(f.hash <> sha256(e.line), false) AS drifted
+  FROM named e LEFT JOIN (SELECT doc_id, `when`, CASE WHEN length(line) % 5 = 0 THEN 'old' ELSE sha256(line) END AS hash
+    FROM entries WHERE pos % 3 = 0) f ON e.doc_id = f.doc_id AND e.`when` = f.`when`
+  WHERE e.doc_id % 7 <> 0"""
+
+
+def _adopted(tail: str) -> str:
+    return with_(tail, lines=_LINES, entries=_ENTRIES, named=_NAMED, states=_STATES)
+
+
+def _adopt(s):
+    """Every document taken over as a journal whose scripts are its lines.
+
+    The first name of a document is there already in every seventh database with other
+    content, in the next one with the same, and recorded in every fifth.
+    """
     journals = _lines(s)
     docs = s.table("documents").select(F.col("doc_id").cast("string").alias("db_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     length = F.char_length("line")
     tag = F.concat(F.col("pos").cast("string"), F.lit("_w"), length.cast("string"))
     source = docs.where(length % 61 != 60).select("db_id", tag.alias("tag"), F.encode("line", "UTF-8").alias("content"))
-    when = (F.col("db_id").cast("bigint") * 1000 + F.col("pos")) * 1000
+    number = F.col("db_id").cast("bigint")
+    when = (number * 1000 + F.col("pos")) * 1000
     recorded = F.when(length % 5 == 0, "old").otherwise(F.sha2("line", 256))
     foreign = docs.where(F.col("pos") % 3 == 0).select("db_id", recorded.alias("hash"), when.cast("string").alias("created_at"))
-    empty = s.ledger().where(F.lit(False))
+    first = docs.groupBy("db_id").agg(F.min(F.struct((length % 7).alias("idx"), "pos", "line")).alias("f"))
+    stamp = F.date_format(F.timestamp_seconds(F.greatest(F.lit(1), number * 1000 + F.col("f.pos"))), "yyyyMMddHHmmss")
+    name = F.concat(stamp, F.lit("_w"), F.char_length("f.line").cast("string"), F.lit(".sql"))
+    content = F.when(number % 7 == 0, "other").otherwise(F.col("f.line"))
+    here = first.where(number % 7 < 2).select("db_id", name.alias("name"), F.encode(content, "UTF-8").alias("content"))
+    ledger = first.where(number % 5 == 0).select(
+        "db_id", name.alias("name"), F.sha2("f.line", 256).alias("checksum"), F.lit(NOW).cast("timestamp_ntz").alias("applied_at")
+    )
     targets = journals.select("db_id", F.col("target").alias("dialect"))
-    got = calls.adopt(journals, source, foreign, s.scripts(), empty, targets, NOW)
-    return got["states"].select("db_id", "tag", "target_name", "state", "drifted")
+    return calls.adopt(journals, source, foreign, here, ledger, targets, NOW)
+
+
+@query(
+    "adopt_plan",
+    _adopted("SELECT db_id, tag, target_name, CASE WHEN applied THEN 'applied' ELSE 'pending' END AS state, drifted FROM states"),
+)
+def adopt_plan(s):
+    return _adopt(s)["states"].select("db_id", "tag", "target_name", "state", "drifted")
+
+
+@query(
+    "adopt_imports",
+    _adopted("""
+    SELECT db_id, target_name, sha256(line) AS checksum, CASE WHEN place > 0 OR doc_id % 7 > 1 THEN 'write'
+      WHEN doc_id % 7 = 1 THEN 'skip' ELSE 'conflict' END AS decision FROM named"""),
+)
+def adopt_imports(s):
+    return _adopt(s)["imports"].select("db_id", "target_name", "checksum", "decision")
+
+
+@query(
+    "adopt_inserts",
+    _adopted("""
+    SELECT db_id, target_name AS name, sha256(line) AS said FROM states WHERE applied AND NOT (place = 0 AND doc_id % 5 = 0)
+    UNION ALL SELECT db_id, NULL, 'other content is there as ' || chr(96) || target_name || chr(96) FROM named WHERE place = 0 AND doc_id % 7 = 0"""),
+)
+def adopt_inserts(s):
+    """The rows to record, and the databases refused because of a clash of names."""
+    got = _adopt(s)
+    clash = got["refused"].where(F.startswith("reason", F.lit("other content")))
+    return got["inserts"].select("db_id", "name", F.col("checksum").alias("said")).unionByName(
+        clash.select("db_id", F.lit(None).cast("string").alias("name"), F.col("reason").alias("said"))
+    )
 
 
 @query(
