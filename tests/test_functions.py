@@ -282,3 +282,13 @@ def test_wire_row(spark):
         '{"big":"9007199254740993","small":1,"dec":"1.50","d":"2024-02-29","t":"2024-02-29T01:02:03.000000Z",'
         '"b":"AP8=","xs":["1",null],"n":null,"ok":true}'
     )
+
+
+def test_wire_row_reaches_into_structs_and_maps(spark):
+    df = spark.sql(
+        "SELECT named_struct('big', 9007199254740993L, 'a.b', map('k', named_struct('d', CAST(1.10 AS DECIMAL(4,2))))) AS deep, "
+        "CAST(NULL AS STRUCT<x: BIGINT>) AS none, array(named_struct('t', DATE '2024-02-29')) AS xs, TIME '01:02:03' AS `cl.oc``k`"
+    )
+    assert df.select(wire_row(df.schema).alias("r")).first().r == (
+        '{"deep":{"big":"9007199254740993","a.b":{"k":{"d":"1.10"}}},"none":null,"xs":[{"t":"2024-02-29"}],"cl.oc`k":"01:02:03"}'
+    )

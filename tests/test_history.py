@@ -230,3 +230,12 @@ def test_names_past_the_last_second_are_refused(spark):
     given, refused = history.allocate_names(requests, scripts)
     assert given.count() == 0
     assert [(r.seq, r.slug, r.reason) for r in refused.collect()] == [(1, "more", names.BAD_PREFIX)]
+
+
+def test_foreign_ledger_files(spark, tmp_path):
+    """No such ledger means a fresh database."""
+    assert jn.read_foreign(spark, str(tmp_path / "none")).count() == 0
+    rows = spark.createDataFrame([("k", "h", "17"), ("k", None, "soon")], schemas.FOREIGN_LEDGER)
+    rows.write.parquet(str(tmp_path / "there"))
+    got = jn.foreign_rows(jn.read_foreign(spark, str(tmp_path / "there")))
+    assert {(r.hash, r.created_at) for r in got.collect()} == {("h", 17), ("", 0)}

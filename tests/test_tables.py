@@ -123,3 +123,11 @@ def test_applied_once_across_batches(spark, tmp_path):
 
     assert run(("a", "1", True, None, None), ("a", "1", True, None, None), ("a", "2", False, "c", None)) == ["1"]
     assert run(("a", "1", True, None, None), ("a", "2", True, None, None)) == ["1", "2"]
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, None), (1, "x")], "`a.b` int, `c``d` string")
+    assert {(r.column_name, r.n_nulls) for r in con.null_counts(df, ["a.b", "c`d"]).collect()} == {("a.b", 0), ("c`d", 1)}
+    assert con.unique_violations(df, ["a.b"]).count() == 1
+    assert ev.copy_verify(df, df, ["a.b", "c`d"]).first()["matches"]
+    assert ev.change_types(df, {"a.b": "string"}).columns == ["a.b", "c`d", "rejected"]

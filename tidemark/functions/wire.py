@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.columns import exact
+
 
 def wire_value(c: Column, dtype: T.DataType) -> Column:
     """One value in its consumer form; nulls stay null."""
@@ -23,10 +25,17 @@ def wire_value(c: Column, dtype: T.DataType) -> Column:
         return c.cast("string")
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: wire_value(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(c, lambda _, v: wire_value(v, dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        inner = [wire_value(c.getField(f.name), f.dataType).alias(f.name) for f in dtype]
+        return F.when(c.isNotNull(), F.struct(*inner))
+    if dtype.simpleString().startswith("time("):
+        return c.cast("string")
     return c
 
 
 def wire_row(schema: T.StructType) -> Column:
     """JSON text of a whole row, built from the table's schema; nulls are written out."""
-    fields = [wire_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema]
+    fields = [wire_value(exact(f.name), f.dataType).alias(f.name) for f in schema]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

@@ -11,20 +11,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import exact
 from tidemark.operators.keyed import attach
 
 
 def _all_set(columns: Sequence[str]) -> Column:
     out = F.lit(True)
     for c in columns:
-        out = out & F.col(c).isNotNull()
+        out = out & exact(c).isNotNull()
     return out
 
 
 def primary_key_violations(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that occur more than once or have an unset part."""
     return (
-        df.groupBy(*key)
+        df.groupBy(*map(exact, key))
         .agg(F.count("*").alias("n_rows"))
         .where((F.col("n_rows") > 1) | ~_all_set(key))
     )
@@ -34,7 +35,7 @@ def unique_violations(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Values that occur more than once; keys with an unset part never collide."""
     return (
         df.where(_all_set(key))
-        .groupBy(*key)
+        .groupBy(*map(exact, key))
         .agg(F.count("*").alias("n_rows"))
         .where(F.col("n_rows") > 1)
     )
@@ -51,8 +52,8 @@ def foreign_key_violations(
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Unset values per not-null column, all in one pass: column_name, n_nulls."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_nulls")) for c in columns]
+    counts = df.agg(*[F.count_if(exact(c).isNull()).alias(c) for c in columns])
+    pairs = [F.struct(F.lit(c).alias("column_name"), exact(c).alias("n_nulls")) for c in columns]
     return counts.select(F.inline(F.array(*pairs)))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.columns import exact, quoted
+
 
 def add_column(df: DataFrame, name: str, dtype: str, default=None) -> DataFrame:
     """A new column, null or with a default for the rows already there."""
@@ -31,7 +33,7 @@ def _fitted(df: DataFrame, column: str, dtype: str) -> Column:
 
     A failing cast costs an exception per row; a comparison costs next to nothing.
     """
-    source, c = df.schema[column].dataType, F.col(column)
+    source, c = df.schema[column].dataType, exact(column)
     target = T.DataType.fromDDL(dtype)
     if not isinstance(source, T.NumericType):
         return c.try_cast(dtype)
@@ -49,9 +51,9 @@ def change_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast columns; ``rejected`` lists those whose value does not fit the new type."""
     fitted = df.withColumns({f"_new_{c}": _fitted(df, c, t) for c, t in types.items()})
     lost = [
-        F.when(F.col(c).isNotNull() & F.col(f"_new_{c}").isNull(), F.lit(c)) for c in types
+        F.when(exact(c).isNotNull() & exact(f"_new_{c}").isNull(), F.lit(c)) for c in types
     ]
-    shown = [F.col(f"_new_{c}").alias(c) if c in types else F.col(c) for c in df.columns]
+    shown = [exact(f"_new_{c}").alias(c) if c in types else exact(c) for c in df.columns]
     return fitted.select(*shown, F.array_compact(F.array(*lost)).alias("rejected"))
 
 
@@ -67,7 +69,7 @@ def recreate(df: DataFrame, shape: Sequence[tuple[str, str, Column | None]]) ->
     Without an expression the column of the same name is taken over.
     """
     return df.select(
-        *[(F.col(n) if e is None else e).cast(t).alias(n) for n, t, e in shape]
+        *[(exact(n) if e is None else e).cast(t).alias(n) for n, t, e in shape]
     )
 
 
@@ -77,8 +79,13 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 
 def swap_location(spark: SparkSession, table: str, path: str) -> None:
-    """Point a catalogue table at its new version: readers see either all or nothing."""
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+    """Point a catalogue table at its new version: readers see either all or nothing.
+
+    ``table`` is a name or names joined by dots; a name itself holds none.
+    """
+    named = ".".join(quoted(part) for part in table.split("."))
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {named} SET LOCATION '{place}'")
     spark.catalog.refreshTable(table)
 
 
@@ -89,7 +96,7 @@ def copy_verify(source: DataFrame, copy: DataFrame, columns: Sequence[str]) -> D
     one row per task is exchanged.
     """
     # The hash skips nulls, so each column also says whether it is one.
-    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    parts = [x for c in columns for x in (exact(c), exact(c).isNull())]
     sides = [
         df.select(
             F.lit(sign).alias("_sign"),

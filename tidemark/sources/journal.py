@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.schemas import JOURNAL
+from tidemark.sources.schemas import FOREIGN_LEDGER, JOURNAL
 
 # Dialect spellings and the drivers that can be handled.
 POSTGRES_ALIASES = ("pg", "postgresql")
@@ -59,6 +60,16 @@ def entries(journals: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return rows.where(F.col("place").isNotNull()).select("db_id", *carry, "place", "_e.*")
 
 
+def read_foreign(spark: SparkSession, path: str) -> DataFrame:
+    """The other tool's ledger at ``path``; one that does not exist is a fresh database's."""
+    try:
+        return spark.read.schema(FOREIGN_LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FOREIGN_LEDGER)
+
+
 def foreign_rows(rows: DataFrame) -> DataFrame:
     """The other tool's ledger with ``created_at`` as a number; unreadable ones are 0."""
     return rows.select(

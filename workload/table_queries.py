@@ -112,6 +112,22 @@ def wire_rows(s):
 # Declared keys and domains --------------------------------------------------------------
 
 
+@query(
+    "wire_nested",
+    """SELECT to_json({'event_id': CAST(event_id AS STRING), 'deep': {'big': CAST(user_id + 9007199254740993 AS STRING),
+      'at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'by': MAP {event_type: CAST(event_id AS STRING)}}}) AS r FROM events""",
+)
+def wire_nested(s):
+    """Numbers and times inside a struct and a map."""
+    deep = F.struct(
+        (F.col("user_id") + F.lit(9007199254740993)).alias("big"),
+        F.col("ts").alias("at"),
+        F.create_map("event_type", "event_id").alias("by"),
+    )
+    events = s.table("events").select("event_id", deep.alias("deep"))
+    return events.select(wire_row(events.schema).alias("r"))
+
+
 @query(
     "check_pk",
     """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2
