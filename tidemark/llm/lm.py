@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -42,10 +43,10 @@ END_WORD = b""
 @dataclass(frozen=True)
 class Shape:
     units: int = 2048
-    classes: int = 32
-    width: int = 16
+    classes: int = 16
+    width: int = 8
     window: int = 32
-    overlap: int = 8
+    overlap: int = 4
     rounds: int = 2
     every: int = 16
     chunk_words: int = 12
@@ -140,9 +141,12 @@ def unpacked(flat: np.ndarray, like: dict) -> dict:
 
 
 class Subwords(dict):
-    """Ids of a word (after a space) as bytes of little-endian unsigned 16-bit numbers."""
+    """Ids of a word (after a space) as bytes of little-endian unsigned 16-bit numbers.
 
-    LIMIT = 200_000
+    Remembered in two generations of bounded size, so frequent words stay known.
+    """
+
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -152,15 +156,20 @@ class Subwords(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > self.LIMIT:
+        distinct = set(words)
+        new = [w for w in distinct if w not in self]
+        if new and len(self) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
-            new = list(dict.fromkeys(words))
-        spelled = [" " + w.decode("utf-8", "replace") for w in new]
-        for word, found in zip(new, self.tokenizer.encode_batch(spelled, add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u2").tobytes()
+            new = list(distinct)
+        self.update((w, self.older[w]) for w in new if w in self.older)
+        plain = [w for w in new if w not in self.older]
+        spelled = [" " + w.decode("utf-8", "replace") for w in plain]
+        for word, found in zip(plain, self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)):
+            self[word] = array("H", found.ids).tobytes()
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         self.learn(words)
@@ -205,7 +214,7 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
             for at in range(0, len(found), 10_000):
                 part, n = found[at : at + 10_000], counts[at : at + 10_000]
                 real = [w for w in part if w]
-                coded = known.tokenizer.encode_batch([" " + w.decode("utf-8", "replace") for w in real], add_special_tokens=False)
+                coded = known.tokenizer.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in real], add_special_tokens=False)
                 ids = [c.ids for c in coded]
                 often = np.array([c for w, c in zip(part, n) if w], float)
                 np.add.at(seen, np.array([i for own in ids for i in own], np.int64), np.repeat(often, [len(i) for i in ids]))
@@ -303,7 +312,7 @@ def windows(length: int, size: int, overlap: int) -> tuple[np.ndarray, np.ndarra
     return np.arange(n) * stride, np.r_[0, np.full(n - 1, overlap)]
 
 
-def log10_probabilities(docs: list[np.ndarray], vocab: Vocabulary, params: dict, shape: Shape, batch: int = 1024) -> np.ndarray:
+def log10_probabilities(docs: list[np.ndarray], vocab: Vocabulary, params: dict, shape: Shape, batch: int = 256) -> np.ndarray:
     """log10 probability of each text's ids and its end."""
     out = np.zeros(len(docs))
     starts, firsts, owners, flat, base = [], [], [], [], 0
@@ -403,7 +412,7 @@ def score(docs: DataFrame, path: str, shape: Shape = Shape(), doc_id: str = "doc
                     words = body.lower().split()
                     ids.append(known.ids(words))
                     n_known, logs, tail = 0, 0.0, []
-                    for word, n in [*sorted(Counter(words).items()), (END_WORD, 1)]:
+                    for word, n in [*Counter(words).items(), (END_WORD, 1)]:
                         found = head.get(word)
                         if found is None:
                             tail.append({"word": word, "n": n})
