@@ -60,6 +60,15 @@ def test_each_token_is_scored_once(length):
     assert all(f == 0 if s == 0 else f == 4 for s, f in zip(starts, firsts))
 
 
+@pytest.mark.parametrize("shape", [lm.Shape(), SMALL])
+def test_rounds_read_every_chunk(shape):
+    for key, pieces in [(0, 1), (1, 1), (5, 2), (zlib.crc32(b"12"), 33)]:
+        read = Counter(i for turn in range(shape.rounds) for i in lm.taken(key, turn, pieces, shape))
+        assert read == {i: shape.rounds // shape.every for i in range(pieces)}
+    with pytest.raises(ValueError):
+        lm.Shape(rounds=2, every=16)
+
+
 def scored(spark, rows, shape=SMALL):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, key int, score string")
     return lm.score(docs.repartition(3, "text"), packing.vocabulary(), shape).collect()

@@ -9,8 +9,8 @@ the table by word. A word outside the head is by construction no hot key.
 Model. Words are cut to ids of a public tokenizer. Ids are put in classes of about equal
 mass; P(id | before) = P(class | before) P(id | class), the second factor being counts, the
 first one causal self-attention over the ids before. Every task trains a copy of the network
-on chunks of all its training texts (one in ``every`` per round, another one each round);
-copies are averaged, in two steps, for the next round. Windows overlap; each token is scored
+on chunks of all its training texts: one in ``every`` per round, others each round, so that
+``every`` rounds read each chunk once. Copies are averaged, in two steps, for the next round. Windows overlap; each token is scored
 once, with at least ``overlap`` tokens before it unless the text begins there.
 
 * Null or empty text: only the end is scored. A null doc_id counts as empty text.
@@ -48,13 +48,17 @@ class Shape:
     window: int = 32
     overlap: int = 4
     rounds: int = 2
-    every: int = 16
+    every: int = 2
     chunk_words: int = 12
     batch: int = 128
     least_steps: int = 120
     rate: float = 0.01
     head: int = 200_000
 
+    def __post_init__(self):
+        if self.rounds % self.every:
+            raise ValueError("rounds must be a multiple of every, or some chunks are read less often than others")
+
 
 # --- the network ---------------------------------------------------------------------------
 
@@ -232,6 +236,11 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
 # --- training ------------------------------------------------------------------------------
 
 
+def taken(key: int, turn: int, pieces: int, shape: Shape) -> range:
+    """Which of a text's ``pieces`` a round reads; any ``every`` rounds in a row read each once."""
+    return range((key + turn) % shape.every, pieces, shape.every)
+
+
 def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
     """Rounds of local training and averaging; ``docs`` has key and text of training rows."""
     spark = docs.sparkSession
@@ -263,7 +272,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
                 for key, body in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
                     words = body.lower().split()
                     pieces = max(1, -(-len(words) // shape.chunk_words))
-                    for i in range((key + turn * shape.every // 2) % shape.every, pieces, shape.every):
+                    for i in taken(key, turn, pieces, shape):
                         ids = known.ids(words[i * shape.chunk_words : (i + 1) * shape.chunk_words])
                         ids = np.r_[[-1] if i == 0 else [], ids, [vocab.end] if i == pieces - 1 else []].astype(np.int64)
                         ids = ids[: shape.window + 1]
