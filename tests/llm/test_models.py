@@ -61,10 +61,21 @@ def test_each_token_is_scored_once(length):
 
 
 @pytest.mark.parametrize("shape", [lm.Shape(), SMALL])
-def test_rounds_read_every_chunk(shape):
-    for key, pieces in [(0, 1), (1, 1), (5, 2), (zlib.crc32(b"12"), 33)]:
-        read = Counter(i for turn in range(shape.rounds) for i in lm.taken(key, turn, pieces, shape))
-        assert read == {i: shape.rounds // shape.every for i in range(pieces)}
+def test_each_id_and_end_is_a_target_of_training(shape):
+    """Also of a long word, of which a chunk of 12 words lost all but the first 33 ids."""
+    known = lm.Subwords(packing.vocabulary())
+    vocab = lm.vocabulary(np.ones(known.size + 1), shape, packing.vocabulary())
+    bodies = [b"", b"one", b"the cat " * 90, b"Zm9vYmFyMTIzNDU2Nzg5" * 60 + b" end", "漢字仮名".encode() * 80]
+    docs = [known.ids(b.lower().split()) for b in bodies]
+    assert len(docs[3]) > 200 and len(docs[4]) > 200
+    keys, windowed, read = np.array([4, 5, 6, 7, 9]), lm.cut(docs, vocab, shape), Counter()
+    for turn in range(shape.rounds):
+        mine = np.flatnonzero(lm.taken(keys[windowed.owners], windowed.numbers, turn, shape))
+        _, after, valid = windowed.rows(mine, vocab, shape)
+        for row, window in enumerate(mine):
+            read.update((windowed.owners[window], y) for y in after[row][valid[row]].tolist())
+    want = Counter((i, y) for i, ids in enumerate(docs) for y in [*ids.tolist(), vocab.end])
+    assert read == Counter({k: n * (shape.rounds // shape.every) for k, n in want.items()})
     with pytest.raises(ValueError):
         lm.Shape(rounds=2, every=16)
 

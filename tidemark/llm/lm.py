@@ -9,9 +9,10 @@ the table by word. A word outside the head is by construction no hot key.
 Model. Words are cut to ids of a public tokenizer. Ids are put in classes of about equal
 mass; P(id | before) = P(class | before) P(id | class), the second factor being counts, the
 first one causal self-attention over the ids before. Every task trains a copy of the network
-on chunks of all its training texts: one in ``every`` per round, others each round, so that
-``every`` rounds read each chunk once. Copies are averaged, in two steps, for the next round. Windows overlap; each token is scored
-once, with at least ``overlap`` tokens before it unless the text begins there.
+on windows of all its training texts, cut as for scoring: one in ``every`` per round, others
+each round, so that ``every`` rounds read each once. Copies are averaged, in two steps, for
+the next round. Windows overlap; each id and each end is scored, and is a target of training,
+in one window, with at least ``overlap`` tokens before it unless the text begins there.
 
 * Null or empty text: only the end is scored. A null doc_id counts as empty text.
 * No training text at all: counts are zero and the network is the initial one.
@@ -49,7 +50,7 @@ class Shape:
     overlap: int = 4
     rounds: int = 2
     every: int = 2
-    chunk_words: int = 12
+    chunk_words: int = 12  # not used since windows are cut by ids
     batch: int = 128
     least_steps: int = 120
     rate: float = 0.01
@@ -57,7 +58,7 @@ class Shape:
 
     def __post_init__(self):
         if self.rounds % self.every:
-            raise ValueError("rounds must be a multiple of every, or some chunks are read less often than others")
+            raise ValueError("rounds must be a multiple of every, or some windows are read less often than others")
 
 
 # --- the network ---------------------------------------------------------------------------
@@ -233,12 +234,63 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
+# --- windows -------------------------------------------------------------------------------
+
+
+def windows(length: int, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows over ``length`` places, and from which place of each on it scores."""
+    stride = size - overlap
+    n = 1 + max(0, -(-(length - size) // stride))
+    return np.arange(n) * stride, np.r_[0, np.full(n - 1, overlap)]
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Windows of texts. ``flat``: of each text a begin (-1), its ids, and the end; the others: of
+    each window its text, its number there, its start, its first place of its own, its text's end."""
+
+    flat: np.ndarray
+    owners: np.ndarray
+    numbers: np.ndarray
+    starts: np.ndarray
+    firsts: np.ndarray
+    ends: np.ndarray
+
+    def rows(self, which, vocab: Vocabulary, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows ``which``: input units, ids that follow, and which of these are its own."""
+        steps = np.arange(shape.window)
+        places = self.starts[which, None] + steps
+        valid = (places < self.ends[which, None]) & (steps >= self.firsts[which, None])
+        places = np.minimum(places, len(self.flat) - 2)
+        before = self.flat[places]
+        x = np.where(before < 0, shape.units + shape.classes, vocab.units[before])
+        return x, self.flat[places + 1], valid
+
+
+def cut(docs: list[np.ndarray], vocab: Vocabulary, shape: Shape) -> Cut:
+    """All windows of the texts' ids; each id and each end follows a place of one window's own."""
+    lengths = np.array([len(ids) + 2 for ids in docs])
+    bases = np.cumsum(lengths) - lengths
+    each = [windows(n - 1, shape.window, shape.overlap) for n in lengths.tolist()]
+    many = [len(s) for s, _ in each]
+    owners = np.repeat(np.arange(len(docs)), many)
+    starts = np.concatenate([s for s, _ in each])
+    return Cut(
+        np.concatenate([part for ids in docs for part in ([-1], ids, [vocab.end])]).astype(np.int64),
+        owners,
+        np.concatenate([np.arange(n) for n in many]),
+        starts + bases[owners],
+        np.concatenate([f for _, f in each]),
+        (bases + lengths - 1)[owners],
+    )
+
+
 # --- training ------------------------------------------------------------------------------
 
 
-def taken(key: int, turn: int, pieces: int, shape: Shape) -> range:
-    """Which of a text's ``pieces`` a round reads; any ``every`` rounds in a row read each once."""
-    return range((key + turn) % shape.every, pieces, shape.every)
+def taken(keys: np.ndarray, numbers: np.ndarray, turn: int, shape: Shape) -> np.ndarray:
+    """Whether a round reads a window, by its text's key and its number; any ``every`` rounds in a row read each once."""
+    return (keys + numbers + turn) % shape.every == 0
 
 
 def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
@@ -253,36 +305,27 @@ def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
             vocab, start = shared.value
             known = Subwords(vocab.path)
             adam = Adam({k: v.copy() for k, v in start.items()}, shape.rate)
-            held: list[tuple[np.ndarray, np.ndarray]] = []
+            held: list[np.ndarray] = []
             waiting: list[np.ndarray] = []
             weight = 0
 
             def learn(rows: list[np.ndarray]) -> None:
-                x = np.full((len(rows), shape.window), shape.units + shape.classes)
-                y = np.zeros((len(rows), shape.window), np.int64)
-                valid = np.zeros((len(rows), shape.window), bool)
-                for i, ids in enumerate(rows):
-                    n = len(ids) - 1
-                    x[i, :n] = np.where(ids[:-1] < 0, shape.units + shape.classes, vocab.units[ids[:-1]])
-                    y[i, :n] = vocab.classes[ids[1:]]
-                    valid[i, :n] = True
-                adam.step(gradients(adam.params, x, y, valid)[1])
+                x, after, valid = np.stack(rows, 1)
+                adam.step(gradients(adam.params, x, vocab.classes[after], valid > 0)[1])
 
             for batch in batches:
-                for key, body in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                    words = body.lower().split()
-                    pieces = max(1, -(-len(words) // shape.chunk_words))
-                    for i in taken(key, turn, pieces, shape):
-                        ids = known.ids(words[i * shape.chunk_words : (i + 1) * shape.chunk_words])
-                        ids = np.r_[[-1] if i == 0 else [], ids, [vocab.end] if i == pieces - 1 else []].astype(np.int64)
-                        ids = ids[: shape.window + 1]
-                        if len(ids) > 1:
-                            waiting.append(ids)
-                            weight += len(ids) - 1
-                    while len(waiting) >= shape.batch:
-                        learn(waiting[: shape.batch])
-                        held = (held + waiting[: shape.batch])[: 16 * shape.batch]
-                        del waiting[: shape.batch]
+                keys, bodies = batch.column(0).to_numpy(), raw(batch.column(1))
+                for at in range(0, len(bodies), 256):
+                    windowed = cut([known.ids(b.lower().split()) for b in bodies[at : at + 256]], vocab, shape)
+                    mine = np.flatnonzero(taken(keys[at : at + 256][windowed.owners], windowed.numbers, turn, shape))
+                    for k in range(0, len(mine), shape.batch):
+                        x, after, valid = windowed.rows(mine[k : k + shape.batch], vocab, shape)
+                        weight += int(valid.sum())
+                        waiting += list(np.stack([x, after, valid], 1))
+                        while len(waiting) >= shape.batch:
+                            learn(waiting[: shape.batch])
+                            held = (held + waiting[: shape.batch])[: 16 * shape.batch]
+                            del waiting[: shape.batch]
             held += waiting
             if waiting:
                 learn(waiting)
@@ -314,43 +357,19 @@ def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
 # --- scoring -------------------------------------------------------------------------------
 
 
-def windows(length: int, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows over ``length`` places, and from which place of each on it scores."""
-    stride = size - overlap
-    n = 1 + max(0, -(-(length - size) // stride))
-    return np.arange(n) * stride, np.r_[0, np.full(n - 1, overlap)]
-
-
 def log10_probabilities(docs: list[np.ndarray], vocab: Vocabulary, params: dict, shape: Shape, batch: int = 256) -> np.ndarray:
     """log10 probability of each text's ids and its end."""
     out = np.zeros(len(docs))
-    starts, firsts, owners, flat, base = [], [], [], [], 0
-    for i, ids in enumerate(docs):
-        length = len(ids) + 1
-        s, f = windows(length, shape.window, shape.overlap)
-        starts.append(base + s)
-        firsts.append(f)
-        owners.append(np.full(len(s), i))
-        flat.append(np.r_[-1, ids, vocab.end])
-        base += length + 1
     if not docs:
         return out
-    flat = np.concatenate(flat)
-    starts, firsts, owners = map(np.concatenate, (starts, firsts, owners))
-    ends = np.cumsum([len(d) + 2 for d in docs])[owners] - 1
-    begin = shape.units + shape.classes
-    steps = np.arange(shape.window)
-    for at in range(0, len(starts), batch):
+    windowed = cut(docs, vocab, shape)
+    for at in range(0, len(windowed.starts), batch):
         part = slice(at, at + batch)
-        places = starts[part, None] + steps
-        valid = (places < ends[part, None]) & (steps >= firsts[part, None])
-        places = np.minimum(places, len(flat) - 2)
-        before, after = flat[places], flat[places + 1]
-        x = np.where(before < 0, begin, vocab.units[before])
+        x, after, valid = windowed.rows(part, vocab, shape)
         logp, _ = forward(params, x)
         y = vocab.classes[after]
         each = np.take_along_axis(logp, y[:, :, None], 2)[:, :, 0] / np.log(10) + vocab.within[after]
-        out += np.bincount(owners[part], np.where(valid, each, 0).sum(axis=1), len(docs))
+        out += np.bincount(windowed.owners[part], np.where(valid, each, 0).sum(axis=1), len(docs))
     return out
 
 
