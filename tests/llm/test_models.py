@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm, packing, toxicity
@@ -80,6 +81,26 @@ def test_each_id_and_end_is_a_target_of_training(shape):
         lm.Shape(rounds=2, every=16)
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 20])
+def test_targets_learned_from_do_not_depend_on_tasks(tasks, monkeypatch):
+    """A task of few batches repeated the first ones it had until it had enough steps."""
+    known = lm.Subwords(packing.vocabulary())
+    vocab = lm.vocabulary(np.ones(known.size + 1), SMALL, packing.vocabulary())
+    texts, seen, once = [b"the cat likes the dog " * (i % 9) for i in range(60)], [], lm.gradients
+
+    def gradients(p, x, y, valid, *rest):
+        seen.append(int(valid.sum()))
+        return once(p, x, y, valid, *rest)
+
+    monkeypatch.setattr(lm, "gradients", gradients)
+    weights = 0
+    for part in range(tasks):
+        own = texts[part::tasks]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int64()), pa.array([t.decode() for t in own])], ["key", "text"])
+        weights += lm.learned([batch], vocab, lm.initial(SMALL), 0, SMALL)[1]
+    assert sum(seen) == weights == sum(len(known.ids(t.split())) + 1 for t in texts)
+
+
 def scored(spark, rows, shape=SMALL):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, key int, score string")
     return lm.score(docs.repartition(3, "text"), packing.vocabulary(), shape).collect()

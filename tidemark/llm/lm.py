@@ -11,8 +11,9 @@ mass; P(id | before) = P(class | before) P(id | class), the second factor being
 first one causal self-attention over the ids before. Every task trains a copy of the network
 on windows of all its training texts, cut as for scoring: one in ``every`` per round, others
 each round, so that ``every`` rounds read each once. Copies are averaged, in two steps, for
-the next round. Windows overlap; each id and each end is scored, and is a target of training,
-in one window, with at least ``overlap`` tokens before it unless the text begins there.
+the next round. How often a window is read does not depend on how rows are dealt to tasks.
+Windows overlap; each id and each end is scored, and is a target of training, in one window,
+with at least ``overlap`` tokens before it unless the text begins there.
 
 * Null or empty text: only the end is scored. A null doc_id counts as empty text.
 * No training text at all: counts are zero and the network is the initial one.
@@ -52,7 +53,7 @@ class Shape:
     every: int = 2
     chunk_words: int = 12  # not used since windows are cut by ids
     batch: int = 128
-    least_steps: int = 120
+    least_steps: int = 120  # not used since a task repeats nothing by its size
     rate: float = 0.01
     head: int = 200_000
 
@@ -293,6 +294,34 @@ def taken(keys: np.ndarray, numbers: np.ndarray, turn: int, shape: Shape) -> np.
     return (keys + numbers + turn) % shape.every == 0
 
 
+def learned(batches, vocab: Vocabulary, start: dict, turn: int, shape: Shape) -> tuple[dict, int]:
+    """A task's copy of the network after one pass over its windows of a round, and how many targets these had."""
+    known = Subwords(vocab.path)
+    adam = Adam({k: v.copy() for k, v in start.items()}, shape.rate)
+    waiting: list[np.ndarray] = []
+    weight = 0
+
+    def learn(rows: list[np.ndarray]) -> None:
+        x, after, valid = np.stack(rows, 1)
+        adam.step(gradients(adam.params, x, vocab.classes[after], valid > 0)[1])
+
+    for batch in batches:
+        keys, bodies = batch.column(0).to_numpy(), raw(batch.column(1))
+        for at in range(0, len(bodies), 256):
+            windowed = cut([known.ids(b.lower().split()) for b in bodies[at : at + 256]], vocab, shape)
+            mine = np.flatnonzero(taken(keys[at : at + 256][windowed.owners], windowed.numbers, turn, shape))
+            for k in range(0, len(mine), shape.batch):
+                x, after, valid = windowed.rows(mine[k : k + shape.batch], vocab, shape)
+                weight += int(valid.sum())
+                waiting += list(np.stack([x, after, valid], 1))
+                while len(waiting) >= shape.batch:
+                    learn(waiting[: shape.batch])
+                    del waiting[: shape.batch]
+    if waiting:
+        learn(waiting)
+    return adam.params, weight
+
+
 def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
     """Rounds of local training and averaging; ``docs`` has key and text of training rows."""
     spark = docs.sparkSession
@@ -303,38 +332,9 @@ def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
 
         def run(batches, turn=turn, shared=shared):
             vocab, start = shared.value
-            known = Subwords(vocab.path)
-            adam = Adam({k: v.copy() for k, v in start.items()}, shape.rate)
-            held: list[np.ndarray] = []
-            waiting: list[np.ndarray] = []
-            weight = 0
-
-            def learn(rows: list[np.ndarray]) -> None:
-                x, after, valid = np.stack(rows, 1)
-                adam.step(gradients(adam.params, x, vocab.classes[after], valid > 0)[1])
-
-            for batch in batches:
-                keys, bodies = batch.column(0).to_numpy(), raw(batch.column(1))
-                for at in range(0, len(bodies), 256):
-                    windowed = cut([known.ids(b.lower().split()) for b in bodies[at : at + 256]], vocab, shape)
-                    mine = np.flatnonzero(taken(keys[at : at + 256][windowed.owners], windowed.numbers, turn, shape))
-                    for k in range(0, len(mine), shape.batch):
-                        x, after, valid = windowed.rows(mine[k : k + shape.batch], vocab, shape)
-                        weight += int(valid.sum())
-                        waiting += list(np.stack([x, after, valid], 1))
-                        while len(waiting) >= shape.batch:
-                            learn(waiting[: shape.batch])
-                            held = (held + waiting[: shape.batch])[: 16 * shape.batch]
-                            del waiting[: shape.batch]
-            held += waiting
-            if waiting:
-                learn(waiting)
-            at = 0
-            while held and adam.steps < shape.least_steps:
-                learn([held[(at + i) % len(held)] for i in range(min(shape.batch, len(held)))])
-                at += shape.batch
+            params, weight = learned(batches, vocab, start, turn, shape)
             if weight:
-                vector = packed(adam.params).astype("<f4").tobytes()
+                vector = packed(params).astype("<f4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([vector], pa.binary()), pa.array([float(weight)])], ["vector", "weight"]
                 )
