@@ -72,9 +72,10 @@ def test_each_id_and_end_is_a_target_of_training(shape):
     keys, windowed, read = np.array([4, 5, 6, 7, 9]), lm.cut(docs, vocab, shape), Counter()
     for turn in range(shape.rounds):
         mine = np.flatnonzero(lm.taken(keys[windowed.owners], windowed.numbers, turn, shape))
-        _, after, valid = windowed.rows(mine, vocab, shape)
-        for row, window in enumerate(mine):
-            read.update((windowed.owners[window], y) for y in after[row][valid[row]].tolist())
+        for which, since, until in windowed.parts(mine, shape):
+            _, after, valid = windowed.rows(which, vocab, shape, since, until)
+            for row, window in enumerate(which):
+                read.update((windowed.owners[window], y) for y in after[row][valid[row]].tolist())
     want = Counter((i, y) for i, ids in enumerate(docs) for y in [*ids.tolist(), vocab.end])
     assert read == Counter({k: n * (shape.rounds // shape.every) for k, n in want.items()})
     with pytest.raises(ValueError):
@@ -101,6 +102,34 @@ def test_targets_learned_from_do_not_depend_on_tasks(tasks, monkeypatch):
     assert sum(seen) == weights == sum(len(known.ids(t.split())) + 1 for t in texts)
 
 
+def test_default_size_and_sight():
+    shape = lm.Shape()
+    assert shape.classes >= 32 and shape.width >= 16 and 2 * shape.overlap >= shape.window
+
+
+@pytest.mark.parametrize("shape", [lm.Shape(), SMALL])
+def test_scores_by_whole_windows(shape):
+    """Leaving out the places that another window has changes no score and no gradient."""
+    rng = np.random.default_rng(4)
+    vocab = lm.vocabulary(rng.integers(0, 50, 300).astype(float), shape, "")
+    docs = [rng.integers(0, 299, n) for n in (0, 1, shape.overlap - 1, shape.overlap, shape.window - 1, shape.window, 200)]
+    params, want = lm.initial(shape), []
+    for ids in docs:
+        line, logs = np.r_[-1, ids, vocab.end], 0.0
+        units = np.where(line < 0, shape.units + shape.classes, vocab.units[line])
+        for start, first in zip(*lm.windows(len(ids) + 1, shape.window, shape.overlap)):
+            x = units[start : min(start + shape.window, len(ids) + 1)]
+            logp, after = lm.forward(params, x[None])[0][0], line[start + 1 :][: len(x)]
+            logs += sum(logp[i, vocab.classes[y]] / math.log(10) + vocab.within[y] for i, y in enumerate(after) if i >= first)
+        want.append(logs)
+    assert np.allclose(lm.log10_probabilities(docs, vocab, params, shape), want, rtol=1e-4)
+    x, y, valid = rng.integers(0, 60, (5, 9)), rng.integers(0, shape.classes, (5, 9)), rng.random((5, 9)) < 0.7
+    valid[:, :4] = False
+    loss, whole = lm.gradients(params, x, y, valid)
+    same, late = lm.gradients(params, x, y[:, 4:], valid[:, 4:], 4)
+    assert abs(loss - same) < 1e-5 and all(np.allclose(whole[k], late[k], atol=1e-6) for k in whole)
+
+
 def scored(spark, rows, shape=SMALL):
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, key int, score string")
     return lm.score(docs.repartition(3, "text"), packing.vocabulary(), shape).collect()

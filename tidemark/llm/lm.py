@@ -45,10 +45,10 @@ END_WORD = b""
 @dataclass(frozen=True)
 class Shape:
     units: int = 2048
-    classes: int = 16
-    width: int = 8
+    classes: int = 32
+    width: int = 16
     window: int = 32
-    overlap: int = 4
+    overlap: int = 16
     rounds: int = 2
     every: int = 2
     chunk_words: int = 12  # not used since windows are cut by ids
@@ -75,44 +75,56 @@ def initial(shape: Shape) -> dict[str, np.ndarray]:
     }
 
 
-def forward(p: dict, x: np.ndarray) -> tuple:
-    """Log-probabilities (natural) of the next class after each of ``x`` (batch, window)."""
-    size = x.shape[1]
+def forward(p: dict, x: np.ndarray, since: int = 0) -> tuple:
+    """Log-probabilities (natural) of the next class after each of ``x`` (batch, window) from place ``since`` on."""
+    n, size = x.shape
+    d = p["Wq"].shape[0]
     h = p["E"][x] + p["P"][:size]
-    q, k, v = h @ p["Wq"], h @ p["Wk"], h @ p["Wv"]
-    s = (q @ k.transpose(0, 2, 1)) * np.float32(p["Wq"].shape[0] ** -0.5)
-    s += np.triu(np.full((size, size), -1e9, np.float32), 1)
+    late = h[:, since:]
+    flat = h.reshape(-1, d)
+    q = (late.reshape(-1, d) @ p["Wq"]).reshape(n, -1, d)
+    k, v = (flat @ p["Wk"]).reshape(n, -1, d), (flat @ p["Wv"]).reshape(n, -1, d)
+    s = (q @ k.transpose(0, 2, 1)) * np.float32(d**-0.5)
+    s += np.triu(np.full((size - since, size), -1e9, np.float32), 1 + since)
     s -= s.max(axis=2, keepdims=True)
     a = np.exp(s, out=s)
     a /= a.sum(axis=2, keepdims=True)
-    z = h + a @ v
-    logits = z @ p["Wo"] + p["b"]
+    z = late + a @ v
+    logits = (z.reshape(-1, d) @ p["Wo"] + p["b"]).reshape(n, size - since, -1)
     logits -= logits.max(axis=2, keepdims=True)
-    logp = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
-    return logp, (h, q, k, v, a, z)
+    logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+    return logits, (h, q, k, v, a, z)
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over valid places and its gradient."""
-    logp, (h, q, k, v, a, z) = forward(p, x)
-    scale = np.float32(p["Wq"].shape[0] ** -0.5)
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, since: int = 0) -> tuple[float, dict]:
+    """Mean loss over valid places, the first of which is ``since``, and its gradient."""
+    logp, (h, q, k, v, a, z) = forward(p, x, since)
+    d = p["Wq"].shape[0]
+    scale = np.float32(d**-0.5)
     n = max(1, int(valid.sum()))
     picked = np.take_along_axis(logp, y[:, :, None], 2)[:, :, 0]
     dl = np.exp(logp)
     np.put_along_axis(dl, y[:, :, None], np.take_along_axis(dl, y[:, :, None], 2) - 1, 2)
     dl *= (valid / n).astype(np.float32)[:, :, None]
-    dz = dl @ p["Wo"].T
+    times = lambda u, w: (u.reshape(-1, u.shape[2]) @ w).reshape(*u.shape[:2], -1)
+    dz = times(dl, p["Wo"].T)
     dv = a.transpose(0, 2, 1) @ dz
     da = dz @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dh = dz + dq @ p["Wq"].T + dk @ p["Wk"].T + dv @ p["Wv"].T
-    outer = lambda u, w: np.tensordot(u, w, ([0, 1], [0, 1]))
+    da -= (da * a).sum(axis=2, keepdims=True)
+    da *= a
+    da *= scale
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    dh = times(dk, p["Wk"].T) + times(dv, p["Wv"].T)
+    dh[:, since:] += dz + times(dq, p["Wq"].T)
+    outer = lambda u, w: u.reshape(-1, u.shape[2]).T @ w.reshape(-1, w.shape[2])
     de = np.zeros_like(p["E"])
-    np.add.at(de, x.ravel(), dh.reshape(-1, dh.shape[2]))
+    order = np.argsort(x, axis=None, kind="stable")
+    met, first = np.unique(x.ravel()[order], return_index=True)
+    de[met] = np.add.reduceat(dh.reshape(-1, d)[order], first, axis=0)
     dp = np.zeros_like(p["P"])
     dp[: x.shape[1]] = dh.sum(axis=0)
-    g = {"E": de, "P": dp, "Wq": outer(h, dq), "Wk": outer(h, dk), "Wv": outer(h, dv), "Wo": outer(z, dl), "b": dl.sum(axis=(0, 1))}
+    late = h[:, since:]
+    g = {"E": de, "P": dp, "Wq": outer(late, dq), "Wk": outer(h, dk), "Wv": outer(h, dv), "Wo": outer(z, dl), "b": dl.sum(axis=(0, 1))}
     return float(-(picked * valid).sum() / n), g
 
 
@@ -248,40 +260,41 @@ def windows(length: int, size: int, overlap: int) -> tuple[np.ndarray, np.ndarra
 @dataclass(frozen=True)
 class Cut:
     """Windows of texts. ``flat``: of each text a begin (-1), its ids, and the end; the others: of
-    each window its text, its number there, its start, its first place of its own, its text's end."""
+    each window its text, its number there, its start, its text's end."""
 
     flat: np.ndarray
     owners: np.ndarray
     numbers: np.ndarray
     starts: np.ndarray
-    firsts: np.ndarray
     ends: np.ndarray
 
-    def rows(self, which, vocab: Vocabulary, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows ``which``: input units, ids that follow, and which of these are its own."""
-        steps = np.arange(shape.window)
-        places = self.starts[which, None] + steps
-        valid = (places < self.ends[which, None]) & (steps >= self.firsts[which, None])
-        places = np.minimum(places, len(self.flat) - 2)
-        before = self.flat[places]
+    def rows(self, which: np.ndarray, vocab: Vocabulary, shape: Shape, since: int, until: int) -> tuple[np.ndarray, ...]:
+        """Of the places before ``until`` of windows: input units; from ``since`` on: the ids that follow, and whether any does."""
+        ends = self.ends[which, None]
+        places = np.minimum(self.starts[which, None] + np.arange(until), ends)
+        before, late = self.flat[places], places[:, since:]
         x = np.where(before < 0, shape.units + shape.classes, vocab.units[before])
-        return x, self.flat[places + 1], valid
+        return x, self.flat[np.minimum(late + 1, ends)], late < ends
+
+    def parts(self, which: np.ndarray, shape: Shape) -> list[tuple[np.ndarray, int, int]]:
+        """Windows, since, until: the places that windows have of their own. Those before ``overlap``
+        are a text's first window's; nothing is computed for places that another window has."""
+        halves = [(which[self.numbers[which] == 0], 0, shape.overlap), (which, shape.overlap, shape.window)]
+        return [(w[self.starts[w] + since < self.ends[w]], since, until) for w, since, until in halves]
 
 
 def cut(docs: list[np.ndarray], vocab: Vocabulary, shape: Shape) -> Cut:
     """All windows of the texts' ids; each id and each end follows a place of one window's own."""
     lengths = np.array([len(ids) + 2 for ids in docs])
     bases = np.cumsum(lengths) - lengths
-    each = [windows(n - 1, shape.window, shape.overlap) for n in lengths.tolist()]
-    many = [len(s) for s, _ in each]
+    each = [windows(n - 1, shape.window, shape.overlap)[0] for n in lengths.tolist()]
+    many = [len(s) for s in each]
     owners = np.repeat(np.arange(len(docs)), many)
-    starts = np.concatenate([s for s, _ in each])
     return Cut(
         np.concatenate([part for ids in docs for part in ([-1], ids, [vocab.end])]).astype(np.int64),
         owners,
         np.concatenate([np.arange(n) for n in many]),
-        starts + bases[owners],
-        np.concatenate([f for _, f in each]),
+        np.concatenate(each) + bases[owners],
         (bases + lengths - 1)[owners],
     )
 
@@ -298,27 +311,31 @@ def learned(batches, vocab: Vocabulary, start: dict, turn: int, shape: Shape) ->
     """A task's copy of the network after one pass over its windows of a round, and how many targets these had."""
     known = Subwords(vocab.path)
     adam = Adam({k: v.copy() for k, v in start.items()}, shape.rate)
-    waiting: list[np.ndarray] = []
+    waiting: dict[int, list[tuple]] = {0: [], shape.overlap: []}  # by their first place
     weight = 0
 
-    def learn(rows: list[np.ndarray]) -> None:
-        x, after, valid = np.stack(rows, 1)
-        adam.step(gradients(adam.params, x, vocab.classes[after], valid > 0)[1])
+    def learn(rows: tuple, since: int) -> None:
+        nonlocal weight
+        x, after, valid = rows
+        adam.step(gradients(adam.params, x, vocab.classes[after], valid, since)[1])
+        weight += int(valid.sum())
 
     for batch in batches:
         keys, bodies = batch.column(0).to_numpy(), raw(batch.column(1))
         for at in range(0, len(bodies), 256):
             windowed = cut([known.ids(b.lower().split()) for b in bodies[at : at + 256]], vocab, shape)
             mine = np.flatnonzero(taken(keys[at : at + 256][windowed.owners], windowed.numbers, turn, shape))
-            for k in range(0, len(mine), shape.batch):
-                x, after, valid = windowed.rows(mine[k : k + shape.batch], vocab, shape)
-                weight += int(valid.sum())
-                waiting += list(np.stack([x, after, valid], 1))
-                while len(waiting) >= shape.batch:
-                    learn(waiting[: shape.batch])
-                    del waiting[: shape.batch]
-    if waiting:
-        learn(waiting)
+            for which, since, until in windowed.parts(mine, shape):
+                for first in range(0, len(which), 16 * shape.batch):
+                    rows = windowed.rows(which[first : first + 16 * shape.batch], vocab, shape, since, until)
+                    rows = tuple(map(np.concatenate, zip(*waiting[since], rows)))
+                    full = len(rows[0]) // shape.batch * shape.batch
+                    for k in range(0, full, shape.batch):
+                        learn(tuple(r[k : k + shape.batch] for r in rows), since)
+                    waiting[since] = [tuple(r[full:] for r in rows)]
+    for since, rest in waiting.items():
+        if rest and len(rest[0][0]):
+            learn(rest[0], since)
     return adam.params, weight
 
 
@@ -363,13 +380,13 @@ def log10_probabilities(docs: list[np.ndarray], vocab: Vocabulary, params: dict,
     if not docs:
         return out
     windowed = cut(docs, vocab, shape)
-    for at in range(0, len(windowed.starts), batch):
-        part = slice(at, at + batch)
-        x, after, valid = windowed.rows(part, vocab, shape)
-        logp, _ = forward(params, x)
-        y = vocab.classes[after]
-        each = np.take_along_axis(logp, y[:, :, None], 2)[:, :, 0] / np.log(10) + vocab.within[after]
-        out += np.bincount(windowed.owners[part], np.where(valid, each, 0).sum(axis=1), len(docs))
+    for mine, since, until in windowed.parts(np.arange(len(windowed.starts)), shape):
+        for at in range(0, len(mine), batch):
+            which = mine[at : at + batch]
+            x, after, valid = windowed.rows(which, vocab, shape, since, until)
+            logp, _ = forward(params, x, since)
+            each = np.take_along_axis(logp, vocab.classes[after][:, :, None], 2)[:, :, 0] / np.log(10) + vocab.within[after]
+            out += np.bincount(windowed.owners[which], np.where(valid, each, 0).sum(axis=1), len(docs))
     return out
 
 
