@@ -152,6 +152,27 @@ def test_html_without_article():
     assert text.startswith("Paragraph 0") and text.count("\n") == 6 and "L1" not in text and "Short" in text
 
 
+LONG = "<p>Paragraph %d has a good many words that tell of something worth reading at length, and goes on so.</p>"
+
+
+def test_html_article_is_a_hint_only():
+    body = "".join(LONG % i for i in range(6))
+    teaser = "<article><a href=x>More</a> <a href=y>of</a> <a href=z>it</a></article>"
+    text = html.main_text(f"<body><div>{body}</div>{teaser}</body>")
+    assert text.startswith("Paragraph 0") and "\nParagraph 5" in text
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(12))
+    steps = "".join(f"<li>Step {i}</li>" for i in range(12))
+    text = html.main_text(f"<body><main><h1>Title</h1>{body}<ol>{steps}</ol><p>End</p><div>{body}</div><ul>{links}</ul></main></body>")
+    assert text.startswith("Title\nParagraph 0") and "\nStep 6\n" in text and "\nEnd\n" in text and "Link 9" not in text
+
+
+def test_html_computes_ratios_of_every_page(monkeypatch):
+    seen, real = [], html.smoothed
+    monkeypatch.setattr(html, "smoothed", lambda r, sigma: seen.append(len(r)) or real(r, sigma))
+    html.main_text(PAGE)
+    assert seen and seen[0] >= 5
+
+
 def test_html_odd(spark):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>x", "t"), (3, "u", "<p>x", "t"), (None, "u", "<!-- open", "t"), (5, "u", "plain &lt; text", "t"), (6, "u", "<p>" + "word " * 60_000, "t")]
     out = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))

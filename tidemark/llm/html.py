@@ -5,8 +5,10 @@ number of characters and of tags in it. Lines inside navigation, headers, footer
 forms, scripts, styles, adverts, notices and reader comments are left out. The ratio of
 characters to tags of the other lines is smoothed by a Gaussian over neighbouring lines and
 clustered in two by a threshold; the containers that hold lines of the high cluster are the
-content, and their lines between the first and the last such line are the text. An article
-or main element is content as a whole.
+content, and their lines between the first and the last such line are the text. Article and
+main elements are a hint: their lines are of the high cluster from half the threshold on, and
+one that holds such a line also gives its other lines, but for containers that are mostly
+links and mostly of the low cluster.
 
 Every page is read in its own row; nothing is shuffled. Time is linear in the page.
 
@@ -58,7 +60,8 @@ class Line:
     text: str
     tags: int
     container: int
-    whole: bool
+    article: int
+    linked: int
 
 
 @dataclass
@@ -66,7 +69,7 @@ class _Open:
     tag: str
     number: int
     dropped: bool
-    article: bool
+    article: int
 
 
 @dataclass
@@ -77,23 +80,28 @@ class Reader(HTMLParser):
 
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Open("", 0, False, False)]
+        self.stack = [_Open("", 0, False, 0)]
         self.parts: list[str] = []
         self.tags = 0
+        self.links = 0
+        self.linked = 0
         self.containers = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         top = self.stack[-1]
         if text and not top.dropped:
-            self.lines.append(Line(text, max(1, self.tags), top.number, top.article))
-        self.parts, self.tags = [], 0
+            self.lines.append(Line(text, max(1, self.tags), top.number, top.article, self.linked))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS or tag in DROPPED:
             self.flush()
         self.tags += 1
+        if tag == "a":
+            self.links = 1
         if tag in CONTAINERS and tag not in VOID:
+            self.links = 0
             top = self.stack[-1]
             marks = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)
             dropped = top.dropped or tag in DROPPED or (tag == "header" and not top.article)
@@ -104,12 +112,14 @@ class Reader(HTMLParser):
             if any(k == "hidden" for k, _ in attrs):
                 dropped = True
             self.containers += 1
-            self.stack.append(_Open(tag, self.containers, dropped, top.article or tag in ("article", "main")))
+            self.stack.append(_Open(tag, self.containers, dropped, top.article or (self.containers if tag in ("article", "main") else 0)))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS or tag in DROPPED:
             self.flush()
         self.tags += 1
+        if tag == "a" or tag in CONTAINERS:
+            self.links = 0
         if tag in CONTAINERS:
             for depth in range(len(self.stack) - 1, 0, -1):
                 if self.stack[depth].tag == tag:
@@ -119,6 +129,7 @@ class Reader(HTMLParser):
     def handle_data(self, data):
         if not self.stack[-1].dropped:
             self.parts.append(data)
+            self.linked += self.links * len(data.strip())
 
     def close(self):
         if re.match(r"<[!/?a-zA-Z]", self.rawdata):
@@ -136,18 +147,18 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """The cut in two clusters, between their means (two-means from the extremes)."""
+    """The cut in two clusters, between their means (two-means from the extremes); the lowest value if these hardly differ."""
     low, high = float(values.min()), float(values.max())
     for _ in range(32):
         cut = (low + high) / 2
         above = values >= cut
         if above.all() or not above.any():
-            return cut
+            break
         new = float(values[~above].mean()), float(values[above].mean())
         if new == (low, high):
-            return cut
+            break
         low, high = new
-    return (low + high) / 2
+    return float(values.min()) if 2 * low > high else (low + high) / 2
 
 
 def main_text(html: str, sigma: float = 1.0) -> str:
@@ -158,18 +169,32 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = reader.lines
     if not lines:
         return ""
-    if any(x.whole for x in lines):
-        return "\n".join(x.text for x in lines if x.whole)
     ratios = smoothed(np.array([len(x.text) / x.tags for x in lines]), sigma)
-    high = ratios >= threshold(ratios)
+    return "\n".join(x.text for x in content(lines, ratios))
+
+
+def content(lines: list[Line], ratios: np.ndarray) -> list[Line]:
+    """The lines of the main text, from their smoothed ratios and the elements they stand in."""
+    hinted = np.array([x.article > 0 for x in lines])
+    high = ratios >= threshold(ratios) * np.where(hinted, 0.5, 1.0)
     first: dict[int, int] = {}
     last: dict[int, int] = {}
     for i in np.flatnonzero(high).tolist():
         first.setdefault(lines[i].container, i)
         last[lines[i].container] = i
-    return "\n".join(
-        x.text for i, x in enumerate(lines) if first.get(x.container, i + 1) <= i <= last.get(x.container, -1)
-    )
+    articles = {lines[i].article for i in np.flatnonzero(high & hinted).tolist()}
+    linked: dict[int, int] = {}
+    low: dict[int, int] = {}
+    for x, up in zip(lines, high.tolist()):
+        linked[x.container] = linked.get(x.container, 0) + 2 * x.linked - len(x.text)
+        low[x.container] = low.get(x.container, 0) + (-1 if up else 1)
+    lists = {x.container for x in lines if 0 < x.article != x.container and linked[x.container] > 0 and low[x.container] > 0}
+    return [
+        x
+        for i, x in enumerate(lines)
+        if x.container not in lists
+        and (x.article in articles or first.get(x.container, i + 1) <= i <= last.get(x.container, -1))
+    ]
 
 
 def extract(
