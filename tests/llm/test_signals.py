@@ -173,6 +173,23 @@ def test_html_computes_ratios_of_every_page(monkeypatch):
     assert seen and seen[0] >= 5
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-sidebar", "right-side", "search-results", "post-share", "no-comments", "sidebar", "widget"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_html_marked_wrapper_keeps_main_text(name, inner):
+    body = "".join(LONG % i for i in range(6))
+    text = html.main_text(f"<body><div class='{name}'><{inner}>{body}</{inner}><div class='comments'><p>Reader says.</p></div></div></body>")
+    assert text.startswith("Paragraph 0") and "\nParagraph 5" in text and "Reader" not in text
+
+
+@pytest.mark.parametrize("name", ["ad", "site-footer", "main-nav", "cookie-notice", "comments-area", "related", "Sidebar left"])
+def test_html_marks_beside_the_main_text(name):
+    body = "".join(LONG % i for i in range(6))
+    for inner in ("article", "div"):
+        text = html.main_text(f"<body><{inner}>{body}</{inner}><div class='{name}'><article><p>{'Other ' * 20}</article></div></body>")
+        assert text.startswith("Paragraph 0") and "\nParagraph 5" in text
+        assert inner == "div" or "Other" not in text
+
+
 def test_html_odd(spark):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>x", "t"), (3, "u", "<p>x", "t"), (None, "u", "<!-- open", "t"), (5, "u", "plain &lt; text", "t"), (6, "u", "<p>" + "word " * 60_000, "t")]
     out = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string"))

@@ -2,7 +2,8 @@
 
 The standard library's streaming parser turns a page into lines, one per block, with the
 number of characters and of tags in it. Lines inside navigation, headers, footers, asides,
-forms, scripts, styles, adverts, notices and reader comments are left out. The ratio of
+forms, scripts and styles are left out, and those in containers marked by class, id or role as
+adverts, notices, reader comments and the like, unless the main text stands in such a one. The ratio of
 characters to tags of the other lines is smoothed by a Gaussian over neighbouring lines and
 clustered in two by a threshold; the containers that hold lines of the high cluster are the
 content, and their lines between the first and the last such line are the text. Article and
@@ -45,14 +46,30 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 CONTAINERS = DROPPED | frozenset(
     "article blockquote body div dl figure header html main ol section table td ul p li".split()
 ) - frozenset({"p", "li"})
-#: Words in class, id or role that mark what is not content.
+#: Classes, ids and roles that mark what is not content, up to the words of NEUTRAL in them.
 MARKED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|"
-    r"overlay|newsletter|subscri\w+|signup|login|comments?|disqus|replies|respond|sidebar|side-bar|"
-    r"side|aside|widget|related|recommend\w*|breadcrumbs?|pagination|pager|share|sharing|social|menu|nav|navbar|"
-    r"navigation|topbar|toolbar|masthead|footer|copyright|skip|alert|contentinfo|complementary|search)"
-    r"(?:[^a-z]|$)"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|"
+    r"overlay|newsletter|subscri\w+|signup|login|comments?|disqus|replies|respond|sidebar|"
+    r"aside|widget|related|recommend\w*|breadcrumbs?|pagination|pager|share|sharing|social|menu|nav|navbar|"
+    r"navigation|topbar|toolbar|masthead|footer|copyright|skip|alert|contentinfo|complementary|search"
 )
+#: The same for an article element.
+REPLY = re.compile(r"comments?|repl(?:y|ies)")
+NEUTRAL = frozenset(
+    "area bar block body bottom box container form global icons inner item items left link links list main message outer "
+    "policy right section site slot text top unit wrap wrapper".split()
+)
+
+
+def marked(value: str, words: re.Pattern = MARKED) -> bool:
+    """Whether one of the names says so with all its words: ``site-footer`` does, ``has-sidebar`` does not."""
+    for name in value.lower().split():
+        if name in ("side", "side-bar") and words is MARKED:
+            return True
+        telling = [w for w in re.split(r"[^a-z]+", name) if w and w not in NEUTRAL]
+        if telling and all(words.fullmatch(w) for w in telling):
+            return True
+    return False
 
 
 @dataclass
@@ -62,6 +79,7 @@ class Line:
     container: int
     article: int
     linked: int
+    marks: tuple[int, ...]
 
 
 @dataclass
@@ -70,6 +88,7 @@ class _Open:
     number: int
     dropped: bool
     article: int
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -86,12 +105,13 @@ class Reader(HTMLParser):
         self.links = 0
         self.linked = 0
         self.containers = 0
+        self.mains: set[int] = set()
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         top = self.stack[-1]
         if text and not top.dropped:
-            self.lines.append(Line(text, max(1, self.tags), top.number, top.article, self.linked))
+            self.lines.append(Line(text, max(1, self.tags), top.number, top.article, self.linked, top.marks))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -103,16 +123,17 @@ class Reader(HTMLParser):
         if tag in CONTAINERS and tag not in VOID:
             self.links = 0
             top = self.stack[-1]
-            marks = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)
+            names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
             dropped = top.dropped or tag in DROPPED or (tag == "header" and not top.article)
-            if marks and tag not in ("html", "body", "main", "article"):
-                dropped = dropped or MARKED.search(marks) is not None
-            elif marks and tag == "article":
-                dropped = dropped or re.search(r"(?:^|[^a-z])(?:comments?|repl(?:y|ies))(?:[^a-z]|$)", marks) is not None
+            doubted = tag not in ("html", "body", "main") and marked(names, REPLY if tag == "article" else MARKED)
             if any(k == "hidden" for k, _ in attrs):
                 dropped = True
             self.containers += 1
-            self.stack.append(_Open(tag, self.containers, dropped, top.article or (self.containers if tag in ("article", "main") else 0)))
+            marks = (*top.marks, self.containers) if doubted else top.marks
+            article = top.article or (self.containers if tag in ("article", "main") and not doubted else 0)
+            if tag == "main":
+                self.mains.update(marks)
+            self.stack.append(_Open(tag, self.containers, dropped, article, marks))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS or tag in DROPPED:
@@ -169,14 +190,42 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     lines = reader.lines
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(x.text) / x.tags for x in lines]), sigma)
-    return "\n".join(x.text for x in content(lines, ratios))
-
-
-def content(lines: list[Line], ratios: np.ndarray) -> list[Line]:
+    if any(x.marks for x in lines):
+        lines = unmarked(lines, reader.mains, sigma)
+    if not lines:
+        return ""
+    ratios = ratios_of(lines, sigma)
+    cut, plain = threshold(ratios), np.array([not x.marks for x in lines])
+    if plain.any():  # a line in a marked container takes no other line's place
+        cut = min(cut, threshold(ratios[plain]))
+    return "\n".join(x.text for x in content(lines, ratios, cut))
+
+
+def ratios_of(lines: list[Line], sigma: float) -> np.ndarray:
+    return smoothed(np.array([len(x.text) / x.tags for x in lines]), sigma)
+
+
+def unmarked(lines: list[Line], mains: set[int], sigma: float) -> list[Line]:
+    """Lines without those in marked containers, but for marks around the page's main text: around
+    a main element, or, if no article stands elsewhere, around one or most of the high cluster."""
+    void = set(mains)
+    if not any(x.article and void.issuperset(x.marks) for x in lines):
+        ratios = ratios_of(lines, sigma)
+        total, within = 0, {}
+        for x, high in zip(lines, ratios >= threshold(ratios)):
+            if x.article:
+                void.update(x.marks)
+            total += high * len(x.text)
+            for mark in x.marks:
+                within[mark] = within.get(mark, 0) + high * len(x.text)
+        void.update(mark for mark, n in within.items() if 2 * n > total)
+    return [x for x in lines if void.issuperset(x.marks)]
+
+
+def content(lines: list[Line], ratios: np.ndarray, cut: float) -> list[Line]:
     """The lines of the main text, from their smoothed ratios and the elements they stand in."""
     hinted = np.array([x.article > 0 for x in lines])
-    high = ratios >= threshold(ratios) * np.where(hinted, 0.5, 1.0)
+    high = ratios >= cut * np.where(hinted, 0.5, 1.0)
     first: dict[int, int] = {}
     last: dict[int, int] = {}
     for i in np.flatnonzero(high).tolist():
