@@ -62,6 +62,23 @@ def test_incremental_entropy_equals_the_plain_one():
         assert {i for a, b in spans for i in range(a, b)} == covered
 
 
+def test_single_case_keys_and_keys_behind_allowed_words():
+    rng, scanner = random.Random(6), secrets.Scanner()
+    for chars in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for _ in range(50):
+            key = "".join(rng.sample(chars, 24)) + "".join(rng.choices(chars, k=8))
+            if re.search("[0-9]", key[:24]):
+                assert ("entropy", 4, 36) in [(k, a, max(b, 36)) for k, a, b in scanner.entropy(f"key {key} end")]
+    key = "k9XvQ2mZr7LtB4wYs8HnC1pD6"
+    for before in ("example/", "sample-", "docs/example_", "xxxx-"):
+        (_, start, end), = scanner.entropy(before + key)
+        assert start <= len(before) < end == len(before + key)
+    for known in (f"sample{key}", "example/path/to/some/longer/file", "internationalisation2026", "XXXXXXXX" + key):
+        assert scanner.entropy(known) == []
+    assert scanner.entropy("x" * 200_000 + "/" + "sample" * 30_000 + "/sample" * 30_000) == []
+    assert scanner.entropy("Ab1" * 100_000) == []
+
+
 def test_allow_list_and_redaction(spark):
     key = "k9XvQ2mZr7LtB4wYs8HnC1pD6"
     rows = [

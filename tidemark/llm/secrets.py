@@ -3,7 +3,8 @@
 Candidate strings are maximal runs of one character class. A window slides along each; the
 counts of its characters change by two per step and so does the sum of c * log2(c), which
 gives the window's Shannon entropy in constant time. Windows at or above the class's
-threshold are joined to spans; candidates that an allow-list knows are left out.
+threshold are joined to spans; candidates that an allow-list knows are left out, and the
+letters and digits around a word like "example", up to the next other character.
 
 Every text is scanned in its own row, so nothing is shuffled. Time is linear in the text.
 
@@ -36,26 +37,31 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Runs of ``chars``; windows of ``window`` characters need ``bits`` and ``mix``."""
+    """Runs of ``chars``; windows of ``window`` characters need ``bits`` and ``mix``. ``bare``: no letter or digit stands beside the run."""
 
     chars: str
     window: int
     bits: float
     mix: tuple[str, ...]
+    bare: bool = False
 
 
 CLASSES = (
     CharClass("0-9A-Fa-f", 20, 3.0, ("0-9", "A-Fa-f")),
     CharClass("A-Za-z0-9+/_-", 20, 3.6, ("0-9", "A-Z", "a-z")),
+    CharClass("0-9a-z", 24, 3.8, ("0-9", "a-z"), True),
+    CharClass("0-9A-Z", 24, 3.8, ("0-9", "A-Z"), True),
 )
 #: Candidates that are known not to be secrets.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"(?i:.*example.*|.*placeholder.*|.*sample.*|x{4,}.*)",
     r"(?:[A-Za-z]+[/_-])+[A-Za-z]*\d{0,4}",  # paths and joined words
     r"\d{4}-\d\d-\d\dT?[\d_-]*",  # dates
     r"[0-9+/_-]+",
 )
+#: What makes the part of a candidate that it stands in, between "+", "/", "_" and "-", no secret.
+ALLOWED_PARTS = re.compile(r"(?i:example|placeholder|sample|(?<![a-z0-9])x{4,})")
+JOINS = re.compile(r"[+/_-]")
 
 
 def high_entropy(run: str, size: int, bits: float, mix: tuple[frozenset, ...]) -> list[tuple[int, int]]:
@@ -99,7 +105,7 @@ class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED):
         self.classes = [
             (
-                re.compile(f"[{c.chars}]{{{c.window},}}"), c.window, c.bits,
+                re.compile(f"(?<![0-9A-Za-z])[{c.chars}]{{{c.window},}}(?![0-9A-Za-z])" if c.bare else f"[{c.chars}]{{{c.window},}}"), c.window, c.bits,
                 tuple(_expanded(m) for m in c.mix),
             )
             for c in classes
@@ -119,8 +125,8 @@ class Scanner:
         spans: list[tuple[int, int]] = []
         for pattern, window, bits, mix in self.classes:
             for m in pattern.finditer(text):
-                if not self.allowed.fullmatch(m[0]):
-                    spans += [(m.start() + a, m.start() + b) for a, b in high_entropy(m[0], window, bits, mix)]
+                for start, run in self.unknown(m[0], m.start()):
+                    spans += [(start + a, start + b) for a, b in high_entropy(run, window, bits, mix)]
         out: list[tuple[int, int]] = []
         for start, end in sorted(spans):
             if out and start <= out[-1][1]:
@@ -129,6 +135,25 @@ class Scanner:
                 out.append((start, end))
         return [("entropy", *s) for s in out]
 
+    def unknown(self, run: str, at: int) -> list[tuple[int, str]]:
+        """What no allow-list knows of a run that starts at ``at``."""
+        if self.allowed.fullmatch(run):
+            return []
+        known = []
+        for m in ALLOWED_PARTS.finditer(run):
+            done = known[-1][1] if known else 0
+            if m.end() > done:
+                start = max(done, *(run.rfind(c, done, m.start()) + 1 for c in "+/_-"))
+                end = JOINS.search(run, m.end())
+                known.append((start, end.start() if end else len(run)))
+        found, start = [], 0
+        for a, b in [*known, (len(run), len(run))]:
+            rest = run[start:a]
+            if rest and (rest == run or not self.allowed.fullmatch(rest.strip("+/_-"))):
+                found.append((at + start, rest))
+            start = b
+        return found
+
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         found = self.base(text) + self.entropy(text)
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
