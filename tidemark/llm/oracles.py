@@ -152,10 +152,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
 FROM d LEFT JOIN h USING (doc_id)"""
 
 
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS MATERIALIZED (SELECT max(len(x)) // {parts} AS n FROM v),
+p AS MATERIALIZED (
+  SELECT r, k::INTEGER AS k, x[k * n + 1:(k + 1) * n]::DOUBLE[] AS x FROM v, w, range({parts}) t(k)),
+low AS (SELECT vec_id, min(r) AS r, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM v GROUP BY vec_id),
+b0 AS MATERIALIZED (SELECT k, i, x FROM low JOIN p USING (r) WHERE i < {entries})"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} AS MATERIALIZED (
+  SELECT p.r, p.k, min((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x)
+    + list_inner_product(b.x, b.x))::BIGINT * {entries} + i) AS best
+  FROM p JOIN b{t} b ON b.k = p.k GROUP BY ALL)""")
+        if t < rounds:
+            steps.append(f"""
+m{t} AS MATERIALIZED (
+  SELECT k, i, list(mean ORDER BY place)::DOUBLE[] AS x FROM (
+    SELECT k, i, place, floor(sum(y) / count(*)) AS mean FROM (
+      SELECT k, best % {entries} AS i, unnest(x) AS y, generate_subscripts(x, 1) AS place
+      FROM a{t} JOIN p USING (r, k)) GROUP BY ALL) GROUP BY ALL),
+b{t + 1} AS MATERIALIZED (
+  SELECT k, i, coalesce(m{t}.x, b{t}.x) AS x FROM b{t} LEFT JOIN m{t} USING (k, i))""")
+    return f"""
+WITH {",".join(steps)},
+final AS (
+  SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY k) AS code, sum(best // {entries})::BIGINT AS error
+  FROM a{rounds} GROUP BY r),
+books AS (
+  SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY k, i, place)) AS sha
+  FROM (SELECT k, i, unnest(x) AS y, generate_subscripts(x, 1) AS place FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256
+FROM final JOIN v USING (r), books"""
+
+
 ALL = {
     "op4_decontamination": decontamination(),
     "op5_minhash_neardup": neardup(),
     "op6_license_scans": license_scans(),
     "op9_quality_rules": quality_rules(),
     "op10_substring_dedup": substring_dedup(),
+    "op13_vector_codes": vector_codes(),
 }
