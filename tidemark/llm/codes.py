@@ -162,7 +162,7 @@ def _migrated(state: DataFrame, books: Codebooks) -> DataFrame:
     return stay.unionByName(arrived)
 
 
-def fit(coded: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4, members: int = 50_000) -> Codebooks:
+def fit(coded: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4, members: int = 2_000) -> Codebooks:
     """Codebooks after ``rounds`` of assigning and updating; owners hold about ``members``."""
     books = first_codebooks(coded, parts, entries)
     if not books or not rounds:

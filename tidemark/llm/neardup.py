@@ -7,18 +7,13 @@ it. The ranks of one shingle are correlated, which lowers the variance against i
 minima, and a document stops as soon as the next rank cannot lower any place.
 
 Signatures are cut in bands. Documents that share a band are candidates, but never as all
-pairs: each round a band group tests a few centres against its other members, confirmed
-links are joined to components by union-find, groups that fell into one component are done,
-and tested centres leave their group. A pair that shares a band is thus tested or already
-connected. Pairs whose signatures, at four bits a place, differ in seven standard deviations
-more places than similar sets would are left out in the join (chance of a loss: under 1e-10);
-every link is confirmed on the full sets, recomputed from the texts.
+pairs: ``links`` tests centres of every band group against its members, after a filter by size
+and parity that loses nothing; every link is confirmed on the full sets, recomputed from the
+texts, and union-find joins them to components.
 
 With 32 bands of 6 places a pair of similarity 0.85 is missed with a chance of 3e-7.
 
-Only ids, band hashes and the sets of candidates are exchanged. Joins on band or centre are
-plain equi-joins, which Spark splits where one key is hot. Components live in tables; the
-driver sees counts only.
+Only ids, band hashes, parities and the sets of candidates are exchanged.
 
 * Null, empty or blank text: empty set, linked with nothing, its own component, kept.
 * Fewer words than a shingle: the whole sequence is the one shingle.
@@ -31,45 +26,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw, texts
+from tidemark.llm.links import MIX, Hashes, connected, mixed, parity, sets_of, shingle_set
 from tidemark.session import pin
 
 BANDS, ROWS = 32, 6
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A fixed 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    if not words:
-        return np.empty(0, np.uint64)
-    each = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    size = min(size, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = mixed(out * _MIX[0] + each[k : len(each) - size + 1 + k])
-    return np.unique(out)
 
 
 def super_minhashes(sets: list[np.ndarray], places: int, chunk: int = 16_384) -> np.ndarray:
@@ -93,9 +57,9 @@ def super_minhashes(sets: list[np.ndarray], places: int, chunk: int = 16_384) ->
                 state, owner, base = state[open_], owner[open_], base[open_]
                 if not len(state):
                     break
-            state = mixed(state + _MIX[0])
+            state = mixed(state + MIX[0])
             fraction = (state >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            state = mixed(state + _MIX[0])
+            state = mixed(state + MIX[0])
             other = base + rank + ((state >> np.uint64(32)) * np.uint64(places - rank) >> np.uint64(32)).astype(np.int64)
             picked = order[other]
             order[other] = order[base + rank]
@@ -112,19 +76,12 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     bits = signature.view(np.uint64).reshape(bands, rows)
     out = np.arange(bands, dtype=np.uint64)
     for k in range(rows):
-        out = mixed(out * _MIX[0] + bits[:, k])
+        out = mixed(out * MIX[0] + bits[:, k])
     return out.view(np.int64)
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """Four bits of every place, sixteen places to a number."""
-    bits = np.zeros(-(-len(signature) // 16) * 16, np.uint64)
-    bits[: len(signature)] = mixed(signature.view(np.uint64)) & np.uint64(15)
-    return (bits.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (hash of the whole set), bands, sketch."""
+    """doc_id, n_shingles, set_key (hash of the whole set), bands, bits (parity)."""
 
     def sign(batches):
         hashes, known = Hashes(), {}
@@ -137,7 +94,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     known.clear()
                 new = {k: s for k, s in zip(keys, sets) if k is not None and k not in known}
                 for key, signature in zip(new, super_minhashes(list(new.values()), bands * rows)):
-                    known[key] = band_hashes(signature, bands, rows), sketch(signature)
+                    known[key] = band_hashes(signature, bands, rows), parity(new[key])
                 found = [known[k] if k is not None else ((), ()) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -147,116 +104,10 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                         pa.array([f[0] for f in found], pa.list_(pa.int64())),
                         pa.array([f[1] for f in found], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                    ["doc_id", "n_shingles", "set_key", "bands", "bits"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
-
-
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """node and its set, from rows of node, set_key and text that hash to that key."""
-
-    def run(batches):
-        hashes = Hashes()
-        for batch in batches:
-            nodes, found = [], []
-            for node, key, body in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2))
-            ):
-                own = shingle_set(body.lower().split(), shingle, hashes)
-                if xxhash.xxh3_128_digest(own.tobytes()) == key:
-                    nodes.append(node)
-                    found.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"]
-            )
-
-    made = docs.select("node", "set_key", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
-    return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-
-def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """``roots`` (node, root) after joining what ``edges`` (a, b) connect.
-
-    Each round every root takes the least root an edge leads to, and these hooks are followed
-    to their ends by doubling; a star of any size is done in one round.
-    """
-    while True:
-        ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
-        across = edges.join(ra, "a").join(rb, "b").where("ra <> rb")
-        across = across.select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("lower"))
-        hooks = pin(across.groupBy("root").agg(F.min("lower").alias("lower")))
-        if hooks.isEmpty():
-            return roots
-        while True:
-            up = hooks.select(F.col("root").alias("lower"), F.col("lower").alias("next"))
-            longer = pin(hooks.join(up, "lower", "left"))
-            hooks = longer.select("root", F.coalesce("next", "lower").alias("lower"))
-            if longer.where("next is not null").isEmpty():
-                break
-        roots = pin(roots.join(hooks, "root", "left").select("node", F.coalesce("lower", "root").alias("root")))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
-    sized = pairs.join(right, "b").join(left, "a").select(
-        "a",
-        "b",
-        F.size(F.array_intersect("sa", "sb")).alias("shared"),
-        (F.size("sa") + F.size("sb")).alias("sizes"),
-    )
-    return sized.where(f"100 * shared >= {percent} * (sizes - shared)").select("a", "b")
-
-
-def _different(a: str, b: str, places: int) -> Column:
-    """In how many places two sketches of four bits a place differ."""
-    total = F.lit(0)
-    for k in range(-(-places // 16)):
-        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
-
-def _connected(groups: DataFrame, sets: DataFrame, percent: int, centres: int, places: int) -> DataFrame:
-    """node, root for the nodes of ``groups`` (key, node, n_shingles, sketch) after all links.
-
-    The first round tests one centre per group, by an order all groups share, so that the
-    bands of one family of copies test the same pairs; later rounds test ``centres`` times as
-    many each.
-    """
-    roots = pin(groups.select("node", F.col("node").alias("root")).distinct())
-    groups = groups.withColumn("root", F.col("node"))
-    tested, slots = None, 1
-    likely = places * (1 - percent / 100) * 15 / 16
-    most = int(likely + 7 * (likely * (1 - likely / places)) ** 0.5) + 1
-    while not groups.isEmpty():
-        slot = F.pmod(F.xxhash64(F.lit(slots), "node"), F.lit(slots))
-        first = F.min_by(F.struct("node", "n_shingles", "sketch", "root"), F.xxhash64("node"))
-        chosen = pin(
-            groups.groupBy("key", slot.alias("slot"))
-            .agg(first.alias("c"))
-            .select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n_shingles", "sketch", "root")))
-        )
-        small, large = F.least("n_shingles", "c_n_shingles"), F.greatest("n_shingles", "c_n_shingles")
-        possible = (
-            (F.col("root") != F.col("c_root"))
-            & (100 * small >= percent * large)
-            & (_different("sketch", "c_sketch", places) <= most)
-        )
-        a, b = F.least("node", "c_node"), F.greatest("node", "c_node")
-        pairs = groups.join(chosen, "key").where(possible).select(a.alias("a"), b.alias("b")).distinct()
-        pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        roots = joined(roots, pin(_verified(pairs, sets, percent)))
-        tested = pairs if tested is None else pin(tested.unionByName(pairs))
-        done = chosen.select("key", F.col("c_node").alias("node"))
-        left = groups.drop("root").join(done, ["key", "node"], "left_anti").join(roots, "node")
-        several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        groups = pin(left.join(several.where("low < high").select("key"), "key"))
-        slots *= centres
-    return roots
+    return docs.mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, bits array<bigint>")
 
 
 def group(
@@ -265,7 +116,7 @@ def group(
     percent: int = 85,
     bands: int = BANDS,
     rows: int = ROWS,
-    centres: int = 64,
+    centres: int = 16,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -278,19 +129,20 @@ def group(
     usable = signed.where("set_key is not null and doc_id is not null")
     classes = pin(
         usable.groupBy("set_key")
-        .agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     keyed = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value")).select(
         "node", "n_shingles", F.xxhash64("band", "value").alias("key")
     )
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    groups = keyed.join(crowded, "key").join(classes.select("node", "sketch"), "node")
-    groups = pin(groups.select("key", "node", "n_shingles", "sketch"))
+    groups = keyed.join(crowded, "key").join(classes.select("node", "bits"), "node")
+    groups = pin(groups.select("key", "node", "n_shingles", "bits"))
     involved = classes.join(groups.select("node").distinct(), "node", "left_semi")
     involved = involved.select("node", "set_key", F.col("low").alias("doc_id"))
-    sets = pin(_sets(bare.join(involved, "doc_id"), shingle))
-    roots = _connected(groups, sets, percent, centres, bands * rows)
+    sets = pin(sets_of(bare.join(involved, "doc_id"), shingle))
+    roots = pin(groups.select("node", F.col("node").alias("root")).distinct())
+    roots = connected(groups, roots, sets, percent, centres)
     member = classes.join(roots, "node", "left").select("set_key", "low", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
     component = member.join(least, "root").select("set_key", "component_id")

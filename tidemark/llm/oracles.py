@@ -63,6 +63,10 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+def jaccard_join() -> str:
+    return f"SELECT doc_id, n_shingles, component_id FROM ({neardup(3, 90)})"
+
+
 def license_scans(rare: int = 4, agree: float = 0.75) -> str:
     notices, keys = [], []
     for t in licenses.TEMPLATES:
@@ -197,5 +201,6 @@ ALL = {
     "op6_license_scans": license_scans(),
     "op9_quality_rules": quality_rules(),
     "op10_substring_dedup": substring_dedup(),
+    "op12_jaccard_join": jaccard_join(),
     "op13_vector_codes": vector_codes(),
 }

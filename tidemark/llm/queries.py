@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import codes, decontaminate, html, licenses, lm, neardup, oracles, packing, quality, secrets, substrings, toxicity
+from tidemark.llm import alignment, codes, decontaminate, html, jaccard, licenses, lm, neardup, oracles, packing, quality, secrets, substrings, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,13 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measured(alignment.aligned(table(spark, sf_dir, "documents"), *alignment.vocabularies()))
+
+
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))

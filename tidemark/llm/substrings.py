@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw, texts
-from tidemark.llm.neardup import Hashes, mixed
+from tidemark.llm.links import Hashes, mixed
 from tidemark.session import pin
 
 WINDOW, GRAM = 13, 6
