@@ -8,7 +8,8 @@ token to the terminal token of its component, which labels its group. Groups thu
 tokens of both sides end.
 
 Both tokenizers always part before a space that follows and precedes other characters, and
-around a line feed between such, so texts are cut there into chunks. The tokens of all chunks
+around a line feed between such, and before a full stop or comma that ends a word, so texts
+are cut there into chunks. The tokens of all chunks
 that a task has not met lately are aligned together, as one vector of tokens; the aligned
 chunks are remembered in two generations of bounded size.
 
@@ -28,6 +29,7 @@ others, none of which can be hot, are joined.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -36,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import texts
-from tidemark.llm.packing import Encoder
+from tidemark.llm.packing import _OTHER, Encoder
 from tidemark.session import pin
 
 #: Pairs that travel with the documents, at most.
 HEAD = 400_000
 #: Chunks whose alignment one generation of a task's memory holds.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: An id pair as one number: A's id above, B's below.
 _BITS = 16
 
@@ -102,70 +104,85 @@ class Aligner:
         whole = [self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(w[3:5], 16)]) if self.b.is_byte(i) else w for i, w in enumerate(whole)]
         self.b_size = np.array([len(w) for w in self.b_bytes], np.int64)
+        ids = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
+        self.shown = [np.array([i + mark for i in ids], object) for mark in "|;,"]
+        # A full stop or comma after a letter or digit is a token of its own, but for those B joins.
+        joined = {c for w in self.b_bytes for c in re.findall(r"([^\W_])[.,]", w.decode("utf-8", "ignore"))}
+        self.mark = re.compile(rf"(?<=[^\W_{re.escape(''.join(joined))}])([.,])(?=[ \n]|\Z)")
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
+    def _sound(self, chunks: list[str], sides: list[list[list[int]]]) -> list[bool]:
+        """Which chunks' tokens give their bytes on both sides."""
+        bodies = [c.encode() for c in chunks]
+        sizes = np.array([len(b) for b in bodies])
+        flat = [np.fromiter((i for x in side for i in x), np.int64) for side in sides]
+        tills = [np.cumsum([len(x) for x in side]) for side in sides]
+        a_all, b_all = (np.diff(np.r_[0, np.r_[0, np.cumsum(size[ids])][till]]) for size, ids, till in zip((self.a_size, self.b_size), flat, tills))
+        if (a_all == sizes).all() and (b_all == sizes).all() and b"".join([self.b_bytes[i] for i in flat[1].tolist()]) == b"".join(bodies):
+            return [True] * len(chunks)
+        return [
+            n == len(body) and b"".join([self.b_bytes[i] for i in b]) == body
+            for n, body, b in zip(a_all.tolist(), bodies, sides[1])
+        ]
+
     def _aligned(self, chunks: list[str]) -> None:
         """Aligns chunks together and remembers (tokens of A, of B, groups, pairs, listing)."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b_ids = self.b.encode(chunks, num_threads=1)
-        sound, a_sound, b_sound = [], [], []
-        for chunk, a, b in zip(chunks, a_ids, b_ids):
-            body = chunk.encode()
-            if int(self.a_size[a].sum()) == len(body) and b"".join([self.b_bytes[i] for i in b]) == body:
-                sound.append(chunk)
-                a_sound.append(a)
-                b_sound.append(b)
-            else:
-                self.known[chunk] = None
-        if not sound:
-            return
-        a_n, b_n = (np.array([len(x) for x in side]) for side in (a_sound, b_sound))
-        a_all, b_all = (np.fromiter((i for x in side for i in x), np.int64) for side in (a_sound, b_sound))
+        sides = [[e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.b.encode(chunks, num_threads=1)]
+        sound = self._sound(chunks, sides)
+        if not all(sound):
+            self.known.update((c, None) for c, s in zip(chunks, sound) if not s)
+            chunks, *sides = ([x for x, s in zip(xs, sound) if s] for xs in (chunks, *sides))
+            if not chunks:
+                return
+        a_all, b_all = (np.fromiter((i for x in side for i in x), np.int64) for side in sides)
+        a_till, b_till = (np.cumsum([len(x) for x in side]) for side in sides)
         a_ends, b_ends = np.cumsum(self.a_size[a_all]), np.cumsum(self.b_size[b_all])
         of_a, of_b = terminals(a_ends, b_ends)
         at_a, at_b = links(a_ends, b_ends)
         pairs = ((a_all[at_a] << _BITS) | b_all[at_b]).astype("<u4").tobytes()
-        link_ends = np.cumsum(np.bincount(at_a, minlength=len(a_all)))
-        a_last = np.r_[of_a[1:] != of_a[:-1], True].tolist()
-        b_last = np.r_[of_b[1:] != of_b[:-1], True].tolist()
-        a_at = b_at = link_at = 0
-        for chunk, ids_a, ids_b, m, n in zip(sound, a_sound, b_sound, a_n.tolist(), b_n.tolist()):
-            left, right = ([[]], [[]])
-            for side, ids, last in ((left, ids_a, a_last[a_at : a_at + m]), (right, ids_b, b_last[b_at : b_at + n])):
-                for i, ends in zip(ids, last):
-                    side[-1].append(str(i))
-                    if ends:
-                        side.append([])
-            listing = ";".join([",".join(x) + "|" + ",".join(y) for x, y in zip(left[:-1], right[:-1])])
-            a_at, b_at = a_at + m, b_at + n
-            link_end = int(link_ends[a_at - 1])
-            self.known[chunk] = (m, n, len(left) - 1, pairs[4 * link_at : 4 * link_end], listing)
-            link_at = link_end
-
-    def align(self, text: str) -> tuple[list[int], np.ndarray, str] | None:
-        """([tokens of A, of B, groups], pair of every link, listing of groups), or None."""
-        if not text or "▁" in text:
-            return None
-        chunks = self.cutter.chunks(" " + text)
-        chunks = [c for c in chunks if c]
-        new = set(chunks).difference(self.known)
+        link_till = np.cumsum(np.bincount(at_a, minlength=len(a_all)))[a_till - 1]
+        a_last, b_last = (np.r_[x[1:] != x[:-1], True] for x in (of_a, of_b))
+        group_till = np.cumsum(a_last)[a_till - 1]
+        # Ids with their separators, group by group: A's tokens, then B's.
+        group = np.r_[np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last]
+        text = np.r_[np.where(a_last, self.shown[0][a_all], self.shown[2][a_all]), np.where(b_last, self.shown[1][b_all], self.shown[2][b_all])]
+        order = np.argsort(2 * group + np.r_[np.zeros(len(a_all), int), np.ones(len(b_all), int)], kind="stable")
+        text = text[order].tolist()
+        at = [0, 0, 0, 0]
+        for chunk, *till in zip(chunks, a_till.tolist(), b_till.tolist(), group_till.tolist(), link_till.tolist()):
+            m, n, groups, _ = (t - f for t, f in zip(till, at))
+            listing = "".join(text[at[0] + at[1] : till[0] + till[1]])[:-1]
+            self.known[chunk] = (m, n, groups, pairs[4 * at[3] : 4 * till[3]], listing)
+            at = till
+
+    def chunks(self, text: str) -> list[str]:
+        """Parts that no token of either side reaches across."""
+        if not _OTHER.search(text) and len(text.split()) == text.count(" ") + text.count("\n"):
+            return self.mark.sub("\0\\1", text).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return [c for chunk in self.cutter.chunks(text) for c in self.mark.sub("\0\\1", chunk).split("\0")] if "\0" not in text else [text]
+
+    def align(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, str] | None]:
+        """Per text ([tokens of A, of B, groups], pair of every link, listing of groups), or None."""
+        cut = [list(filter(None, self.chunks(" " + t))) if t and "▁" not in t else [] for t in texts]
+        met = set().union(*cut)
+        new = met.difference(self.known)
         if new:
             if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {}
-                new = set(chunks)
-            fresh = []
-            for c in new:
-                if c in self.older:
-                    self.known[c] = self.older[c]
-                else:
-                    fresh.append(c)
-            self._aligned(fresh)
-        found = list(map(self.known.__getitem__, chunks))
-        if None in found:
-            return None
-        a, b, groups, pairs, listing = zip(*found)
-        return [sum(a), sum(b), sum(groups)], np.frombuffer(b"".join(pairs), "<u4").astype(np.int64), ";".join(listing)
+                self.older, self.known, new = self.known, {}, met
+            held = {c for c in new if c in self.older}
+            self.known.update((c, self.older[c]) for c in held)
+            if fresh := list(new - held):
+                self._aligned(fresh)
+        out = []
+        for chunks in cut:
+            found = list(map(self.known.__getitem__, chunks))
+            if not found or None in found:
+                out.append(None)
+                continue
+            a, b, groups, pairs, listing = zip(*found)
+            out.append(([sum(a), sum(b), sum(groups)], np.frombuffer(b"".join(pairs), "<u4").astype(np.int64), ";".join(listing)))
+        return out
 
 
 @lru_cache(1)
@@ -187,8 +204,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False
         aligner = _aligner(path_a, path_b)
         for batch in batches:
             numbers, sha, listings, pairs, times = [], [], [], [], []
-            for body in batch.column(1).to_pylist():
-                found = aligner.align(body)
+            bodies = batch.column(1).to_pylist()
+            for found in (f for at in range(0, len(bodies), 32) for f in aligner.align(bodies[at : at + 32])):
                 if found is None:
                     numbers.append([0, 0, 0, 0])
                     sha.append("")

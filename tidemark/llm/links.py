@@ -17,6 +17,8 @@ Components live in tables; the driver sees counts only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -84,30 +86,40 @@ def possible(n: Column, m: Column, bits: Column, other: Column, percent: int) ->
     return fits & (unlike(bits, other) * (100 + percent) <= (100 - percent) * (n + m))
 
 
-def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """node and its set, from rows of node, set_key and text that hash to that key."""
+#: Documents up to which a list of them travels to the texts instead of meeting them in a shuffle.
+FEW_NODES = 500_000
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and its full set, for ``nodes``; ``classes`` says which document holds the set of
+    which node (node, set_key, low)."""
 
     def run(batches):
         hashes = Hashes()
         for batch in batches:
-            nodes, found = [], []
+            found, sets = [], []
             for node, key, body in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2))
             ):
                 own = shingle_set(body.lower().split(), shingle, hashes)
                 if xxhash.xxh3_128_digest(own.tobytes()) == key:
-                    nodes.append(node)
-                    found.append(own.view(np.int64))
+                    found.append(node)
+                    sets.append(own.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"]
+                [pa.array(found, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
             )
 
-    made = docs.select("node", "set_key", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
-    return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    held = pin(classes.join(nodes, "node", "left_semi").select("node", "set_key", F.col("low").alias("doc_id")))
+    held = F.broadcast(held) if held.count() <= FEW_NODES else held
+    rows = docs.join(held, "doc_id").select("node", "set_key", "text")
+    made = rows.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return pin(made.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar, with the shared elements."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar, with the shared elements."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = sets_of(docs, classes, nodes, shingle)
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
     sized = pairs.join(right, "b").join(left, "a").select(
         "a",
@@ -115,7 +127,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.size(F.array_intersect("sa", "sb")).alias("shared"),
         (F.size("sa") + F.size("sb")).alias("sizes"),
     )
-    return sized.where(f"100 * shared >= {percent} * (sizes - shared)").select("a", "b", "shared")
+    return pin(sized.where(f"100 * shared >= {percent} * (sizes - shared)").select("a", "b", "shared"))
 
 
 def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,10 +159,17 @@ def _several(groups: DataFrame) -> DataFrame:
 
 
 def connected(
-    groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, centres: int, both_over: int = 0
+    groups: DataFrame,
+    roots: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    percent: int,
+    centres: int,
+    both_over: int = 0,
 ) -> DataFrame:
     """``roots`` (node, root) after all links within ``groups`` (key, node, n_shingles, bits).
 
+    ``verify`` returns the links among pairs (a, b) that passed the filter.
+
     The first round tests one centre per group, by an order all groups share, so that the
     groups of one family test the same pairs. Pairs of which no set is larger than
     ``both_over`` are left out.
@@ -172,7 +191,7 @@ def connected(
         a, b = F.least("node", "c_node"), F.greatest("node", "c_node")
         pairs = pin(groups.join(chosen, "key").where(near).select(a.alias("a"), b.alias("b")).distinct())
         if not pairs.isEmpty():
-            roots = joined(roots, pin(verified(pairs, sets, percent)))
+            roots = joined(roots, verify(pairs))
         done = chosen.select("key", F.col("c_node").alias("node"))
         left = groups.drop("root").join(done, ["key", "node"], "left_anti")
         groups = _several(left.join(roots, "node"))

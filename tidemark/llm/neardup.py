@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw, texts
-from tidemark.llm.links import MIX, Hashes, connected, mixed, parity, sets_of, shingle_set
+from tidemark.llm.links import MIX, Hashes, connected, mixed, parity, shingle_set, verified
 from tidemark.session import pin
 
 BANDS, ROWS = 32, 6
@@ -138,11 +138,8 @@ def group(
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     groups = keyed.join(crowded, "key").join(classes.select("node", "bits"), "node")
     groups = pin(groups.select("key", "node", "n_shingles", "bits"))
-    involved = classes.join(groups.select("node").distinct(), "node", "left_semi")
-    involved = involved.select("node", "set_key", F.col("low").alias("doc_id"))
-    sets = pin(sets_of(bare.join(involved, "doc_id"), shingle))
     roots = pin(groups.select("node", F.col("node").alias("root")).distinct())
-    roots = connected(groups, roots, sets, percent, centres)
+    roots = connected(groups, roots, lambda pairs: verified(pairs, bare, classes, shingle, percent), percent, centres)
     member = classes.join(roots, "node", "left").select("set_key", "low", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
     component = member.join(least, "root").select("set_key", "component_id")
