@@ -2,6 +2,8 @@
 
 import random
 
+from plain_split import split_nested_text
+
 from tidemark.functions import statements as st
 from tidemark.sources import scripts as sc
 
@@ -58,12 +60,12 @@ def test_broken(spark):
 
 def test_helper_cases():
     for text, expected in CASES:
-        assert st.split_nested_text(text) == (expected, None), text
+        assert split_nested_text(text) == (expected, None), text
 
 
 def test_helper_broken():
     for text, expected in BROKEN:
-        assert st.split_nested_text(text) == (None, expected), text
+        assert split_nested_text(text) == (None, expected), text
 
 
 def test_both_ways_agree_on_random_scripts(spark):
@@ -72,7 +74,25 @@ def test_both_ways_agree_on_random_scripts(spark):
     parts = ["'", "''", '"', ";", "--", "\n", "/*", "*/", "/", "*", "-", "$", "$$", "$a$", "$1", "E'", "e'", "xE'", "\\", "\\'", " ", "é", "a", "_", "1", "\t", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
     for text, got in zip(texts, split_all(spark, texts)):
-        assert got == st.split_nested_text(text), text
+        assert got == split_nested_text(text), text
+
+
+def test_comments_nest_to_any_depth(spark):
+    deep = lambda n: "/* a; " * n + "'" + " b; */" * n
+    texts = [
+        f"x; {deep(40)}; y '{deep(2)}', /*/ ; /* '*/ ; */ */ 1; z", f"{deep(st.DEEPEST)} z; u", f"{deep(9)} /* /* */ ; z", "a /* /* */; b",
+        "select '*/' /* one /* two */ ; */; '/*' ; -- /* /*\nq", deep(st.DEEPEST + 1),
+    ]
+    got = split_all(spark, texts)
+    for text, found in zip(texts[:-1], got):
+        assert found == split_nested_text(text), text[:60]
+    assert got[-1] == (None, st.TOO_DEEP)
+
+
+def test_scripts_never_leave_the_jvm(spark):
+    df = spark.createDataFrame([("a /* /* */ */",)], "content string")
+    plan = st.verdict(st.split(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
 def test_long_scripts(spark):
@@ -109,4 +129,5 @@ def test_import_markers_are_comments(spark):
 def test_split_is_computed_once(spark):
     df = spark.createDataFrame([("a", "1", "x;y")], "db_id string, name string, content string")
     plan = sc.statements(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract_all") <= 2  # the runs, and the pieces of open scripts
+    # The runs and the pieces of open scripts, both also for nested comments, and their edges.
+    assert plan.count("regexp_extract_all") <= 5

@@ -3,21 +3,17 @@
 A script is cut at every ``;`` that lies outside quotes, comments and dollar-quoted
 bodies.  Two regular expressions do that JVM-side: one tells whether every piece that
 can hide a ``;`` is closed, the other extracts the runs between the cuts.  A script that
-is not closed is looked at piece by piece for the reason.  Only scripts with *nested*
-block comments, which are no regular language, go through the small Arrow helper at the
-end.
+is not closed is looked at piece by piece for the reason.
+
+Block comments that nest are no regular language, but those up to a known depth are one.
+One aggregate over the comment edges of such a script gives a depth that it cannot exceed,
+and the same expressions are built for that depth.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.names import WHITE_SPACE
 
@@ -30,21 +26,24 @@ NOT_TEXT = "stream did not contain valid UTF-8"
 CANNOT_SPLIT = "cannot split migration into statements: "
 NO_STATEMENTS = "migration file contains no SQL statements"
 
+#: Nesting up to which comments are followed; each level costs the matcher some of its stack.
+DEEPEST = 300
+TOO_DEEP = f"block comments nest more than {DEEPEST} deep"
+
 # Possessive quantifiers keep the matcher iterative, whatever the length of the text.
 _TAG = r"(?:[A-Za-z_][A-Za-z0-9_]*+)?+"
 _DOLLAR = rf"\$({_TAG})\$[\s\S]*?\$\1\$"
-_FLAT_COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+\*/"
+_IN_COMMENT = r"[^*/]++|\*(?!/)|/(?!\*)"
+_FLAT_COMMENT = rf"/\*(?:{_IN_COMMENT})*+\*/"
 
-# What a closed script consists of, apart from the cuts.  A quote knows by looking back
-# whether it opens an escape string, so that plain text is matched in long runs.
+# What a closed script consists of, apart from the cuts and comments.  A quote knows by
+# looking back whether it opens an escape string, so that plain text is matched in long runs.
 _AFTER_E = r"(?<![A-Za-z0-9_])[eE]"
 _CLOSED = (
     r"""(?:[^;'"$/\-]++|-(?!-)|/(?!\*))++|--[^\n]*+|"[^"]*+\""""
     rf"|(?<!{_AFTER_E})'[^']*+'|(?<={_AFTER_E})'(?:[^'\\]++|\\[\s\S]|'')*+'"
-    rf"|{_FLAT_COMMENT}|{_DOLLAR}|\$(?!{_TAG}\$)"
+    rf"|{_DOLLAR}|\$(?!{_TAG}\$)"
 )
-_WHOLE = rf"^(?:{_CLOSED}|;)*+\z"
-_RUN = rf"(?:{_CLOSED})++"
 
 # Any script, piece by piece: each hiding piece closed first, then open to the end.
 _ESCAPED = r"(?<![A-Za-z0-9_])[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'"
@@ -56,18 +55,40 @@ _QUOTES = (
     + r'|"[^"]*+"|"[\s\S]*+'
     + rf"|{_DOLLAR}|\${_TAG}\$[\s\S]*+"
 )
-_PIECES = rf"{_PLAIN}|--[^\n]*+|/\*[\s\S]*?\*/|/\*[\s\S]*+|{_QUOTES}|[\s\S]"
-_LEADING = r"^(?:[ \t\n\f\r]++|--[^\n]*+|/\*[\s\S]*?\*/)*+"
-
-SPLIT_TYPE = T.StructType(
-    [
-        T.StructField("statements", T.ArrayType(T.StringType())),
-        T.StructField("error", T.StringType()),
-    ]
-)
+# Edges of comments; where two overlap, those that lead deeper.
+_EDGES = r"/(?=\*)|(?<!/)\*(?=/)"
+
+
+def _around(comment: str | Column) -> dict[str, Column]:
+    """The expressions for scripts whose closed comments match ``comment``."""
+
+    def around(before: str, after: str) -> Column:
+        if isinstance(comment, str):
+            return F.lit(before + comment + after)  # a constant, which Spark compiles once
+        return F.concat(F.lit(before), comment, F.lit(after))
+
+    return {
+        "whole": around(rf"^(?:{_CLOSED}|", r"|;)*+\z"),
+        "run": around(rf"(?:{_CLOSED}|", ")++"),
+        "pieces": around(rf"{_PLAIN}|--[^\n]*+|", rf"|/\*[\s\S]*+|{_QUOTES}|[\s\S]"),
+        "leading": around(r"^(?:[ \t\n\f\r]++|--[^\n]*+|", ")*+"),
+        "comment": around("^", r"\z"),
+    }
+
+
+def _nesting(text: Column) -> Column:
+    """How deep the comments of a script can nest at most."""
+    edges = F.regexp_extract_all(text, F.lit(_EDGES), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, edge: Column) -> Column:
+        now = F.greatest(s["now"] + F.when(edge == "/", 1).otherwise(-1), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
 
+    return F.aggregate(edges, start, step)["most"]
 
-def _open_piece(last: Column) -> Column:
+
+def _open_piece(last: Column, comment: Column) -> Column:
     """Which error the last piece of a script means, if it was never closed."""
     def unclosed(mark: str) -> Column:
         return F.startswith(last, F.lit(mark)) & (
@@ -75,10 +96,7 @@ def _open_piece(last: Column) -> Column:
         )
 
     return (
-        F.when(
-            F.startswith(last, F.lit("/*")) & ~F.contains(F.substr(last, F.lit(3)), F.lit("*/")),
-            OPEN_COMMENT,
-        )
+        F.when(F.startswith(last, F.lit("/*")) & ~F.rlike(last, comment), OPEN_COMMENT)
         .when(unclosed("'"), OPEN_STRING)
         .when(last.rlike("^[eE]'") & ~last.rlike(rf"^{_ESCAPED}\z"), OPEN_STRING)
         .when(unclosed('"'), OPEN_IDENTIFIER)
@@ -95,32 +113,48 @@ def split(df: DataFrame, content: str = "content") -> DataFrame:
     ``content`` holds bytes or text; null stays null.  The steps are columns of their
     own, so that each is computed once per script.
     """
-    text, closed, pieces = F.col("_text"), F.col("_closed"), F.col("_pieces")
+    text, nested = F.col("_text"), F.col("_nested")
     raw = F.col(content).cast("string")
-    nested = F.exists(
-        pieces,
-        lambda p: F.startswith(p, F.lit("/*")) & F.contains(F.substr(p, F.lit(3)), F.lit("/*")),
+    flat, deep = _around(_FLAT_COMMENT), _around(F.col("_comment"))
+    more = F.greatest(F.col("_depth"), F.lit(1)) - 1
+    comment = F.concat(
+        F.repeat(F.lit(rf"/\*(?:{_IN_COMMENT}|"), more), F.lit(_FLAT_COMMENT), F.repeat(F.lit(r")*+\*/"), more)
     )
-    runs = F.transform(
-        F.when(closed, F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))),
-        lambda s: F.btrim(F.regexp_replace(s, _LEADING, ""), F.lit(WHITE_SPACE)),
+    inner = F.exists(
+        "_pieces",
+        lambda p: F.startswith(p, F.lit("/*")) & F.contains(F.substr(p, F.lit(3)), F.lit("/*")),
     )
-    found = F.when(closed, F.filter(runs, lambda s: s != ""))
-    error = _open_piece(F.try_element_at(pieces, F.lit(-1)))
+
+    def runs(closed: Column, by: dict[str, Column]) -> Column:
+        found = F.transform(
+            F.when(closed, F.regexp_extract_all(text, by["run"], F.lit(0))),
+            lambda s: F.btrim(F.regexp_replace(s, by["leading"], F.lit("")), F.lit(WHITE_SPACE)),
+        )
+        return F.filter(found, lambda s: s != "")
+
+    def error(pieces: str, by: dict[str, Column]) -> Column:
+        return _open_piece(F.try_element_at(pieces, F.lit(-1)), by["comment"])
+
+    closed, closed_deep = F.col("_closed"), F.col("_closed_deep")
+    too_deep = F.col("_depth") > DEEPEST
     return (
         df.withColumn("_text", F.when(F.is_valid_utf8(raw), raw))
-        .withColumn("_closed", text.rlike(_WHOLE))
-        .withColumn("_pieces", F.when(~closed, F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))))
-        .withColumn("_nested", F.coalesce(nested, F.lit(False)))
-        .withColumn("_by_hand", _split_nested(F.when(F.col("_nested"), text)))
-        .withColumn("statements", F.when(F.col("_nested"), F.col("_by_hand.statements")).otherwise(found))
+        .withColumn("_closed", F.rlike(text, flat["whole"]))
+        .withColumn("_pieces", F.when(~closed, F.regexp_extract_all(text, flat["pieces"], F.lit(0))))
+        .withColumn("_nested", F.coalesce(inner, F.lit(False)))
+        .withColumn("_depth", F.when(nested, _nesting(text)))
+        .withColumn("_comment", F.when(~too_deep, comment))
+        .withColumn("_closed_deep", F.when(F.col("_comment").isNotNull(), F.rlike(text, deep["whole"])))
+        .withColumn("_pieces_deep", F.when(~closed_deep, F.regexp_extract_all(text, deep["pieces"], F.lit(0))))
+        .withColumn("statements", F.when(nested, runs(closed_deep, deep)).otherwise(runs(closed, flat)))
         .withColumn(
             "split_error",
             F.when(text.isNull() & F.col(content).isNotNull(), NOT_TEXT)
-            .when(F.col("_nested"), F.col("_by_hand.error"))
-            .when(~closed, error),
+            .when(too_deep, TOO_DEEP)
+            .when(nested, F.when(~closed_deep, error("_pieces_deep", deep)))
+            .when(~closed, error("_pieces", flat)),
         )
-        .drop("_text", "_closed", "_pieces", "_nested", "_by_hand")
+        .drop("_text", "_closed", "_pieces", "_nested", "_depth", "_comment", "_closed_deep", "_pieces_deep")
     )
 
 
@@ -140,59 +174,3 @@ def verdict(df: DataFrame) -> DataFrame:
         .withColumn("ok", F.col("error").isNull())
         .drop("_count", "split_error")
     )
-
-
-# Executors need not have this package installed: the helper travels with its code.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_TOKEN = re.compile(rf"{_PLAIN}|--[^\n]*+|/\*|{_QUOTES}|[\s\S]")
-_COMMENT_EDGE = re.compile(r"\*/|/\*")
-
-
-def _comment_end(text: str, at: int) -> int | None:
-    """Offset after the block comment opened before ``at``, counting nested ones."""
-    depth = 1
-    for edge in _COMMENT_EDGE.finditer(text, at):
-        depth += 1 if edge.group() == "/*" else -1
-        if depth == 0:
-            return edge.end()
-    return None
-
-
-def split_nested_text(text: str) -> tuple[list[str] | None, str | None]:
-    """The same split for one script whose comments nest."""
-    out: list[str] = []
-    start, at = None, 0
-    while at < len(text):
-        piece = _TOKEN.match(text, at)
-        token, end = piece.group(), piece.end()
-        head = token[:1]
-        if token == "/*":
-            end = _comment_end(text, end)
-            if end is None:
-                return None, OPEN_COMMENT
-        elif token == ";":
-            if start is not None:
-                out.append(text[start:at].strip(WHITE_SPACE))
-            start = None
-        elif not token.startswith("--"):
-            if head in "'\"" and (len(token) < 2 or token[-1] != head):
-                return None, OPEN_STRING if head == "'" else OPEN_IDENTIFIER
-            if token[1:2] == "'" and head in "eE" and not re.fullmatch(_ESCAPED, token):
-                return None, OPEN_STRING
-            tag = re.match(rf"\$({_TAG})\$", token)
-            if tag and not token.endswith(tag.group(), tag.end()):
-                return None, OPEN_DOLLAR % tag.group(1)
-            blank = len(token) - len(token.lstrip(" \t\n\f\r"))
-            if start is None and blank < len(token):
-                start = at + blank
-        at = end
-    if start is not None:
-        out.append(text[start:].strip(WHITE_SPACE))
-    return [s for s in out if s], None
-
-
-@F.pandas_udf(SPLIT_TYPE)
-def _split_nested(texts: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if t is None else split_nested_text(t) for t in texts]
-    return pd.DataFrame(rows, columns=["statements", "error"])
