@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import exact, quoted
+from tidemark.functions.columns import exact, free_names, quoted
 
 
 def add_column(df: DataFrame, name: str, dtype: str, default=None) -> DataFrame:
@@ -49,12 +49,14 @@ def _fitted(df: DataFrame, column: str, dtype: str) -> Column:
 
 def change_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast columns; ``rejected`` lists those whose value does not fit the new type."""
-    fitted = df.withColumns({f"_new_{c}": _fitted(df, c, t) for c, t in types.items()})
-    lost = [
-        F.when(exact(c).isNotNull() & exact(f"_new_{c}").isNull(), F.lit(c)) for c in types
-    ]
-    shown = [exact(f"_new_{c}").alias(c) if c in types else exact(c) for c in df.columns]
-    return fitted.select(*shown, F.array_compact(F.array(*lost)).alias("rejected"))
+    (packed,) = free_names("_new", df)
+    values = F.struct(*[_fitted(df, c, t).alias(f"v{k}") for k, (c, t) in enumerate(types.items())])
+    fitted = df.withColumn(packed, values) if types else df
+    new = {c: F.col(packed)[f"v{k}"] for k, c in enumerate(types)}
+    lost = [F.when(exact(c).isNotNull() & new[c].isNull(), F.lit(c)) for c in types]
+    shown = [new[c].alias(c) if c in types else exact(c) for c in df.columns]
+    rejected = F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>")
+    return fitted.select(*shown, rejected.alias("rejected"))
 
 
 def split_rejects(changed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import exact, free_names
 from tidemark.session import pin
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
@@ -24,47 +25,43 @@ def attach(rows: DataFrame, lookup: DataFrame, on: list[str], how: str = "left")
     already partitioned by the key and would not be shuffled again; the key's hash as
     a second join column sees to it.
     """
-    tag = F.xxhash64(*on)
-    return (
-        rows.withColumn("_hash", tag)
-        .join(lookup.withColumn("_hash", tag), [*on, "_hash"], how)
-        .drop("_hash")
-    )
+    (tag,) = free_names("_hash", rows, lookup)
+    value = F.xxhash64(*map(exact, on))
+    return rows.withColumn(tag, value).join(lookup.withColumn(tag, value), [*on, tag], how).drop(tag)
+
+
+_OWN = "_at _chunk _row _n _first _shift _top _carry _place"
 
 
-def _sorted_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def _sorted_rows(df: DataFrame, by: list[str], order: list[str], own: list[str]) -> DataFrame:
     """``df`` range-partitioned and sorted, each row with its chunk and row number.
 
     The chunks are balanced whatever the keys are.  They are pinned because their
     bounds come from sampling and two evaluations could differ.
     """
-    marked = pin(df.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()))
-    return marked.withColumn("_chunk", F.shiftright("_at", _ROW_BITS)).withColumn(
-        "_row", F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    at, chunk, row = own[:3]
+    marked = pin(df.orderBy(*map(exact, [*by, *order])).withColumn(at, F.monotonically_increasing_id()))
+    return marked.withColumn(chunk, F.shiftright(at, _ROW_BITS)).withColumn(
+        row, F.col(at).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     )
 
 
-def _before(by: list[str]):
+def _before(by: list[str], chunk: str):
     """Earlier chunks of the same key: at most one row per chunk, so a small window."""
-    return Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*map(exact, by)).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def placed(df: DataFrame, by: list[str], order: list[str], position: str = "pos") -> DataFrame:
     """Add the 0-based position of each row in its ``by`` group; ``order`` must be total."""
-    rows = _sorted_rows(df, by, order)
-    chunks = rows.groupBy(*by, "_chunk").agg(
-        F.count("*").alias("_n"), F.min("_row").alias("_first")
-    )
-    starts = chunks.select(
-        *by,
-        "_chunk",
-        (F.coalesce(F.sum("_n").over(_before(by)), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    return (
-        rows.join(starts, [*by, "_chunk"])
-        .withColumn(position, F.col("_row") + F.col("_shift"))
-        .drop("_at", "_chunk", "_row", "_shift")
-    )
+    own = free_names(_OWN, df)
+    at, chunk, row, n, first, shift = own[:6]
+    rows = _sorted_rows(df, by, order, own)
+    keys = [*map(exact, by), F.col(chunk)]
+    chunks = rows.groupBy(*keys).agg(F.count("*").alias(n), F.min(row).alias(first))
+    earlier = F.coalesce(F.sum(n).over(_before(by, chunk)), F.lit(0))
+    starts = chunks.select(*keys, (earlier - F.col(first)).alias(shift))
+    out = rows.join(starts, [*by, chunk]).withColumn(position, F.col(row) + F.col(shift))
+    return out.select(*[exact(c) for c in df.columns if c != position], exact(position))
 
 
 def rising(
@@ -81,30 +78,20 @@ def rising(
     s(i) = i + max(floor + 1, max over j <= i of value(j) - j).  Counts and maxima are
     taken per chunk, carried over the chunks, and finished inside each chunk.
     """
-    rows = _sorted_rows(df, by, order)
-    chunks = rows.groupBy(*by, "_chunk").agg(
-        F.count("*").alias("_n"),
-        F.min("_row").alias("_first"),
-        F.max(F.col(value) - F.col("_row")).alias("_top"),
-    )
-    starts = chunks.withColumn(
-        "_shift", F.coalesce(F.sum("_n").over(_before(by)), F.lit(0)) - F.col("_first")
-    )
-    carried = starts.select(
-        *by,
-        "_chunk",
-        "_shift",
-        F.max(F.col("_top") - F.col("_shift")).over(_before(by)).alias("_carry"),
+    own = free_names(_OWN, df)
+    at, chunk, row, n, first, shift, top, carry, place = own
+    rows = _sorted_rows(df, by, order, own)
+    keys = [*map(exact, by), F.col(chunk)]
+    chunks = rows.groupBy(*keys).agg(
+        F.count("*").alias(n), F.min(row).alias(first), F.max(exact(value) - F.col(row)).alias(top)
     )
+    before = _before(by, chunk)
+    starts = chunks.withColumn(shift, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first))
+    carried = starts.select(*keys, shift, F.max(F.col(top) - F.col(shift)).over(before).alias(carry))
     inside = (
-        Window.partitionBy(*by, "_chunk")
-        .orderBy("_row")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = rows.join(carried, [*by, "_chunk"]).withColumn(
-        "_place", F.col("_row") + F.col("_shift")
+        Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    lead = F.max(F.col(value) - F.col("_place")).over(inside)
-    return joined.withColumn(
-        result, F.col("_place") + F.greatest(floor + 1, F.col("_carry"), lead)
-    ).drop("_at", "_chunk", "_row", "_shift", "_carry", "_place")
+    joined = rows.join(carried, [*by, chunk]).withColumn(place, F.col(row) + F.col(shift))
+    lead = F.max(exact(value) - F.col(place)).over(inside)
+    out = joined.withColumn(result, F.col(place) + F.greatest(floor + 1, F.col(carry), lead))
+    return out.select(*[exact(c) for c in df.columns if c != result], exact(result))

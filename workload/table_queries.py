@@ -40,17 +40,16 @@ def evolve_rename(s):
 
 @query(
     "evolve_cast",
-    """SELECT l_orderkey, l_linenumber, l_partkey, CAST(try_cast(l_extendedprice AS DECIMAL(6,2)) AS STRING) AS l_extendedprice,
-      try_cast(l_quantity AS INTEGER) AS l_quantity,
+    f"""SELECT * REPLACE (CAST(try_cast(l_extendedprice AS DECIMAL(6,2)) AS STRING) AS l_extendedprice,
+        try_cast(l_quantity AS INTEGER) AS l_quantity, strftime(l_shipdate, {_DUCK_TIME}) AS l_shipdate),
       CASE WHEN try_cast(l_extendedprice AS DECIMAL(6,2)) IS NULL AND l_extendedprice IS NOT NULL THEN 'l_extendedprice' ELSE '' END AS rejected
     FROM lineitem""",
 )
 def evolve_cast(s):
+    """All columns, so that a cast that touched another one would show."""
     changed = ev.change_types(s.table("lineitem"), {"l_extendedprice": "decimal(6,2)", "l_quantity": "int"})
-    return changed.select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").cast("string").alias("l_extendedprice"),
-        "l_quantity", F.array_join("rejected", ",").alias("rejected"),
-    )
+    shown = {"l_extendedprice": F.col("l_extendedprice").cast("string"), "rejected": F.array_join("rejected", ",")}
+    return _text_times(changed.withColumns(shown))
 
 
 @query("evolve_drop", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
@@ -219,6 +218,55 @@ def set_null_delete(s):
     return _text_times(con.after_delete(s.table("lineitem"), ["l_orderkey"], gone, ["o_orderkey"], "SET NULL"))
 
 
+_CHAIN_KEYS = [
+    con.ForeignKey("orders", ("o_custkey",), "customer", ("c_custkey",), "CASCADE"),
+    con.ForeignKey("lineitem", ("l_orderkey",), "orders", ("o_orderkey",), "CASCADE"),
+    con.ForeignKey("lineitem", ("l_partkey",), "part", ("p_partkey",), "SET NULL"),
+]
+
+
+@query(
+    "delete_chain",
+    f"""
+    WITH gone_orders AS (
+      SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)),
+    gone_parts AS (SELECT p_partkey FROM part WHERE p_size > 40)
+    SELECT * REPLACE (CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM gone_parts WHERE p_partkey IS NOT NULL) THEN l_partkey END AS l_partkey, {_SHIPPED})
+    FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM gone_orders WHERE o_orderkey = l_orderkey)""",
+)
+def delete_chain(s):
+    """Customers in debt go with their orders and their lines; large parts leave lines without one."""
+    names = ("customer", "orders", "lineitem", "part")
+    deleted = {
+        "customer": s.table("customer").where(F.col("c_acctbal") < 0).select("c_custkey"),
+        "part": s.table("part").where(F.col("p_size") > 40).select("p_partkey"),
+    }
+    after, _ = con.delete_rows({t: s.table(t) for t in names}, _CHAIN_KEYS, deleted)
+    return _text_times(after["lineitem"])
+
+
+@query(
+    "delete_tree",
+    """
+    WITH RECURSIVE tree AS (
+      SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey - o_orderkey % 7 ELSE o_orderkey // 7 END AS parent, o_totalprice FROM orders),
+    gone AS (
+      SELECT o_orderkey FROM tree WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.9 FROM tree)
+      UNION SELECT tree.o_orderkey FROM tree JOIN gone ON tree.parent = gone.o_orderkey)
+    SELECT o_orderkey, parent, o_totalprice FROM tree
+    WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone WHERE o_orderkey IS NOT NULL) OR o_orderkey IS NULL""",
+)
+def delete_tree(s):
+    """Every order hangs on another one of the same table; dear ones fall with all below them."""
+    key = F.col("o_orderkey")
+    parent = F.when(key % 7 > 0, key - key % 7).otherwise(F.expr("o_orderkey div 7"))
+    tree = s.table("orders").select("o_orderkey", parent.alias("parent"), "o_totalprice")
+    bound = tree.agg((F.avg("o_totalprice") * 1.9).alias("bound"))
+    dear = tree.join(F.broadcast(bound), F.col("o_totalprice") > F.col("bound")).select("o_orderkey")
+    own = con.ForeignKey("tree", ("parent",), "tree", ("o_orderkey",), "CASCADE")
+    return con.delete_rows({"tree": tree}, [own], {"tree": dear})[0]["tree"]
+
+
 _ORDER = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 # A later snapshot: rows gone, repriced, moved in priority, and new ones.
 _AFTER = """
