@@ -129,11 +129,13 @@ JOURNAL = {
 
 
 def test_journal_files(spark, tmp_path):
-    folder = tmp_path / "db_id=a"
+    folder = tmp_path / "db_id=a b"
     folder.mkdir()
-    (folder / "journal.json").write_text(json.dumps(JOURNAL, indent=2))
+    (folder / "meta").mkdir()
+    (folder / "meta" / "_journal.json").write_text(json.dumps(JOURNAL, indent=2))
+    (tmp_path / "db_id=none").mkdir()
     journals = jn.read_journals(spark, str(tmp_path))
-    assert [(r.db_id, r.dialect) for r in journals.collect()] == [("a", "pg")]
+    assert [(r.db_id, r.dialect) for r in journals.collect()] == [("a b", "pg")]
     rows = jn.entries(journals).orderBy("place").collect()
     assert [r.tag for r in rows] == ["0000_wall", "0001_roof", "0002_door"]
 

@@ -4,9 +4,12 @@ import hashlib
 import os
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.operators import runs, status as st
 from tidemark.plans import calls
-from tidemark.sources import ledger as ledgers, schemas, scripts as sc
+from tidemark.sources import files as fl, ledger as ledgers, schemas, scripts as sc
 
 NOW = "2026-07-23 08:00:00"
 AT = datetime(2026, 1, 1)
@@ -121,11 +124,56 @@ def test_up_warns_of_future_dates_and_splits_pending_scripts_only(spark):
     sound = [r for r in LEDGER if r[0] == "a"]
     got = calls.up(files(spark, FILES), ledger(spark, sound), NOW)
     assert pairs(got["future_dated"], "name", "applied") == {("20270101000000_later.sql", False)}
-    waiting = spark.createDataFrame([("a", "20260103000000_three.sql")], "db_id string, name string")
-    judged = sc.verdicts_of(files(spark, FILES), waiting)
-    plan = judged._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("regexp_extract_all") < plan.index("LeftSemi")
-    assert pairs(judged, "name", "ok") == {("20260103000000_three.sql", True)}
+    recorded = spark.createDataFrame([(f[0], f[1]) for f in FILES if "three" not in f[1]], "db_id string, name string")
+    judged = sc.scan(files(spark, FILES), verdicts=True, recorded=recorded)
+    assert {r.name for r in judged.where("ok is not null and checksum is not null").collect()} == {"20260103000000_three.sql"}
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # contents stay in the scan stage
+
+
+def test_more_recorded_scripts_than_travel_are_all_split(spark, monkeypatch):
+    monkeypatch.setattr(sc, "FEW_SCRIPTS", 1)
+    recorded = spark.createDataFrame([(f[0], f[1]) for f in FILES], "db_id string, name string")
+    judged = sc.scan(files(spark, FILES), verdicts=True, recorded=recorded)
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()
+    assert judged.where("ok is null").count() == 0
+    plain = calls.up(files(spark, FILES), ledger(spark, [r for r in LEDGER if r[0] == "a"]), NOW)["plan"]
+    monkeypatch.undo()
+    again = calls.up(files(spark, FILES), ledger(spark, [r for r in LEDGER if r[0] == "a"]), NOW)["plan"]
+    assert sorted(plain.collect()) == sorted(again.collect())
+
+
+def test_names_that_spark_hides(spark, tmp_path):
+    """Their databases are refused, whatever the folder is called."""
+    for db, name in [("a b", "_x.sql"), ("a b", "20260101000000_x.sql"), ("c%20+d", ".y.sql"), ("é", "20260101000000_z.sql"), ("é", ".hidden.md")]:
+        (tmp_path / f"db_id={db}").mkdir(exist_ok=True)
+        (tmp_path / f"db_id={db}" / name).write_bytes(b"SELECT 1;")
+    with open(os.fsencode(str(tmp_path / "db_id=é")) + b"/.\xff.sql", "wb"):
+        pass
+    found = sc.read_scripts(spark, str(tmp_path))
+    got = calls.status(found, ledger(spark, []), NOW)
+    assert pairs(got["errors"], "db_id", "file") == {("a b", "_x.sql"), ("c%20+d", ".y.sql"), ("é", ".\ufffd.sql")}
+    assert got["states"].count() == 0
+
+
+def test_files_are_written_once(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = [("a b", "1.sql", b"\xff\x00"), ("a b", "_2.sql", b""), ("c", "3.md", b"x")]
+    df = spark.createDataFrame(rows, "db_id string, name string, content binary")
+    fl.write_files(df.repartition(2), root)
+    fl.write_files(df, root)  # the same bytes again are no clash
+    read = fl.read_files(spark, root, pages="3")
+    assert sorted((r.db_id, r.name, bytes(r.content)) for r in read.collect()) == sorted(rows)
+    assert read.where("name like '%.sql'").count() == 2
+    assert fl.read_files(spark, root, suffix=".sql", hidden="true", content="false").collect()[0].content is None
+    assert [r.db_id for r in fl.read_files(spark, root, at="3.md").collect()] == ["c"]
+    assert fl.read_files(spark, str(tmp_path / "none")).count() == 0
+    other = spark.createDataFrame([("c", "3.md", b"y")], "db_id string, name string, content binary")
+    with pytest.raises(Exception, match="FileExistsError|File exists"):
+        fl.write_files(other, root)
+    with pytest.raises(Exception, match="no file name"):
+        fl.write_files(other.withColumn("name", F.lit("../x")), root)
+    assert not any("." in n and len(n) > 30 for n in os.listdir(root + "/db_id=c"))
 
 
 def test_pins_go_with_their_scope(spark):
@@ -243,7 +291,8 @@ def test_script_folder(spark, tmp_path):
     }
     assert pairs(sc.invalid(scanned), "db_id", "file", "reason") == {("b", "notes.sql", "name too short")}
     # The content is not read unless it is needed.
-    assert "content" not in found.select("name")._jdf.queryExecution().executedPlan().toString()
+    plan = found.select("name")._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" in plan and "content" not in plan.split("binaryFile")[1].split("\n")[0].split("ReadSchema")[-1]
 
 
 def test_ledger_files(spark, tmp_path):

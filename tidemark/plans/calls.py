@@ -55,14 +55,16 @@ def status(files: DataFrame, ledger: DataFrame, now: Moment) -> dict[str, DataFr
 def up(files: DataFrame, ledger: DataFrame, now: Moment) -> dict[str, DataFrame]:
     """What a run would do: ``plan`` has every pending script of the unblocked databases
     with its state after the run; ``blocked`` names the drift that stops a database;
-    ``future_dated`` warns.  Only pending scripts are split."""
-    found, rows, errors = _strict(pin(sc.scan(files)), ledger)
+    ``future_dated`` warns.  Contents are read once, and recorded scripts are not split
+    (see ``scan``)."""
+    facts = pin(sc.scan(files, verdicts=True, recorded=ledgers.sound(ledger)))
+    found, rows, errors = _strict(facts, ledger)
     blocked = st.blocked(st.checksum_gate(found, rows))
     free = keyed.attach(found, blocked, ["db_id"], how="left_anti")
-    waiting = pin(st.pending(free, rows).select("db_id", "name", "checksum"))
-    judged = waiting.join(sc.verdicts_of(files, waiting), ["db_id", "name"])
+    columns = ["db_id", "name", "checksum", "ok", "statements", "error"]
+    waiting = pin(st.pending(free, rows).select(*columns))
     return {
-        "plan": runs.run_replay(judged),
+        "plan": runs.run_replay(waiting),
         "blocked": blocked,
         "future_dated": st.future_dated(waiting, rows, now),
         "errors": errors,
@@ -78,16 +80,16 @@ def check(
     static checks only, as does one with a broken ledger row, which fails with that
     ``reason``.  ``summary`` has one row per database, the other parts name the scripts:
     ``pending`` with their split, ``invalid``, ``future_dated`` and ``drift`` (mismatched
-    and missing).  Only pending scripts are split.
+    and missing).  Contents are read once, and recorded scripts are not split.
     """
-    facts = pin(sc.scan(files))
-    scripts = sc.valid(facts)
     reading = readable.select("db_id").distinct()
     errors = ledgers.first_broken(ledger).join(reading, "db_id", "left_semi")
     sound = reading.join(errors, "db_id", "left_anti")
     known = keyed.attach(ledgers.sound(ledger), sound, ["db_id"], how="left_semi")
-    waiting = pin(st.pending(scripts, known).select("db_id", "name"))
-    judged = pin(sc.verdicts_of(files, waiting))
+    judged_all = pin(sc.scan(files, verdicts=True, recorded=known))
+    facts = judged_all.drop("ok", "statements", "error")
+    scripts = sc.valid(judged_all)
+    judged = pin(st.pending(scripts, known).select("db_id", "name", "ok", "statements", "error"))
     summary = st.check_rollup(
         databases, facts.join(judged, ["db_id", "name"], "left"), known, sound, now
     )
@@ -96,8 +98,8 @@ def check(
         "summary": reasons.withColumn("ok", F.col("ok") & F.col("reason").isNull()),
         "pending": judged,
         "invalid": sc.invalid(facts),
-        "future_dated": st.future_dated(scripts, known, now),
-        "drift": st.ledger_check(scripts, known),
+        "future_dated": st.future_dated(sc.valid(facts), known, now),
+        "drift": st.ledger_check(sc.valid(facts), known),
         "errors": errors,
     }
 

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import read_files
 from tidemark.sources.schemas import FOREIGN_LEDGER, JOURNAL
 
 # Dialect spellings and the drivers that can be handled.
@@ -23,24 +24,18 @@ def dialect_of(alias: Column) -> Column:
     )
 
 
-def read_journals(spark: SparkSession, root: str) -> DataFrame:
-    """``root/db_id=<id>/journal.json``: db_id, dialect, entries.
+# Fixed value: where the tool keeps its journal, from its own folder on.
+JOURNAL_FILE = "meta/_journal.json"
 
-    Collect the files under this name: Spark's listing hides names that begin with
-    ``_``, as the tool's own file name does.
+
+def read_journals(spark: SparkSession, root: str, at: str = JOURNAL_FILE) -> DataFrame:
+    """``root/db_id=<id>/meta/_journal.json`` (or another path ``at``): db_id, dialect, entries.
+
+    A folder without the file has no journal; one that is no JSON object gives nulls.
     """
-    found = (
-        spark.read.schema(JOURNAL)
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "journal.json")
-        .json(root)
-    )
-    return found.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"/db_id=([^/]+)/journal\.json$", 1).alias("db_id"),
-        "dialect",
-        "entries",
-    )
+    found = read_files(spark, root, at=at)
+    read = F.from_json(F.col("content").cast("string"), JOURNAL).alias("_j")
+    return found.select("db_id", read).select("db_id", "_j.dialect", "_j.entries")
 
 
 def entries(journals: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
