@@ -1,12 +1,14 @@
 """Table changes, constraint checks and streams."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import constraints as con, evolve as ev
+from tidemark.operators import constraints as con, evolve as ev, keyed
 from tidemark.session import fresh_dir
 from tidemark.sources import schemas
 from tidemark.sources.ledger import read_ledger
-from tidemark.streaming import attempts as sa, drift, sinks
+from tidemark.streaming import attempts as sa, drift, outcomes as so, sinks
 
 
 def rows(df):
@@ -81,6 +83,52 @@ def test_delete_actions(spark):
     assert rows(con.after_delete(child, ["pid"], gone, ["id"], "SET NULL")) == sorted([(None, "a"), (2, "b"), (None, "c")], key=repr)
 
 
+def test_deletes_follow_all_keys(spark):
+    key = con.ForeignKey
+    people = spark.createDataFrame([(1, None, 9), (2, 1, 9), (3, 2, None), (4, 4, 9), (5, 6, 1), (6, 5, 1), (7, None, 9)], "id int, boss int, `_hash` int")
+    teams = spark.createDataFrame([(10, 1, 3, "a"), (11, 7, 2, "b"), (12, 7, 7, "c"), (13, None, 5, "d")], "`t.id` int, lead int, deputy int, _gone0 string")
+    logs = spark.createDataFrame([(100, 10, 1), (101, 11, 3), (102, 12, None)], "n int, `t.id` int, who int")
+    tables = {"people": people, "teams": teams, "logs": logs}
+    keys = [
+        key("people", ("boss",), "people", ("id",), "CASCADE"),
+        key("teams", ("lead",), "people", ("id",), "CASCADE"),
+        key("teams", ("deputy",), "people", ("id",), "SET NULL"),
+        key("logs", ("t.id",), "teams", ("t.id",), "CASCADE"),
+        key("logs", ("who",), "people", ("id",), "RESTRICT"),
+    ]
+    after, refused = con.delete_rows(tables, keys, {"people": spark.createDataFrame([(1,), (5,)], "id int")})
+    # 1 takes 2 and 3 along, 5 and 6 are a cycle, and team 10 falls with its lead.
+    assert rows(after["people"]) == [(4, 4, 9), (7, None, 9)] and after["people"].columns == people.columns
+    assert rows(after["teams"]) == sorted([(11, 7, None, "b"), (12, 7, 7, "c"), (13, None, None, "d")], key=repr)
+    assert rows(after["logs"]) == sorted([(101, 11, 3), (102, 12, None)], key=repr)
+    assert rows(refused) == [("logs", ["who"], "people", 1)]
+    same, none = con.delete_rows(tables, keys, {"people": spark.createDataFrame([(99,)], "id int")})
+    assert all(rows(same[t]) == rows(tables[t]) for t in tables) and none.count() == 0
+    pair = spark.createDataFrame([(1, 2, 3), (1, None, 3), (2, 2, 3)], "a int, b int, c int")
+    two = [key("pair", ("a", "b"), "pair", ("b", "c"), "SET NULL"), key("pair", ("c",), "pair", ("a",), "CASCADE")]
+    left, _ = con.delete_rows({"pair": pair}, two, {"pair": spark.createDataFrame([(2, 2)], "a int, b int")})
+    assert rows(left["pair"]) == sorted([(1, 2, 3), (1, None, 3)], key=repr)
+
+
+def test_own_column_names_are_kept(spark):
+    df = spark.createDataFrame([(1, "x", 2, 3, 4, "7"), (2, "y", 5, 6, 7, "z")], "a int, _new_a string, _hash int, _gone int, `p.q` int, _new string")
+    got = ev.change_types(df, {"a": "string", "_new": "int"})
+    assert rows(got) == sorted([("1", "x", 2, 3, 4, 7, []), ("2", "y", 5, 6, 7, None, ["_new"])], key=repr)
+    gone = spark.createDataFrame([(4,)], "`p.q` int")
+    assert rows(con.after_delete(df, ["p.q"], gone, ["p.q"], "CASCADE")) == [tuple(r) for r in df.where("a = 2").collect()]
+    assert {(r["p.q"], r["_gone"]) for r in con.after_delete(df, ["p.q"], gone, ["p.q"], "SET NULL").collect()} == {(None, 3), (7, 6)}
+    assert rows(con.foreign_key_violations(df, ["p.q"], gone, ["p.q"])) == [(7, 1)]
+    assert rows(con.enum_violations(df.withColumn("p.q", F.lit("on")), "p.q", spark.createDataFrame([("off",)], "label string"))) == [("on", 2)]
+    moved = df.withColumn("_hash", F.col("_hash") + 1)
+    assert {r.op for r in con.audit_changes(df, moved, ["p.q"]).collect()} == {"UPDATE"}
+    assert con.primary_key_violations(df, ["p.q", "a"]).count() == 0
+    own = spark.createDataFrame([(1, "k", 5, 9, 9, 9, 9), (2, "k", 5, 8, 8, 8, 8)], "i int, `d.b` string, v bigint, _at int, _chunk int, _row int, _hash int")
+    placed = keyed.placed(own, ["d.b"], ["i"])
+    assert placed.columns == [*own.columns, "pos"] and [r.pos for r in placed.orderBy("i").collect()] == [0, 1]
+    rising = keyed.rising(own, ["d.b"], ["i"], "v", F.lit(0), "s")
+    assert rising.columns == [*own.columns, "s"] and [r.s for r in rising.orderBy("i").collect()] == [5, 6]
+
+
 def test_audit(spark):
     before = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, x string, y int")
     after = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", 1)], "k int, x string, y int")
@@ -125,6 +173,31 @@ def test_applied_once_across_batches(spark, tmp_path):
     assert run(("a", "1", True, None, None), ("a", "2", True, None, None)) == ["1", "2"]
 
 
+def test_outcomes_across_batches_and_restarts(spark, tmp_path):
+    """Attempts that arrive out of order are judged in the order in which they ended."""
+    src, base = str(tmp_path / "in"), fresh_dir(spark, "tests")
+    cols = "event_id bigint, db_id string, name string, ok boolean, kind string, checksum string, ended_at timestamp"
+
+    def run(*values):
+        spark.createDataFrame([(*v[:6], datetime(2024, 1, 1, v[6])) for v in values], cols).write.mode("append").parquet(src)
+        spark.conf.set(*so.STATE_STORE)
+        try:
+            stream = so.outcomes(spark.readStream.schema(cols).parquet(src), "2 hours", "10 hours")
+            sinks.append_files(stream, f"{base}/out", f"{base}/progress").awaitTermination()
+        finally:
+            spark.conf.unset(so.STATE_STORE[0])
+        return {(r.event_id, r.outcome, r.conflict, r.first_checksum) for r in spark.read.schema(so.OUTCOMES).parquet(f"{base}/out").collect()}
+
+    first = run((1, "a", "s", False, "worker", "x", 1), (2, "a", "s", True, None, "y", 3), (3, "a", "s", False, "worker", "y", 4), (9, "b", "t", True, None, "x", 5))
+    assert first == {(1, "failed", False, None)} | {(2, "applied", False, "y")}
+    # One that ended before those still waiting, and a second success with another checksum.
+    second = run((4, "a", "s", True, None, "z", 4), (5, "a", "s", False, "unavailable", "y", 5), (6, "b", "t", False, "worker", "q", 9))
+    assert second - first == {(3, "skipped", False, "y"), (4, "applied", True, "y"), (5, "unavailable", False, "y"), (9, "applied", False, "x")}
+    # Long after, the first success is forgotten.
+    third = run((7, "a", "s", True, None, "z", 20), (8, "c", "u", False, "worker", "q", 23))
+    assert third - second == {(6, "mismatch", False, "x"), (7, "applied", False, "z")}
+
+
 def test_names_with_dots(spark):
     df = spark.createDataFrame([(1, None), (1, "x")], "`a.b` int, `c``d` string")
     assert {(r.column_name, r.n_nulls) for r in con.null_counts(df, ["a.b", "c`d"]).collect()} == {("a.b", 0), ("c`d", 1)}

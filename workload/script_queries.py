@@ -10,8 +10,9 @@ from tidemark.functions.hashing import checksum, raw_checksum
 from tidemark.functions.text import pascal_case
 from tidemark.operators import runs, status as st
 from tidemark.plans import calls
-from tidemark.session import pin
-from tidemark.sources import ledger as ledgers, scripts as sc
+from tidemark.session import fresh_dir, pin
+from tidemark.sources import files as fl, ledger as ledgers, scripts as sc
+from workload import inputs as ip
 from workload.inputs import NOW
 from workload.inputs import attempts as attempts_sql
 from workload.registry import duck, query, with_
@@ -581,7 +582,7 @@ def error_normalise(s):
 _RESPONSES = """
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"committed":true}'
     WHEN 1 THEN '{"committed":false,"failed_index":' || k || '}'
-    WHEN 2 THEN '{"committed":false,"error":{"code":"DRIVER_ERROR","inner_code":"1555","driver":"sqlite"},"failed_index":' || k || '}'
+    WHEN 2 THEN '{"committed":false,"error":{"code":"DRIVER_ERROR","inner_code":"787","driver":"sqlite"},"failed_index":' || k || '}'
     ELSE '{"committed":false,"error":{"code":"DRIVER_ERROR","message":"refused","failed_index":' || k || '}}' END AS response
   FROM attempts"""
 
@@ -615,6 +616,37 @@ def transaction_outcome(s):
     )
 
 
+@query(
+    "hidden_scripts",
+    ip.duck(f"""
+    WITH files AS (
+      SELECT source AS db_id, CASE doc_id % 5 WHEN 0 THEN '_draft' || CAST(doc_id AS VARCHAR) || '.sql' WHEN 1 THEN '.swap' || CAST(doc_id AS VARCHAR) || '.sql'
+          ELSE CAST(20240101000000 + doc_id % 60 AS VARCHAR) || '_n' || CAST(doc_id AS VARCHAR) || '.sql' END AS name, text
+      FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL)
+    SELECT 'wrong' AS part, db_id, name, 'hidden' AS said FROM files WHERE name[1] IN ('_', '.')
+    UNION ALL SELECT 'good', db_id, name, sha256(replace(coalesce(text, ''), chr(13) || chr(10), chr(10))) FROM files WHERE name[1] NOT IN ('_', '.')"""),
+)
+def hidden_scripts(s):
+    """Documents written as files, some under names Spark's listing hides, and scanned again."""
+    n = F.col("doc_id").cast("string")
+    name = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("_draft"), n))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit(".swap"), n))
+        .otherwise(F.concat((F.lit(20240101000000) + F.col("doc_id") % 60).cast("string"), F.lit("_n"), n))
+    )
+    docs = s.table("documents").where("doc_id IS NOT NULL AND source IS NOT NULL")
+    files = docs.select(
+        F.col("source").alias("db_id"),
+        F.concat(name, F.lit(".sql")).alias("name"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("content"),
+    )
+    root = fresh_dir(s.spark, "scripts")
+    fl.write_files(files, root)
+    scanned = sc.scan(sc.read_scripts(s.spark, root))
+    wrong = sc.invalid(scanned).select(F.lit("wrong").alias("part"), "db_id", F.col("file").alias("name"), F.lit("hidden").alias("said"))
+    return wrong.unionByName(sc.valid(scanned).select(F.lit("good").alias("part"), "db_id", "name", F.col("checksum").alias("said")))
+
+
 @query(
     "failed_statement",
     _tries("""

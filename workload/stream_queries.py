@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import errors as er
 from tidemark.session import fresh_dir
 from tidemark.sources import scripts as sc
-from tidemark.streaming import attempts as sa, drift, sinks
+from tidemark.streaming import attempts as sa, drift, outcomes as so, sinks
 from workload import inputs as ip
 from workload.registry import Source, duck, query, with_
-from workload.script_queries import _files, _tries
+from workload.script_queries import _OUTCOMES, _files, _tries
 
 DELAY = "60 days"
 
@@ -74,3 +75,39 @@ def stream_failures(s):
     return _run(s, counts, sinks.append_files).withColumn(
         "hour_start", F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss")
     )
+
+
+# An attempt is judged once the watermark has passed it: the latest one less the delay.
+_CLOSED = "ended_at <= (SELECT max(ended_at) FROM attempts) - INTERVAL '1' HOUR"
+def _judged(s):
+    spark = s.spark
+    name, value = so.STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        arriving = er.normalise(_stream(s, "events", "attempts")).withColumn("kind", F.col("error_kind"))
+        return _run(s, so.outcomes(arriving, "1 hour"), sinks.append_files)
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+@query(
+    "stream_outcomes",
+    _tries(f"SELECT event_id, db_id, name, outcome FROM outcomes WHERE {_CLOSED}", outcomes=_OUTCOMES),
+)
+def stream_outcomes(s):
+    """The batch result of ``attempt_outcome`` for all attempts that are closed."""
+    return _judged(s).select("event_id", "db_id", "name", "outcome")
+
+
+@query(
+    "stream_conflicts",
+    _tries(
+        f"""SELECT event_id, db_id, name, checksum, first_checksum, strftime(first_ok_at, '%Y-%m-%d %H:%M:%S.%f') AS first_ok_at
+    FROM outcomes WHERE ok AND checksum <> first_checksum AND {_CLOSED}""",
+        outcomes=_OUTCOMES,
+    ),
+)
+def stream_conflicts(s):
+    rows = _judged(s).where("conflict").select("event_id", "db_id", "name", "checksum", "first_checksum", "first_ok_at")
+    return rows.withColumn("first_ok_at", F.date_format("first_ok_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
