@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import catalog as cat, contracts
 from tidemark.plans import calls
 from tidemark.sources import catalog as rows_of, schemas
@@ -183,6 +185,38 @@ def test_schema_diff(spark):
     assert {r.state for r in cat.schema_diff(after, before).collect()} == {"added", "changed"}
 
 
+def test_keys_without_a_name_go_by_what_they_connect(spark):
+    """A key added in front renumbers the others, which is no change of theirs."""
+    parts = sqlite(spark)
+    order = ["columns", "keys", "foreign", "indexes", "triggers"]
+    before = cat.schema_objects(*[parts[k] for k in order])
+    one = parts["foreign"].withColumn("fk_key", F.col("fk_key") + 1)
+    added = one.where("column_name = 'latin'").withColumns({"fk_key": F.lit(0), "column_name": F.lit("box"), "references_table": F.lit("crate")})
+    after = cat.schema_objects(*[{**parts, "foreign": one.unionByName(added)}[k] for k in order])
+    got = [(r.kind, r.object_name, r.state) for r in cat.schema_diff(before, after).collect()]
+    assert got == [("foreign_key", "box -> crate", "added")]
+    # The same columns twice, one of them with another action.
+    twice = cat.schema_objects(*[{**parts, "foreign": one.unionByName(one.where("column_name = 'latin'").withColumns({"fk_key": F.lit(9), "on_delete": F.lit("RESTRICT")}))}[k] for k in order])
+    assert [(r.object_name, r.state) for r in cat.schema_diff(before, twice).collect()] == [("latin -> seed", "changed")]
+
+
+def test_renamed_objects_are_matched_by_content(spark):
+    cols = "db_id string, table_name string, kind string, object_name string, definition string"
+    before = [("d", "t", "index", "a", "CREATE INDEX a ON t (x, y)"), ("d", "t", "index", "b", "CREATE INDEX b ON t (z)"), ("d", "t", "column", "n", "int true 7"), ("d", "u", "index", "q", "CREATE INDEX q ON u (x)")]
+    after = [("d", "t", "index", "b2", "CREATE INDEX b2 ON t (z)"), ("d", "t", "index", "a2", "CREATE INDEX a2 ON t (x, y)"), ("d", "t", "column", "m", "text false -"), ("e", "u", "index", "q2", "CREATE INDEX q2 ON u (x)")]
+    diff = cat.schema_diff(spark.createDataFrame(before, cols), spark.createDataFrame(after, cols))
+    got = {(r.old_name, r.new_name, r.percent_shared) for r in cat.renamed(diff).collect()}
+    assert got == {("a", "a2", 100), ("b", "b2", 100)}
+
+
+def test_a_report_meets_in_one_shuffle(spark):
+    parts = sqlite(spark)
+    flat = {k: spark.createDataFrame(v.collect(), v.schema) for k, v in parts.items()}
+    report = calls.schema(flat["columns"], flat["keys"], flat["foreign"], flat["indexes"], flat["triggers"])["tables"]
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_fleet_drift(spark):
     rows = [(f"d{i}", "t", c, "text" if (i, c) != (3, "b") else "int", False, None, p) for i in range(5) for p, c in enumerate("ab")]
     df = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, data_type string, nullable boolean, default string, position bigint")

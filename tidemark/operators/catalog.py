@@ -15,7 +15,9 @@ themselves limit those to a few thousand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ddl
@@ -308,10 +310,26 @@ def fold_enums(labels: DataFrame) -> DataFrame:
     )
 
 
-def _per_table(rows: DataFrame, name: str, order: str, fields: list[str]) -> DataFrame:
-    """The rows of each table as one sorted list of structs."""
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("_v"))))
-    return rows.groupBy(*TABLE).agg(items.alias("_i")).select(*TABLE, F.col("_i._v").alias(name))
+def _listed(name: str) -> Column:
+    """A table's rows of one kind in order; rows of other kinds are null here."""
+    return F.sort_array(F.collect_list(name)).alias(name)
+
+
+def _keys_of(parts: Column) -> Column:
+    """Foreign-key columns, sorted by key and position, as one struct per key."""
+    def key(k: Column) -> Column:
+        own = F.filter(parts, lambda p: p["fk_key"].eqNullSafe(k))
+        first = F.get(own, F.lit(0))
+        return F.struct(
+            first["name"].alias("name"),
+            F.transform(own, lambda p: p["column_name"]).alias("columns"),
+            first["references_table"].alias("references_table"),
+            F.filter(F.transform(own, lambda p: p["references_column"]), lambda c: c.isNotNull()).alias("references_columns"),
+            first["on_delete"].alias("on_delete"),
+            first["on_update"].alias("on_update"),
+        )
+
+    return F.transform(F.array_distinct(F.transform(parts, lambda p: p["fk_key"])), key)
 
 
 def schema_report(
@@ -326,48 +344,34 @@ def schema_report(
     """One row per table with its columns, primary key, foreign keys, indexes, triggers.
 
     The ledger table is left out; ``table`` keeps one table (none, if it is unknown).
-    Every part is grouped by the same key, so the joins reuse that partitioning.
+    The rows of all kinds meet in one shuffle and are sorted apart inside each table.
     """
     wanted = F.col("table_name") != ledger_table
     if table is not None:
         wanted = wanted & (F.col("table_name") == table)
 
-    def kept(df: DataFrame) -> DataFrame:
-        return df.where(wanted)
+    def rows(df: DataFrame, kind: str, order: list[str], fields: list[str]) -> DataFrame:
+        return df.where(wanted).select(*TABLE, F.struct(*order, *[f for f in fields if f not in order]).alias(kind))
 
-    report = _per_table(
-        kept(columns), "columns", "position",
-        ["column_name", "data_type", "nullable", "default", "position"],
-    )
-    lists = [
-        (fold_keys(kept(keys)), "primary_key"),
-        (
-            _per_table(
-                fold_foreign(kept(foreign)), "foreign_keys", "fk_key",
-                ["name", "columns", "references_table", "references_columns", "on_delete", "on_update"],
-            ),
-            "foreign_keys",
-        ),
-        (
-            _per_table(
-                kept(indexes), "indexes", "index_name",
-                ["index_name", "is_unique", "columns", "definition"],
-            ),
-            "indexes",
-        ),
-        (
-            _per_table(
-                kept(triggers), "triggers", "trigger_name",
-                ["trigger_name", "timing", "events", "definition"],
-            ),
-            "triggers",
-        ),
+    parts = [
+        rows(columns, "columns", ["position"], ["column_name", "data_type", "nullable", "default"]),
+        rows(keys, "keys", ["key_pos"], ["column_name"]),
+        rows(foreign, "foreign", ["fk_key", "position"], ["column_name", "references_column", "references_table", "on_delete", "on_update", "name"]),
+        rows(indexes, "indexes", ["index_name"], ["is_unique", "columns", "definition"]),
+        rows(triggers, "triggers", ["trigger_name"], ["timing", "events", "definition"]),
     ]
-    for part, name in lists:
-        report = report.join(part, TABLE, "left").withColumn(
-            name, F.coalesce(name, F.array().cast(part.schema[name].dataType))
-        )
-    return report
+    kinds = ["columns", "keys", "foreign", "indexes", "triggers"]
+    all_rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    grouped = all_rows.groupBy(*TABLE).agg(*map(_listed, kinds)).where(F.size("columns") > 0)
+    columns_shown = ["column_name", "data_type", "nullable", "default", "position"]
+    return grouped.select(
+        *TABLE,
+        F.transform("columns", lambda c: F.struct(*[c[f].alias(f) for f in columns_shown])).alias("columns"),
+        F.transform("keys", lambda k: k["column_name"]).alias("primary_key"),
+        _keys_of(F.col("foreign")).alias("foreign_keys"),
+        "indexes",
+        "triggers",
+    )
 
 
 # -- Comparison -------------------------------------------------------------------------
@@ -376,7 +380,11 @@ def schema_report(
 def schema_objects(
     columns: DataFrame, keys: DataFrame, foreign: DataFrame, indexes: DataFrame, triggers: DataFrame
 ) -> DataFrame:
-    """Everything a table consists of, one row each: kind, object_name, definition."""
+    """Everything a table consists of, one row each: kind, object_name, definition.
+
+    A foreign key without a name goes by what it connects, never by its number: adding one
+    in front renumbers the others.
+    """
     def rows(df: DataFrame, kind: str, name: str, *parts: Column) -> DataFrame:
         texts = [F.coalesce(p.cast("string"), F.lit("-")) for p in parts]
         return df.select(
@@ -390,12 +398,14 @@ def schema_objects(
         return F.array_join(name, ",")
 
     named_keys = fold_keys(keys).withColumn("_name", F.lit("primary key"))
+    by_content = F.concat(listed("columns"), F.lit(" -> "), F.col("references_table"))
+    folded = fold_foreign(foreign).withColumn("_name", F.coalesce("name", by_content))
     return (
         rows(columns, "column", "column_name", F.col("data_type"), F.col("nullable"), F.col("default"))
         .unionByName(rows(named_keys, "primary_key", "_name", listed("primary_key")))
         .unionByName(
             rows(
-                fold_foreign(foreign), "foreign_key", "fk_key",
+                folded, "foreign_key", "_name",
                 listed("columns"), F.col("references_table"), listed("references_columns"),
                 F.col("on_delete"), F.col("on_update"),
             )
@@ -408,20 +418,58 @@ def schema_objects(
 
 
 def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """What a change added, removed or altered; shows what a recreated table lost."""
+    """What a change added, removed or altered; shows what a recreated table lost.
+
+    Both sides meet in one shuffle. Objects of one name on one side, as unnamed keys over the
+    same columns may be, are compared as the sorted list of their definitions.
+    """
     key = [*TABLE, "kind", "object_name"]
-    old = before.withColumnRenamed("definition", "before")
-    new = after.withColumnRenamed("definition", "after")
+    sides = before.select(*key, F.lit(False).alias("later"), "definition").unionByName(
+        after.select(*key, F.lit(True).alias("later"), "definition")
+    )
+
+    def text(later: bool) -> Column:
+        own = F.when(F.col("later") == later, F.coalesce("definition", F.lit("-")))
+        return F.nullif(F.array_join(F.sort_array(F.collect_list(own)), "; "), F.lit(""))
+
     state = F.when(F.col("before").isNull(), "added").when(
         F.col("after").isNull(), "removed"
     ).otherwise("changed")
     return (
-        old.join(new, key, "full_outer")
+        sides.groupBy(*key)
+        .agg(text(False).alias("before"), text(True).alias("after"))
         .where(~F.col("before").eqNullSafe(F.col("after")))
         .select(*key, state.alias("state"), "before", "after")
     )
 
 
+def renamed(diff: DataFrame, percent: int = 50) -> DataFrame:
+    """Removed and added objects that look like one object under another name:
+    db_id, table_name, kind, old_name, new_name, before, after, percent_shared.
+
+    Definitions are compared as sets of words, the object's own name left out; two objects
+    belong together if each is the other's best match (ties: the least name) and they share
+    at least ``percent`` of their words. Only objects of one table and kind are compared.
+    """
+    on = [*TABLE, "kind"]
+
+    def side(state: str, text: str, name: str) -> DataFrame:
+        words = F.array_distinct(F.split(F.replace(F.col(text), F.col("object_name"), F.lit("")), r"[\s,()]+"))
+        rows = diff.where(F.col("state") == state)
+        return rows.select(*on, F.col("object_name").alias(name), text, F.array_remove(words, "").alias(f"_{text}"))
+
+    both = side("removed", "before", "old_name").join(side("added", "after", "new_name"), on)
+    union = F.greatest(F.size(F.array_union("_before", "_after")), F.lit(1))
+    shared = F.floor(F.lit(100) * F.size(F.array_intersect("_before", "_after")) / union)
+    scored = both.withColumn("percent_shared", shared).where(F.col("percent_shared") >= percent)
+
+    def rank(mine: str, other: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*on, mine).orderBy(F.desc("percent_shared"), other))
+
+    ranked = scored.withColumns({"_a": rank("old_name", "new_name"), "_b": rank("new_name", "old_name")})
+    return ranked.where("_a = 1 AND _b = 1").select(*on, "old_name", "new_name", "before", "after", "percent_shared")
+
+
 def fingerprints(columns: DataFrame) -> DataFrame:
     """Per table a hash over its columns in order."""
     part = F.struct("position", "column_name", "data_type", "nullable", "default")

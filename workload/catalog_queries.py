@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import functions as F
@@ -365,55 +366,97 @@ def fleet_schema_drift(s):
 
 
 def _objects(prefix: str) -> str:
-    """Columns, indexes and triggers of one state of the fleet, flat."""
+    """All objects of one state of the fleet, flat; keys without a name go by what they connect."""
     return f"""
   SELECT db_id, table_name, 'column' AS kind, column_name AS object_name, data_type || ' ' || nullable || ' ' || coalesce(dflt, '-') AS definition FROM {prefix}_cols
-  UNION ALL SELECT db_id, table_name, 'index', index_name, definition FROM {prefix}_idx
+  UNION ALL SELECT db_id, table_name, 'primary_key', 'primary key', string_agg(column_name, ',' ORDER BY key_pos) FROM {prefix}_pks GROUP BY ALL
+  UNION ALL SELECT db_id, table_name, 'foreign_key', coalesce(name, cols || ' -> ' || target), cols || ' ' || target || ' ' || refs || ' ' || on_delete || ' ' || coalesce(on_update, '-')
+  FROM (SELECT db_id, table_name, fk_key, min(name) AS name, string_agg(column_name, ',' ORDER BY position) AS cols, min(references_table) AS target,
+      string_agg(references_column, ',' ORDER BY position) AS refs, min(on_delete) AS on_delete, min(on_update) AS on_update FROM {prefix}_fks GROUP BY 1, 2, 3) folded
+  UNION ALL SELECT db_id, table_name, 'index', index_name, coalesce(definition, '-') FROM {prefix}_idx
   UNION ALL SELECT db_id, table_name, 'trigger', trigger_name, timing || ' ' || events || ' ' || definition FROM {prefix}_trg"""
 
 
-def _state(prefix: str, changed: bool) -> dict[str, str]:
-    named = {n: f"{prefix}_{n}" for n in ("pg_columns", "pg_indexes", "pg_triggers")}
-
+def _state(prefix: str, changed: bool, varied: list[str], **listings: str) -> dict[str, str]:
+    """One state of the fleet: the tables that vary, the listings over them, all objects."""
     def over(sql: str) -> str:
-        for old, new in named.items():
-            sql = sql.replace(f"FROM {old} ", f"FROM {new} ")
+        for old in varied:
+            sql = re.sub(rf"\b(FROM|JOIN) {old}\b", rf"\1 {prefix}_{old}", sql)
         return sql
 
     return {
-        **{new: duck(old, changed) for old, new in named.items()},
-        f"{prefix}_cols": over(COLUMNS),
-        f"{prefix}_idx": over(INDEXES),
-        f"{prefix}_trg": over(TRIGGERS),
+        **{f"{prefix}_{old}": duck(old, changed) for old in varied},
+        **{f"{prefix}_{name}": over(sql) for name, sql in listings.items()},
         prefix: _objects(prefix),
     }
 
 
-@query(
-    "schema_diff",
-    with_(
-        """
+_DIFF = """
     SELECT coalesce(b.db_id, a.db_id) AS db_id, coalesce(b.table_name, a.table_name) AS table_name, coalesce(b.kind, a.kind) AS kind,
       coalesce(b.object_name, a.object_name) AS object_name,
       CASE WHEN b.db_id IS NULL THEN 'added' WHEN a.db_id IS NULL THEN 'removed' ELSE 'changed' END AS state,
       b.definition AS before, a.definition AS after
     FROM before b FULL JOIN after a ON a.db_id = b.db_id AND a.table_name = b.table_name AND a.kind = b.kind AND a.object_name = b.object_name
-    WHERE a.definition IS DISTINCT FROM b.definition""",
-        pg_tables=duck("pg_tables"),
-        **_state("before", False),
-        **_state("after", True),
+    WHERE a.definition IS DISTINCT FROM b.definition"""
+_PG_VARIED = ["pg_columns", "pg_key_column_usage", "pg_constraint", "pg_indexes", "pg_triggers"]
+_PG_LISTS = {"cols": COLUMNS, "pks": KEYS, "fks": FOREIGN.replace("conname AS name,", "conname AS fk_key, conname AS name,"), "idx": INDEXES, "trg": TRIGGERS}
+
+
+@query(
+    "schema_diff",
+    with_(
+        _DIFF,
+        **{n: duck(n) for n in _PG if n not in _PG_VARIED},
+        **_state("before", False, _PG_VARIED, **_PG_LISTS),
+        **_state("after", True, _PG_VARIED, **_PG_LISTS),
     ),
 )
 def schema_diff(s):
-    x = Pg(s)
-
     def objects(changed: bool):
         return cat.schema_objects(
             cat.pg_columns(s.pg_columns(changed), s.pg_tables()),
-            x.keys,
-            x.foreign,
+            cat.pg_keys(s.pg_table_constraints(), s.pg_key_column_usage(changed)),
+            cat.pg_foreign(s.pg_constraint(changed), s.pg_class(), s.pg_namespace(), s.pg_attribute()),
             cat.pg_index_rows(s.pg_indexes(changed)),
             cat.pg_trigger_rows(s.pg_triggers(changed)),
         )
 
     return cat.schema_diff(objects(False), objects(True))
+
+
+_LITE_VARIED = ["sqlite_columns", "sqlite_foreign_keys", "sqlite_index_list"]
+_LITE_LISTS = {
+    "cols": LITE_COLUMNS,
+    "pks": "SELECT db_id, table_name, name AS column_name, CAST(pk AS BIGINT) AS key_pos FROM sqlite_columns SEMI JOIN lite_tables USING (db_id, table_name) WHERE pk <> '0'",
+    "fks": """SELECT db_id, table_name, CAST(id AS BIGINT) AS fk_key, CAST(NULL AS VARCHAR) AS name, CAST(seq AS BIGINT) AS position, `from` AS column_name,
+      `table` AS references_table, `to` AS references_column, on_delete, on_update FROM sqlite_foreign_keys SEMI JOIN lite_tables USING (db_id, table_name)""",
+    "idx": LITE_INDEXES,
+    "trg": LITE_TRIGGERS,
+}
+
+
+@query(
+    "sqlite_schema_diff",
+    with_(
+        _DIFF,
+        **{n: duck(n) for n in _LITE if n not in _LITE_VARIED},
+        lite_tables=LITE_TABLES,
+        **_state("before", False, _LITE_VARIED, **_LITE_LISTS),
+        **_state("after", True, _LITE_VARIED, **_LITE_LISTS),
+    ),
+)
+def sqlite_schema_diff(s):
+    """A table made anew with one more key in front: what it gained, and what it lost."""
+    tables = cat.sqlite_tables(s.sqlite_master())
+
+    def objects(changed: bool):
+        columns = s.sqlite_columns(changed)
+        return cat.schema_objects(
+            cat.sqlite_columns(tables, columns),
+            cat.sqlite_keys(tables, columns),
+            cat.sqlite_foreign(tables, s.sqlite_foreign_keys(changed)),
+            cat.sqlite_index_rows(tables, s.sqlite_index_list(changed), s.sqlite_index_info(), s.sqlite_master()),
+            cat.sqlite_trigger_rows(tables, s.sqlite_master()),
+        )
+
+    return cat.schema_diff(objects(False), objects(True))
