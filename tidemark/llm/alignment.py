@@ -44,7 +44,7 @@ from tidemark.session import pin
 #: Pairs that travel with the documents, at most.
 HEAD = 400_000
 #: Chunks whose alignment one generation of a task's memory holds.
-REMEMBERED = 200_000
+REMEMBERED = 160_000
 #: An id pair as one number: A's id above, B's below.
 _BITS = 16
 

@@ -212,7 +212,7 @@ def _bare(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def join(
-    docs: DataFrame, shingle: int = 3, percent: int = 90, centres: int = 16, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, shingle: int = 3, percent: int = 90, centres: int = 32, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), one row per row.
 

@@ -152,6 +152,23 @@ def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
         roots = pin(roots.join(hooks, "root", "left").select("node", F.coalesce("lower", "root").alias("root")))
 
 
+def _tested(pairs: DataFrame, roots: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``roots`` after the links among ``pairs``, (a, b) with a centre b.
+
+    Every member first tests one of its centres, by an order all share, so that most pairs
+    are connected before their sets are fetched; those of the others that still lie in
+    different components are then tested together.
+    """
+    if pairs.isEmpty():
+        return roots
+    picked = pin(pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b")))
+    roots = joined(roots, verify(picked))
+    ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    rest = pairs.join(picked, ["a", "b"], "left_anti").join(ra, "a").join(rb, "b").where("ra <> rb")
+    rest = pin(rest.select("a", "b"))
+    return roots if rest.isEmpty() else joined(roots, verify(rest))
+
+
 def _several(groups: DataFrame) -> DataFrame:
     """Groups with members of more than one component."""
     ends = groups.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -188,10 +205,9 @@ def connected(
             & (F.greatest("n_shingles", "c_n_shingles") > both_over)
             & possible(F.col("n_shingles"), F.col("c_n_shingles"), F.col("bits"), F.col("c_bits"), percent)
         )
-        a, b = F.least("node", "c_node"), F.greatest("node", "c_node")
-        pairs = pin(groups.join(chosen, "key").where(near).select(a.alias("a"), b.alias("b")).distinct())
-        if not pairs.isEmpty():
-            roots = joined(roots, verify(pairs))
+        member, centre = F.col("node").alias("a"), F.col("c_node").alias("b")
+        pairs = pin(groups.join(chosen, "key").where(near).select(member, centre).distinct())
+        roots = _tested(pairs, roots, verify)
         done = chosen.select("key", F.col("c_node").alias("node"))
         left = groups.drop("root").join(done, ["key", "node"], "left_anti")
         groups = _several(left.join(roots, "node"))

@@ -116,7 +116,7 @@ def group(
     percent: int = 85,
     bands: int = BANDS,
     rows: int = ROWS,
-    centres: int = 16,
+    centres: int = 32,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
