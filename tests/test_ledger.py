@@ -299,12 +299,27 @@ def test_ledger_files(spark, tmp_path):
     path = str(tmp_path / "ledger")
     assert ledgers.read_ledger(spark, path).count() == 0
     rows = sc.valid(sc.scan(files(spark, FILES)))
-    ledgers.append(ledgers.new_rows(ledgers.read_ledger(spark, path), rows, NOW), path)
+    ledgers.append(ledgers.new_rows(ledgers.read_ledger(spark, path), rows, NOW), path, "r1")
     assert ledgers.read_ledger(spark, path).count() == rows.count()
     again = ledgers.new_rows(ledgers.read_ledger(spark, path), rows, NOW)
     assert again.count() == 0  # a second run finds nothing to add
 
 
+def test_appends_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = ledgers.new_rows(ledgers.read_ledger(spark, path), sc.valid(sc.scan(files(spark, FILES))), NOW)
+    both = [ledgers.new_rows(ledgers.read_ledger(spark, path), r, NOW) for r in (rows, rows.where("db_id <> 'c'").withColumn("checksum", F.lit("other")))]
+    ledgers.append(both[0], path, "run 1")
+    ledgers.append(both[0], path, "run 1")  # sent twice
+    assert ledgers.read_ledger(spark, path).count() == rows.count() == spark.read.parquet(path).count()
+    ledgers.append(both[1], path, "run 0")  # another run that had seen the empty ledger too
+    got = ledgers.read_ledger(spark, path)
+    assert got.count() == rows.count() and got.select("db_id", "name").distinct().count() == rows.count()
+    assert {r.checksum == "other" for r in got.where("db_id = 'a'").collect()} == {True}  # the least run's
+    assert pairs(ledgers.recorded_twice(spark, path).withColumn("runs", F.array_join("runs", ",")), "runs", "agree") == {("run 0,run 1", False)}
+    assert sorted(got.columns) == ["applied_at", "checksum", "db_id", "name"]
+
+
 def test_broken_ledger_rows(spark):
     rows = spark.createDataFrame([("a", None, "x", AT), ("a", "n", None, AT), ("a", "n", "x", AT)], schemas.LEDGER)
     assert ledgers.sound(rows).count() == 1

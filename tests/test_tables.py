@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import constraints as con, evolve as ev, keyed
@@ -129,6 +130,34 @@ def test_own_column_names_are_kept(spark):
     assert rising.columns == [*own.columns, "s"] and [r.s for r in rising.orderBy("i").collect()] == [5, 6]
 
 
+def test_declared_rules_in_one_pass(spark):
+    df = spark.createDataFrame([(1, 1, "a", "x"), (1, 1, "a", None), (None, 2, "b", "y"), (3, 3, None, "z"), (4, 4, None, "x")], "id int, `n.o` int, code string, kind string")
+    report = Row(
+        primary_key=["id"],
+        indexes=[Row(index_name="by_code", is_unique=True, columns=["code", "n.o"], definition=None), Row(index_name="part", is_unique=True, columns=["code"], definition="CREATE UNIQUE INDEX part ON t (code) WHERE id > 1"), Row(index_name="plain", is_unique=False, columns=["kind"], definition=None)],
+        columns=[Row(column_name=c, nullable=n, data_type=t) for c, n, t in [("id", False, "int"), ("n.o", False, "int"), ("code", False, "text"), ("kind", True, "mark")]],
+    )
+    rules = con.declared(report, {"mark": ["x", "y"]})
+    assert [(r.kind, r.name) for r in rules] == [("primary key", "primary key"), ("unique", "by_code"), ("not null", "n.o"), ("not null", "code"), ("enum", "kind")]
+    got = con.declared_violations(df, rules)
+    assert rows(got) == sorted([
+        ("primary key", "primary key", '{"id":1}', 2), ("primary key", "primary key", '{"id":null}', 1), ("unique", "by_code", '{"code":"a","n.o":1}', 2),
+        ("not null", "code", '{"code":null}', 2), ("enum", "kind", '{"kind":"z"}', 1),
+    ], key=repr)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    assert con.declared_violations(df, []).count() == 0
+
+
+def test_copy_differences(spark):
+    df = spark.createDataFrame([(i, f"v{i}", None if i % 3 else i, i % 5) for i in range(60)], "k int, x string, y int, _sign int")
+    copy = df.where("k <> 7").withColumn("x", F.when(F.col("k") == 9, "other").otherwise(F.col("x")))
+    copy = copy.unionByName(df.where("k = 11")).unionByName(df.where("k = 12").withColumn("k", F.lit(None).cast("int")))
+    got = rows(ev.copy_differences(df, copy, ["k"], df.columns, buckets=16))
+    assert got == sorted([(7, "missing"), (9, "different"), (11, "different"), (None, "extra")], key=repr)
+    assert ev.copy_differences(df, df.repartition(3), ["k"], df.columns).count() == 0
+    assert ev.copy_differences(df.limit(0), df.limit(0), ["k"], df.columns).count() == 0
+
+
 def test_audit(spark):
     before = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, x string, y int")
     after = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", 1)], "k int, x string, y int")

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import exact, free_names
@@ -66,6 +66,74 @@ def enum_violations(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     return used.join(labels.select(F.col("label").alias(column)), [column], "left_anti")
 
 
+@dataclass(frozen=True)
+class Declared:
+    """What a table declares about its own rows: ``kind`` is primary key, unique, not null or enum."""
+
+    kind: str
+    name: str
+    columns: tuple[str, ...]
+    labels: tuple[str, ...] = ()
+
+
+def declared(report: Row, enums: Mapping[str, Sequence[str]] | None = None) -> list[Declared]:
+    """The declarations in one row of a schema report.
+
+    Unique indexes over expressions are left out, and those with a condition, as they declare
+    nothing about the columns of all rows; ``enums`` gives the labels of the types that are
+    enums. Members of the primary key are not null by it alone.
+    """
+    key = tuple(report["primary_key"] or ())
+    out = [Declared("primary key", "primary key", key)] if key else []
+    for i in report["indexes"] or ():
+        whole = i["definition"] is None or " WHERE " not in i["definition"].upper()
+        if i["is_unique"] and i["columns"] and whole and tuple(i["columns"]) != key:
+            out.append(Declared("unique", i["index_name"], tuple(i["columns"])))
+    for c in report["columns"]:
+        if not c["nullable"] and c["column_name"] not in key:
+            out.append(Declared("not null", c["column_name"], (c["column_name"],)))
+        if enums and c["data_type"] in enums:
+            out.append(Declared("enum", c["column_name"], (c["column_name"],), tuple(enums[c["data_type"]])))
+    return out
+
+
+def declared_violations(df: DataFrame, rules: Sequence[Declared]) -> DataFrame:
+    """kind, name, key (its values as JSON), n_rows: what breaks any of ``rules``, in one pass.
+
+    Every row is read once and gives one counted entry per key it must be unique by, and one
+    per rule it breaks by itself; entries are counted before they are shuffled, so the shuffle
+    holds the keys once each. A key breaks its rule where it occurs more than once, a primary
+    key also where a part is unset; unset parts never collide in a unique index, and are
+    allowed in an enum.
+    """
+    entries = []
+    for n, r in enumerate(rules):
+        parts = F.struct(*[exact(c).alias(c) for c in r.columns])
+        key = F.to_json(parts, {"ignoreNullFields": "false"})
+        alone = ~_all_set(r.columns)
+        if r.kind == "primary key":
+            counted = F.lit(True)
+        elif r.kind == "unique":
+            counted, alone = _all_set(r.columns), F.lit(False)
+        elif r.kind == "not null":
+            counted = alone
+        elif r.kind == "enum":
+            alone = _all_set(r.columns) & ~exact(r.columns[0]).cast("string").isin(*r.labels)
+            counted = alone
+        else:
+            raise ValueError(f"no check for {r.kind}")
+        entry = F.struct(F.lit(n).alias("rule"), key.alias("key"), alone.alias("alone"))
+        entries.append(F.when(counted, entry))
+    shape = "kind string, name string, key string, n_rows bigint"
+    if not entries:
+        return df.sparkSession.createDataFrame([], shape)
+    one = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    counts = one.groupBy("rule", "key", "alone").agg(F.count("*").alias("n_rows"))
+    bad = counts.where(F.col("alone") | (F.col("n_rows") > 1))
+    kinds, names = (F.array(*[F.lit(getattr(r, f)) for r in rules]) for f in ("kind", "name"))
+    return bad.select(F.get(kinds, "rule").alias("kind"), F.get(names, "rule").alias("name"), "key", "n_rows")
+
+
 def after_delete(
     child: DataFrame, columns: Sequence[str], deleted: DataFrame, references: Sequence[str], action: str
 ) -> DataFrame:

@@ -91,6 +91,45 @@ def swap_location(spark: SparkSession, table: str, path: str) -> None:
     spark.catalog.refreshTable(table)
 
 
+def copy_differences(
+    source: DataFrame, copy: DataFrame, key: Sequence[str], columns: Sequence[str], buckets: int = 4096
+) -> DataFrame:
+    """Keys under which two copies differ: key, state (missing, extra or different).
+
+    One pass digests both sides per bucket of the key's hash; copies that agree are done then.
+    Otherwise only rows of buckets that differ are read again and compared by key. Rows of one
+    key are compared as a bag, so a key need not be unique, and a null is a value like any.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit(7), *map(exact, key)), F.lit(buckets))
+    parts = [x for c in columns for x in (exact(c), exact(c).isNull())]
+    own = free_names("_sign _bucket _one _two", source, copy)
+    sign, at, one, two = own
+    sides = [
+        df.select(
+            *map(exact, key),
+            F.lit(s).alias(sign),
+            bucket.alias(at),
+            F.xxhash64(*parts).cast("decimal(38,0)").alias(one),
+            F.xxhash64(F.lit(1), *parts).cast("decimal(38,0)").alias(two),
+        )
+        for df, s in ((source, 1), (copy, -1))
+    ]
+    both = sides[0].unionByName(sides[1])
+    sums = [F.sum(F.col(x) * F.col(sign)).alias(x) for x in (one, two)]
+    differs = (F.col(one) != 0) | (F.col(two) != 0) | (F.col("_left") != 0)
+    digests = both.groupBy(at).agg(*sums, F.sum(sign).alias("_left"))
+    unequal = [r[0] for r in digests.where(differs).select(at).collect()]
+    n_source, n_copy = (F.count_if(F.col(sign) == s) for s in (1, -1))
+    state = F.when(F.col("_copy") == 0, "missing").when(F.col("_source") == 0, "extra").otherwise("different")
+    return (
+        both.where(F.col(at).isin(unequal))
+        .groupBy(*map(exact, key))
+        .agg(*sums, F.sum(sign).alias("_left"), n_source.alias("_source"), n_copy.alias("_copy"))
+        .where(differs)
+        .select(*map(exact, key), state.alias("state"))
+    )
+
+
 def copy_verify(source: DataFrame, copy: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: row counts of both sides and whether they hold the same rows.
 

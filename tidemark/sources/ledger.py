@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import Moment
 from tidemark.sources.schemas import LEDGER
 
+#: Column that partitions a ledger by the run that recorded its rows.
+RUN = "recorded_by"
+
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at ``path``; a ledger that does not exist yet is empty."""
+    """The ledger at ``path``; a ledger that does not exist yet is empty.
+
+    Of a script that several runs recorded, the row of the least run counts.
+    """
     try:
-        return spark.read.schema(LEDGER).parquet(path)
+        found = spark.read.schema(LEDGER + f", {RUN} string").parquet(path)
+        key = ["db_id", "name"]
+        by_run = found.where(F.col(RUN).isNotNull() & F.col("name").isNotNull() & F.col("db_id").isNotNull())
+        first = F.min(F.struct(RUN, "checksum", "applied_at")).alias("_f")
+        once = by_run.groupBy(*key).agg(first).select(*key, "_f.checksum", "_f.applied_at")
+        rest = found.where(F.col(RUN).isNull() | F.col("name").isNull() | F.col("db_id").isNull())
+        has_runs = RUN in spark.read.parquet(path).columns
+        return rest.drop(RUN).unionByName(once) if has_runs else found.drop(RUN)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -47,7 +60,28 @@ def new_rows(ledger: DataFrame, scripts: DataFrame, now: Moment) -> DataFrame:
     )
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append in one job.  Files have no key constraint: run one writer at a time, or
-    keep the ledger in a table format with transactions."""
-    rows.select("db_id", "name", "checksum", "applied_at").write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, run: str) -> None:
+    """Record ``rows`` under the name of a run, in one job.
+
+    Repeating a run replaces its own rows and no others, so an append that broke off, or was
+    sent twice, leaves every row once. Runs that record the same script at the same time
+    both write it: ``read_ledger`` takes the least run's row, and ``recorded_twice`` tells.
+    """
+    (
+        rows.select("db_id", "name", "checksum", "applied_at", F.lit(run).alias(RUN))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(RUN)
+        .parquet(path)
+    )
+
+
+def recorded_twice(spark: SparkSession, path: str) -> DataFrame:
+    """Scripts that more than one run recorded: db_id, name, runs, agree (one checksum)."""
+    rows = spark.read.schema(LEDGER + f", {RUN} string").parquet(path)
+    return (
+        rows.where(F.col(RUN).isNotNull())
+        .groupBy("db_id", "name")
+        .agg(F.sort_array(F.collect_set(RUN)).alias("runs"), (F.count_distinct("checksum") == 1).alias("agree"))
+        .where(F.size("runs") > 1)
+    )

@@ -190,7 +190,12 @@ def ledger_check(s):
     FROM status WHERE state = 'pending'"""),
 )
 def ledger_append(s):
-    rows = ledgers.new_rows(ledgers.sound(s.ledger()), _good(s), NOW)
+    """Written twice under one run and read again."""
+    path = f"{fresh_dir(s.spark, 'ledgers')}/ledger"
+    rows = pin(ledgers.new_rows(ledgers.sound(s.ledger()), _good(s), NOW))
+    ledgers.append(rows, path, "first")
+    ledgers.append(rows, path, "first")
+    rows = ledgers.read_ledger(s.spark, path)
     return rows.withColumn("applied_at", F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
@@ -480,19 +485,28 @@ def up_blocked(s):
     "check_summary",
     _hurt(
         """
-    SELECT d.db_id, h.reason, r.db_id IS NOT NULL AND h.reason IS NULL AS db_checked,
-      (SELECT count(*) FROM scan x WHERE x.db_id = d.db_id AND x.reason IS NOT NULL) AS invalid_names,
-      (SELECT count(*) FROM good g WHERE g.db_id = d.db_id AND (r.db_id IS NULL OR h.reason IS NOT NULL
-        OR g.name NOT IN (SELECT name FROM ledger l WHERE l.db_id = d.db_id))) AS pending
-    FROM databases d LEFT JOIN readable r ON d.db_id = r.db_id
-    LEFT JOIN (SELECT * FROM bad WHERE db_id IN (SELECT db_id FROM readable)) h ON d.db_id = h.db_id""",
+    SELECT db_id, reason, db_checked, invalid_names, pending, pending_bad, mismatched,
+      reason IS NULL AND invalid_names = 0 AND pending_bad = 0 AND mismatched = 0 AS ok
+    FROM (
+      SELECT d.db_id, h.reason, r.db_id IS NOT NULL AND h.reason IS NULL AS db_checked,
+        (SELECT count(*) FROM scan x WHERE x.db_id = d.db_id AND x.reason IS NOT NULL) AS invalid_names,
+        count(f.name) FILTER (r.db_id IS NULL OR h.reason IS NOT NULL OR f.applied IS NULL) AS pending,
+        count(f.name) FILTER (f.error IS NOT NULL AND (r.db_id IS NULL OR h.reason IS NOT NULL OR f.applied IS NULL)) AS pending_bad,
+        count(f.name) FILTER (r.db_id IS NOT NULL AND h.reason IS NULL AND f.applied <> f.checksum) AS mismatched
+      FROM databases d LEFT JOIN readable r ON d.db_id = r.db_id
+      LEFT JOIN (SELECT * FROM bad WHERE db_id IN (SELECT db_id FROM readable)) h ON d.db_id = h.db_id
+      LEFT JOIN (SELECT g.db_id, g.name, g.checksum, v.error, l.checksum AS applied FROM good g JOIN verdict v ON g.doc_id = v.id
+        LEFT JOIN ledger l ON l.db_id = g.db_id AND l.name = g.name) f ON f.db_id = d.db_id
+      GROUP BY d.db_id, h.reason, r.db_id) c""",
         databases=duck("databases"),
         readable=duck("readable"),
+        **_split_ctes("SELECT doc_id AS id, content AS text FROM good"),
+        verdict=VERDICT,
     ),
 )
 def check_summary(s):
     got = calls.check(s.scripts(), _hurt_ledger(s), s.databases(), s.readable(), NOW)["summary"]
-    return got.select("db_id", "reason", "db_checked", "invalid_names", "pending")
+    return got.select("db_id", "reason", "db_checked", "invalid_names", "pending", "pending_bad", "mismatched", "ok")
 
 
 @query(

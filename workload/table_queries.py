@@ -98,6 +98,27 @@ def copy_verify(s):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "copy_differences",
+    """
+    SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber,
+      CASE WHEN b.rows IS NULL THEN 'missing' WHEN a.rows IS NULL THEN 'extra' ELSE 'different' END AS state
+    FROM (SELECT l_orderkey, l_linenumber, list_sort(list(lineitem)) AS rows FROM lineitem GROUP BY 1, 2) a
+    FULL JOIN (SELECT l_orderkey, l_linenumber, list_sort(list(c)) AS rows FROM (
+        SELECT * REPLACE (CASE WHEN l_quantity = 50 AND l_linenumber = 7 THEN 0 ELSE l_tax END AS l_tax) FROM lineitem WHERE l_orderkey % 97 <> 0
+        UNION ALL SELECT * REPLACE (-l_orderkey AS l_orderkey) FROM lineitem WHERE l_orderkey % 101 = 0) c GROUP BY 1, 2) b
+    ON a.l_orderkey IS NOT DISTINCT FROM b.l_orderkey AND a.l_linenumber IS NOT DISTINCT FROM b.l_linenumber
+    WHERE a.rows IS DISTINCT FROM b.rows""",
+)
+def copy_differences(s):
+    """A copy with altered, lost and added rows: under which keys."""
+    source = s.table("lineitem")
+    odd = (F.col("l_quantity") == 50) & (F.col("l_linenumber") == 7)
+    kept = source.where(F.col("l_orderkey") % 97 != 0).withColumn("l_tax", F.when(odd, 0.0).otherwise(F.col("l_tax")))
+    more = source.where(F.col("l_orderkey") % 101 == 0).withColumn("l_orderkey", -F.col("l_orderkey"))
+    return ev.copy_differences(source, kept.unionByName(more), ["l_orderkey", "l_linenumber"], source.columns)
+
+
 @query(
     "wire_rows",
     """SELECT to_json({'event_id': CAST(event_id AS STRING), 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'),
@@ -196,6 +217,56 @@ def check_enum(s):
     return con.enum_violations(events, "event_type", labels)
 
 
+# What the catalogues say about two of the tables.
+_RULES = {
+    "lineitem": [
+        con.Declared("primary key", "primary key", ("l_orderkey", "l_linenumber")),
+        con.Declared("unique", "one_part_a_day", ("l_partkey", "l_suppkey", "l_shipdate")),
+        con.Declared("not null", "l_quantity", ("l_quantity",)),
+        con.Declared("enum", "l_returnflag", ("l_returnflag",), ("A", "N")),
+        con.Declared("enum", "l_linestatus", ("l_linestatus",), ("O", "F")),
+    ],
+    "orders": [
+        con.Declared("primary key", "primary key", ("o_orderkey",)),
+        con.Declared("unique", "one_order_a_day", ("o_custkey", "o_orderdate")),
+        con.Declared("not null", "o_totalprice", ("o_totalprice",)),
+        con.Declared("enum", "o_orderstatus", ("o_orderstatus",), ("F", "O")),
+    ],
+}
+
+
+def _broken_rules() -> str:
+    """One text per rule."""
+    texts = []
+    for table, rules in _RULES.items():
+        for r in rules:
+            columns = ", ".join(r.columns)
+            unset = " OR ".join(f"{c} IS NULL" for c in r.columns)
+            labels = ", ".join(f"'{x}'" for x in r.labels)
+            where, having = {
+                "primary key": ("true", f"count(*) > 1 OR {unset}"),
+                "unique": (f"NOT ({unset})", "count(*) > 1"),
+                "not null": (unset, "true"),
+                "enum": (f"{columns} NOT IN ({labels})", "true"),
+            }[r.kind]
+            texts.append(
+                f"SELECT '{table}' AS table_name, '{r.kind}' AS kind, '{r.name}' AS name, count(*) AS n_keys, sum(n)::BIGINT AS n_rows FROM "
+                f"(SELECT {columns}, count(*) AS n FROM {table} WHERE {where} GROUP BY {columns} HAVING {having}) k HAVING count(*) > 0"
+            )
+    return " UNION ALL ".join(texts)
+
+
+@query("check_declared", _broken_rules())
+def check_declared(s):
+    """All keys, unique indexes, set columns and enums of two tables, each table read once."""
+    parts = []
+    for table, rules in _RULES.items():
+        found = con.declared_violations(s.table(table), rules)
+        counts = found.groupBy("kind", "name").agg(F.count("*").alias("n_keys"), F.sum("n_rows").alias("n_rows"))
+        parts.append(counts.select(F.lit(table).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 _GONE = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IS NOT NULL"
 _SHIPPED = f"strftime(l_shipdate, {_DUCK_TIME}) AS l_shipdate"
 
