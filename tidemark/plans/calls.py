@@ -119,8 +119,10 @@ def codegen(
         if enum_labels is not None
         else contracts.sqlite_contract_columns(columns)
     )
-    rows = contracts.contract_rows(typed, enum_labels, ledger_table)
-    return {"rows": rows, "counts": contracts.contract_counts(rows)}
+    return {
+        "rows": contracts.contract_rows(typed, enum_labels, ledger_table),
+        "counts": contracts.contract_counts(columns, enum_labels, ledger_table),
+    }
 
 
 def schema(
