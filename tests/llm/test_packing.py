@@ -14,9 +14,7 @@ pytest.importorskip("public_tokenizers")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = tokenizers.Tokenizer.from_file(pk.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(pk.vocabulary())
 
 
 def ids_of(plain, text):
@@ -37,6 +35,19 @@ def test_chunks_join_to_the_whole_texts_ids(plain):
         assert np.frombuffer(encoder.encode(text) + b"\1\0\0\0", "<u4").tolist() == ids_of(plain, text), repr(text)
 
 
+def test_special_tokens_are_those_of_the_tokenizer_as_loaded(plain):
+    text = "a<|endoftext|>b <|endoftext|>.\n<|endoftext|> c, <|endoftext|>\n  <|endoftext|>,"
+    ids = np.frombuffer(pk.Encoder(pk.vocabulary()).encode(text), "<u4").tolist()
+    assert ids == plain.encode(text, add_special_tokens=False).ids and ids.count(50256) == 5
+
+
+def test_words_are_encoded_as_one_line(plain):
+    encoder = pk.Encoder(pk.vocabulary())
+    chunks = [" word", "word", "\n", " élève", "don't", " \U0001f600,", "  two", " a\tb", "<|endoftext|>", " 12345", ".", " ²,"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(chunks)] == [plain.encode(c, add_special_tokens=False).ids for c in chunks]
+    assert encoder.each([]) == []
+
+
 def test_pieces_and_sequences(spark, plain):
     rows = [(i, t, "x", i) for i, t in enumerate(TEXTS)] + [(3, "a b", "x", 9), (90, None, None, None), (None, "no id", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, length string, start bigint")

@@ -37,6 +37,7 @@ WINDOW, END = 2048, 1
 REMEMBERED = 400_000
 #: White space besides spaces and line feeds, and the sign used for cutting.
 _OTHER = re.compile(r"[^\S\n ]|\0")
+_WORD = re.compile(r" ?[^\s\0]+\Z")
 
 
 def vocabulary() -> str:
@@ -59,13 +60,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)  # byte-level: one character a byte
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
 
     def chunks(self, text: str) -> list[str]:
-        if not _OTHER.search(text) and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        # Words parted by single spaces and line feeds only.
+        if "\0" not in text and text.split() == text.replace("\n", " ").split(" "):
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
         parts = text.split(" ")
         out = parts[:1]
@@ -77,6 +81,30 @@ class Encoder:
                 out[-1] = f"{last} {part}"
         return out
 
+    def each(self, chunks: list[str]) -> list[bytes]:
+        """Ids of every chunk, from one encoding of all that are words; the others one by one.
+
+        Words that a space or line feed parts do not touch each other, so the ids of the line
+        of words are those of the words, told apart by the ids' lengths in bytes.
+        """
+        words = list(filter(_WORD.match, chunks))
+        lead = [c[0] == " " for c in words]
+        line = "".join(words) if all(lead) else "".join([c if s else "\n" + c for c, s in zip(words, lead)])
+        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64) if line else np.empty(0, np.int64)
+        ends = np.cumsum([len(c.encode()) + (not s) for c, s in zip(words, lead)])
+        till = np.cumsum(self.size[ids])
+        stop = np.searchsorted(till, ends)
+        if len(words) == 0 or len(ids) == 0 or (stop >= len(till)).any() or (till[stop] != ends).any():
+            found = {}
+        else:
+            coded, stop = ids.astype("<u4").tobytes(), (4 * (stop + 1)).tolist()
+            start = [0, *stop[:-1]]
+            found = {c: coded[a + (0 if s else 4) : b] for c, s, a, b in zip(words, lead, start, stop)}
+        rest = [c for c in chunks if c not in found]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            found[c] = array("I", e.ids).tobytes()
+        return [found[c] for c in chunks]
+
     def _learn(self, new: set[str]) -> None:
         known, older, plain, marked = self.known, self.older, [], []
         for chunk in new:
@@ -89,8 +117,7 @@ class Encoder:
                     plain.append(chunk[:-1])
             else:
                 plain.append(chunk)
-        for chunk, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            known[chunk] = array("I", found.ids).tobytes()
+        known.update(zip(plain, self.each(plain)))
         for chunk in marked:
             core = chunk[:-1]
             known[chunk] = (known[core] if core in known else older[core]) + self.marks[chunk[-1]]
