@@ -6,6 +6,7 @@ from math import ceil
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from test_groups import ODD, classes, corpus, frame
 from tidemark.llm import jaccard, links
@@ -110,6 +111,12 @@ def test_parities_never_exceed_the_difference():
             assert n > 100 or bits >= 0.75 * len(np.setxor1d(a, b))
 
 
+def test_folded_parities_are_those_by_fewer_residues(spark):
+    elements = np.random.default_rng(5).integers(0, 2**63, 300, dtype=np.uint64)
+    row = spark.createDataFrame([(links.parity(elements).tolist(),)], "bits array<bigint>").select(*links.folded(F.col("bits"))).first()
+    assert list(row) == links.parity(elements, words=2).tolist()
+
+
 def test_no_documents(spark):
     assert jaccard.join(frame(spark, ODD).limit(0)).count() == 0
     assert jaccard.join(frame(spark, ODD[:3])).count() == 3

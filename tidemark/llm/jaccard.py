@@ -220,10 +220,9 @@ def join(
     """
     bare = _bare(docs, doc_id, text)
     signed, classes, lists, boundary = _parts(bare, shingle, percent)
-    groups = pin(lists.join(classes.select("node", "bits"), "node"))
     roots = links.joined(pin(classes.select("node", F.col("node").alias("root"))), pin(light_links(classes, percent, boundary)))
     verify = lambda found: links.verified(found, bare, classes, shingle, percent)
-    roots = links.connected(groups, roots, verify, percent, centres, both_over=boundary)
+    roots = links.connected(lists.select("key", "node"), roots, classes, verify, percent, centres, both_over=boundary)
     member = classes.join(roots, "node").select("set_key", "low", "root")
     component = member.join(member.groupBy("root").agg(F.min("low").alias("component_id")), "root")
     found = signed.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key")
@@ -240,12 +239,13 @@ def pairs(docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "d
     """
     bare = _bare(docs, doc_id, text)
     signed, classes, lists, _ = _parts(bare, shingle, percent)
-    every = classes.select("node", "n_shingles", F.explode("prefix").alias("key"))
-    groups = pin(every.join(classes.select("node", "bits"), "node"))
-    other = groups.select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "n_shingles", "bits")))
-    near = (F.col("node") < F.col("c_node")) & links.possible(F.col("n_shingles"), F.col("c_n_shingles"), F.col("bits"), F.col("c_bits"), percent)
+    groups = pin(links.hinted(classes.select("node", F.explode("prefix").alias("key")), classes))
+    other = groups.select("key", *(F.col(c).alias(f"c_{c}") for c in groups.columns if c != "key"))
+    near = (F.col("node") < F.col("c_node")) & links.possible(
+        F.col("n_shingles"), F.col("c_n_shingles"), *([F.col(f"{x}{h}") for h in ("hint", "hint_2")] for x in ("", "c_")), percent
+    )
     met = groups.join(other, "key").where(near).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct()
-    found = links.verified(pin(met), bare, classes, shingle, percent)
+    found = links.verified(pin(links.likely(met, classes, percent)), bare, classes, shingle, percent)
     one, two = (classes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
     named = found.join(one, "a").join(two, "b")
     turned = F.col("low_a") < F.col("low_b")

@@ -72,18 +72,33 @@ def parity(elements: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def unlike(a: Column, b: Column, words: int = WORDS) -> Column:
-    """In how many bits two parities differ."""
-    total = F.lit(0)
-    for k in range(words):
-        total = total + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
-    return total
-
-
-def possible(n: Column, m: Column, bits: Column, other: Column, percent: int) -> Column:
+def folded(bits: Column) -> list[Column]:
+    """The parity by residues of 128, in two numbers, out of the longer one."""
+    out = []
+    for k in (0, 1):
+        total = F.get(bits, F.lit(k))
+        for j in range(k + 2, WORDS, 2):
+            total = total.bitwiseXOR(F.get(bits, F.lit(j)))
+        out.append(total)
+    return out
+
+
+def possible(n: Column, m: Column, bits: list[Column], other: list[Column], percent: int) -> Column:
     """Whether sets of these sizes and parities may reach the similarity; never false if they do."""
+    unlike = F.lit(0)
+    for x, y in zip(bits, other):
+        unlike = unlike + F.bit_count(x.bitwiseXOR(y))
     fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return fits & (unlike(bits, other) * (100 + percent) <= (100 - percent) * (n + m))
+    return fits & (unlike * (100 + percent) <= (100 - percent) * (n + m))
+
+
+def likely(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole parities allow the similarity; ``parities`` has node,
+    n_shingles, bits."""
+    for x in ("a", "b"):
+        pairs = pairs.join(parities.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    each = [[F.get(f"bits_{x}", F.lit(k)) for k in range(WORDS)] for x in ("a", "b")]
+    return pairs.where(possible(F.col("n_a"), F.col("n_b"), *each, percent)).select("a", "b")
 
 
 #: Documents up to which a list of them travels to the texts instead of meeting them in a shuffle.
@@ -175,38 +190,46 @@ def _several(groups: DataFrame) -> DataFrame:
     return pin(groups.join(ends.where("low < high").select("key"), "key"))
 
 
+_HINTS = ["n_shingles", "hint", "hint_2"]
+
+
+def hinted(groups: DataFrame, parities: DataFrame) -> DataFrame:
+    """``groups`` with sizes and folded parities."""
+    one, two = folded(F.col("bits"))
+    return groups.join(parities.select("node", "n_shingles", one.alias("hint"), two.alias("hint_2")), "node")
+
+
 def connected(
     groups: DataFrame,
     roots: DataFrame,
+    parities: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     percent: int,
     centres: int,
     both_over: int = 0,
 ) -> DataFrame:
-    """``roots`` (node, root) after all links within ``groups`` (key, node, n_shingles, bits).
+    """``roots`` (node, root) after all links within ``groups`` (key, node).
 
-    ``verify`` returns the links among pairs (a, b) that passed the filter.
-
-    The first round tests one centre per group, by an order all groups share, so that the
-    groups of one family test the same pairs. Pairs of which no set is larger than
+    ``parities`` has node, n_shingles and bits; groups carry the folded parity, and pairs it
+    lets through are looked at by the whole one. ``verify`` returns the links among pairs
+    (a, b). The first round tests one centre per group, by an order all groups share, so that
+    the groups of one family test the same pairs. Pairs of which no set is larger than
     ``both_over`` are left out.
     """
-    groups, slots = _several(groups.join(roots, "node")), 1
+    groups, slots = pin(hinted(groups, parities).join(roots, "node")), 1
     while not groups.isEmpty():
         slot = F.pmod(F.xxhash64(F.lit(slots), "node"), F.lit(slots))
-        first = F.min_by(F.struct("node", "n_shingles", "bits", "root"), F.xxhash64("node"))
+        own = ["node", *_HINTS, "root"]
         chosen = pin(
             groups.groupBy("key", slot.alias("slot"))
-            .agg(first.alias("c"))
-            .select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("node", "n_shingles", "bits", "root")))
-        )
-        near = (
-            (F.col("root") != F.col("c_root"))
-            & (F.greatest("n_shingles", "c_n_shingles") > both_over)
-            & possible(F.col("n_shingles"), F.col("c_n_shingles"), F.col("bits"), F.col("c_bits"), percent)
+            .agg(F.min_by(F.struct(*own), F.xxhash64("node")).alias("c"))
+            .select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in own))
         )
-        member, centre = F.col("node").alias("a"), F.col("c_node").alias("b")
-        pairs = pin(groups.join(chosen, "key").where(near).select(member, centre).distinct())
+        n, m = F.col("n_shingles"), F.col("c_n_shingles")
+        hints = [[F.col(f"{x}{h}") for h in _HINTS[1:]] for x in ("", "c_")]
+        near = (F.col("root") != F.col("c_root")) & (F.greatest(n, m) > both_over) & possible(n, m, *hints, percent)
+        met = groups.join(chosen, "key").where(near)
+        pairs = pin(likely(met.select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct(), parities, percent))
         roots = _tested(pairs, roots, verify)
         done = chosen.select("key", F.col("c_node").alias("node"))
         left = groups.drop("root").join(done, ["key", "node"], "left_anti")

@@ -132,14 +132,14 @@ def group(
         .agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    keyed = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value")).select(
-        "node", "n_shingles", F.xxhash64("band", "value").alias("key")
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "value")).select(
+        "node", F.xxhash64("band", "value").alias("key")
     )
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    groups = keyed.join(crowded, "key").join(classes.select("node", "bits"), "node")
-    groups = pin(groups.select("key", "node", "n_shingles", "bits"))
+    groups = pin(keyed.join(crowded, "key"))
     roots = pin(groups.select("node", F.col("node").alias("root")).distinct())
-    roots = connected(groups, roots, lambda pairs: verified(pairs, bare, classes, shingle, percent), percent, centres)
+    verify = lambda pairs: verified(pairs, bare, classes, shingle, percent)
+    roots = connected(groups, roots, classes, verify, percent, centres)
     member = classes.join(roots, "node", "left").select("set_key", "low", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
     component = member.join(least, "root").select("set_key", "component_id")
