@@ -1,15 +1,15 @@
 """Main text of web pages from text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines, one per block, with the
-number of characters and of tags in it. Lines inside navigation, headers, footers, asides,
-forms, scripts and styles are left out, and those in containers marked by class, id or role as
-adverts, notices, reader comments and the like, unless the main text stands in such a one. The ratio of
-characters to tags of the other lines is smoothed by a Gaussian over neighbouring lines and
-clustered in two by a threshold; the containers that hold lines of the high cluster are the
-content, and their lines between the first and the last such line are the text. Article and
-main elements are a hint: their lines are of the high cluster from half the threshold on, and
-one that holds such a line also gives its other lines, but for containers that are mostly
-links and mostly of the low cluster.
+number of characters and of tags in it; a line break inside a block is white space. Hidden
+elements and lines inside navigation, headers, footers, asides, forms, scripts and styles are
+left out, and those in containers marked by class, id or role as adverts, notices, reader
+comments and the like, unless the main text stands in such a one. The ratio of characters to
+tags, link text counting against a line, is smoothed by a Gaussian over neighbouring lines and
+clustered in two by a threshold. Lines of the high cluster and short gaps between them, but
+for lines that are mostly links, are the text. Article and main elements are a hint on top:
+one that holds a line of the high cluster also gives its other lines, but for containers that
+are mostly links and mostly of the low cluster.
 
 Every page is read in its own row; nothing is shuffled. Time is linear in the page.
 
@@ -34,13 +34,15 @@ from tidemark.llm.common import named
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main "
-    "menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split()
+    "menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that are never content.
 DROPPED = frozenset(
     "nav footer aside form script style noscript template head title button select textarea "
     "iframe object svg canvas dialog menu".split()
 )
+#: Styles of elements that are not shown.
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that are followed to know what a line stands in.
 CONTAINERS = DROPPED | frozenset(
@@ -118,16 +120,24 @@ class Reader(HTMLParser):
         if tag in BLOCKS or tag in DROPPED:
             self.flush()
         self.tags += 1
+        if tag == "br":
+            self.parts.append(" ")
         if tag == "a":
             self.links = 1
-        if tag in CONTAINERS and tag not in VOID:
+        unseen = tag not in VOID and any(k == "hidden" or (k == "style" and v and UNSEEN.search(v)) for k, v in attrs)
+        top = self.stack[-1]
+        if tag in BLOCKS and top.tag == "p" and tag not in CONTAINERS:
+            self.stack.pop()  # a hidden paragraph that nothing closed
+        if (unseen or (top.dropped and tag == top.tag)) and tag not in CONTAINERS:
+            top = self.stack[-1]
+            self.stack.append(_Open(tag, top.number, top.dropped or unseen, top.article, top.marks))
+        elif tag in CONTAINERS and tag not in VOID:
             self.links = 0
             top = self.stack[-1]
             names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
             dropped = top.dropped or tag in DROPPED or (tag == "header" and not top.article)
             doubted = tag not in ("html", "body", "main") and marked(names, REPLY if tag == "article" else MARKED)
-            if any(k == "hidden" for k, _ in attrs):
-                dropped = True
+            dropped = dropped or unseen
             self.containers += 1
             marks = (*top.marks, self.containers) if doubted else top.marks
             article = top.article or (self.containers if tag in ("article", "main") and not doubted else 0)
@@ -141,7 +151,7 @@ class Reader(HTMLParser):
         self.tags += 1
         if tag == "a" or tag in CONTAINERS:
             self.links = 0
-        if tag in CONTAINERS:
+        if tag in CONTAINERS or self.stack[-1].tag == tag:
             for depth in range(len(self.stack) - 1, 0, -1):
                 if self.stack[depth].tag == tag:
                     del self.stack[depth:]
@@ -182,8 +192,12 @@ def threshold(values: np.ndarray) -> float:
     return float(values.min()) if 2 * low > high else (low + high) / 2
 
 
-def main_text(html: str, sigma: float = 1.0) -> str:
-    """The page's content lines joined by line feeds."""
+#: Width of the smoothing, share of the threshold that is enough, lines of a gap that is filled.
+SIGMA, ENOUGH, GAP = 3.0, 0.6, 3
+
+
+def main_text(html: str, sigma: float = SIGMA, hints: bool = True) -> str:
+    """The page's content lines joined by line feeds; without ``hints`` by clustering alone."""
     reader = Reader()
     reader.feed(html)
     reader.close()
@@ -198,11 +212,11 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     cut, plain = threshold(ratios), np.array([not x.marks for x in lines])
     if plain.any():  # a line in a marked container takes no other line's place
         cut = min(cut, threshold(ratios[plain]))
-    return "\n".join(x.text for x in content(lines, ratios, cut))
+    return "\n".join(x.text for x in content(lines, ratios, ENOUGH * cut, hints))
 
 
 def ratios_of(lines: list[Line], sigma: float) -> np.ndarray:
-    return smoothed(np.array([len(x.text) / x.tags for x in lines]), sigma)
+    return smoothed(np.array([max(len(x.text) - 2 * x.linked, 0) / x.tags for x in lines]), sigma)
 
 
 def unmarked(lines: list[Line], mains: set[int], sigma: float) -> list[Line]:
@@ -222,32 +236,33 @@ def unmarked(lines: list[Line], mains: set[int], sigma: float) -> list[Line]:
     return [x for x in lines if void.issuperset(x.marks)]
 
 
-def content(lines: list[Line], ratios: np.ndarray, cut: float) -> list[Line]:
+def clustered(lines: list[Line], high: np.ndarray) -> np.ndarray:
+    """Lines of the high cluster and of short gaps in it, but for those that are mostly links."""
+    keep, at = high.copy(), np.flatnonzero(high).tolist()
+    for a, b in zip(at, at[1:]):
+        if b - a <= GAP + 1:
+            keep[a:b] = True
+    return keep & np.array([2 * x.linked <= len(x.text) for x in lines])
+
+
+def content(lines: list[Line], ratios: np.ndarray, cut: float, hints: bool = True) -> list[Line]:
     """The lines of the main text, from their smoothed ratios and the elements they stand in."""
-    hinted = np.array([x.article > 0 for x in lines])
-    high = ratios >= cut * np.where(hinted, 0.5, 1.0)
-    first: dict[int, int] = {}
-    last: dict[int, int] = {}
-    for i in np.flatnonzero(high).tolist():
-        first.setdefault(lines[i].container, i)
-        last[lines[i].container] = i
-    articles = {lines[i].article for i in np.flatnonzero(high & hinted).tolist()}
+    high = ratios >= cut
+    keep = clustered(lines, high)
+    if not hints:
+        return [x for x, k in zip(lines, keep.tolist()) if k]
+    articles = {x.article for x, k in zip(lines, keep.tolist()) if k and x.article}
     linked: dict[int, int] = {}
     low: dict[int, int] = {}
     for x, up in zip(lines, high.tolist()):
         linked[x.container] = linked.get(x.container, 0) + 2 * x.linked - len(x.text)
         low[x.container] = low.get(x.container, 0) + (-1 if up else 1)
     lists = {x.container for x in lines if 0 < x.article != x.container and linked[x.container] > 0 and low[x.container] > 0}
-    return [
-        x
-        for i, x in enumerate(lines)
-        if x.container not in lists
-        and (x.article in articles or first.get(x.container, i + 1) <= i <= last.get(x.container, -1))
-    ]
+    return [x for x, k in zip(lines, keep.tolist()) if x.container not in lists and (k or x.article in articles)]
 
 
 def extract(
-    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sigma: float = 1.0
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sigma: float = SIGMA
 ) -> DataFrame:
     """page_id, url, text, n_chars (code points)."""
 
