@@ -120,3 +120,16 @@ def test_folded_parities_are_those_by_fewer_residues(spark):
 def test_no_documents(spark):
     assert jaccard.join(frame(spark, ODD).limit(0)).count() == 0
     assert jaccard.join(frame(spark, ODD[:3])).count() == 3
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(6)
+    names = rng.sample(range(10_000), 120)
+    edges = list(zip(names[:50], names[1:50])) + [(names[60], x) for x in names[61:90]] + [tuple(rng.sample(names[90:], 2)) for _ in range(15)]
+    root = {x: x for x in names}
+    for _ in names:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes = spark.createDataFrame([(x, x) for x in names], "node bigint, root bigint")
+    got = links.joined(nodes, spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert {r.node: r.root for r in got.collect()} == root

@@ -148,8 +148,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
 def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``roots`` (node, root) after joining what ``edges`` (a, b) connect.
 
-    Each round every root takes the least root an edge leads to, and these hooks are followed
-    to their ends by doubling; a star of any size is done in one round.
+    Each round every root takes the least root an edge leads to and follows two more such
+    hooks; a star of any size is done in one round, and chains shrink by a factor a round. Edges
+    lead across as long as their ends have different roots, so nothing is done too early.
     """
     while True:
         ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
@@ -158,12 +159,9 @@ def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
         hooks = pin(across.groupBy("root").agg(F.min("lower").alias("lower")))
         if hooks.isEmpty():
             return roots
-        while True:
-            up = hooks.select(F.col("root").alias("lower"), F.col("lower").alias("next"))
-            longer = pin(hooks.join(up, "lower", "left"))
-            hooks = longer.select("root", F.coalesce("next", "lower").alias("lower"))
-            if longer.where("next is not null").isEmpty():
-                break
+        up = hooks.select(F.col("root").alias("lower"), F.col("lower").alias("next"))
+        for _ in range(2):
+            hooks = hooks.join(up, "lower", "left").select("root", F.coalesce("next", "lower").alias("lower"))
         roots = pin(roots.join(hooks, "root", "left").select("node", F.coalesce("lower", "root").alias("root")))
 
 
