@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import json
 import random
 
 import pytest
@@ -284,6 +285,13 @@ def test_wire_row(spark):
     )
 
 
+def test_wire_row_with_json_kept_as_text(spark):
+    rows = [(1, '{"a": [1, null, "x"]}'), (2, "7"), (3, 'not "json"'), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "i int, `j.s` string")
+    got = [r.w for r in df.orderBy("i").select(wire_row(df.schema, ["j.s"]).alias("w")).collect()]
+    assert [json.loads(w)["j.s"] for w in got] == [{"a": [1, None, "x"]}, 7, 'not "json"', None, ""]
+
+
 def test_wire_row_reaches_into_structs_and_maps(spark):
     df = spark.sql(
         "SELECT named_struct('big', 9007199254740993L, 'a.b', map('k', named_struct('d', CAST(1.10 AS DECIMAL(4,2))))) AS deep, "

@@ -9,13 +9,13 @@ from tidemark.functions.text import ascii_upper
 
 # Postgres type names by the consumer type they arrive as.
 PG_WIRE = {
-    "number": "int2 int4 float4 float8 oid",
-    "boolean": "bool",
-    "Json": "json jsonb",
+    "number": ("int2", "int4", "float4", "float8", "oid"),
+    "boolean": ("bool",),
+    "Json": ("json", "jsonb"),
     "string": (
-        "int8 numeric money text varchar bpchar char name uuid citext inet cidr macaddr "
-        "interval time timetz bit varbit xml tsvector tsquery point date timestamp "
-        "timestamptz bytea"
+        "int8", "numeric", "money", "text", "varchar", "bpchar", "char", "name", "uuid", "citext", "inet", "cidr",
+        "macaddr", "interval", "time", "timetz", "bit", "varbit", "xml", "tsvector", "tsquery", "point", "date",
+        "timestamp", "timestamptz", "bytea",
     ),
 }
 # Substrings of a SQLite declaration, first hit wins.
@@ -37,7 +37,7 @@ def pg_element(data_type: Column, udt_name: Column) -> Column:
 
 def pg_builtin(element: Column) -> Column:
     """Consumer type of a built-in Postgres type, null for any other name."""
-    pairs = [F.lit(x) for wire, names in PG_WIRE.items() for n in names.split() for x in (n, wire)]
+    pairs = [F.lit(x) for wire, names in PG_WIRE.items() for n in names for x in (n, wire)]
     return F.try_element_at(F.create_map(*pairs), element)
 
 

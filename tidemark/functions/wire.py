@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,19 @@ def wire_value(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
-def wire_row(schema: T.StructType) -> Column:
-    """JSON text of a whole row, built from the table's schema; nulls are written out."""
-    fields = [wire_value(exact(f.name), f.dataType).alias(f.name) for f in schema]
+def wire_json(c: Column) -> Column:
+    """A text that holds JSON as the value it stands for; one that is no JSON stays a text."""
+    as_text = F.variant_get(F.parse_json(F.to_json(F.array(c))), "$[0]", "variant")
+    return F.when(c.isNotNull(), F.coalesce(F.try_parse_json(c), as_text))
+
+
+def wire_row(schema: T.StructType, json_columns: Sequence[str] = ()) -> Column:
+    """JSON text of a whole row, built from the table's schema; nulls are written out.
+
+    ``json_columns`` are text columns whose values go out as JSON, not as quoted text.
+    """
+    fields = [
+        (wire_json(exact(f.name)) if f.name in json_columns else wire_value(exact(f.name), f.dataType)).alias(f.name)
+        for f in schema
+    ]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

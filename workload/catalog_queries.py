@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import types
 from tidemark.operators import catalog as cat, contracts
 from tidemark.plans import calls
+from tidemark.session import fresh_dir
+from tidemark.sources import catalog as rows_of
 from workload.registry import duck, query, with_
 
 LEDGER = calls.LEDGER_TABLE
@@ -157,6 +159,29 @@ def index_columns(s):
     return Pg(s).indexes.withColumn("columns", F.array_join("columns", ","))
 
 
+@query(
+    "catalog_rows",
+    with_(
+        "SELECT 'columns' AS kind, db_id, table_name, column_name AS name, ordinal_position AS place FROM pg_columns "
+        "UNION ALL SELECT 'triggers', db_id, event_object_table, trigger_name, event_manipulation FROM pg_triggers",
+        pg_columns=duck("pg_columns"),
+        pg_triggers=duck("pg_triggers"),
+    ),
+)
+def catalog_rows(s):
+    """Collected rows of two kinds, written as JSON lines and read with their schemas."""
+    root = fresh_dir(s.spark, "catalogues")
+    s.pg_columns().write.json(f"{root}/columns")
+    s.pg_triggers().write.json(f"{root}/triggers")
+    columns, triggers = (rows_of.read_rows(s.spark, root, kind) for kind in ("columns", "triggers"))
+    return columns.select(F.lit("columns").alias("kind"), "db_id", "table_name", F.col("column_name").alias("name"), F.col("ordinal_position").alias("place")).unionByName(
+        triggers.select(
+            F.lit("triggers").alias("kind"), "db_id", F.col("event_object_table").alias("table_name"),
+            F.col("trigger_name").alias("name"), F.col("event_manipulation").alias("place"),
+        )
+    )
+
+
 # SQLite ---------------------------------------------------------------------------------
 
 LITE_TABLES = "SELECT db_id, name AS table_name FROM sqlite_master WHERE type = 'table' AND NOT name ILIKE 'sqlite_%'"
@@ -300,10 +325,10 @@ def schema_report(s):
 
 _ELEMENT = "CASE WHEN data_type = 'ARRAY' THEN regexp_replace(udt_name, '^_', '') ELSE udt_name END"
 _PASCAL = "array_to_string(list_transform(list_filter(string_split_regex({0}, '[_ -]'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '')"
-_NUMBER, _STRING = types.PG_WIRE["number"].split(), types.PG_WIRE["string"].split()
+_NUMBER, _STRING = types.PG_WIRE["number"], types.PG_WIRE["string"]
 WIRE = f"""
   SELECT *, CASE WHEN data_type = 'ARRAY' THEN base || '[]' ELSE base END AS wire_type
-  FROM (SELECT c.*, CASE WHEN element IN {tuple(_NUMBER)} THEN 'number' WHEN element IN {tuple(_STRING)} THEN 'string'
+  FROM (SELECT c.*, CASE WHEN element IN {_NUMBER} THEN 'number' WHEN element IN {_STRING} THEN 'string'
       WHEN element = 'bool' THEN 'boolean' WHEN element IN ('json', 'jsonb') THEN 'Json'
       WHEN EXISTS (SELECT 1 FROM enums e WHERE e.db_id = c.db_id AND e.enum_name = c.element) THEN {_PASCAL.format('element')} ELSE 'unknown' END AS base
     FROM (SELECT *, {_ELEMENT} AS element FROM cols) c) b"""

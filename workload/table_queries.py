@@ -129,6 +129,16 @@ def wire_rows(s):
     return events.select(wire_row(events.schema).alias("row"))
 
 
+@query(
+    "wire_json_columns",
+    """SELECT to_json({'event_id': CAST(event_id AS STRING), 'event_type': event_type, 'props': json(props)}) AS row FROM events""",
+)
+def wire_json_columns(s):
+    """``props`` is kept as text and goes out as the JSON it holds."""
+    events = s.table("events").select("event_id", "event_type", "props")
+    return events.select(wire_row(events.schema, ["props"]).alias("row"))
+
+
 # Declared keys and domains --------------------------------------------------------------
 
 
