@@ -83,3 +83,30 @@ def test_toxic_documents_go(spark, tmp_path):
     scored = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert ids(out) == sorted(str(k) for k, _ in rows if not scored[k]["toxic"])
     assert ids(out) == sorted(str(k) for k, _ in rows if k >= 500 or k % 3)
+
+
+def test_severity_against_a_plain_version(spark):
+    """Features, their counts and the expected severity, written over again."""
+    rng = np.random.default_rng(4)
+    pool = [f"word{i}" for i in range(40)] + ["Ärger", "vile", "vileness", "x" * 12, "a", "vi", "E=mc"]
+    rows = [(i, " ".join(rng.choice(pool, rng.integers(0, 25)))) for i in range(80)] + [(900, None), (901, ""), (902, "..."), (None, "vile words")]
+
+    def plain(text):
+        found = set()
+        for w in alnum(text):
+            w = w.encode()
+            found |= {w + b"$"} | {w[:k] for k in (4, 5, 6) if len(w) >= k}
+        return found
+
+    every = sorted(set().union(*(plain(t) for _, t in rows)))
+    weights = {f: float(rng.normal()) for f in every[::2]}
+    model = toxicity.Model(weights, (-0.5, 0.25, 1.5), 1.4)
+    for r, (key, text) in zip(toxicity.score(frame(spark, rows), model).collect(), rows):
+        total = sum(weights.get(f, 0.0) for f in plain(text))
+        severity = sum(1 / (1 + np.exp(t - total)) for t in model.thresholds)
+        assert r["doc_id"] == key and abs(r["severity"] - severity) < 1e-9 and r["grade"] == round(severity)
+        assert r["toxic"] == (bool(text) and severity >= 1.4)
+    counted = {bytes(r["feature"]): (r["n"], r["n_toxic"]) for r in toxicity._counts(spark.createDataFrame([(t or "", i % 2) for i, (_, t) in enumerate(rows)], "text string, toxic int").repartition(3)).collect()}
+    for f in every:
+        holds = [i % 2 for i, (_, t) in enumerate(rows) if f in plain(t)]
+        assert counted[f] == (len(holds), sum(holds))
