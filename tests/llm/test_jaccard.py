@@ -122,6 +122,19 @@ def test_no_documents(spark):
     assert jaccard.join(frame(spark, ODD[:3])).count() == 3
 
 
+@pytest.mark.parametrize("n", [600, 700, 3000])
+def test_parities_of_long_sets_fold_to_each_other(spark, n):
+    """Sets to both sides of a doubling are compared by the shorter parity."""
+    pool = np.random.default_rng(7).integers(0, 2**63, 4 * n, dtype=np.uint64)
+    sets = {1: pool[:n], 2: pool[20 : n + 40], 3: pool[: n + 60], 4: pool[2 * n : 3 * n], 5: pool[n // 2 : n + n // 2]}
+    rows = [(k, len(v), links.parity(v).tolist()) for k, v in sets.items()]
+    parities = spark.createDataFrame(rows, "node bigint, n_shingles bigint, bits array<bigint>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    got = {(r.a, r.b) for r in links.likely(spark.createDataFrame(pairs, "a bigint, b bigint"), parities, 85).collect()}
+    similar = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert got == similar and 0 < len(got) < len(pairs)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(6)
     names = rng.sample(range(10_000), 120)

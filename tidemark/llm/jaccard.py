@@ -241,9 +241,7 @@ def pairs(docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "d
     signed, classes, lists, _ = _parts(bare, shingle, percent)
     groups = pin(links.hinted(classes.select("node", F.explode("prefix").alias("key")), classes))
     other = groups.select("key", *(F.col(c).alias(f"c_{c}") for c in groups.columns if c != "key"))
-    near = (F.col("node") < F.col("c_node")) & links.possible(
-        F.col("n_shingles"), F.col("c_n_shingles"), *([F.col(f"{x}{h}") for h in ("hint", "hint_2")] for x in ("", "c_")), percent
-    )
+    near = (F.col("node") < F.col("c_node")) & links.by_hints(percent)
     met = groups.join(other, "key").where(near).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct()
     found = links.verified(pin(links.likely(met, classes, percent)), bare, classes, shingle, percent)
     one, two = (classes.select(F.col("node").alias(x), F.col("low").alias(f"low_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import raw
 from tidemark.session import pin
 
-#: Parity bits of a set, in 64-bit numbers.
+#: Least parity bits of a set, in 64-bit numbers.
 WORDS = 10
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -65,40 +65,66 @@ def shingle_set(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
     return np.unique(out)
 
 
-def parity(elements: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Bit r of the result: whether an odd number of elements has the residue r."""
+def parity(elements: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Bit r of the result: whether an odd number of elements has the residue r.
+
+    There are at least as many residues as elements, by doubling from ``WORDS`` * 64.
+    """
+    if words is None:
+        words = WORDS
+        while 64 * words < len(elements):
+            words *= 2
     at = (elements % np.uint64(64 * words)).astype(np.int64)
     odd = np.bincount(at, minlength=64 * words).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+_HINTS = ["n_shingles", "hint", "hint_2"]
+
+
+def _xor(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(b)
+
+
 def folded(bits: Column) -> list[Column]:
-    """The parity by residues of 128, in two numbers, out of the longer one."""
-    out = []
-    for k in (0, 1):
-        total = F.get(bits, F.lit(k))
-        for j in range(k + 2, WORDS, 2):
-            total = total.bitwiseXOR(F.get(bits, F.lit(j)))
-        out.append(total)
-    return out
-
-
-def possible(n: Column, m: Column, bits: list[Column], other: list[Column], percent: int) -> Column:
-    """Whether sets of these sizes and parities may reach the similarity; never false if they do."""
-    unlike = F.lit(0)
-    for x, y in zip(bits, other):
-        unlike = unlike + F.bit_count(x.bitwiseXOR(y))
+    """The parity by residues of 128, in two numbers, out of a longer one."""
+    zero = F.lit(0).cast("bigint")
+    return [F.aggregate(F.filter(bits, lambda _, i: i % 2 == k), zero, _xor) for k in (0, 1)]
+
+
+def halved(bits: Column, size: Column) -> Column:
+    """The parity by half as many residues, where it is longer than ``size``."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.when(F.size(bits) > size, F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), _xor)).otherwise(bits)
+
+
+def possible(n: Column, m: Column, unlike: Column, percent: int) -> Column:
+    """Whether sets of these sizes whose parities differ in so many bits may reach the
+    similarity; never false if they do."""
     fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     return fits & (unlike * (100 + percent) <= (100 - percent) * (n + m))
 
 
+def by_hints(percent: int) -> Column:
+    """``possible`` for a member and a centre (``c_``) by their sizes and folded parities."""
+    unlike = F.lit(0)
+    for h in _HINTS[1:]:
+        unlike = unlike + F.bit_count(_xor(F.col(h), F.col(f"c_{h}")))
+    return possible(F.col("n_shingles"), F.col("c_n_shingles"), unlike, percent)
+
+
 def likely(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole parities allow the similarity; ``parities`` has node,
     n_shingles, bits."""
     for x in ("a", "b"):
         pairs = pairs.join(parities.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-    each = [[F.get(f"bits_{x}", F.lit(k)) for k in range(WORDS)] for x in ("a", "b")]
-    return pairs.where(possible(F.col("n_a"), F.col("n_b"), *each, percent)).select("a", "b")
+    one, two = F.col("bits_a"), F.col("bits_b")
+    size = F.least(F.size(one), F.size(two))
+    for _ in range(3):  # similar sets differ little in size, hence in doublings
+        one, two = halved(one, size), halved(two, size)
+    differ = F.zip_with(one, two, lambda x, y: F.bit_count(_xor(x, y)))
+    unlike = F.when(F.size(one) == F.size(two), F.aggregate(differ, F.lit(0), lambda s, x: s + x)).otherwise(0)
+    return pairs.where(possible(F.col("n_a"), F.col("n_b"), unlike, percent)).select("a", "b")
 
 
 #: Documents up to which a list of them travels to the texts instead of meeting them in a shuffle.
@@ -188,9 +214,6 @@ def _several(groups: DataFrame) -> DataFrame:
     return pin(groups.join(ends.where("low < high").select("key"), "key"))
 
 
-_HINTS = ["n_shingles", "hint", "hint_2"]
-
-
 def hinted(groups: DataFrame, parities: DataFrame) -> DataFrame:
     """``groups`` with sizes and folded parities."""
     one, two = folded(F.col("bits"))
@@ -223,9 +246,8 @@ def connected(
             .agg(F.min_by(F.struct(*own), F.xxhash64("node")).alias("c"))
             .select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in own))
         )
-        n, m = F.col("n_shingles"), F.col("c_n_shingles")
-        hints = [[F.col(f"{x}{h}") for h in _HINTS[1:]] for x in ("", "c_")]
-        near = (F.col("root") != F.col("c_root")) & (F.greatest(n, m) > both_over) & possible(n, m, *hints, percent)
+        over = F.greatest("n_shingles", "c_n_shingles") > both_over
+        near = (F.col("root") != F.col("c_root")) & over & by_hints(percent)
         met = groups.join(chosen, "key").where(near)
         pairs = pin(likely(met.select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct(), parities, percent))
         roots = _tested(pairs, roots, verify)
