@@ -74,3 +74,10 @@ def test_listings_are_never_broadcast(spark, name, monkeypatch):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert "RoundRobinPartitioning" in plan
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    """A table may be one file or a folder of files."""
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["stream_drift"](spark, str(tmp_path))
+    assert got.exceptAll(QUERIES["stream_drift"](spark, SF)).count() == 0 and got.count() > 0

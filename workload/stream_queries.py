@@ -17,12 +17,11 @@ DELAY = "60 days"
 
 
 def _stream(s, table: str, recipe: str) -> DataFrame:
-    """A recipe over one table read as a file stream."""
-    rows = (
-        s.spark.readStream.schema(s.table(table).schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(s.sf_dir)
-    )
+    """A recipe over one table read as a file stream: one file, or a folder of files.
+
+    The path is a pattern, as a stream takes a plain path for a folder.
+    """
+    rows = s.spark.readStream.schema(s.table(table).schema).parquet(f"{s.sf_dir}/{table}.parque[t]")
     view = f"arriving_{table}"
     rows.createOrReplaceTempView(view)
     return s.spark.sql(getattr(ip, recipe)(ip.SparkDialect(lambda _: view)))
