@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -233,3 +234,33 @@ def test_names_with_dots(spark):
     assert con.unique_violations(df, ["a.b"]).count() == 1
     assert ev.copy_verify(df, df, ["a.b", "c`d"]).first()["matches"]
     assert ev.change_types(df, {"a.b": "string"}).columns == ["a.b", "c`d", "rejected"]
+
+
+def test_attempts_of_one_arrival_need_one_timer():
+    """Every timer is a call of its own, so a key holds one, whatever the number of its attempts."""
+    class Value:
+        def __init__(self):
+            self.held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = put = lambda self, x: setattr(self, "held", x)
+        appendList = lambda self, x: setattr(self, "held", (self.held or []) + x)
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+        getValueState = getListState = lambda self, *_: Value()
+        registerTimer = lambda self, at: self.timers.append(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+    judge, handle = so.Judge(1000), Handle()
+    judge.init(handle)
+    def arrive(*seconds):
+        at = pd.to_datetime([datetime(2024, 1, 1, 0, 0, s) for s in seconds])
+        list(judge.handleInputRows(("a", "s"), iter([pd.DataFrame({"event_id": 1, "ended_at": at, "ok": True, "kind": None, "checksum": "x"})]), None))
+    arrive(*range(10, 60))
+    first = list(handle.timers)
+    arrive(5, 20)
+    assert len(first) == 1 and handle.timers == [first[0] - 5000]
+    arrive(30)
+    assert handle.timers == [first[0] - 5000]
