@@ -135,6 +135,38 @@ def test_parities_of_long_sets_fold_to_each_other(spark, n):
     assert got == similar and 0 < len(got) < len(pairs)
 
 
+def test_copies_of_one_text_are_tested_with_it_only(spark):
+    """The text that altered copies have in common goes first, so one round tests each copy once."""
+    base, copies, seen = 17, range(100, 140), []
+    groups = [(k, base, 27) for k in range(30)] + [(k, c, 27) for k in range(30) for c in copies if (c * 7 + k * 3) % 20 < 13]
+    groups = spark.createDataFrame(groups, "key bigint, node bigint, length bigint")
+    nodes = [base, *copies]
+    roots = spark.createDataFrame([(n, n) for n in nodes], "node bigint, root bigint")
+    parities = spark.createDataFrame([(n, 100, [0] * links.WORDS) for n in nodes], "node bigint, n_shingles bigint, bits array<bigint>")
+
+    def verify(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where(f"a = {base} or b = {base}").withColumn("shared", F.lit(100))
+
+    got = links.connected(groups, roots, parities, verify, 85, 32)
+    assert {r.root for r in got.collect()} == {base}
+    assert sorted(seen) == [(c, base) for c in copies]
+
+
+def test_later_rounds_pair_by_longer_parities(spark, monkeypatch):
+    """Sets of 600 that differ in most places pass 128 residues; 640 tell them apart."""
+    rng = np.random.default_rng(11)
+    rows = [(n, 600, links.parity(rng.integers(0, 2**63, 600, dtype=np.uint64)).tolist()) for n in range(12)]
+    parities = spark.createDataFrame(rows, "node bigint, n_shingles bigint, bits array<bigint>")
+    groups = spark.createDataFrame([(1, n, 12) for n in range(12)], "key bigint, node bigint, length bigint")
+    roots = spark.createDataFrame([(n, n) for n in range(12)], "node bigint, root bigint")
+    met, old = [], links.likely
+    monkeypatch.setattr(links, "likely", lambda pairs, *a: met.append(pairs.count()) or old(pairs, *a))
+    got = links.connected(groups, roots, parities, lambda pairs: pairs.limit(0).withColumn("shared", F.lit(0)), 85, 32)
+    assert got.select("root").distinct().count() == 12
+    assert met[0] == 11 and len(met) > 1 and not any(met[1:])
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(6)
     names = rng.sample(range(10_000), 120)

@@ -92,9 +92,9 @@ def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
     def count(batches):
         hashes, table = links.Hashes(), np.zeros(1 << _BUCKET_BITS, np.int64)
         for batch in batches:
-            bodies = raw(batch.column(0))
-            for at in range(0, len(bodies), 2048):
-                sets = [links.shingle_set(b.lower().split(), shingle, hashes) for b in bodies[at : at + 2048]]
+            column = batch.column(0)
+            for at in range(0, len(column), 2048):
+                sets = [links.shingle_set(b.lower().split(), shingle, hashes) for b in raw(column.slice(at, 2048))]
                 bucket = (np.concatenate(sets) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
                 table += np.bincount(bucket, minlength=len(table))
         for k in np.flatnonzero(table.reshape(-1, block).any(axis=1)):
@@ -124,10 +124,10 @@ def described(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray) -
     def describe(batches):
         hashes, known = links.Hashes(), {}
         for batch in batches:
-            ids, bodies = batch.column(0), raw(batch.column(1))
-            for at in range(0, len(bodies), 256):
+            ids, column = batch.column(0), batch.column(1)
+            for at in range(0, len(column), 256):
                 sizes, keys, found = [], [], []
-                for body in bodies[at : at + 256]:
+                for body in raw(column.slice(at, 256)):
                     own = links.shingle_set(body.lower().split(), shingle, hashes)
                     key = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
                     sizes.append(len(own))
@@ -203,7 +203,7 @@ def _parts(docs: DataFrame, shingle: int, percent: int):
     sizes = {r[0]: (r[1], scans.get(r[0], 0)) for r in classes.where(n).groupBy("n_shingles").count().collect()}
     boundary = chosen_boundary(sizes, percent)
     # a set is scanned for by heavy ones only if it can be similar to one
-    lists = lists.where(100 * F.col("n_shingles") >= percent * (boundary + 1)).drop("length")
+    lists = lists.where(100 * F.col("n_shingles") >= percent * (boundary + 1))
     return signed, classes, lists, boundary
 
 
@@ -222,7 +222,7 @@ def join(
     signed, classes, lists, boundary = _parts(bare, shingle, percent)
     roots = links.joined(pin(classes.select("node", F.col("node").alias("root"))), pin(light_links(classes, percent, boundary)))
     verify = lambda found: links.verified(found, bare, classes, shingle, percent)
-    roots = links.connected(lists.select("key", "node"), roots, classes, verify, percent, centres, both_over=boundary)
+    roots = links.connected(lists.select("key", "node", "length"), roots, classes, verify, percent, centres, both_over=boundary)
     member = classes.join(roots, "node").select("set_key", "low", "root")
     component = member.join(member.groupBy("root").agg(F.min("low").alias("component_id")), "root")
     found = signed.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key")

@@ -79,17 +79,22 @@ def parity(elements: np.ndarray, words: int | None = None) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-_HINTS = ["n_shingles", "hint", "hint_2"]
+#: Parity words that groups carry in the first round and later, when few groups are left.
+FIRST_WORDS, LATER_WORDS = 2, WORDS
+
+
+def _hints(words: int) -> list[str]:
+    return ["n_shingles", *(f"hint_{k}" for k in range(words))]
 
 
 def _xor(a: Column, b: Column) -> Column:
     return a.bitwiseXOR(b)
 
 
-def folded(bits: Column) -> list[Column]:
-    """The parity by residues of 128, in two numbers, out of a longer one."""
+def folded(bits: Column, words: int = FIRST_WORDS) -> list[Column]:
+    """The parity by residues of 64 * ``words``, which divide the longer one's."""
     zero = F.lit(0).cast("bigint")
-    return [F.aggregate(F.filter(bits, lambda _, i: i % 2 == k), zero, _xor) for k in (0, 1)]
+    return [F.aggregate(F.filter(bits, lambda _, i: i % words == k), zero, _xor) for k in range(words)]
 
 
 def halved(bits: Column, size: Column) -> Column:
@@ -105,10 +110,10 @@ def possible(n: Column, m: Column, unlike: Column, percent: int) -> Column:
     return fits & (unlike * (100 + percent) <= (100 - percent) * (n + m))
 
 
-def by_hints(percent: int) -> Column:
+def by_hints(percent: int, words: int = FIRST_WORDS) -> Column:
     """``possible`` for a member and a centre (``c_``) by their sizes and folded parities."""
     unlike = F.lit(0)
-    for h in _HINTS[1:]:
+    for h in _hints(words)[1:]:
         unlike = unlike + F.bit_count(_xor(F.col(h), F.col(f"c_{h}")))
     return possible(F.col("n_shingles"), F.col("c_n_shingles"), unlike, percent)
 
@@ -137,7 +142,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int)
 
     def run(batches):
         hashes = Hashes()
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             found, sets = [], []
             for node, key, body in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2))
@@ -214,10 +219,19 @@ def _several(groups: DataFrame) -> DataFrame:
     return pin(groups.join(ends.where("low < high").select("key"), "key"))
 
 
-def hinted(groups: DataFrame, parities: DataFrame) -> DataFrame:
+def hinted(groups: DataFrame, parities: DataFrame, words: int = FIRST_WORDS) -> DataFrame:
     """``groups`` with sizes and folded parities."""
-    one, two = folded(F.col("bits"))
-    return groups.join(parities.select("node", "n_shingles", one.alias("hint"), two.alias("hint_2")), "node")
+    sized = parities.select("node", "n_shingles", *(h.alias(f"hint_{k}") for k, h in enumerate(folded(F.col("bits"), words))))
+    return groups.join(sized, "node")
+
+
+def central(groups: DataFrame) -> DataFrame:
+    """``groups`` (key, node, length) with ``met``: how many members a node meets in all its groups.
+
+    Altered copies of one text share more groups with the text than with each other.
+    """
+    met = groups.groupBy("node").agg(F.sum("length").alias("met"))
+    return groups.drop("length").join(met, "node")
 
 
 def connected(
@@ -229,30 +243,35 @@ def connected(
     centres: int,
     both_over: int = 0,
 ) -> DataFrame:
-    """``roots`` (node, root) after all links within ``groups`` (key, node).
+    """``roots`` (node, root) after all links within ``groups`` (key, node, and the key's length).
 
-    ``parities`` has node, n_shingles and bits; groups carry the folded parity, and pairs it
-    lets through are looked at by the whole one. ``verify`` returns the links among pairs
+    ``parities`` has node, n_shingles and bits; groups carry the folded parity, a longer one as
+    soon as there are several centres, and pairs it lets through are looked at by the whole one.
+    ``verify`` returns the links among pairs
     (a, b). The first round tests one centre per group, by an order all groups share, so that
-    the groups of one family test the same pairs. Pairs of which no set is larger than
-    ``both_over`` are left out.
+    the groups of one family test the same pairs: whoever meets most members goes first, as the
+    text that others are altered copies of does, which links all of them at once. Pairs of which
+    no set is larger than ``both_over`` are left out.
     """
-    groups, slots = pin(hinted(groups, parities).join(roots, "node")), 1
+    groups, slots, words = pin(hinted(central(groups), parities).join(roots, "node")), 1, FIRST_WORDS
     while not groups.isEmpty():
         slot = F.pmod(F.xxhash64(F.lit(slots), "node"), F.lit(slots))
-        own = ["node", *_HINTS, "root"]
+        own = ["node", *_hints(words), "root"]
         chosen = pin(
             groups.groupBy("key", slot.alias("slot"))
-            .agg(F.min_by(F.struct(*own), F.xxhash64("node")).alias("c"))
+            .agg(F.max_by(F.struct(*own), F.struct("met", F.xxhash64("node"))).alias("c"))
             .select("key", *(F.col(f"c.{x}").alias(f"c_{x}") for x in own))
         )
         over = F.greatest("n_shingles", "c_n_shingles") > both_over
-        near = (F.col("root") != F.col("c_root")) & over & by_hints(percent)
+        near = (F.col("root") != F.col("c_root")) & over & by_hints(percent, words)
         met = groups.join(chosen, "key").where(near)
         pairs = pin(likely(met.select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct(), parities, percent))
         roots = _tested(pairs, roots, verify)
         done = chosen.select("key", F.col("c_node").alias("node"))
         left = groups.drop("root").join(done, ["key", "node"], "left_anti")
         groups = _several(left.join(roots, "node"))
+        if words < LATER_WORDS:
+            words = LATER_WORDS
+            groups = pin(hinted(groups.select("key", "node", "met", "root"), parities, words))
         slots *= centres
     return roots

@@ -86,9 +86,9 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     def sign(batches):
         hashes, known = Hashes(), {}
         for batch in batches:
-            ids, bodies = batch.column(0), raw(batch.column(1))
-            for at in range(0, len(bodies), 256):
-                sets = [shingle_set(b.lower().split(), shingle, hashes) for b in bodies[at : at + 256]]
+            ids, column = batch.column(0), batch.column(1)
+            for at in range(0, len(column), 256):
+                sets = [shingle_set(b.lower().split(), shingle, hashes) for b in raw(column.slice(at, 256))]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 if len(known) > 5_000:
                     known.clear()
@@ -135,7 +135,7 @@ def group(
     keyed = classes.select("node", F.posexplode("bands").alias("band", "value")).select(
         "node", F.xxhash64("band", "value").alias("key")
     )
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
     groups = pin(keyed.join(crowded, "key"))
     roots = pin(groups.select("node", F.col("node").alias("root")).distinct())
     verify = lambda pairs: verified(pairs, bare, classes, shingle, percent)
