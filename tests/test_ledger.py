@@ -324,3 +324,10 @@ def test_broken_ledger_rows(spark):
     rows = spark.createDataFrame([("a", None, "x", AT), ("a", "n", None, AT), ("a", "n", "x", AT)], schemas.LEDGER)
     assert ledgers.sound(rows).count() == 1
     assert pairs(ledgers.broken(rows), "missing_field") == {("name",), ("checksum",)}
+
+
+def test_written_files_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fl, "WRITTEN", 2)
+    one = spark.createDataFrame([("a", f"{k}.sql", b"x") for k in range(5)], "db_id string, name string, content binary").coalesce(1)
+    assert fl.dealt(one).rdd.getNumPartitions() == 3 and fl.dealt(one).count() == 5
+    assert fl.dealt(one.limit(0)).count() == 0

@@ -204,7 +204,17 @@ def read_files(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("folder_files").options(**options).load(root)
 
 
+#: Files that one task writes.
+WRITTEN = 1_000
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """``files`` over as many tasks as their number asks for: making a file costs more than
+    sending its bytes, and tables are split by their bytes only."""
+    return files.repartition(-(-files.count() // WRITTEN) or 1)
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """One file ``root/db_id=<id>/<name>`` per row of db_id, name, content."""
     files.sparkSession.dataSource.register(FolderFiles)
-    files.select("db_id", "name", "content").write.format("folder_files").mode("append").save(root)
+    dealt(files.select("db_id", "name", "content")).write.format("folder_files").mode("append").save(root)
