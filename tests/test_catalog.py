@@ -170,6 +170,20 @@ def test_sqlite_contract(spark):
     assert text["lot"] == "export interface Lot {\n  box: string;\n  year: number;\n  shelf: number;\n  alive: boolean;\n  latin: string | null;\n}"
 
 
+def test_schema_diff_lists_only_what_differs(spark):
+    """Equal rows are counted where both sides meet; definitions are listed for other objects only."""
+    cols = "db_id string, table_name string, kind string, object_name string, definition string"
+    before = [("d", "t", "index", None, "x"), ("d", "t", "index", "same", "y"), ("d", "t", "foreign_key", "two", "p"), ("d", "t", "foreign_key", "two", "p"), ("d", "t", "column", "gone", None)]
+    after = [("d", "t", "index", None, "z"), ("d", "t", "index", "same", "y"), ("d", "t", "foreign_key", "two", "p"), ("d", "t", "foreign_key", "two", "q")]
+    got = cat.schema_diff(spark.createDataFrame(before, cols), spark.createDataFrame(after, cols))
+    assert {(r.object_name, r.state, r.before, r.after) for r in got.collect()} == {
+        (None, "changed", "x", "z"), ("two", "changed", "p; p", "p; q"), ("gone", "removed", "-", None),
+    }
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above, below = plan.split("ShuffledHashJoin")
+    assert "collect_list" in above and "collect_list" not in below
+
+
 def test_schema_diff(spark):
     parts = pg(spark)
     order = ["columns", "keys", "foreign", "indexes", "triggers"]
