@@ -81,3 +81,14 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["stream_drift"](spark, str(tmp_path))
     assert got.exceptAll(QUERIES["stream_drift"](spark, SF)).count() == 0 and got.count() > 0
+
+
+@pytest.mark.parametrize("name", ["trigger_header", "catalog_pks", "pg_type_map", "contract_rows"])
+def test_tasks_read_few_shuffled_bytes(spark, name):
+    """Catalogue rows are many times larger in memory than in a shuffle."""
+    own = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.unset(own)
+    QUERIES[name](spark, SF)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsMb(spark.conf.get(own))
+    spark.conf.unset(own)
+    assert size <= 16
