@@ -25,11 +25,20 @@ from tidemark.llm.common import table
 from tidemark.session import pin
 
 
+#: Rows of one Arrow batch. Whole texts lie in it, on both sides of the pipe to Python, beside the heap.
+BATCH = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     grouped = neardup.group(docs, shingle=5, percent=80, bands=38, rows=5)
     kept = grouped.where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

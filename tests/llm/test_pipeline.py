@@ -110,3 +110,13 @@ def test_severity_against_a_plain_version(spark):
     for f in every:
         holds = [i % 2 for i, (_, t) in enumerate(rows) if f in plain(t)]
         assert counted[f] == (len(holds), sum(holds))
+
+
+def test_batches_of_whole_texts_are_small(spark):
+    """Both sides of the pipe to Python hold a batch, beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    cp.drop_near_duplicates(spark, frame(spark, [(1, "a b c"), (2, "d e f")]), "")
+    got = int(spark.conf.get(name))
+    spark.conf.unset(name)
+    assert got <= 2_000

@@ -44,7 +44,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
