@@ -7,8 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
-from tidemark.llm import decontaminate, neardup, substrings
+from tidemark.llm import decontaminate, links, neardup, substrings
 
 VOCABULARY = [f"w{i}" for i in range(40)] + ["É", "ß9", "the", "The"]
 
@@ -188,3 +189,41 @@ def test_backward_search():
         found = dict(zip(starts[rows].tolist(), (high - low).tolist()))
         grams = [tuple(text[i : i + size]) for i in starts]
         assert found == {i: grams.count(g) for i, g in enumerate(grams) if grams.count(g) > 1}
+
+
+def test_word_hashes_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(33, 256, n).astype(np.uint8)) for n in [*range(1, 40), 127, 128, 129, 500] * 3]
+    words += [b"a", b"a\0", b"a" + bytes(7), b"a" + bytes(8), b"x" * 8, b"x" * 16]
+
+    def mixed(x):
+        for shift, times in ((30, links.MIX[1]), (27, links.MIX[2])):
+            x = ((x ^ (x >> shift)) * int(times)) % 2**64
+        return x ^ (x >> 31)
+
+    def plain(word):
+        if len(word) > 128:
+            return xxhash.xxh3_64_intdigest(word)
+        out = len(word)
+        for at in range(0, len(word), 8):
+            out = mixed((out * int(links.MIX[0]) + int.from_bytes(word[at : at + 8], "little")) % 2**64)
+        return out
+
+    for texts in ([], [[]], [[], [words[5]], []], [words[k::7] for k in range(7)], [words, [], words[::-1]]):
+        assert [own.tolist() for own in links.word_hashes(texts)] == [[plain(w) for w in own] for own in texts]
+    assert len(set(np.concatenate(links.word_hashes([words])).tolist())) == len(set(words))
+
+
+def test_backward_search_begins_with_eight_words(monkeypatch):
+    """All thirteen steps went through the wavelet matrix, for windows that occur once too."""
+    text = np.random.default_rng(7).integers(1, 5, 3000)
+    text[-1] = 0
+    index, steps, once = substrings.FMIndex(text, 13), [], substrings.FMIndex._down
+    monkeypatch.setattr(substrings.FMIndex, "_down", lambda self, symbol, at: (steps.append(len(at)), once(self, symbol, at))[1])
+    starts = np.arange(len(text) - 13)
+    rows, low, high = index.shared(starts, 13)
+    assert len(steps) == 10 and steps[0] < len(starts)
+    where = {}
+    for k in starts.tolist():
+        where.setdefault(tuple(text[k : k + 13].tolist()), []).append(k)
+    assert {k: sorted(index.order[a:b].tolist()) for k, a, b in zip(rows.tolist(), low, high)} == {k: own for own in where.values() if len(own) > 1 for k in own}

@@ -90,11 +90,11 @@ def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
     block = 1 << _BLOCK_BITS
 
     def count(batches):
-        hashes, table = links.Hashes(), np.zeros(1 << _BUCKET_BITS, np.int64)
+        table = np.zeros(1 << _BUCKET_BITS, np.int64)
         for batch in batches:
             column = batch.column(0)
             for at in range(0, len(column), 2048):
-                sets = [links.shingle_set(b.lower().split(), shingle, hashes) for b in raw(column.slice(at, 2048))]
+                sets = links.shingle_sets(raw(column.slice(at, 2048)), shingle)
                 bucket = (np.concatenate(sets) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
                 table += np.bincount(bucket, minlength=len(table))
         for k in np.flatnonzero(table.reshape(-1, block).any(axis=1)):
@@ -122,13 +122,12 @@ def described(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray) -
     """doc_id, n_shingles, set_key, prefix (rarest elements), bits (parity), few (a small set)."""
 
     def describe(batches):
-        hashes, known = links.Hashes(), {}
+        known = {}
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for at in range(0, len(column), 256):
                 sizes, keys, found = [], [], []
-                for body in raw(column.slice(at, 256)):
-                    own = links.shingle_set(body.lower().split(), shingle, hashes)
+                for own in links.shingle_sets(raw(column.slice(at, 256)), shingle):
                     key = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
                     sizes.append(len(own))
                     keys.append(key)

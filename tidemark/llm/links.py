@@ -41,30 +41,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 128
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
-    LIMIT = 100_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Of each text its words' 64-bit hashes; words hold no space.
 
-
-def shingle_set(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    if not words:
+    All words of all texts take eight bytes a step together, and no word is remembered: the words of
+    large inputs are too many for that.
+    """
+    joined = b" ".join(w for words in texts for w in words)
+    size = len(joined)
+    joined += bytes(8)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8, size) == 32)
+    many = np.array([len(words) for words in texts], np.int64)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, size]
+    if not many.sum():
+        starts = ends = starts[:0]
+    eights = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), 8)
+    lengths = ends - starts
+    out = lengths.astype(np.uint64)
+    rows, at = np.arange(len(starts)), 0
+    while len(rows) and at < LONG_WORD:
+        part = eights[starts[rows] + at].view("<u8").ravel() & _MASKS[np.minimum(lengths[rows] - at, 8)]
+        out[rows] = mixed(out[rows] * MIX[0] + part)
+        at += 8
+        rows = rows[lengths[rows] > at]
+    for k in rows.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]])
+    return np.split(out, np.cumsum(many)[:-1])[: len(texts)]
+
+
+def shingle_set(each: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's word hashes."""
+    if not len(each):
         return np.empty(0, np.uint64)
-    each = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    size = min(size, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
+    size = min(size, len(each))
+    out = np.full(len(each) - size + 1, size, np.uint64)
     for k in range(size):
         out = mixed(out * MIX[0] + each[k : len(each) - size + 1 + k])
     return np.unique(out)
 
 
+def shingle_sets(bodies: list[bytes], size: int) -> list[np.ndarray]:
+    """The shingle sets of lower-cased texts."""
+    return [shingle_set(each, size) for each in word_hashes([b.lower().split() for b in bodies])]
+
+
 def parity(elements: np.ndarray, words: int | None = None) -> np.ndarray:
     """Bit r of the result: whether an odd number of elements has the residue r.
 
@@ -141,13 +166,11 @@ def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int)
     which node (node, set_key, low)."""
 
     def run(batches):
-        hashes = Hashes()
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             found, sets = [], []
-            for node, key, body in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2))
+            for node, key, own in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(raw(batch.column(2)), shingle)
             ):
-                own = shingle_set(body.lower().split(), shingle, hashes)
                 if xxhash.xxh3_128_digest(own.tobytes()) == key:
                     found.append(node)
                     sets.append(own.view(np.int64))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw, texts
-from tidemark.llm.links import MIX, Hashes, connected, mixed, parity, shingle_set, verified
+from tidemark.llm.links import MIX, connected, mixed, parity, shingle_sets, verified
 from tidemark.session import pin
 
 BANDS, ROWS = 32, 6
@@ -84,11 +84,11 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     """doc_id, n_shingles, set_key (hash of the whole set), bands, bits (parity)."""
 
     def sign(batches):
-        hashes, known = Hashes(), {}
+        known = {}
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for at in range(0, len(column), 256):
-                sets = [shingle_set(b.lower().split(), shingle, hashes) for b in raw(column.slice(at, 256))]
+                sets = shingle_sets(raw(column.slice(at, 256)), shingle)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 if len(known) > 5_000:
                     known.clear()

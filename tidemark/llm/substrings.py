@@ -13,8 +13,8 @@ document with a smaller id.
    window by its own hash instead. Again a batch sends equal segments once.
 3. A shard builds a compressed FM-index of its segments (suffix array by doubling to the
    window's length, Burrows-Wheeler transform in a wavelet matrix of packed bits with counted
-   blocks) and searches the segments backward, all at once, a word per step; a match that is
-   down to its own place stops. Matches of full length whose suffix interval holds a smaller
+   blocks) and searches the segments backward, all at once, a word per step, from the intervals
+   of the last eight words on, which sorting has told; a match that is down to its own place stops. Matches of full length whose suffix interval holds a smaller
    document are reported as intervals of words.
 4. The intervals return to the documents by id; the words left are joined and hashed.
 
@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import raw, texts
-from tidemark.llm.links import Hashes, mixed
+from tidemark.llm.links import mixed, word_hashes
 from tidemark.session import pin
 
 WINDOW, GRAM = 13, 6
+#: Texts whose words are hashed together.
+TOGETHER = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,10 +53,6 @@ def _rolled(each: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _word_hashes(words: list[bytes], hashes: Hashes) -> np.ndarray:
-    return np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-
-
 def anchors(each: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every window: the place of its anchor, and of every place: its hash."""
     grams = _rolled(each, gram)
@@ -104,14 +102,14 @@ def occurrences(docs: DataFrame, window: int, gram: int, batch_anchors: int = 1_
             )
 
     def run(batches):
-        hashes, held, parts = Hashes(), 0, ([], [], [], [])
-        for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                words = body.split()
+        held, parts = 0, ([], [], [], [])
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
+            split = [body.split() for body in raw(batch.column(1))]
+            for doc, words, each in zip(batch.column(0).to_pylist(), split, word_hashes(split)):
                 if doc is None or len(words) < window:
                     continue
                 whole = xxhash.xxh3_128_intdigest(b" ".join(words))
-                at, grams = anchors(_word_hashes(words, hashes), window, gram)
+                at, grams = anchors(each, window, gram)
                 at = np.unique(at)
                 value, first = np.unique(grams[at], return_index=True)
                 check = np.zeros(len(value) + 1, np.uint64)
@@ -149,7 +147,10 @@ class FMIndex:
             rank = np.unique(key, return_inverse=True)[1]
             h *= 2
         self.text = text
-        self.order = np.argsort(key, kind="stable")
+        self.order = np.argsort(key)
+        # the suffix interval of every ``known`` symbols that occur, by their rank
+        self.known, self.rank = h, rank
+        self.grams = np.r_[0, np.cumsum(np.bincount(rank))]
         self.counts = np.r_[0, np.cumsum(np.bincount(text))]
         current, self.levels = text[self.order - 1], []
         for level in reversed(range(max(1, int(text.max()).bit_length()))):
@@ -173,10 +174,18 @@ class FMIndex:
 
     def shared(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the text's own patterns at ``starts``: those with more than one match, as indexes
-        into ``starts`` with the lower and upper end of their suffix interval."""
-        rows = np.arange(len(starts))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text))
-        for k in reversed(range(size)):
+        into ``starts`` with the lower and upper end of their suffix interval.
+
+        The search begins with the interval of the last ``known`` symbols, from the table."""
+        rows, last = np.arange(len(starts)), size - self.known
+        if last < 0:
+            last, low, high = size, np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text))
+        else:
+            gram = self.rank[starts + last]
+            low, high = self.grams[gram], self.grams[gram + 1]
+        alive = high - low > 1
+        rows, low, high = rows[alive], low[alive], high[alive]
+        for k in reversed(range(last)):
             symbol = self.text[starts[rows] + k]
             base = self.counts[symbol] - self.bottom[symbol]
             low, high = base + self._down(symbol, low), base + self._down(symbol, high)
@@ -227,8 +236,7 @@ def segments(docs: DataFrame, window: int, gram: int, shards: int, common: set[i
     """
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(common), np.int64).view(np.uint64))
 
-    def stretches(words, places, hashes):
-        each = _word_hashes(words, hashes)
+    def stretches(words, each, places):
         at, grams = anchors(each, window, gram)
         here = np.isin(grams[at], grams[places])
         keys = grams[at]
@@ -242,13 +250,12 @@ def segments(docs: DataFrame, window: int, gram: int, shards: int, common: set[i
             yield int(keys[a]), a, b + window, b" ".join(words[a : b + window])
 
     def run(batches):
-        hashes = Hashes()
         for batch in batches:
             found = []
-            for doc, places, body in zip(
-                batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw(batch.column(1))
-            ):
-                found += [(doc, *s) for s in stretches(body.split(), places, hashes)]
+            for part in (batch.slice(at, TOGETHER) for at in range(0, batch.num_rows, TOGETHER)):
+                split = [body.split() for body in raw(part.column(1))]
+                for doc, places, words, each in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), split, word_hashes(split)):
+                    found += [(doc, *s) for s in stretches(words, each, places)]
             least: dict[bytes, int] = {}
             for doc, _, _, _, text in found:
                 least[text] = min(doc, least.get(text, doc))
