@@ -102,6 +102,38 @@ def test_targets_learned_from_do_not_depend_on_tasks(tasks, monkeypatch):
     assert sum(seen) == weights == sum(len(known.ids(t.split())) + 1 for t in texts)
 
 
+def test_log_probabilities_of_any_range():
+    """One shift for all rows of a softmax only where none is lost by it."""
+    shape = lm.Shape(units=20, classes=4, width=4, window=8)
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 20, (6, 8)), rng.integers(0, 4, (6, 8))
+    for times in (1, 1000):
+        p = {k: v.astype(np.float64) * (times if k in ("Wo", "Wq") else 1) for k, v in lm.initial(shape).items()}
+        h = p["E"][x] + p["P"]
+        s = (h @ p["Wq"]) @ (h @ p["Wk"]).transpose(0, 2, 1) / 2 + np.triu(np.full((8, 8), -1e9), 1)
+        a = np.exp(s - s.max(axis=2, keepdims=True))
+        z = h + (a / a.sum(axis=2, keepdims=True)) @ h @ p["Wv"]
+        logits = z @ p["Wo"] + p["b"]
+        logits -= logits.max(axis=2, keepdims=True)
+        want = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        assert np.allclose(lm.forward(p, x)[0], want, rtol=1e-5)
+        assert np.allclose(lm.of_classes(p, x, y), np.take_along_axis(want, y[:, :, None], 2)[:, :, 0], rtol=1e-5)
+
+
+def test_texts_are_encoded_once(spark, monkeypatch):
+    """Training and scoring read ids, as often as they need them, and no texts."""
+    read, once = [], lm.trained
+
+    def trained(docs, *rest):
+        read.append(docs.columns)
+        return once(docs, *rest)
+
+    monkeypatch.setattr(lm, "trained", trained)
+    rows = scored(spark, [(i, "the cat likes the dog " * (i % 9)) for i in range(30)])
+    assert read == [["key", "ids"]]
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: 5 * (i % 9) + 1 for i in range(30)}
+
+
 def test_default_size_and_sight():
     shape = lm.Shape()
     assert shape.classes >= 32 and shape.width >= 16 and 2 * shape.overlap >= shape.window

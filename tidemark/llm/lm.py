@@ -6,7 +6,8 @@ Words. Training words are counted (with one end per text) in a table of any size
 frequent ones, at most ``head``, go to every task; the other words of a text are joined with
 the table by word. A word outside the head is by construction no hot key.
 
-Model. Words are cut to ids of a public tokenizer. Ids are put in classes of about equal
+Model. Words are cut to ids of a public tokenizer, once, and the ids written to the shared folder
+for training and scoring. Ids are put in classes of about equal
 mass; P(id | before) = P(class | before) P(id | class), the second factor being counts, the
 first one causal self-attention over the ids before. Every task trains a copy of the network
 on windows of all its training texts, cut as for scoring: one in ``every`` per round, others
@@ -28,6 +29,7 @@ import zlib
 from array import array
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,57 +77,92 @@ def initial(shape: Shape) -> dict[str, np.ndarray]:
     }
 
 
+#: Up to this range of exponents one common shift serves all rows of a softmax.
+RANGE = 60
+
+
+def _exps(s: np.ndarray, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Shifted exponentials along the last axis, their sums and the shift; ``late`` has 0 for the last places that do not count."""
+    top = s.max(initial=0)
+    if top - s.min(initial=0) > RANGE:
+        if late is not None:
+            s[..., -late.shape[1] :] += np.where(late > 0, 0, -1e9).astype(s.dtype)
+        top = s.max(axis=-1, keepdims=True)
+    s -= top
+    e = np.exp(s, out=s)
+    if late is not None:
+        e[..., -late.shape[1] :] *= late
+    return e, (e.reshape(-1, e.shape[-1]) @ np.ones(e.shape[-1], e.dtype)).reshape(*e.shape[:-1], 1), top
+
+
+def _attended(p: dict, x: np.ndarray, since: int) -> tuple:
+    """What the classes after ``x`` (batch, window) from place ``since`` on are told by, and what led there.
+
+    Keys are multiplied into queries, and values after the sum, so both cost what the late places do.
+    """
+    n, size = x.shape
+    d = p["Wq"].shape[0]
+    h = p["E"][x]
+    h += p["P"][:size]
+    late = np.ascontiguousarray(h[:, since:]).reshape(-1, d)
+    t = (late @ ((p["Wq"] @ p["Wk"].T) * np.float32(d**-0.5))).reshape(n, size - since, d)
+    e, total, _ = _exps(t @ h.transpose(0, 2, 1), np.tri(size - since, dtype=h.dtype))
+    u = ((e @ h) / total).reshape(-1, d)
+    return late + u @ p["Wv"], h, late, t, e, total, u
+
+
 def forward(p: dict, x: np.ndarray, since: int = 0) -> tuple:
     """Log-probabilities (natural) of the next class after each of ``x`` (batch, window) from place ``since`` on."""
     n, size = x.shape
-    d = p["Wq"].shape[0]
-    h = p["E"][x] + p["P"][:size]
-    late = h[:, since:]
-    flat = h.reshape(-1, d)
-    q = (late.reshape(-1, d) @ p["Wq"]).reshape(n, -1, d)
-    k, v = (flat @ p["Wk"]).reshape(n, -1, d), (flat @ p["Wv"]).reshape(n, -1, d)
-    s = (q @ k.transpose(0, 2, 1)) * np.float32(d**-0.5)
-    s += np.triu(np.full((size - since, size), -1e9, np.float32), 1 + since)
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
-    z = late + a @ v
-    logits = (z.reshape(-1, d) @ p["Wo"] + p["b"]).reshape(n, size - since, -1)
-    logits -= logits.max(axis=2, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-    return logits, (h, q, k, v, a, z)
+    z, *led = _attended(p, x, since)
+    logits = (z @ p["Wo"] + p["b"]).reshape(n, size - since, -1)
+    _, total, top = _exps(logits.copy())
+    return logits - (np.log(total) + top), led
+
+
+def of_classes(p: dict, x: np.ndarray, y: np.ndarray, since: int = 0) -> np.ndarray:
+    """``forward``'s log-probabilities of the classes ``y``."""
+    logits = _attended(p, x, since)[0] @ p["Wo"]
+    logits += p["b"]
+    picked = logits[np.arange(y.size), y.ravel()]
+    _, total, top = _exps(logits)
+    return (picked - (np.log(total) + top)[:, 0]).reshape(y.shape)
 
 
 def gradients(p: dict, x: np.ndarray, y: np.ndarray, valid: np.ndarray, since: int = 0) -> tuple[float, dict]:
     """Mean loss over valid places, the first of which is ``since``, and its gradient."""
-    logp, (h, q, k, v, a, z) = forward(p, x, since)
+    z, h, late, t, e, total, u = _attended(p, x, since)
+    many, size = x.shape
     d = p["Wq"].shape[0]
+    at, n = np.arange(y.size), max(1, int(valid.sum()))
+    share = (valid.ravel() / n).astype(h.dtype)
+    dl = z @ p["Wo"]
+    dl += p["b"]
+    picked = dl[at, y.ravel()]
+    dl, sums, top = _exps(dl)
+    loss = float(((np.log(sums) + top)[:, 0] - picked) @ share)
+    dl *= share[:, None] / sums
+    dl[at, y.ravel()] -= share
+    dz = dl @ p["Wo"].T
+    dv = (dz @ p["Wv"].T) / total.reshape(-1, 1)
+    own = dv.reshape(many, -1, d)
+    ds = own @ h.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", dv, u).reshape(many, -1, 1)
+    ds *= e
+    dt = (ds @ h).reshape(-1, d)
+    dh = ds.transpose(0, 2, 1) @ t
+    dh += e.transpose(0, 2, 1) @ own
     scale = np.float32(d**-0.5)
-    n = max(1, int(valid.sum()))
-    picked = np.take_along_axis(logp, y[:, :, None], 2)[:, :, 0]
-    dl = np.exp(logp)
-    np.put_along_axis(dl, y[:, :, None], np.take_along_axis(dl, y[:, :, None], 2) - 1, 2)
-    dl *= (valid / n).astype(np.float32)[:, :, None]
-    times = lambda u, w: (u.reshape(-1, u.shape[2]) @ w).reshape(*u.shape[:2], -1)
-    dz = times(dl, p["Wo"].T)
-    dv = a.transpose(0, 2, 1) @ dz
-    da = dz @ v.transpose(0, 2, 1)
-    da -= (da * a).sum(axis=2, keepdims=True)
-    da *= a
-    da *= scale
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    dh = times(dk, p["Wk"].T) + times(dv, p["Wv"].T)
-    dh[:, since:] += dz + times(dq, p["Wq"].T)
-    outer = lambda u, w: u.reshape(-1, u.shape[2]).T @ w.reshape(-1, w.shape[2])
+    dh[:, since:] += (dz + dt @ ((p["Wk"] @ p["Wq"].T) * scale)).reshape(many, -1, d)
+    both = (late.T @ dt) * scale
     de = np.zeros_like(p["E"])
-    order = np.argsort(x, axis=None, kind="stable")
+    order = np.argsort(x.astype(np.min_scalar_type(len(de))), axis=None, kind="stable")
     met, first = np.unique(x.ravel()[order], return_index=True)
     de[met] = np.add.reduceat(dh.reshape(-1, d)[order], first, axis=0)
     dp = np.zeros_like(p["P"])
-    dp[: x.shape[1]] = dh.sum(axis=0)
-    late = h[:, since:]
-    g = {"E": de, "P": dp, "Wq": outer(late, dq), "Wk": outer(h, dk), "Wv": outer(h, dv), "Wo": outer(z, dl), "b": dl.sum(axis=(0, 1))}
-    return float(-(picked * valid).sum() / n), g
+    dp[:size] = dh.sum(axis=0)
+    g = {"E": de, "P": dp, "Wq": both @ p["Wk"], "Wk": both.T @ p["Wq"], "Wv": u.T @ dz, "Wo": z.T @ dl, "b": dl.sum(axis=0)}
+    return loss, g
 
 
 class Adam:
@@ -135,12 +172,22 @@ class Adam:
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
     def step(self, g: dict) -> None:
+        """One step down ``g``, whose arrays are used up."""
         self.steps += 1
         fix = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for k, x in self.params.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] ** 2 - self.v[k])
-            x -= self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)
+            m, v, new = self.m[k], self.v[k], g[k]
+            m *= 0.9
+            m += 0.1 * new
+            v *= 0.99
+            new *= new
+            new *= 0.01
+            v += new
+            np.sqrt(v, out=new)
+            new += 1e-7
+            np.divide(m, new, out=new)
+            new *= self.rate * fix
+            x -= new
 
 
 def packed(params: dict) -> np.ndarray:
@@ -190,8 +237,21 @@ class Subwords(dict):
             self[word] = array("H", found.ids).tobytes()
 
     def ids(self, words: list[bytes]) -> np.ndarray:
+        return spelled_ids(self.spelled(words))
+
+    def spelled(self, words: list[bytes]) -> bytes:
         self.learn(words)
-        return np.frombuffer(b"".join([self[w] for w in words]), "<u2").astype(np.int64)
+        return b"".join([self[w] for w in words])
+
+
+@lru_cache(1)
+def subwords(path: str) -> Subwords:
+    """One for all tasks that a Python worker runs in a row, so words are not learned again in each."""
+    return Subwords(path)
+
+
+def spelled_ids(spelled: bytes) -> np.ndarray:
+    return np.frombuffer(spelled, "<u2").astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -221,28 +281,20 @@ def vocabulary(counts: np.ndarray, shape: Shape, path: str) -> Vocabulary:
     return Vocabulary(classes, units, np.log10(smooth / total[classes]), path)
 
 
-def id_counts(words: DataFrame, path: str) -> np.ndarray:
-    """How often each id, and the end at the last place, occurs in counted words."""
+def id_counts(training: DataFrame, path: str) -> np.ndarray:
+    """How often each id, and the end at the last place, occurs in encoded texts (``ids``)."""
+    size = Subwords(path).size
 
     def run(batches):
-        known = Subwords(path)
-        seen = np.zeros(known.size + 1)
+        seen = np.zeros(size + 1, np.int64)
         for batch in batches:
-            found, counts = raw(batch.column(0)), batch.column(1).to_numpy()
-            for at in range(0, len(found), 10_000):
-                part, n = found[at : at + 10_000], counts[at : at + 10_000]
-                real = [w for w in part if w]
-                coded = known.tokenizer.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in real], add_special_tokens=False)
-                ids = [c.ids for c in coded]
-                often = np.array([c for w, c in zip(part, n) if w], float)
-                np.add.at(seen, np.array([i for own in ids for i in own], np.int64), np.repeat(often, [len(i) for i in ids]))
-                seen[-1] += sum(c for w, c in zip(part, n) if not w)
+            seen[:-1] += np.bincount(np.frombuffer(b"".join(raw(batch.column(0))), "<u2"), minlength=size)
+            seen[-1] += batch.num_rows
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["id", "n"])
 
-    made = words.select("word", "c").mapInArrow(run, "id bigint, n double")
-    out = np.zeros(Subwords(path).size + 1)
-    for r in made.groupBy("id").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(size + 1)
+    for r in training.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -308,8 +360,10 @@ def taken(keys: np.ndarray, numbers: np.ndarray, turn: int, shape: Shape) -> np.
 
 
 def learned(batches, vocab: Vocabulary, start: dict, turn: int, shape: Shape) -> tuple[dict, int]:
-    """A task's copy of the network after one pass over its windows of a round, and how many targets these had."""
-    known = Subwords(vocab.path)
+    """A task's copy of the network after one pass over its windows of a round, and how many targets these had.
+
+    Batches have a text's key, and its ids (binary) or itself."""
+    known = None
     adam = Adam({k: v.copy() for k, v in start.items()}, shape.rate)
     waiting: dict[int, list[tuple]] = {0: [], shape.overlap: []}  # by their first place
     weight = 0
@@ -322,8 +376,13 @@ def learned(batches, vocab: Vocabulary, start: dict, turn: int, shape: Shape) ->
 
     for batch in batches:
         keys, bodies = batch.column(0).to_numpy(), raw(batch.column(1))
+        if pa.types.is_binary(batch.column(1).type) or pa.types.is_large_binary(batch.column(1).type):
+            ids_of = spelled_ids
+        else:
+            known = known or Subwords(vocab.path)
+            ids_of = lambda b: known.ids(b.lower().split())
         for at in range(0, len(bodies), 256):
-            windowed = cut([known.ids(b.lower().split()) for b in bodies[at : at + 256]], vocab, shape)
+            windowed = cut([ids_of(b) for b in bodies[at : at + 256]], vocab, shape)
             mine = np.flatnonzero(taken(keys[at : at + 256][windowed.owners], windowed.numbers, turn, shape))
             for which, since, until in windowed.parts(mine, shape):
                 for first in range(0, len(which), 16 * shape.batch):
@@ -340,7 +399,7 @@ def learned(batches, vocab: Vocabulary, start: dict, turn: int, shape: Shape) ->
 
 
 def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
-    """Rounds of local training and averaging; ``docs`` has key and text of training rows."""
+    """Rounds of local training and averaging; ``docs`` has key and ids of training rows."""
     spark = docs.sparkSession
     like = initial(shape)
     params = like
@@ -362,7 +421,7 @@ def trained(docs: DataFrame, vocab: Vocabulary, shape: Shape) -> dict:
             return pd.DataFrame({"vector": [(total / weight).astype("<f4").tobytes()], "weight": [weight]})
 
         schema = "vector binary, weight double"
-        copies = docs.select("key", "text").mapInArrow(run, schema)
+        copies = docs.select("key", "ids").mapInArrow(run, schema)
         part = F.pmod(F.spark_partition_id(), F.lit(max(1, int(docs.rdd.getNumPartitions() ** 0.5))))
         some = copies.withColumn("part", part).groupBy("part").applyInPandas(lambda r: averaged(r), schema)
         last = some.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(lambda r: averaged(r), schema).collect()
@@ -384,8 +443,7 @@ def log10_probabilities(docs: list[np.ndarray], vocab: Vocabulary, params: dict,
         for at in range(0, len(mine), batch):
             which = mine[at : at + batch]
             x, after, valid = windowed.rows(which, vocab, shape, since, until)
-            logp, _ = forward(params, x, since)
-            each = np.take_along_axis(logp, vocab.classes[after][:, :, None], 2)[:, :, 0] / np.log(10) + vocab.within[after]
+            each = of_classes(params, x, vocab.classes[after], since) / np.log(10) + vocab.within[after]
             out += np.bincount(windowed.owners[which], np.where(valid, each, 0).sum(axis=1), len(docs))
     return out
 
@@ -438,39 +496,45 @@ def score(docs: DataFrame, path: str, shape: Shape = Shape(), doc_id: str = "doc
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
     head = head_words(counts, shape.head)
-    vocab = vocabulary(id_counts(counts, path), shape, path)
-    params = trained(training, vocab, shape)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        ({w: (c, float(np.log10(c + 1))) for w, c in head.items()}, vocab, params)
-    )
-
-    def run(batches):
-        head, vocab, params = shared.value
-        known = Subwords(vocab.path)
-        for batch in batches:
-            columns = batch.column(0).to_pylist(), batch.column(2).to_pylist(), raw(batch.column(1))
-            rows = list(zip(*columns))
-            for at in range(0, len(rows), 256):
-                part = rows[at : at + 256]
-                out, ids = [], []
-                for doc, held_out, body in part:
-                    words = body.lower().split()
-                    ids.append(known.ids(words))
-                    n_known, logs, tail = 0, 0.0, []
-                    for word, n in [*Counter(words).items(), (END_WORD, 1)]:
-                        found = head.get(word)
-                        if found is None:
-                            tail.append({"word": word, "n": n})
-                        else:
-                            n_known += n
-                            logs += n * found[1]
-                    key = xxhash.xxh3_64_intdigest(body, zlib.crc32(str(doc).encode())) >> 1
-                    out.append((doc, held_out, key, len(words) + 1, n_known, logs, tail))
-                scores = log10_probabilities(ids, vocab, params, shape)
-                arrays = [pa.array(x, t) for x, t in zip(zip(*out), _TYPES)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores)], _NAMES)
-
-    scored = pin(bare.select("doc_id", "text", "held_out").mapInArrow(run, _SCHEMA))
+    shared = docs.sparkSession.sparkContext.broadcast({w: (c, float(np.log10(c + 1))) for w, c in head.items()})
+
+    def encode(batches):
+        head, known = shared.value, subwords(path)
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            out, words_left, counts_left, ends = [], [], [], [0]
+            for doc, body in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+                words = body.lower().split()
+                n_known, logs = 0, 0.0
+                for word, n in [*Counter(words).items(), (END_WORD, 1)]:
+                    found = head.get(word)
+                    if found is None:
+                        words_left.append(word)
+                        counts_left.append(n)
+                    else:
+                        n_known += n
+                        logs += n * found[1]
+                ends.append(len(words_left))
+                row = xxhash.xxh3_64_intdigest(body, zlib.crc32(str(doc).encode())) >> 1
+                out.append((row, len(words) + 1, n_known, logs, known.spelled(words)))
+            arrays = [pa.array(x, t) for x, t in zip(zip(*out), _TYPES)]
+            tail = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()), pa.array(counts_left, pa.int64())], ["word", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays, tail], _NAMES)
+
+    encoded = pin(bare.select("doc_id", "text", "held_out", F.col("key").alias("turn")).mapInArrow(encode, _ENCODED))
+    learning = encoded.where("not held_out").select(F.col("turn").alias("key"), "ids")
+    vocab = vocabulary(id_counts(learning, path), shape, path)
+    model = docs.sparkSession.sparkContext.broadcast((vocab, trained(learning, vocab, shape)))
+
+    def probable(batches):
+        vocab, params = model.value
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            scores = log10_probabilities([spelled_ids(b) for b in raw(batch.column(0))], vocab, params, shape)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], _SCORED)
+
+    kept = [c for c in _NAMES if c in _SCORED]
+    schema = encoded.select(*kept).schema.add("score", "double")
+    scored = pin(encoded.select("ids", *kept).mapInArrow(probable, schema))
     tail = scored.select("key", F.explode("tail").alias("t")).select("key", "t.word", "t.n")
     met = tail.join(counts, "word").groupBy("key", "word").agg(F.max("n").alias("n"), F.first("c").alias("c"))
     rest = met.groupBy("key").agg(
@@ -489,12 +553,10 @@ def score(docs: DataFrame, path: str, shape: Shape = Shape(), doc_id: str = "doc
     )
 
 
-_SCHEMA = (
-    "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_known bigint, logs double, "
-    "tail array<struct<word:binary,n:bigint>>, score double"
+_ENCODED = (
+    "doc_id bigint, held_out boolean, turn bigint, key bigint, n_tokens bigint, n_known bigint, logs double, "
+    "ids binary, tail array<struct<word:binary,n:bigint>>"
 )
-_NAMES = ["doc_id", "held_out", "key", "n_tokens", "n_known", "logs", "tail", "score"]
-_TYPES = [
-    pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
-    pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])),
-]
+_NAMES = ["doc_id", "held_out", "turn", "key", "n_tokens", "n_known", "logs", "ids", "tail"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+_SCORED = ["doc_id", "held_out", "key", "n_tokens", "n_known", "logs", "tail", "score"]
