@@ -1,6 +1,7 @@
 """The set join and its parts against nested loops; parities lose nothing."""
 
 import random
+from collections import Counter
 from itertools import combinations
 from math import ceil
 
@@ -178,3 +179,31 @@ def test_components_of_chains_and_stars(spark):
     nodes = spark.createDataFrame([(x, x) for x in names], "node bigint, root bigint")
     got = links.joined(nodes, spark.createDataFrame(edges, "a bigint, b bigint"))
     assert {r.node: r.root for r in got.collect()} == root
+
+
+def test_lists_leave_out_pairs_that_cannot_be_similar(spark):
+    """Most members of lists met one other set by chance; each was shuffled with its parity several times."""
+    fill = iter(range(1000, 2000))
+    sets = [(100, {10: 7}), (100, {0: 7}), (100, {5: 8}), (100, {0: 8}), (60, {0: 9}), (100, {0: 9}), (60, {1: 6}), (100, {9: 6}), (40, {0: 6})]
+    rows = [(node, n, [own.get(k, next(fill)) for k in range(11)]) for node, (n, own) in enumerate(sets)]
+    lists = jaccard._lists(spark.createDataFrame(rows, "node bigint, n_shingles bigint, prefix array<bigint>"), PERCENT)
+    assert sorted((r.key, r.node, r.length) for r in lists.collect()) == [(6, 6, 3), (6, 7, 3), (6, 8, 3), (8, 2, 2), (8, 3, 2)]
+
+
+def test_rare_words_tell_elements_apart_that_share_a_bucket():
+    texts = [f"the of word{k} the of word{k + 1} the of the of end" for k in range(50)]
+    each = links.word_hashes([t.encode().split() for t in texts])
+    common = np.zeros(1 << 20, np.uint8)
+    found = Counter(w for t in texts for w in t.split())
+    for w, n in found.items():
+        common[jaccard._bucket(links.word_hashes([[w.encode()]])[0])] = round(8 * np.log2(n + 1))
+    rare = jaccard.Rarity(np.zeros(1 << 20, np.uint8), common)
+    for own, text in zip(each, texts):
+        words = text.split()
+        hashes = links.shingles(own, 3).tolist()
+        elements, order = rare.order(own, 3)
+        assert elements.tolist() == sorted(set(hashes)) and sorted(order) == list(range(len(elements)))
+        score = {h: sum(int(common[jaccard._bucket(links.word_hashes([[w.encode()]])[0])][0]) for w in words[k : k + 3]) // 8 for k, h in enumerate(hashes)}
+        assert [score[h] for h in elements[order].tolist()] == sorted(score.values())
+        rare_of = jaccard.Rarity(np.where(np.arange(1 << 20) == jaccard._bucket(elements[order[:1]]), 5, 0).astype(np.uint8), common)
+        assert rare_of.order(own, 3)[1][-1] == order[0]

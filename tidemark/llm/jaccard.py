@@ -9,8 +9,9 @@ light, the others heavy.
   partner may need. The sets that list one subset are linked to the smallest of them: whoever
   may link by this subset may also link to the smallest, so a star loses nothing, and each of
   its links is exact.
-* All others: elements are ordered by rarity, counted in a sketch of fixed size; any common
-  order is right, this one keeps frequent elements out of the lists. A set is in the lists of
+* All others: elements are ordered by rarity: those far more frequent than others by a sketch of
+  fixed size come last, the others go by how common their words are. Any common order is right,
+  this one keeps frequent elements out of the lists. A set is in the lists of
   its first n - ceil(n * similarity) + 1 elements, and similar sets meet in one of them. Heavy
   sets scan their lists; members are filtered by size and parity without loss, tested by
   centres (see ``links``), and every link is confirmed on the full sets.
@@ -26,6 +27,7 @@ members their lists hold, from the counts of this very input.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -45,6 +47,8 @@ LIGHTEST = 30
 #: Members of an inverted list that cost as much as one listed subset.
 SCANNED = 10
 _BUCKET_BITS, _BLOCK_BITS = 20, 14
+#: Levels of a bucket's count from one power of two to the next.
+LEVELS = 8
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -82,24 +86,49 @@ def subset_keys(elements: np.ndarray, percent: int) -> list[np.ndarray]:
     return list(np.concatenate(out, axis=1)) if out else [np.empty(0, np.uint64)] * 3
 
 
-def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Per bucket of element hashes how often it occurs in sets, as a binary logarithm.
+@dataclass(frozen=True)
+class Rarity:
+    """Per bucket of hashes: of elements a level where they are far more than usual, of words how common they are."""
 
-    Tasks count in a table of fixed size; its blocks are added up where they meet.
+    crowded: np.ndarray
+    common: np.ndarray
+
+    def order(self, each: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+        """A text's set, sorted by hash, and its order from the rarest on, for the text's word hashes.
+
+        Elements of crowded buckets come last. A sketch cannot tell the others apart once there are
+        many more elements than buckets; their words can, which are far fewer than elements.
+        """
+        size = min(shingle, len(each))
+        own, first = np.unique(links.shingles(each, shingle), return_index=True)
+        words = self.common[_bucket(each)].astype(np.int64)
+        score = sum((words[k : len(words) - size + 1 + k] for k in range(size)), np.zeros(len(words) - size + 1, np.int64))
+        return own, np.lexsort((own, score[first] // LEVELS, self.crowded[_bucket(own)]))
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+
+
+def rarity(docs: DataFrame, shingle: int) -> Rarity:
+    """How often the elements of a bucket occur in sets, and the words of a bucket in texts.
+
+    Tasks count in two tables of fixed size; their blocks are added up where they meet.
     """
-    block = 1 << _BLOCK_BITS
+    block, buckets = 1 << _BLOCK_BITS, 1 << _BUCKET_BITS
 
     def count(batches):
-        table = np.zeros(1 << _BUCKET_BITS, np.int64)
+        tables = np.zeros((2, buckets), np.int64)
         for batch in batches:
             column = batch.column(0)
-            for at in range(0, len(column), 2048):
-                sets = links.shingle_sets(raw(column.slice(at, 2048)), shingle)
-                bucket = (np.concatenate(sets) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
-                table += np.bincount(bucket, minlength=len(table))
-        for k in np.flatnonzero(table.reshape(-1, block).any(axis=1)):
-            part = table[k * block : (k + 1) * block]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.list_(pa.int64()))], ["block", "counts"])
+            for at in range(0, len(column), 256):  # the words of more texts would take much memory
+                words = links.word_hashes([b.lower().split() for b in raw(column.slice(at, 256))])
+                sets = [links.shingle_set(each, shingle) for each in words]
+                for table, found in zip(tables, (sets, words)):
+                    table += np.bincount(_bucket(np.concatenate(found)), minlength=buckets)
+        blocks = tables.reshape(-1, block)
+        for k in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k]], pa.list_(pa.int64()))], ["block", "counts"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -108,17 +137,18 @@ def rarity(docs: DataFrame, shingle: int) -> np.ndarray:
                 values = part.values.to_numpy()
                 held[k] = held[k] + values if k in held else values
         for k, total in held.items():
-            level = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
+            level = np.minimum(np.round(LEVELS * np.log2(total + 1.0)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
 
     counted = docs.select("text").mapInArrow(count, "block int, counts array<bigint>").repartition("block")
-    levels = np.zeros(1 << _BUCKET_BITS, np.uint8)
+    levels = np.zeros(2 * buckets, np.uint8)
     for r in counted.mapInArrow(add, "block int, levels binary").collect():
         levels[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["levels"], np.uint8)
-    return levels
+    elements, words = levels.reshape(2, -1)
+    return Rarity(np.where(elements > np.median(elements) + 2 * LEVELS, elements // LEVELS, 0).astype(np.uint8), words)
 
 
-def described(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray) -> DataFrame:
+def described(docs: DataFrame, shingle: int, percent: int, rare: Rarity) -> DataFrame:
     """doc_id, n_shingles, set_key, prefix (rarest elements), bits (parity), few (a small set)."""
 
     def describe(batches):
@@ -127,7 +157,8 @@ def described(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray) -
             ids, column = batch.column(0), batch.column(1)
             for at in range(0, len(column), 256):
                 sizes, keys, found = [], [], []
-                for own in links.shingle_sets(raw(column.slice(at, 256)), shingle):
+                for each in links.word_hashes([b.lower().split() for b in raw(column.slice(at, 256))]):
+                    own = links.shingle_set(each, shingle)
                     key = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
                     sizes.append(len(own))
                     keys.append(key)
@@ -137,8 +168,7 @@ def described(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray) -
                     if key not in known:
                         if len(known) > 5_000:
                             known.clear()
-                        level = levels[(own >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)]
-                        order = np.lexsort((own, level))[: prefix_length(len(own), percent)]
+                        order = rare.order(each, shingle)[1][: prefix_length(len(own), percent)]
                         few = own.view(np.int64) if len(own) <= LIGHTEST else None
                         known[key] = own[order].view(np.int64), links.parity(own), few
                     found.append(known[key])
@@ -188,15 +218,25 @@ def light_links(classes: DataFrame, percent: int, boundary: int) -> DataFrame:
     return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
+    """key, node, n_shingles, length of inverted lists with members that may be similar.
+
+    Sets whose first common element stands at places i and j share at most min(n - i, m - j)
+    elements. In a list of two that is asked of the two; they may still meet in another one.
+    """
+    posted = classes.select("node", "n_shingles", F.posexplode("prefix").alias("place", "key"))
+    counts = [F.count("*").alias("length"), F.sum("n_shingles").alias("sizes"), F.min(F.col("n_shingles") - F.col("place")).alias("most")]
+    several = posted.groupBy("key").agg(*counts).where(f"length > 2 or (length = 2 and most * {100 + percent} >= {percent} * sizes)")
+    return posted.drop("place").join(several.select("key", "length"), "key")
+
+
 def _parts(docs: DataFrame, shingle: int, percent: int):
     """Described rows, classes, inverted lists and the boundary."""
     signed = pin(described(docs, shingle, percent, rarity(docs, shingle)))
     usable = signed.where("set_key is not null and doc_id is not null")
     same = [F.first(c).alias(c) for c in ("n_shingles", "prefix", "bits", "few")]
     classes = pin(usable.groupBy("set_key").agg(F.min("doc_id").alias("low"), *same).withColumn("node", F.monotonically_increasing_id()))
-    posted = classes.select("node", "n_shingles", F.explode("prefix").alias("key"))
-    length = posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    lists = pin(posted.join(length, "key"))
+    lists = pin(_lists(classes, percent))
     n = F.col("n_shingles") <= LIGHTEST
     scans = {r[0]: r[1] for r in lists.where(n).groupBy("n_shingles").agg(F.sum("length")).collect()}
     sizes = {r[0]: (r[1], scans.get(r[0], 0)) for r in classes.where(n).groupBy("n_shingles").count().collect()}

@@ -74,15 +74,20 @@ def word_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
     return np.split(out, np.cumsum(many)[:-1])[: len(texts)]
 
 
-def shingle_set(each: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text's word hashes."""
+def shingles(each: np.ndarray, size: int) -> np.ndarray:
+    """The shingle hashes of a text's word hashes, in their order."""
     if not len(each):
         return np.empty(0, np.uint64)
     size = min(size, len(each))
     out = np.full(len(each) - size + 1, size, np.uint64)
     for k in range(size):
         out = mixed(out * MIX[0] + each[k : len(each) - size + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingle_set(each: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's word hashes."""
+    return np.unique(shingles(each, size))
 
 
 def shingle_sets(bodies: list[bytes], size: int) -> list[np.ndarray]:
