@@ -11,6 +11,9 @@ and read again as the next stage's docs. All stages but the last return the colu
 4. secrets: spans found are masked in the text; ``n_chars`` follows.
 5. packing: pieces of token ids in sequences of at most 2048.
 
+Stage 2 sends the ids that go, or occur again, to the texts; only texts whose id occurs again are
+shuffled. (Of more than ``links.FEW_NODES`` such ids, the texts meet them in a shuffle.)
+
 Rows with a null id are kept by stage 2; a null text passes all stages and is packed as empty.
 Empty tables pass through. Other columns of ``documents`` are carried to stage 4.
 """
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, neardup, packing, secrets, toxicity
+from tidemark.llm import decontaminate, links, neardup, packing, secrets, toxicity
 from tidemark.llm.common import table
 from tidemark.session import pin
 
@@ -40,9 +43,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     grouped = neardup.group(docs, shingle=5, percent=80, bands=38, rows=5)
-    kept = grouped.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    ids = grouped.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    apart = pin(ids.where("not kept or n > 1"))
+    few = apart.count() <= links.FEW_NODES
+    listed = lambda rows: F.broadcast(rows.select("doc_id")) if few else rows.select("doc_id")
+    out = docs.join(listed(apart), "doc_id", "left_anti")
+    if not (repeated := apart.where("kept")).isEmpty():
+        out = out.unionByName(docs.join(listed(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Stages of the pipeline against plain versions, with extra columns whose names clash."""
 
 import numpy as np
+import pytest
 from test_groups import ODD, alnum, classes, corpus
 
 import corpus_pipeline as cp
@@ -120,3 +121,21 @@ def test_batches_of_whole_texts_are_small(spark):
     got = int(spark.conf.get(name))
     spark.conf.unset(name)
     assert got <= 2_000
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_texts_of_single_ids_are_not_shuffled(spark, monkeypatch, few):
+    """Whole texts in a shuffle took the executor's heap to its end."""
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "h i j k l m n"), (3, "h i j k l m n"), (3, "other words of that id"), (4, None), (4, None), (None, "h i j k l m n"), (5, "x y")]
+    kind = type(spark.range(0))
+    seen, once = [], kind.dropDuplicates
+
+    def counted(self, *a):
+        seen.append(self.count())
+        return once(self, *a)
+
+    monkeypatch.setattr(kind, "dropDuplicates", counted)
+    monkeypatch.setattr(cp.links, "FEW_NODES", few)
+    got = cp.drop_near_duplicates(spark, frame(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([rows[0], *rows[3:5], rows[5], *rows[7:]], key=repr)
+    assert seen == [5]
